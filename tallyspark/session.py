@@ -30,6 +30,8 @@ def get_spark(master: str | None = None, app: str = "tallyspark", shuffle_partit
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = os.environ.get("TALLYSPARK_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

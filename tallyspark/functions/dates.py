@@ -40,10 +40,47 @@ def spark_pattern(fmt: str) -> str:
     return out
 
 
-def _parse_one(s: Column, fmt: str) -> Column:
+_SHAPE = {"%Y": r"\d{4}", "%m": r"\d{1,2}", "%d": r"\d{1,2}", "%y": r"\d{2}", "%H": r"\d{1,2}", "%M": r"\d{1,2}",
+          "%S": r"\d{1,2}", "%B": "[A-Za-z]+", "%b": "[A-Za-z]+"}
+
+
+def shape_regex(fmt: str) -> str:
+    """A cheap regex every string parsed by ``fmt`` must match (used as a guard so a
+    row only attempts the formats its shape allows)."""
+    import re
+    fixed = "%" in fmt and not any(c in fmt for c in "/-. ,:")
+    out, i = "^", 0
+    while i < len(fmt):
+        tok = fmt[i:i + 2]
+        if tok in _SHAPE:
+            out += r"\d{2}" if fixed and tok in ("%m", "%d") else _SHAPE[tok]
+            i += 2
+        else:
+            out += re.escape(fmt[i])
+            i += 1
+    return out + "$"
+
+
+def format_signature(fmt: str) -> str:
+    """Shape of strings a format can parse with digit runs written '9' and letter runs
+    'A' ('%m/%d/%Y' -> '9/9/9', '%B %d, %Y' -> 'A 9, 9')."""
+    import re
+    x = re.sub(r"%[YmdyHMS]", "9", fmt)
+    x = re.sub(r"%[Bb]", "A", x)
+    x = re.sub(r"9+", "9", x)
+    return x
+
+
+def signature(s: Column) -> Column:
+    """Shape of a string: digit runs -> '9', letter runs -> 'A'."""
+    return F.regexp_replace(F.regexp_replace(s, r"[0-9]+", "9"), r"[A-Za-z]+", "A")
+
+
+def _parse_one(s: Column, fmt: str, sig: Column | None = None) -> Column:
     if fmt in _T_FORMATS:
         return F.expr("NULL").cast("date")  # handled by the combined ISO-T branch
-    d = F.try_to_date(s, F.lit(spark_pattern(fmt)))
+    guard = (sig == format_signature(fmt)) if sig is not None else s.rlike(shape_regex(fmt))
+    d = F.when(guard, F.try_to_date(s, spark_pattern(fmt)))
     if "%y" in fmt:
         # strptime maps two-digit years 69-99 to 19xx; Spark's 'yy' maps all to 20xx.
         d = F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
@@ -52,7 +89,7 @@ def _parse_one(s: Column, fmt: str) -> Column:
 
 def _iso_t(s: Column) -> Column:
     rewritten = F.regexp_replace(s, _ISO_T, "$1 $2")
-    return F.when(s.rlike(_ISO_T), F.try_to_date(rewritten, F.lit("yyyy-M-d H:m:s")))
+    return F.when(s.rlike(_ISO_T), F.try_to_date(rewritten, "yyyy-M-d H:m:s"))
 
 
 def preprocess(s: Column) -> Column:
@@ -85,35 +122,85 @@ def _fallback(pre: Column, prefer_american: bool) -> Column:
     return F.coalesce(*[_parse_one(x, f) for f in name_fmts], iso_ts)
 
 
+def _candidates(formats: list[str]) -> Column:
+    """Literal map: shape signature -> ordered candidate formats (Spark pattern, whether
+    it has a two-digit year)."""
+    groups: dict[str, list[str]] = {}
+    for f in formats:
+        if f in _T_FORMATS:
+            continue
+        groups.setdefault(format_signature(f), []).append(f)
+    kv = []
+    for sig, fmts in groups.items():
+        kv += [F.lit(sig), F.array(*[F.struct(F.lit(spark_pattern(f)).alias("fmt"),
+                                              F.lit("%y" in f).alias("yy")) for f in fmts])]
+    return F.create_map(*kv)
+
+
+def _max_candidates(formats: list[str]) -> int:
+    groups: dict[str, int] = {}
+    for f in formats:
+        if f not in _T_FORMATS:
+            groups[format_signature(f)] = groups.get(format_signature(f), 0) + 1
+    return max(groups.values()) if groups else 0
+
+
+def _try_candidates(p: Column, cands: Column, width: int = 0) -> Column:
+    """First candidate format (in order) that parses ``p``; NULL when none does.
+
+    Folded with ``aggregate`` over the (at most a handful of) candidates of the row's
+    signature. A fully unrolled form generates a method too large for the JIT and runs
+    several times slower, so the fold is kept."""
+    def step(acc, f):
+        d = F.call_function("try_to_date", p, f["fmt"])
+        d = F.when(f["yy"] & (F.year(d) >= 2069), F.add_months(d, -1200)).otherwise(d)
+        return F.coalesce(acc, d)
+    return F.aggregate(F.coalesce(cands, F.array().cast("array<struct<fmt:string,yy:boolean>>")),
+                       F.lit(None).cast("date"), step)
+
+
+def _standardize_from(s: Column, pre: Column, sig: Column, prefer_american: bool) -> Column:
+    order = ordered_formats(prefer_american)
+    by_format = _try_candidates(pre, F.element_at(_candidates(order), sig), _max_candidates(order))
+    iso_t = _iso_t(pre)
+    # last resort: ordinals dropped, 'Sept' read as 'Sep', month-name formats again,
+    # then a plain ISO date-time
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(pre, r"(?i)(\d+)(st|nd|rd|th)\b", "$1"),
+                                          r"(?i)\bsept\b", "Sep"), r"\s+", " ")
+    names = [f for f in order if "%B" in f or "%b" in f]
+    by_name = _try_candidates(x, F.element_at(_candidates(names), signature(x)), _max_candidates(names))
+    iso_ts = F.when(pre.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[ tT]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$"),
+                    F.to_date(F.try_to_timestamp(F.regexp_replace(pre, "[tT]", " "))))
+    serial = excel_serial(s)
+    return (F.when(s.isNull(), F.lit(None).cast("date"))
+            .when(serial.isNotNull(), serial)
+            .when(F.length(pre) < 6, F.lit(None).cast("date"))
+            .otherwise(F.coalesce(by_format, iso_t, by_name, iso_ts)))
+
+
 def standardize_date(col, prefer_american: bool = True) -> Column:
     """Text (or date/timestamp) -> DATE following the documented trial order.
 
     null -> NULL; Excel serial; separator normalisation; fewer than 6 chars -> NULL;
-    formats in preference order; last-resort name parse.
-    """
+    formats in preference order; last-resort name parse. Only the formats whose shape
+    signature equals the row's are attempted (a literal map from signature to the
+    ordered candidate formats), which keeps the expression small enough to compile."""
     c = F.col(col) if isinstance(col, str) else col
     s = c.cast("string")
     pre = preprocess(s)
-    parsed, seen_t = [], False
-    for f in ordered_formats(prefer_american):
-        if f in _T_FORMATS:
-            if not seen_t:
-                parsed.append(_iso_t(pre))
-                seen_t = True
-            continue
-        parsed.append(_parse_one(pre, f))
-    by_format = F.coalesce(*parsed, _fallback(pre, prefer_american))
-    return (F.when(s.isNull(), F.lit(None).cast("date"))
-            .when(excel_serial(s).isNotNull(), excel_serial(s))
-            .when(F.length(pre) < 6, F.lit(None).cast("date"))
-            .otherwise(by_format))
+    return _standardize_from(s, pre, signature(pre), prefer_american)
+
+
+def standardize_dates(df: DataFrame, cols: dict[str, str], prefer_american: bool = True) -> DataFrame:
+    """P1 for several columns at once: ``{output: input}``."""
+    return df.withColumns({out: standardize_date(F.col(src), prefer_american) for out, src in cols.items()})
 
 
 def coerce_date(col) -> Column:
-    """Simple parse (ISO date or timestamp text), invalid -> NULL."""
+    """Simple parse (ISO date, or ISO date and time), invalid -> NULL."""
     c = F.col(col) if isinstance(col, str) else col
     s = F.trim(c.cast("string"))
-    return F.coalesce(F.try_to_date(s, F.lit("yyyy-M-d")), F.try_to_timestamp(s).cast("date"))
+    return F.coalesce(F.try_to_date(s, "yyyy-M-d"), F.try_to_date(s, "yyyy-M-d H:m:s"))
 
 
 def detect_date_format(df: DataFrame, col: str = "date") -> DataFrame:

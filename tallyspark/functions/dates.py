@@ -231,13 +231,14 @@ def detect_date_format(df: DataFrame, col: str = "date") -> DataFrame:
 
 
 def normalize_dates(df: DataFrame, col: str = "date", prefer_american: bool = True) -> DataFrame:
-    """Parse ``col`` in place, keep ``<col>_original`` and add ``<col>_invalid``."""
+    """Parse ``col`` in place, keep ``<col>_original`` and add ``<col>_invalid``.
+
+    The flag is derived from the parsed column in a second projection, so the parse
+    expression appears once in the plan."""
     raw = F.col(col).cast("string")
     stripped = F.regexp_replace(F.trim(raw), r"(\d+)(st|nd|rd|th)", "$1")
-    parsed = standardize_date(stripped, prefer_american)
     blank = raw.isNull() | (F.trim(raw) == "")
-    return df.withColumns({
-        f"{col}_original": F.col(col),
-        col: parsed,
-        f"{col}_invalid": (~blank) & parsed.isNull(),
-    })
+    x = df.withColumns({f"{col}_original": F.col(col), "__blank": blank,
+                        "__parsed": standardize_date(stripped, prefer_american)})
+    x = x.withColumns({col: F.col("__parsed"), f"{col}_invalid": (~F.col("__blank")) & F.col("__parsed").isNull()})
+    return x.drop("__blank", "__parsed")

@@ -192,8 +192,17 @@ def standardize_date(col, prefer_american: bool = True) -> Column:
 
 
 def standardize_dates(df: DataFrame, cols: dict[str, str], prefer_american: bool = True) -> DataFrame:
-    """P1 for several columns at once: ``{output: input}``."""
-    return df.withColumns({out: standardize_date(F.col(src), prefer_american) for out, src in cols.items()})
+    """P1 for whole columns, ``{output: input}``: the normalised text and its signature
+    are computed once per row in their own projection, then every branch reads them."""
+    tmp = {}
+    for i, (out, src) in enumerate(cols.items()):
+        s = F.col(src).cast("string")
+        tmp[f"__s{i}"], tmp[f"__p{i}"] = s, preprocess(s)
+    x = df.withColumns(tmp)
+    x = x.withColumns({f"__g{i}": signature(F.col(f"__p{i}")) for i in range(len(cols))})
+    x = x.withColumns({out: _standardize_from(F.col(f"__s{i}"), F.col(f"__p{i}"), F.col(f"__g{i}"), prefer_american)
+                       for i, out in enumerate(cols)})
+    return x.drop(*[f"__{k}{i}" for i in range(len(cols)) for k in "spg"])
 
 
 def coerce_date(col) -> Column:

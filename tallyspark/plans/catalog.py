@@ -63,7 +63,7 @@ def with_views(sql: str) -> str:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_analytics, queries_core, queries_dedup, queries_risk, queries_scalar  # noqa: F401
+    from . import queries_analytics, queries_core, queries_dedup, queries_risk, queries_rules, queries_scalar  # noqa: F401
 
 
 __all__ = ["QUERIES", "ORACLES", "query", "with_views", "load_all", "VIEWS"]

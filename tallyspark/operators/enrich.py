@@ -220,8 +220,9 @@ def score_in_batches(df: DataFrame, fn, out_col: str, fallback: Column, batch: i
     """Call ``fn(pandas.DataFrame) -> sequence`` on batches of ``batch`` rows inside
     each partition (Arrow batches, no driver round trip); a failing batch keeps the
     deterministic ``fallback`` values. ``fn`` is the pluggable model hook."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
     x = df.withColumn("_fallback", fallback.cast(out_type))
-    schema = x.schema.add(out_col, out_type)
+    schema = StructType(list(x.schema.fields) + [StructField(out_col, _parse_datatype_string(out_type), True)])
 
     def run(it):
         for pdf in it:

@@ -174,7 +174,7 @@ def map_regex_fuzzy(headers: DataFrame) -> DataFrame:
     h = headers.withColumn("_low", F.lower("column"))
     j = _expand(h, FV.REGEX_FIELD_PATTERNS)
     ratio = sequence_ratio(F.col("pattern"), F.col("_low"))
-    score = F.greatest(F.when(F.col("_low").rlike(F.col("pattern")), F.length("pattern")).otherwise(0),
+    score = F.greatest(F.when(F.call_function("rlike", F.col("_low"), F.col("pattern")), F.length("pattern")).otherwise(0),
                        F.when(ratio > 0.8, F.floor(ratio * 10).cast("int")).otherwise(0))
     sc = j.withColumn("score", score).filter("score > 0")
     per_col = sc.groupBy("source_file", "position", "column").agg(
@@ -187,7 +187,7 @@ def map_pattern_coverage(headers: DataFrame) -> DataFrame:
     """H9: regex hits scored by coverage len(pattern) / len(header); best field per column
     when coverage > 0.3 (first field / pattern on ties)."""
     h = headers.withColumn("_low", F.lower("column"))
-    sc = _expand(h, FV.MAPPER_PATTERNS).filter(F.col("_low").rlike(F.col("pattern"))).withColumn(
+    sc = _expand(h, FV.MAPPER_PATTERNS).filter(F.call_function("rlike", F.col("_low"), F.col("pattern"))).withColumn(
         "score", F.length("pattern") / F.length("_low"))
     best = sc.groupBy("source_file", "position", "column").agg(
         F.min_by(F.struct("field", "score"), F.struct(-F.col("score"), F.col("field_order"), F.col("pattern_order")))
@@ -326,7 +326,7 @@ def classify_table(headers: DataFrame) -> DataFrame:
     """Per file, the kind whose required patterns are most often present in some
     header (share of patterns hit; first kind in list order wins ties)."""
     hits = (_expand(headers.withColumn("_low", F.lower("column")), FV.TABLE_KINDS)
-            .filter(F.col("_low").rlike(F.col("pattern")))
+            .filter(F.call_function("rlike", F.col("_low"), F.col("pattern")))
             .select("source_file", F.col("field").alias("kind"), "pattern_order").distinct()
             .groupBy("source_file", "kind").agg(F.count("*").alias("_hit")))
     kinds = F.array(*[F.struct(F.lit(ki).alias("kind_order"), F.lit(k).alias("kind"), F.lit(len(p)).alias("_np"))

@@ -30,7 +30,10 @@ def stream_clean(spark: SparkSession, in_dir: str, schema: str, fmt: str = "csv"
 
 
 def stream_dedup(stream: DataFrame, keys: list[str], event_time: str, watermark: str = "7 days") -> DataFrame:
-    """Q2: drop repeated keys arriving within the watermark (state is bounded by it)."""
+    """Q2: drop repeated keys arriving within the watermark (state is bounded by it).
+    A bounded (batch) input is de-duplicated on the keys directly."""
+    if not stream.isStreaming:
+        return stream.dropDuplicates(keys)
     return stream.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(keys)
 
 

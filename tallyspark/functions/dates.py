@@ -192,17 +192,20 @@ def standardize_date(col, prefer_american: bool = True) -> Column:
 
 
 def standardize_dates(df: DataFrame, cols: dict[str, str], prefer_american: bool = True) -> DataFrame:
-    """P1 for whole columns, ``{output: input}``: the normalised text and its signature
-    are computed once per row in their own projection, then every branch reads them."""
-    tmp = {}
+    """P1 for whole columns, ``{output: input}``.
+
+    A ledger has far fewer distinct date strings than rows, so each distinct string is
+    parsed once and joined back on the raw text. The distinct side is an aggregate
+    whose size AQE measures at run time: it is broadcast when small (the usual case, no
+    shuffle of the rows) and shuffled otherwise; a hot date string is one row on that
+    side, so skew cannot multiply rows."""
     for i, (out, src) in enumerate(cols.items()):
-        s = F.col(src).cast("string")
-        tmp[f"__s{i}"], tmp[f"__p{i}"] = s, preprocess(s)
-    x = df.withColumns(tmp)
-    x = x.withColumns({f"__g{i}": signature(F.col(f"__p{i}")) for i in range(len(cols))})
-    x = x.withColumns({out: _standardize_from(F.col(f"__s{i}"), F.col(f"__p{i}"), F.col(f"__g{i}"), prefer_american)
-                       for i, out in enumerate(cols)})
-    return x.drop(*[f"__{k}{i}" for i in range(len(cols)) for k in "spg"])
+        k, raw, val = f"__dk{i}", f"__draw{i}", f"__dval{i}"
+        df = df.withColumn(k, F.col(src).cast("string"))
+        parsed = (df.select(F.col(k).alias(raw)).filter(F.col(raw).isNotNull()).distinct()
+                  .withColumn(val, standardize_date(F.col(raw), prefer_american)))
+        df = df.join(parsed, F.col(k) == F.col(raw), "left").withColumn(out, F.col(val)).drop(k, raw, val)
+    return df
 
 
 def coerce_date(col) -> Column:
@@ -240,14 +243,11 @@ def detect_date_format(df: DataFrame, col: str = "date") -> DataFrame:
 
 
 def normalize_dates(df: DataFrame, col: str = "date", prefer_american: bool = True) -> DataFrame:
-    """Parse ``col`` in place, keep ``<col>_original`` and add ``<col>_invalid``.
-
-    The flag is derived from the parsed column in a second projection, so the parse
-    expression appears once in the plan."""
+    """Parse ``col`` in place, keep ``<col>_original`` and add ``<col>_invalid``
+    (distinct raw strings are parsed once, see ``standardize_dates``)."""
     raw = F.col(col).cast("string")
-    stripped = F.regexp_replace(F.trim(raw), r"(\d+)(st|nd|rd|th)", "$1")
-    blank = raw.isNull() | (F.trim(raw) == "")
-    x = df.withColumns({f"{col}_original": F.col(col), "__blank": blank,
-                        "__parsed": standardize_date(stripped, prefer_american)})
+    x = df.withColumns({f"{col}_original": F.col(col), "__blank": raw.isNull() | (F.trim(raw) == ""),
+                        "__stripped": F.regexp_replace(F.trim(raw), r"(\d+)(st|nd|rd|th)", "$1")})
+    x = standardize_dates(x, {"__parsed": "__stripped"}, prefer_american)
     x = x.withColumns({col: F.col("__parsed"), f"{col}_invalid": (~F.col("__blank")) & F.col("__parsed").isNull()})
-    return x.drop("__blank", "__parsed")
+    return x.drop("__blank", "__parsed", "__stripped")

@@ -178,11 +178,11 @@ def _enhanced_steps(df: DataFrame, vendor: str, memo: str, amount: str, out: str
     has_memo = memo in df.columns
     m = memo if has_memo else F.lit(None).cast("string")
     counted = df.join(vendor_counts(df, vendor), vendor, "left")
-    # lower-case the texts once per row; the ~450 substring tests then read these columns
-    counted = counted.withColumns({"__vlow": _low(vendor), "__mlow": _low(m)})
-    scored = (categorize_scored(F.col("__vlow"), F.col("__mlow"), amount, lowered=True) if has_amount
-              else categorize_vendor_db(F.col("__vlow")))
-    steps = [counted.withColumn(out, scored)]
+    if has_amount:
+        first = with_scored_category(counted, out, vendor, m, amount)
+    else:
+        first = counted.withColumn(out, categorize_vendor_db(vendor))
+    steps = [first.withColumns({"__vlow": F.lit(None), "__mlow": F.lit(None)})]
     if has_amount:
         steps.append(_step(steps[-1], out, categorize_amount(amount)))
     if has_memo:
@@ -205,12 +205,41 @@ def categorize_enhanced(df: DataFrame, vendor: str = "vendor", memo: str = "memo
     return final.select(*cols, F.col("__cat").alias(category))
 
 
-def with_scored_category(df: DataFrame, out: str = "category", vendor: str = "vendor", memo: str = "memo",
+def _text_scores(values: DataFrame, col: str, with_vendor: bool, prefix: str) -> DataFrame:
+    """Per distinct text: the text part of each group's C4 score (+2 vendor substring,
+    +1 per pattern found)."""
+    v = F.col(col)
+    cols = {}
+    for gi, (group, vendors, pats, _) in enumerate(vendor_db()):
+        terms = [_search(v, p).cast("int") for p in pats]
+        if with_vendor:
+            terms.insert(0, F.when(_any_sub(v, vendors), F.lit(2)).otherwise(F.lit(0)))
+        cols[f"{prefix}{gi}"] = balanced(lambda x, y: x + y, terms)
+    return values.withColumns(cols)
+
+
+def with_scored_category(df: DataFrame, out: str = "category", vendor: str = "vendor", memo="memo",
                          amount: str = "amount") -> DataFrame:
-    """C4 as a frame operation: texts lower-cased once in their own projection."""
-    x = df.withColumns({"__vlow": _low(vendor), "__mlow": _low(memo)})
-    return x.withColumn(out, categorize_scored(F.col("__vlow"), F.col("__mlow"), amount, lowered=True)) \
-        .drop("__vlow", "__mlow")
+    """C4 as a frame operation. The ~450 substring rules depend only on the vendor text
+    or only on the memo text, so they are evaluated once per DISTINCT lower-cased vendor
+    and memo and joined back (AQE broadcasts the distinct sides when they are small);
+    only the amount ranges are evaluated per row."""
+    m = F.col(memo) if isinstance(memo, str) else memo
+    x = df.withColumns({"__vlow": _low(vendor), "__mlow": _low(m)})
+    vs = _text_scores(x.select("__vlow").distinct(), "__vlow", True, "__sv")
+    ms = _text_scores(x.select("__mlow").distinct(), "__mlow", False, "__sm")
+    j = x.join(vs, "__vlow", "left").join(ms, "__mlow", "left")
+    a = F.abs(F.col(amount))
+    scores = []
+    for gi, (_, _, _, ranges) in enumerate(vendor_db()):
+        in_range = balanced(lambda p, q: p | q, [(a >= lo) & (a <= hi) for lo, hi in ranges])
+        scores.append(F.col(f"__sv{gi}") + F.col(f"__sm{gi}") + F.coalesce(in_range, F.lit(False)).cast("int"))
+    arr = F.array(*scores)
+    names = F.array(*[F.lit(g.title()) for g, *_ in vendor_db()])
+    best = F.array_max(arr)
+    cat = F.when(best > 0, F.element_at(names, F.array_position(arr, best).cast("int"))).otherwise(F.lit("Other"))
+    helpers = ["__vlow", "__mlow"] + [f"__s{k}{gi}" for k in "vm" for gi in range(len(vendor_db()))]
+    return j.withColumn(out, cat).drop(*helpers)
 
 
 def categorize_steps(df: DataFrame, vendor: str = "vendor", memo: str = "memo", amount: str = "amount"

@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import fixed_values as FV
 from ..functions.amounts import clean_amount, clean_amount_column
-from ..functions.dates import normalize_dates, standardize_date
+from ..functions.dates import normalize_dates, standardize_date, standardize_dates
 from ..functions.text import capitalize_memo, capitalize_vendor, clean_text, digits_only, email_valid, fill_memo, \
     title_case
 from ..operators import categorize as C
@@ -89,8 +89,7 @@ def clean_transactions(df: DataFrame, row_id: str = "row_id") -> tuple[DataFrame
     """P25: canonical columns (H3), dates (P1), amounts (P5), text (P8), exact de-dup (J1),
     categories for rows that need one (C1)."""
     std, prov, dropped = H.standardize_columns(df, keep=(row_id,))
-    out = std.withColumns({
-        "date": standardize_date(F.col("date")),
+    out = standardize_dates(std, {"date": "date"}).withColumns({
         "amount": clean_amount(F.col("amount"), "basic"),
         "vendor": clean_text(F.col("vendor")), "category": clean_text(F.col("category")),
         "memo": clean_text(F.col("memo"))})
@@ -104,11 +103,12 @@ def bulk_clean(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     name) parsed, as one plan over the whole table."""
     out = D.drop_exact_duplicates(df, row_id) if row_id in df.columns else df.dropDuplicates()
     repl = {}
+    out = standardize_dates(out, {f.name: f.name for f in out.schema.fields if "date" in f.name.lower()})
     for f in out.schema.fields:
         lc = f.name.lower()
         c = F.col(f"`{f.name}`")
         if "date" in lc:
-            repl[f.name] = standardize_date(c)
+            continue
         elif lc in ("amount", "balance", "total") or "amount" in lc:
             repl[f.name] = clean_amount(c, "unsigned")
         elif isinstance(f.dataType, StringType):
@@ -174,7 +174,7 @@ def clean_ledger(df: DataFrame, row_id: str = "row_id", checkpoint: bool = True
     (R16) and insights (K13) over the cleaned, checkpointed table."""
     from ..operators import insights as K
     from ..operators import risk as R
-    x = df.withColumns({"date": standardize_date(F.col("date")), "amount": clean_amount(F.col("amount"), "robust")})
+    x = standardize_dates(df, {"date": "date"}).withColumn("amount", clean_amount(F.col("amount"), "robust"))
     x, rep = D.advanced_dedup(x, row_id, checkpoint=checkpoint)
     x = C.categorize_enhanced(x)
     x = x.withColumn("memo", fill_memo())

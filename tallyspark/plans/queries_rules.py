@@ -102,9 +102,8 @@ def q_c1(spark, t):
 def q_c4(spark, t):
     """C4 scores (part name as vendor, part type as memo), C5 amount band, C6 time words,
     C8 text rules, each shown on its own."""
-    l = t("ledger_lines")
-    return l.select("memo", rnd(F.col("amount"), 2).alias("amount"),
-                    C.categorize_scored("memo", "category", "amount").alias("scored"),
+    l = C.with_scored_category(t("ledger_lines"), "scored", "memo", "category", "amount")
+    return l.select("memo", rnd(F.col("amount"), 2).alias("amount"), "scored",
                     C.categorize_amount("amount").alias("by_amount"), C.categorize_time("category").alias("by_time"),
                     C.categorize_text("memo", "category").alias("by_text"))
 

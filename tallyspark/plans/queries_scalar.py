@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as FV
 from ..functions.amounts import amount_invalid, clean_amount
 from ..functions.calendar import derive_calendar
-from ..functions.dates import coerce_date, detect_date_format, normalize_dates, ordered_formats, standardize_date
+from ..functions.dates import (coerce_date, detect_date_format, normalize_dates, ordered_formats,
+                               standardize_date, standardize_dates)
 from ..functions.text import (capitalize_memo, capitalize_vendor, clean_text, dedup_key, digits_only, email_valid,
                               extract_vendor, fill_memo, normalize_string, title_case)
 from ..operators import filters as FL
@@ -47,9 +48,10 @@ def date_sql(s: str, american: bool = True) -> str:
        "CAST(" + date_sql("date", False) + " AS VARCHAR) AS date_european FROM ledger_raw")
 def q_p1(spark, t):
     """Text dates of the raw ledger, American and European preference."""
-    r = t("ledger_raw")
-    return r.select("row_id", standardize_date("date", True).alias("date_american"),
-                    standardize_date("date", False).alias("date_european"))
+    r = t("ledger_raw").select("row_id", "date")
+    r = standardize_dates(r, {"date_american": "date"}, True)
+    r = standardize_dates(r, {"date_european": "date"}, False)
+    return r.select("row_id", "date_american", "date_european")
 
 
 def _detect_sql() -> str:
@@ -219,8 +221,8 @@ PARSED_SQL = ("(SELECT row_id, " + date_sql("date", True) + " AS date, " +
 
 
 def parsed_raw(t):
-    r = t("ledger_raw")
-    return r.select("row_id", standardize_date("date").alias("date"), clean_text("vendor").alias("vendor"),
+    r = standardize_dates(t("ledger_raw"), {"date": "date"})
+    return r.select("row_id", "date", clean_text("vendor").alias("vendor"),
                     clean_amount("amount", "robust").alias("amount"))
 
 

@@ -162,9 +162,20 @@ def _pairwise_drop(df: DataFrame, *, block: Column, row_id: str, date: str, amou
             p = p.withColumn("ab", _amount_bucket(F.col("a"), tol))
         return p
 
+    # One-row census of the four (date known?, amount positive?) classes: joins whose
+    # probe or candidate side is empty are not planned at all.
+    classes = {"da": has_d & has_a, "d_": has_d & ~has_a, "_a": ~has_d & has_a, "__": ~has_d & ~has_a}
+    census = base.agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate(classes.values())]).first()
+    size = {name: census[k] for k, name in enumerate(classes)}
+
+    def nonempty(classes):
+        return sum(size[c] for c in classes) > 0
+
     parts = []
 
-    def add(j_filt, i_filt, bd, ba, need_d, need_a):
+    def add(j_filt, i_filt, bd, ba, need_d, need_a, j_cls=("da", "d_", "_a", "__"), i_cls=("da", "d_", "_a", "__")):
+        if not (nonempty(j_cls) and nonempty(i_cls)):
+            return
         j, i = probe(j_filt, bd, ba), cands(i_filt, bd, ba)
         keys = ["blk", "vlow"] + (["db"] if bd else []) + (["ab"] if ba else [])
         cond = F.col("i_rid") < F.col("rid")
@@ -175,21 +186,23 @@ def _pairwise_drop(df: DataFrame, *, block: Column, row_id: str, date: str, amou
         parts.append(_semi(j, i, keys, cond).select("rid"))
 
     # both dates known and both amounts positive: block on date and amount buckets
-    add(has_d & has_a, has_d & has_a, True, True, True, True)
+    add(has_d & has_a, has_d & has_a, True, True, True, True, ("da",), ("da",))
     if amount_optional:
         # dates known on both sides, amount test skipped
-        add(has_d & ~has_a, has_d, True, False, True, False)
-        add(has_d & has_a, has_d & ~has_a, True, False, True, False)
+        add(has_d & ~has_a, has_d, True, False, True, False, ("d_",), ("da", "d_"))
+        add(has_d & has_a, has_d & ~has_a, True, False, True, False, ("da",), ("d_",))
     if date_optional:
         # amounts positive on both sides, date test skipped
-        add(~has_d & has_a, has_a, False, True, False, True)
-        add(has_d & has_a, ~has_d & has_a, False, True, False, True)
+        add(~has_d & has_a, has_a, False, True, False, True, ("_a",), ("da", "_a"))
+        add(has_d & has_a, ~has_d & has_a, False, True, False, True, ("da",), ("_a",))
     if date_optional and amount_optional:
         # both tests skipped: block only
-        add(~has_d & ~has_a, F.lit(True), False, False, False, False)
-        add(~has_d & has_a, ~has_a, False, False, False, False)
-        add(has_d & ~has_a, ~has_d, False, False, False, False)
-        add(has_d & has_a, ~has_d & ~has_a, False, False, False, False)
+        add(~has_d & ~has_a, F.lit(True), False, False, False, False, ("__",))
+        add(~has_d & has_a, ~has_a, False, False, False, False, ("_a",), ("d_", "__"))
+        add(has_d & ~has_a, ~has_d, False, False, False, False, ("d_",), ("_a", "__"))
+        add(has_d & has_a, ~has_d & ~has_a, False, False, False, False, ("da",), ("__",))
+    if not parts:
+        return base.select("rid").limit(0)
     return reduce(DataFrame.unionByName, parts).distinct()
 
 

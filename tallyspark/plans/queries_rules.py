@@ -255,19 +255,58 @@ def q_b6(spark, t):
     return out
 
 
-@query("b10_account_risks")
+def _rules_sql(rules, name: str) -> str:
+    sel = " UNION ALL ".join(f"SELECT {i} AS o, {q(text)} AS {name} FROM m WHERE coalesce({cond}, false)"
+                             for i, (cond, text) in enumerate(rules))
+    return (f"WITH m AS ({B6_SQL}), r AS ({sel}) "
+            f"SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS pos, {name} FROM r")
+
+
+B10_RULES = [
+    ("current_ratio < 1", "Critical liquidity risk - insufficient current assets to meet short-term obligations."),
+    ("current_ratio >= 1 AND current_ratio < 1.5", "Moderate liquidity risk - consider strengthening cash position."),
+    ("debt_to_equity_ratio > 3", "High solvency risk - excessive debt levels relative to equity position."),
+    ("debt_to_equity_ratio <= 3 AND debt_to_equity_ratio > 2", "Moderate solvency risk - debt levels require monitoring."),
+    ("profit_margin < 0", "Profitability risk - operations generating negative returns requiring immediate attention."),
+    ("profit_margin >= 0 AND profit_margin < 0.05", "Low profitability risk - margins below optimal levels."),
+    ("concentration_ratio > 0.8",
+     "High concentration risk - significant portion of assets concentrated in limited accounts."),
+]
+B11_RULES = [
+    ("account_count > 500", "Chart of accounts complexity may impact reporting efficiency - consider consolidation strategy."),
+    ("account_count < 20", "Limited account detail may restrict reporting granularity - evaluate additional account categories."),
+    ("negative_accounts > account_count * 0.3",
+     "High proportion of negative balances - verify account classifications and posting accuracy."),
+    ("zero_accounts > account_count * 0.2", "Significant number of inactive accounts - implement account cleanup procedures."),
+    ("naming_issues > account_count * 0.1",
+     "Account naming inconsistencies detected - standardize naming conventions for improved reporting."),
+]
+B12_RULES = [
+    ("current_ratio < 1.5", "STRATEGIC: Implement cash flow management program to strengthen liquidity position."),
+    ("debt_to_equity_ratio > 2", "STRATEGIC: Develop comprehensive debt reduction strategy to improve financial flexibility."),
+    ("profit_margin < 0.1", "STRATEGIC: Conduct pricing and cost structure analysis to improve profitability metrics."),
+    ("working_capital < 0", "STRATEGIC: Establish working capital management framework to address cash flow challenges."),
+    ("cash_percentage < 5", "STRATEGIC: Build cash reserves to enhance operational flexibility and risk mitigation."),
+    ("account_count > 500", "STRATEGIC: Implement account consolidation program to streamline reporting and reduce complexity."),
+    ("risk_level = 'High'", "STRATEGIC: Develop comprehensive risk mitigation plan addressing identified vulnerabilities."),
+    ("profit_margin > 0.2 AND current_ratio > 2",
+     "STRATEGIC: Strong financial position supports expansion initiatives and strategic investments."),
+]
+
+
+@query("b10_account_risks", _rules_sql(B10_RULES, "risk"))
 def q_b10(spark, t):
     """Risk texts for the accounts view."""
     return B.account_risks(t("accounts"))
 
 
-@query("b11_operational_insights")
+@query("b11_operational_insights", _rules_sql(B11_RULES, "insight"))
 def q_b11(spark, t):
     """Operational insight texts for the accounts view."""
     return B.operational_insights(t("accounts"))
 
 
-@query("b12_strategic_recommendations")
+@query("b12_strategic_recommendations", _rules_sql(B12_RULES, "recommendation"))
 def q_b12(spark, t):
     """Strategic rules for the accounts view."""
     return B.strategic_recommendations(t("accounts"))

@@ -63,7 +63,8 @@ def with_views(sql: str) -> str:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import (queries_analytics, queries_core, queries_dedup, queries_enrich, queries_risk,  # noqa: F401
+    from . import (queries_analytics, queries_core, queries_dedup, queries_enrich, queries_extra,  # noqa: F401
+                   queries_risk,
                    queries_rules, queries_scalar)
 
 

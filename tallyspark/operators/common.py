@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-_ONE = "__one__"
 
 
 def with_scalars(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row of ``df``.
+    """Attach a one-row aggregate to every row of ``df`` as scalar subqueries.
 
-    ``stats`` is a global aggregate, so it has exactly one row: the join is an
-    equi-join on a constant key against a broadcast side of proven size 1 (no
-    nested-loop or cartesian product, no driver round trip, stays one lazy plan).
-    """
-    return (df.withColumn(_ONE, F.lit(1))
-            .join(F.broadcast(stats.withColumn(_ONE, F.lit(1))), _ONE)
-            .drop(_ONE))
+    ``stats`` is a global aggregate (exactly one row). Each of its columns becomes an
+    uncorrelated scalar subquery: Spark merges them into one aggregate job and inlines
+    the values, so no join (nested-loop or otherwise) and no driver round trip is
+    involved, and the whole thing stays one lazy plan."""
+    return df.withColumns({c: stats.select(F.col(f"`{c}`")).scalar() for c in stats.columns})
 
 
 def rnd(c: Column, digits: int = 2) -> Column:

@@ -9,8 +9,18 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# Strings shaped like a number (or nan / inf), checked before casting: a failed
+# string -> double cast costs an exception per value, the regex check does not.
+NUMBER_SHAPE = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)\s*$"
+
+
+def to_double(s: Column) -> Column:
+    """``try_cast(s as double)`` that only attempts number-shaped strings."""
+    return F.when(s.rlike(NUMBER_SHAPE), s.try_cast("double"))
+
+
 def _num(s: Column) -> Column:
-    v = s.try_cast("double")
+    v = to_double(s)
     return F.when(~F.isnan(v), v)          # 'NaN' text is missing, not a number
 
 

@@ -105,7 +105,8 @@ def preprocess(s: Column) -> Column:
 
 def excel_serial(s: Column) -> Column:
     """Excel serial day number (1..100000) counted from 1899-12-30, else NULL."""
-    num = F.trim(s).try_cast("double")
+    from .amounts import to_double
+    num = to_double(F.trim(s))
     lo, hi = EXCEL_SERIAL_RANGE
     ok = (num >= lo) & (num <= hi)
     return F.when(ok, F.date_add(F.lit(EXCEL_EPOCH).cast("date"), F.floor(num).cast("int")))

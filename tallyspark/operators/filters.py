@@ -131,7 +131,8 @@ def convert_data_types(df: DataFrame) -> DataFrame:
             from ..functions.dates import coerce_date
             cols.append(coerce_date(F.col(c)).alias(c))
         elif any(k in lc for k in ("amount", "total", "sum")):
-            cols.append(F.col(c).cast("string").try_cast("double").alias(c))
+            from ..functions.amounts import to_double
+            cols.append(to_double(F.col(c).cast("string")).alias(c))
         else:
             cols.append(F.col(c).cast("string").alias(c))
     return df.select(*cols)

@@ -224,45 +224,38 @@ def _alt(patterns: list[str]) -> str:
 
 
 def profile_columns(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
-    """H0: one aggregation pass; one output row per column with counts, rates and
-    moments of the text and of its numeric reading."""
-    aggs = [F.count("*").alias("_rows")]
-    for i, c in enumerate(df.columns):
-        s = F.col(f"`{c}`").cast("string")
-        low = F.lower(s)
-        num = F.regexp_replace(s, r"[$,]", "").try_cast("double")
-        words = F.size(F.split(F.trim(s), r"\s+"))
-        aggs += [
-            F.count(s).alias(f"n{i}"),
-            (F.count_distinct(s) if exact_distinct else F.approx_count_distinct(s)).alias(f"d{i}"),
-            F.count_if(s.try_cast("double").isNotNull()).alias(f"num{i}"),
-            F.count_if(s.rlike(_alt(FV.NUMBER_PATTERNS))).alias(f"np{i}"),
-            F.count_if(s.rlike(_alt([re.escape(x) for x in FV.CURRENCY_SYMBOLS]))).alias(f"cur{i}"),
-            F.count_if(s.rlike(_alt(FV.CONTENT_DATE_REGEXES))).alias(f"dt{i}"),
-            F.count_if(low.rlike(_alt([re.escape(m) for m in FV.CONTENT_MONTH_NAMES]))).alias(f"mo{i}"),
-            F.avg(F.length(s)).alias(f"len{i}"), F.avg(words).alias(f"w{i}"),
-            F.min(F.abs(num)).alias(f"mina{i}"), F.max(F.abs(num)).alias(f"maxa{i}"),
-            F.avg(num).alias(f"mean{i}"), F.stddev_samp(num).alias(f"std{i}"),
-            F.count_if(low.rlike(_alt([re.escape(x) for x in FV.BUSINESS_INDICATORS]))).alias(f"biz{i}"),
-            F.count_if(low.rlike(_alt([re.escape(x) for x in FV.COMMON_VENDORS]))).alias(f"cv{i}"),
-        ]
-    st = df.agg(*aggs)
-    rows = []
-    for i, c in enumerate(df.columns):
-        n = F.col(f"n{i}")
-        rate = (lambda k: F.when(n > 0, F.col(f"{k}{i}") / n).otherwise(F.lit(0.0)))
-        rows.append(F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column"), F.col("_rows").alias("rows"), n.alias("non_null"),
-            (F.col("_rows") - n).alias("null_count"),
-            F.when(F.col("_rows") > 0, (F.col("_rows") - n) / F.col("_rows")).otherwise(0.0).alias("null_pct"),
-            F.col(f"d{i}").alias("distinct"), rate("num").alias("numeric_rate"),
-            rate("np").alias("number_pattern_rate"), rate("cur").alias("currency_rate"),
-            rate("dt").alias("date_pattern_rate"), rate("mo").alias("month_name_rate"),
-            F.col(f"len{i}").alias("avg_len"), F.col(f"w{i}").alias("avg_words"),
-            F.col(f"mina{i}").alias("min_abs"), F.col(f"maxa{i}").alias("max_abs"),
-            F.col(f"mean{i}").alias("mean"), F.col(f"std{i}").alias("std"),
-            rate("biz").alias("business_rate"), rate("cv").alias("known_vendor_rate")))
-    return st.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    """H0: one pass over the table; one output row per column with counts, rates and
+    moments of the text and of its numeric reading.
+
+    The table is unpivoted to (position, column, value) and aggregated by column, so the
+    same ~15 aggregates serve every column (a wide table does not produce one giant
+    aggregate) and partial aggregation ships one row per column per task."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
+                               F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(df.columns)])
+    long = df.select(F.explode(pairs).alias("p")).select("p.*")
+    s = F.col("v")
+    low = F.lower(s)
+    from ..functions.amounts import to_double
+    num = to_double(F.regexp_replace(s, r"[$,]", ""))
+    words = F.size(F.split(F.trim(s), r"\s+"))
+    n = F.count(s)
+
+    def rate(cond):
+        return F.when(n > 0, F.count_if(cond) / n).otherwise(F.lit(0.0))
+    return long.groupBy("position", "column").agg(
+        F.count("*").alias("rows"), n.alias("non_null"), (F.count("*") - n).alias("null_count"),
+        F.when(F.count("*") > 0, (F.count("*") - n) / F.count("*")).otherwise(F.lit(0.0)).alias("null_pct"),
+        (F.count_distinct(s) if exact_distinct else F.approx_count_distinct(s)).alias("distinct"),
+        rate(to_double(s).isNotNull()).alias("numeric_rate"),
+        rate(s.rlike(_alt(FV.NUMBER_PATTERNS))).alias("number_pattern_rate"),
+        rate(s.rlike(_alt([re.escape(x) for x in FV.CURRENCY_SYMBOLS]))).alias("currency_rate"),
+        rate(s.rlike(_alt(FV.CONTENT_DATE_REGEXES))).alias("date_pattern_rate"),
+        rate(low.rlike(_alt([re.escape(m) for m in FV.CONTENT_MONTH_NAMES]))).alias("month_name_rate"),
+        F.avg(F.length(s)).alias("avg_len"), F.avg(words).alias("avg_words"),
+        F.min(F.abs(num)).alias("min_abs"), F.max(F.abs(num)).alias("max_abs"), F.avg(num).alias("mean"),
+        F.stddev_samp(num).alias("std"),
+        rate(low.rlike(_alt([re.escape(x) for x in FV.BUSINESS_INDICATORS]))).alias("business_rate"),
+        rate(low.rlike(_alt([re.escape(x) for x in FV.COMMON_VENDORS]))).alias("known_vendor_rate"))
 
 
 def is_date_column(p=None) -> Column:

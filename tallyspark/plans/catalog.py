@@ -16,6 +16,7 @@ from ..sources.testdata import VIEWS, oracle_prefix, register_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+RAW_SQL: dict[str, str] = {}   # oracle bodies without the view prefix (for composition)
 
 
 def query(name: str, sql: str | None = None):
@@ -32,6 +33,7 @@ def query(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
+            RAW_SQL[name] = sql
             ORACLES[name] = with_views(sql)
         return fn
     return deco

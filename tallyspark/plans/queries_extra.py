@@ -12,7 +12,7 @@ from ..functions.similarity import sequence_ratio, token_sort_ratio
 from ..operators import accounts as B
 from ..operators import mapping as H
 from ..operators.common import rnd
-from .catalog import query
+from .catalog import ORACLES, RAW_SQL, query, with_views
 from .queries_enrich import HDR_SQL, headers, raw_with_text
 
 
@@ -117,3 +117,40 @@ def q_s3(spark, t):
     write_csv(t("ledger"), path)
     back = read_ledger(spark, path, "csv")
     return back.agg(F.count("*").alias("rows"), F.count_distinct("row_id").alias("ids"))
+
+
+# ---- oracles for the K10 / K11 rule texts, composed from the verified metric queries ----
+def _metrics_ctes() -> str:
+    return (f"WITH cf AS ({RAW_SQL['a08_a09_cash_flow']}), km AS ({RAW_SQL['a07_key_metrics']}), "
+            f"pt AS ({RAW_SQL['k01_k08_spending_patterns']}), vr AS ({RAW_SQL['k09_vendor_relationships']}) ")
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+K10_SQL = _metrics_ctes() + "SELECT recommendation FROM (" + " UNION ALL ".join([
+    "SELECT " + _q("Implement cost reduction strategies to improve cash flow") + " AS recommendation FROM cf WHERE net_cash_flow < 0",
+    "SELECT " + _q("Optimize payment terms and cash flow management") + " FROM cf WHERE coalesce(liquidity_ratio, 'inf'::DOUBLE) < 1.2",
+    "SELECT " + _q("Diversify vendor base to reduce concentration risk") + " WHERE (SELECT count(*) FROM vr WHERE risk_level = 'High') > 0",
+    "SELECT " + _q("Develop backup vendor relationships for key suppliers") + " WHERE coalesce((SELECT max(impact_score) FROM pt "
+    "WHERE pattern_type = 'Vendor Concentration') > 0.5, false)",
+    "SELECT " + _q("Implement seasonal budgeting and cash flow planning") + " WHERE (SELECT count(*) FROM pt WHERE pattern_type = "
+    "'Seasonal Variation') > 0",
+    "SELECT " + _q("Consider implementing automated expense management systems") + " FROM km WHERE total_transactions > 1000",
+    "SELECT " + _q("Review large transaction approval processes") + " FROM km WHERE avg_transaction_amount > 1000"]) + ")"
+
+K11_SQL = _metrics_ctes() + "SELECT risk_flag FROM (" + " UNION ALL ".join([
+    "SELECT 'Negative net cash flow' AS risk_flag FROM cf WHERE net_cash_flow < 0",
+    "SELECT 'Cash outflow exceeds inflow' FROM cf WHERE coalesce(liquidity_ratio, 'inf'::DOUBLE) < 1.0",
+    "SELECT 'Critical cash runway: ' || format('{:.1f}', runway_months) || ' months' FROM cf WHERE runway_months <> 0 "
+    "AND runway_months < 3",
+    "SELECT 'High vendor concentration risk' WHERE (SELECT count(*) FROM vr WHERE risk_level = 'High') > 2",
+    "SELECT 'Unusual spending patterns detected' WHERE coalesce((SELECT max(impact_score) FROM pt WHERE pattern_type = "
+    "'Spending Anomalies') > 0.1, false)",
+    "SELECT 'Extreme vendor concentration' WHERE coalesce((SELECT max(impact_score) FROM pt WHERE pattern_type = "
+    "'Vendor Concentration') > 0.7, false)"]) + ")"
+
+for _name, _sql in (("k10_recommendations", K10_SQL), ("k11_insight_risk_flags", K11_SQL)):
+    RAW_SQL[_name] = _sql
+    ORACLES[_name] = with_views(_sql)

@@ -154,3 +154,13 @@ K11_SQL = _metrics_ctes() + "SELECT risk_flag FROM (" + " UNION ALL ".join([
 for _name, _sql in (("k10_recommendations", K10_SQL), ("k11_insight_risk_flags", K11_SQL)):
     RAW_SQL[_name] = _sql
     ORACLES[_name] = with_views(_sql)
+
+K12_SQL = _metrics_ctes() + "SELECT opportunity FROM (" + " UNION ALL ".join([
+    "SELECT 'Negotiate better terms with ' || vendor_name AS opportunity FROM vr WHERE transaction_count >= 10 "
+    "AND relationship_strength > 0.7",
+    "SELECT " + _q("Consolidate spending categories for better tracking") + " FROM km WHERE unique_categories > 10",
+    "SELECT " + _q("Consider investment opportunities with excess cash") + " FROM cf WHERE coalesce(liquidity_ratio, "
+    "'inf'::DOUBLE) > 1.5",
+    "SELECT " + _q("Implement automated expense categorization") + " FROM km WHERE total_transactions > 500"]) + ")"
+RAW_SQL["k12_opportunities"] = K12_SQL
+ORACLES["k12_opportunities"] = with_views(K12_SQL)

@@ -164,3 +164,21 @@ K12_SQL = _metrics_ctes() + "SELECT opportunity FROM (" + " UNION ALL ".join([
     "SELECT " + _q("Implement automated expense categorization") + " FROM km WHERE total_transactions > 500"]) + ")"
 RAW_SQL["k12_opportunities"] = K12_SQL
 ORACLES["k12_opportunities"] = with_views(K12_SQL)
+
+B12B_SQL = ("WITH s AS (SELECT count(*) AS n, sum(balance) AS tot, count(*) FILTER (WHERE balance < 0) AS neg, "
+            "count(*) FILTER (WHERE balance = 0) AS zero FROM accounts), "
+            "c AS (SELECT count(DISTINCT currency) > 1 AS multi FROM accounts WHERE currency IS NOT NULL) "
+            "SELECT recommendation FROM (" + " UNION ALL ".join([
+                "SELECT 'Total balance is ' || format('{:,.2f}', tot) || ' - verify this aligns with expected trial balance' "
+                "AS recommendation FROM s WHERE abs(tot) > 0",
+                "SELECT " + _q("Review negative balance accounts - ensure they're expected (e.g., credit balances)")
+                + " FROM s WHERE neg > 0",
+                "SELECT " + _q("High number of zero-balance accounts - consider archiving inactive accounts")
+                + " FROM s WHERE zero > n * 0.2",
+                "SELECT " + _q("Multi-currency detected - ensure proper exchange rate handling and reporting")
+                + " FROM c WHERE multi",
+                "SELECT CASE WHEN n > 500 THEN " + _q("Large chart of accounts - consider account consolidation for better reporting")
+                + " ELSE " + _q("Small chart of accounts - ensure adequate detail for reporting needs")
+                + " END FROM s WHERE n > 500 OR n < 20"]) + ")")
+RAW_SQL["b12b_accounting_recommendations"] = B12B_SQL
+ORACLES["b12b_accounting_recommendations"] = with_views(B12B_SQL)

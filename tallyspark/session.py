@@ -66,5 +66,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Used where one intermediate result fans out into many downstream jobs. Never a
     local checkpoint: those blocks die with their executor.
     """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first so the plan runs once: the checkpoint write reads the cached
+    # partitions instead of recomputing them; released once the files are written
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -42,8 +42,51 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
+def _block_pairs(probes: DataFrame, members: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """Candidate pairs of each pivot cell scored in bounded blocks.
+
+    Probes and members of a cell are split into chunks of about ``block_rows`` rows
+    (chunk counts per cell come from a per-cell count, at most ``pivots`` rows); each
+    (cell, probe chunk, member chunk) block is one group holding at most two chunks,
+    scored with a numpy matrix product inside the task, and only pairs at or above the
+    threshold leave the task."""
+    import numpy as np
+    pc = probes.groupBy("cell").agg(F.count("*").alias("n")).collect()     # one row per pivot
+    mc = members.groupBy("cell").agg(F.count("*").alias("n")).collect()
+    pch = {r.cell: max(1, -(-r.n // block_rows)) for r in pc}
+    mch = {r.cell: max(1, -(-r.n // block_rows)) for r in mc}
+    cells = sorted(set(pch) | set(mch))
+
+    def lit_map(d):
+        return F.create_map(*[x for c in cells for x in (F.lit(c), F.lit(d.get(c, 1)))])
+    # the cogroup keys must have identical types on both sides (they are hashed)
+    P = probes.withColumn("pc", F.pmod(F.xxhash64("qid"), F.element_at(lit_map(pch), F.col("cell"))).cast("int"))
+    P = P.withColumn("mc", F.explode(F.sequence(F.lit(0), (F.element_at(lit_map(mch), F.col("cell")) - 1).cast("int"))))
+    Mm = members.withColumn("mc", F.pmod(F.xxhash64("nid"), F.element_at(lit_map(mch), F.col("cell"))).cast("int"))
+    Mm = Mm.withColumn("pc", F.explode(F.sequence(F.lit(0), (F.element_at(lit_map(pch), F.col("cell")) - 1).cast("int"))))
+    P = P.withColumn("cell", F.col("cell").cast("long"))
+    Mm = Mm.withColumn("cell", F.col("cell").cast("long"))
+
+    def score(pdf_p, pdf_m):
+        if len(pdf_p) == 0 or len(pdf_m) == 0:
+            return pd.DataFrame({"qid": [], "nid": [], "nlbl": [], "sim": []})
+        a = np.stack(pdf_p["v"].to_numpy()).astype(np.float64)
+        b = np.stack(pdf_m["nv"].to_numpy()).astype(np.float64)
+        sim = a @ b.T
+        qi, ni = np.nonzero(sim >= threshold)
+        q_ids, n_ids = pdf_p["qid"].to_numpy()[qi], pdf_m["nid"].to_numpy()[ni]
+        keep = q_ids != n_ids
+        return pd.DataFrame({"qid": q_ids[keep], "nid": n_ids[keep], "nlbl": pdf_m["nlbl"].to_numpy()[ni][keep],
+                             "sim": sim[qi, ni][keep]})
+    out_schema = f"qid {probes.schema['qid'].dataType.simpleString()}, nid {members.schema['nid'].dataType.simpleString()}, " \
+                 f"nlbl {members.schema['nlbl'].dataType.simpleString()}, sim double"
+    return (P.groupBy("cell", "pc", "mc").cogroup(Mm.groupBy("cell", "pc", "mc"))
+            .applyInPandas(score, out_schema))
+
+
 def similar_label_transfer(df: DataFrame, threshold: float = 0.8, k: int = 5, id_col: str = "vec_id",
-                           vec: str = "embedding", label: str = "label", pivots: int = 16) -> DataFrame:
+                           vec: str = "embedding", label: str = "label", pivots: int = 16,
+                           block_rows: int = 512) -> DataFrame:
     """For each row, the neighbours (self excluded) with inner product >= threshold,
     top-k by similarity; the best neighbour's label is transferred.
 
@@ -72,8 +115,7 @@ def similar_label_transfer(df: DataFrame, threshold: float = 0.8, k: int = 5, id
                                               F.col("lbl").alias("nlbl"), F.col("home").alias("cell"))
     probes = (with_d.join(home_d, "qid").filter(F.col("_d") <= F.col("home_d") + 2 * r + 1e-9)
               .select("qid", "v", F.col("_p.pid").alias("cell")))
-    pairs = (probes.join(members, "cell").filter(F.col("nid") != F.col("qid"))
-             .withColumn("sim", _dot(F.col("v"), F.col("nv"))).filter(F.col("sim") >= threshold))
+    pairs = _block_pairs(probes, members, threshold, block_rows)
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.col("nid"))
     topk = pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
     agg = topk.groupBy("qid").agg(

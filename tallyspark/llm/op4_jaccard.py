@@ -39,29 +39,45 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of texts; remembers hashes of words."""
+    """Sorted distinct 64-bit shingle hashes of texts; remembers the hashes of up to MOST words."""
+
+    MOST = 500_000
 
     def __init__(self, words: int = WORDS):
         import xxhash
 
-        self.words, self.hash, self.seen = words, xxhash.xxh3_64_intdigest, {}
+        self.words, self.hash, self.place = words, xxhash.xxh3_64_intdigest, {}
+        self.hashes = np.empty(self.MOST, np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
         # splitting bytes cuts at the six ASCII white-space characters, lower() takes A-Z only
         tokens = text.encode("utf-8", "replace").lower().split() if text else []
         if not tokens:
             return np.zeros(0, np.uint64)
-        seen, hashed = self.seen, self.hash
-        if len(seen) > 500_000:
-            seen.clear()
-        for t in set(tokens) - seen.keys():
-            seen[t] = hashed(t)
-        w = np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens))
+        w = self._words(tokens)
         k = min(self.words, len(w))     # a shorter text is one shingle, salted by its length
         acc = np.full(len(w) - k + 1, k, np.uint64)
         for j in range(k):
-            acc = _mixed(acc + w[j:len(w) - k + 1 + j]) * np.uint64(_MIX[0])
-        return np.unique(_mixed(acc))
+            acc += w[j:len(w) - k + 1 + j]
+            acc *= np.uint64(_MIX[0])
+            acc ^= acc >> np.uint64(29)
+        out = np.sort(_mixed(acc))
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+    def _words(self, tokens: list[bytes]) -> np.ndarray:
+        place = self.place
+        if len(place) + len(tokens) > self.MOST:
+            place.clear()
+            if len(tokens) > self.MOST:
+                return np.fromiter(map(self.hash, tokens), np.uint64, len(tokens))
+        at = list(map(place.get, tokens))
+        if None in at:
+            for t in tokens:
+                if t not in place:
+                    self.hashes[len(place)] = self.hash(t)
+                    place[t] = len(place)
+            at = list(map(place.__getitem__, tokens))
+        return self.hashes[np.array(at, np.int64)]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:

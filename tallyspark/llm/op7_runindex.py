@@ -37,10 +37,10 @@ def pieces_of(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, bool))
     mult = np.uint64(0x9E3779B97F4A7C15)
     h = (np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    base, s = mult, 1
+    base, s = int(mult), 1
     while s < gram:             # hash of 2 s bytes from two of s bytes; gram is a power of two
-        h = h[:-s] * base + h[s:]
-        base, s = base * base, 2 * s
+        h = h[:-s] * np.uint64(base) + h[s:]
+        base, s = base * base % (1 << 64), 2 * s
     h = (h ^ (h >> np.uint64(32))) * mult
     h ^= h >> np.uint64(29)
     width, low, s = length - gram + 1, h, 1
@@ -57,18 +57,14 @@ def pieces_of(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
         first = np.concatenate(cut)
         count = np.diff(np.append(first, n))
     f = low[first]
-    # places of a minimizer among the grams of its piece, counted through a running sum over equal hashes
-    last = first + count - 1 + width
+    # a minimizer that occurs twice among the grams of its piece
     repeat = np.zeros(len(first), bool)
-    wide = np.flatnonzero(count > 1)
-    if len(wide):
-        order = np.argsort(h, kind="stable")
-        hs = h[order]
-        dup = np.flatnonzero(hs[1:] == hs[:-1])
-        if len(dup):
-            twice = np.unique(hs[dup])
-            for k in wide[np.isin(f[wide], twice)].tolist():
-                repeat[k] = np.count_nonzero(h[first[k]:last[k]] == f[k]) > 1
+    hs = np.sort(h)
+    dup = hs[1:][hs[1:] == hs[:-1]]
+    if len(dup):
+        last = first + count - 1 + width
+        for k in np.flatnonzero((count > 1) & np.isin(f, dup)).tolist():
+            repeat[k] = np.count_nonzero(h[first[k]:last[k]] == f[k]) > 1
     return first, count, f, repeat
 
 
@@ -121,7 +117,7 @@ class RunIndex:
         body[self.starts + lens] = False
         sym[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + m
         sym[self.starts + lens] = np.arange(m)      # closing symbols, all different
-        ranks, order = _suffix_order(sym)
+        codes, order = _suffix_order(sym, m + 256)
         bwt = sym[order - 1]                        # symbol before each suffix, in sorted order
         edge = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1
         self.heads = np.concatenate([[0], edge])    # runs: first places and symbols
@@ -130,7 +126,7 @@ class RunIndex:
         # samples: text positions at the first and last place of each run, and the common prefix
         # with the suffix before the first and after the last
         above, below = order[edge - 1], order[edge]
-        common = _common_prefix(ranks, above, below)
+        common = _common_prefix(codes, above, below)
         self.first_pos, self.first_lcp = below, common
         self.last_pos, self.last_lcp = above, common
 
@@ -144,36 +140,53 @@ class RunIndex:
         return best
 
 
-def _suffix_order(sym: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... symbols, and the suffixes in order."""
+def _suffix_order(sym: np.ndarray, top: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """Codes of the first 1, 2, 4, ... symbols of all suffixes, equal where those are equal, and the
+    suffixes in order. Symbols are below ``top``. Only suffixes not yet told apart are sorted again."""
     n = len(sym)
-    rank = np.unique(sym, return_inverse=True)[1].astype(np.int64)
-    ranks, k = [(1, rank)], 1
-    order = np.argsort(rank, kind="stable")
+    codes, k, packed = [(1, sym)], 1, sym
+    while k < 4 and top ** (2 * k) < 1 << 62:       # so many symbols fit one number
+        wide = packed * top ** k
+        wide[:n - k] += packed[k:]
+        packed, k = wide, 2 * k
+        codes.append((k, packed))
+    order = np.argsort(packed)
+    s = packed[order]
+    head = np.concatenate([[True], s[1:] != s[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = _group_start(head)
+    codes[-1] = (k, rank.astype(np.int32))
     while True:
-        key = rank * (n + 1)
-        key[:n - k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        fresh = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))     # places of groups of two and more
+        if not len(tied):
+            return codes, order
+        who = order[tied]
+        follow = np.where(who + k < n, rank[np.minimum(who + k, n - 1)] + 1, 0)
+        old = rank[who]
+        key = old * (n + 1) + follow
+        by = np.argsort(key)
+        who, key, old = who[by], key[by], old[by]
+        order[tied] = who           # groups keep their places, as the key begins with the old rank
+        head[tied] = np.concatenate([[True], key[1:] != key[:-1]])
+        rank = rank.copy()
+        rank[who] = _group_start(head)[tied]
         k *= 2
-        if fresh[-1] == n - 1 or k >= n:
-            return ranks, order
-        ranks.append((k, rank))
+        codes.append((k, rank.astype(np.int32)))
 
 
-def _common_prefix(ranks, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of the suffixes at ``a`` and ``b``."""
+def _group_start(head: np.ndarray) -> np.ndarray:
+    """For every place, the first place of its group; ``head`` marks first places."""
+    return np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+
+
+def _common_prefix(codes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of the suffixes at ``a`` and ``b``, which are all different."""
     a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-    n = len(ranks[0][1])
-    for k, rank in reversed(ranks):
-        # a rank tells no prefix apart twice: with all prefixes of 2 k symbols distinct, once is enough
+    n = len(codes[0][1])
+    for k, code in reversed(codes):
         inside = (a < n) & (b < n)
-        same = np.zeros(len(a), bool)
-        same[inside] = rank[a[inside]] == rank[b[inside]]
-        step = np.where(same, k, 0)
+        step = np.zeros(len(a), np.int64)
+        step[inside] = np.where(code[a[inside]] == code[b[inside]], k, 0)
         a, b, out = a + step, b + step, out + step
     return out
 
@@ -247,6 +260,8 @@ def piece_marks(spark, texts: DataFrame) -> DataFrame:
     """(f, h, marks) with the repeated strings of each distinct mixed piece, as stretches of starts in
     the piece."""
     whole = texts.where("n > 1").select("f", "h", F.array(F.struct(F.lit(0).alias("a"), F.col("strings").alias("b"))).alias("marks"))
+    # a text that occurs once can only match within the texts of its minimizer
+    texts = texts.join(texts.where("n = 1").select("f").distinct(), "f", "left_semi")
     size = texts.agg(F.coalesce(F.sum(F.length("piece")), F.lit(0))).first()[0]
     indexes = max(1, -(-size // INDEX_BYTES))
     hot = texts.groupBy("f").count().where(F.col("count") > HOT_PIECES).select("f")

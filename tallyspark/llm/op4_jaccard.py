@@ -39,22 +39,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of texts; remembers the hashes of up to MOST words."""
-
-    MOST = 500_000
+    """Sorted distinct 64-bit shingle hashes of texts, A-Z taken as a-z. The hash of a word is the sum
+    of its bytes' codes times powers of their places, for all words of a text at once."""
 
     def __init__(self, words: int = WORDS):
-        import xxhash
-
-        self.words, self.hash, self.place = words, xxhash.xxh3_64_intdigest, {}
-        self.hashes = np.empty(self.MOST, np.uint64)
+        self.words = words
+        lower = np.arange(256)
+        lower[65:91] += 32
+        self.code = _mixed((lower.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX[0]))
+        self.visible = np.ones(256, bool)
+        self.visible[[9, 10, 11, 12, 13, 32]] = False
+        self.powers = np.ones(1, np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        # splitting bytes cuts at the six ASCII white-space characters, lower() takes A-Z only
-        tokens = text.encode("utf-8", "replace").lower().split() if text else []
-        if not tokens:
-            return np.zeros(0, np.uint64)
-        w = self._words(tokens)
+        raw = np.frombuffer(text.encode("utf-8", "replace") if text else b"", np.uint8)
+        w = self._word_hashes(raw)
+        if not len(w):
+            return w
         k = min(self.words, len(w))     # a shorter text is one shingle, salted by its length
         acc = np.full(len(w) - k + 1, k, np.uint64)
         for j in range(k):
@@ -64,20 +65,19 @@ class Shingler:
         out = np.sort(_mixed(acc))
         return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
-    def _words(self, tokens: list[bytes]) -> np.ndarray:
-        place = self.place
-        if len(place) + len(tokens) > self.MOST:
-            place.clear()
-            if len(tokens) > self.MOST:
-                return np.fromiter(map(self.hash, tokens), np.uint64, len(tokens))
-        at = list(map(place.get, tokens))
-        if None in at:
-            for t in tokens:
-                if t not in place:
-                    self.hashes[len(place)] = self.hash(t)
-                    place[t] = len(place)
-            at = list(map(place.__getitem__, tokens))
-        return self.hashes[np.array(at, np.int64)]
+    def _word_hashes(self, raw: np.ndarray) -> np.ndarray:
+        seen = self.visible[raw]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], seen, [False]]).view(np.int8)))
+        lens = edge[1::2] - edge[::2]
+        if not len(lens):
+            return np.zeros(0, np.uint64)
+        if lens.max() > len(self.powers):
+            p = np.full(int(lens.max()) + 64, _MIX[1], np.uint64)
+            self.powers = np.multiply.accumulate(p)
+        first = np.cumsum(lens) - lens
+        place = np.arange(int(lens.sum())) - np.repeat(first, lens)
+        value = self.code[raw[seen]] * self.powers[place]
+        return _mixed(np.add.reduceat(value, first) + lens.astype(np.uint64) * np.uint64(_MIX[2]))
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:

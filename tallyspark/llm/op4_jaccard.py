@@ -3,7 +3,7 @@
 Texts with the same set of shingles form a class; the join is between classes. Two sets that
 reach the threshold share one of the first shingles of both in any fixed order (prefix filter);
 the order puts the most frequent shingles last. Classes that share such a shingle are linked
-first with the smallest of them. What those links don't yet connect is compared in tiles: the
+first with one hub of them. What those links don't yet connect is compared in tiles: the
 members of a shingle in one band of sizes and the next, in blocks. There the bit counts of
 hashed bitmaps bound the overlap from above, and pairs that remain are decided by exact
 intersection of the sorted shingle arrays.
@@ -27,6 +27,8 @@ SAMPLE = 16                 # of so many texts one is sampled for the frequent s
 FREQUENT, FREQUENT_MOST = 5, 200_000    # least count in the sample; bound of the broadcast list
 BUCKET_ENTRIES = 1 << 20    # prefix entries of a bucket, on average
 BLOCK = 512                 # members of a tile's block
+HUBS = 6                    # families of keys; a class meets a hub or so of each
+NEAR = 64                   # members of a key up to which each is compared with every other at once
 STREAM = 4_000              # members compared with one hub in a task
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -121,8 +123,8 @@ def frequent_shingles(rows: DataFrame) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, cls, n, bits, prefix): digest and size of each text's set, its bitmap, and the 32-bit
-    folds of its prefix shingles."""
+    """(doc_id, row, cls, n, bits, prefix): digest and size of each text's set, its bitmap, and the 32-bit
+    folds of its prefix shingles; row is a hash of the text."""
     handle = rows.sparkSession.sparkContext.broadcast(frequent)     # at most FREQUENT_MOST longs
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +134,7 @@ def sketches(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
         for b in batches:
             for lo in range(0, len(b), 500):
                 part, out = b.iloc[lo:lo + 500], []
-                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+                for doc_id, row, text in zip(part["doc_id"], part["row"], part["text"], strict=True):
                     s = shingles(text)
                     p = prefix_length(len(s))
                     first = s
@@ -142,15 +144,16 @@ def sketches(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                         tail = s[is_late][np.argsort(rank_of[at[is_late]], kind="stable")]
                         first = np.concatenate([s[~is_late], tail])
                     fold = (first[:p] ^ (first[:p] >> np.uint64(32))).astype(np.uint32)
-                    out.append((doc_id, set_class(s), len(s), bitmap(s).tobytes(), fold.tobytes()))
-                yield pd.DataFrame(out, columns=["doc_id", "cls", "n", "bits", "prefix"])
+                    out.append((doc_id, row, set_class(s), len(s), bitmap(s).tobytes(), fold.tobytes()))
+                yield pd.DataFrame(out, columns=["doc_id", "row", "cls", "n", "bits", "prefix"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(sketch, f"doc_id {kind}, cls long, n int, bits binary, prefix binary")
+    return rows.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInPandas(
+        sketch, f"doc_id {kind}, row long, cls long, n int, bits binary, prefix binary")
 
 
 def shared_prefixes(sketch: DataFrame) -> DataFrame:
-    """(k, cls, n, pos): the prefix entries whose key k meets two or more classes; pos is the place of the
+    """(k, cls, n, pos): the prefix entries whose key k meets other classes it may link; pos is the place of the
     shingle in the order. Entries travel packed, one row a batch and bucket; equal classes of a
     batch travel once."""
     total = sketch.agg(F.coalesce(F.sum(F.length("prefix") / 4), F.lit(0))).first()[0]
@@ -186,14 +189,25 @@ def shared_prefixes(sketch: DataFrame) -> DataFrame:
             pos = np.frombuffer(r.pos, np.uint16 if len(r.pos) == 2 * len(key) else np.uint32).astype(np.int32)
             cols.append((key, ids[who], np.frombuffer(r.n, np.int32)[who], pos))
         k, cls, n, pos = (np.concatenate(c) for c in zip(*cols, strict=True))
-        # members of a key by size; one that no neighbour in size can be linked with is dropped
         order = np.lexsort((pos, cls, n, k))
         k, cls, n, pos = k[order], cls[order], n[order], pos[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (cls[1:] != cls[:-1])])
-        k, cls, n, pos = k[new], cls[new], n[new], pos[new]
-        near = (k[1:] == k[:-1]) & (100 * n[:-1].astype(np.int64) >= PERCENT * n[1:].astype(np.int64))
-        keep = np.concatenate([[False], near]) | np.concatenate([near, [False]])
-        return pd.DataFrame({"k": k[keep].view(np.int32), "cls": cls[keep], "n": n[keep], "pos": pos[keep]})
+        k, cls, n, pos = k[new], cls[new], n[new].astype(np.int64), pos[new].astype(np.int64)
+        edge = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
+        members = np.repeat(np.diff(edge), np.diff(edge))
+        # an entry stays if its class can reach the threshold with another of the key; in
+        # larger keys all stay
+        keep = members > NEAR
+        some = np.flatnonzero((members > 1) & ~keep)
+        for d in range(1, NEAR):
+            a = some[:-d][some[d:] - some[:-d] == d]
+            a = a[k[a] == k[a + d]]
+            if not len(a):
+                break
+            a = a[can_link(n[a], n[a + d], pos[a], pos[a + d])]
+            keep[a] = keep[a + d] = True
+        return pd.DataFrame({"k": k[keep].view(np.int32), "cls": cls[keep], "n": n[keep].astype(np.int32),
+                             "pos": pos[keep].astype(np.int32)})
 
     packed = sketch.where("n > 0").select("cls", "n", "prefix").mapInPandas(
         pack, "bucket int, k binary, who binary, cls binary, n binary, pos binary")
@@ -249,9 +263,7 @@ def tile_pairs(members: DataFrame) -> DataFrame:
         for d in range(1, int(np.bincount(t).max())):       # each member with the one d places on
             a = np.flatnonzero(t[d:] == t[:-d])
             b = a + d
-            ok = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
-            # this being the first common shingle, the rest of either set bounds the overlap
-            ok &= can_reach(np.minimum(n[a] - pos[a], n[b] - pos[b]), n[a] + n[b])
+            ok = (label[a] != label[b]) & can_link(n[a], n[b], pos[a], pos[b])
             a, b = a[ok], b[ok]
             # each differing bit is a shingle of one set only, so the overlap is at most half of the rest
             most = (n[a] + n[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)) // 2
@@ -275,6 +287,12 @@ def tile_pairs(members: DataFrame) -> DataFrame:
     return rows.mapInPandas(stream, "hub long, cls long").distinct()
 
 
+def can_link(n, m, i, j):
+    """Whether sets of n and m shingles may be linked if their first common shingle is at places i and
+    j of the order: their sizes, and what is left of either set from there, must suffice."""
+    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & can_reach(np.minimum(n - i, m - j), n + m)
+
+
 def can_reach(most, sizes, percent: int = PERCENT):
     """Whether an overlap of at most ``most`` suffices for two sets of ``sizes`` shingles together."""
     return (100 + percent) * most >= percent * sizes
@@ -291,14 +309,16 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sketch = staged(sketches(rows, frequent_shingles(rows)), "sketch")
     shared = staged(shared_prefixes(sketch), "shared")
-    # one text and bitmap of each class that shares an entry
+    # one text and bitmap of each class that shares an entry; the row is known by id and text hash
     wanted = shared.select("cls").distinct()
-    reps = sketch.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    reps = staged(reps, "classes")
-    texts = staged(reps.select("doc_id", "cls").join(rows.where("text is not null"), "doc_id").select("cls", "text")
-                   .transform(_of_class), "texts")
-    # first links: with the smallest class of each shared entry
-    hub = shared.groupBy("k").agg(F.min(F.struct("cls", "n", "pos")).alias("hub"))
+    reps = staged(sketch.join(wanted, "cls").groupBy("cls").agg(
+        F.min(F.struct("doc_id", "row")).alias("rep"), F.first("bits").alias("bits")), "classes")
+    whose = reps.select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row").alias("row"))
+    texts = staged(rows.where("text is not null").withColumn("row", F.xxhash64("text")).join(whose, "row")
+                   .where("doc_id <=> rep_id").select("cls", "text"), "texts")
+    # first links: with one class of each shared entry, drawn alike by all keys of a family
+    drawn = F.xxhash64("cls", F.pmod("k", F.lit(HUBS)))
+    hub = shared.groupBy("k").agg(F.min(F.struct(drawn.alias("h"), "cls", "n", "pos")).alias("hub"))
     n, m = F.col("n"), F.col("hub.n")
     star = (shared.join(hub, "k").where("cls <> hub.cls")
             .where(100 * F.least(n, m).cast("long") >= PERCENT * F.greatest(n, m))
@@ -327,16 +347,6 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return full.unionByName(empty)
 
 
-def _of_class(rows: DataFrame) -> DataFrame:
-    """One text a class: ids can repeat, so a row may have another text than the class's."""
-    def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler()
-        for b in batches:
-            yield b[[set_class(shingles(t)) == c for t, c in zip(b["text"], b["cls"], strict=True)]]
-
-    return rows.mapInPandas(same, "cls long, text string").dropDuplicates(["cls"])
-
-
 @query("op4_jaccard_tiles")
 def op4_jaccard_tiles(spark, sf_dir):
     """Component of every document under links of 5-word shingles at 75 percent."""

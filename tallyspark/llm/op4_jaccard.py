@@ -22,13 +22,14 @@ from .common import connected_components, query, read_table, staged
 
 WORDS = 5                   # words of a shingle
 PERCENT = 75                # least 100 * intersection / union of a link
-BITS = 1024                 # bits of a bitmap
+BITS = 2048                 # bits of a bitmap
 SAMPLE = 16                 # of so many texts one is sampled for the frequent shingles
 FREQUENT, FREQUENT_MOST = 5, 200_000    # least count in the sample; bound of the broadcast list
 BUCKET_ENTRIES = 1 << 20    # prefix entries of a bucket, on average
 BLOCK = 512                 # members of a tile's block
-HUBS = 6                    # families of keys; a class meets a hub or so of each
+ROUNDS, HUBS = 2, 4         # rounds of hub links; families of keys, each of which draws its hub alike
 NEAR = 64                   # members of a key up to which each is compared with every other at once
+FILTER_BITS = 1 << 24       # size of the broadcast bit set of wanted rows
 STREAM = 4_000              # members compared with one hub in a task
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -214,14 +215,49 @@ def shared_prefixes(sketch: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(meet, "k int, cls long, n int, pos int")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (hub, cls) whose sets reach the threshold. Every class goes once to each of its
-    hubs; the members of one hub are dealt out over tasks by STREAM and pass as a stream."""
-    counts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("int").alias("salts"))
-    dealt = pairs.join(counts, "hub").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")))
-    hubs = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    hub_rows = hubs.withColumn("cls", F.col("hub")).join(texts, "cls").select("hub", F.col("salt").cast("long"), F.lit(0).alias("role"), "cls", "text")
-    members = dealt.join(texts, "cls").select("hub", F.col("salt").cast("long"), F.lit(1).alias("role"), "cls", "text")
+def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``row`` hash may be in ``wanted(row)``: a bit set of FILTER_BITS bits, whatever the
+    size of the tables, is broadcast, so that texts that no pair needs aren't shuffled."""
+    place = F.pmod("row", F.lit(FILTER_BITS))
+    sets = (wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("set")))
+    near = rows.withColumn("p", place).join(F.broadcast(sets), F.bitmap_bucket_number("p") == F.col("bucket"))
+    at = F.bitmap_bit_position("p")
+    byte = F.conv(F.hex(F.substring("set", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("p", "bucket", "set")
+
+
+def bitmaps_allow(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (hub, cls) whose bitmaps and sizes leave the threshold in reach."""
+    of = lambda c: reps.select(F.col("cls").alias(c), F.col("n").alias("n_" + c), F.col("bits").alias("bits_" + c))
+
+    @F.pandas_udf("boolean")
+    def allow(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(map(bytes, s)), np.uint64).reshape(len(s), -1) for s in (a, b))
+        both = n.to_numpy(np.int64) + m.to_numpy(np.int64)
+        return pd.Series(can_reach(most_common(x, y, both), both))
+
+    joined = pairs.join(of("hub"), "hub").join(of("cls"), "cls")
+    return joined.where(allow("bits_hub", "bits_cls", "n_hub", "n_cls")).select("hub", "cls")
+
+
+def most_common(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap by bitmaps: each differing bit is a shingle of one set only."""
+    return (sizes - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+
+
+def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (hub, cls) whose sets reach the threshold. The text of a class goes once to each of
+    its hubs; the members of one hub are dealt out over tasks by STREAM and pass as a stream."""
+    pairs = staged(pairs, "pairs")
+    counts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("long").alias("salts"))
+    members = pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("cls"), F.col("salts")).alias("salt"), F.lit(1).alias("role"), "cls")
+    hubs = counts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+                         F.lit(0).alias("role"), F.col("hub").alias("cls"))
+    whose = reps.select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row").alias("row"))
+    roles = staged(hubs.unionByName(members).join(whose, "cls"), "roles")
+    texts = only_wanted(rows.where("text is not null").withColumn("row", F.xxhash64("text")), roles.select("row"))
+    dealt = roles.join(texts, "row").where("doc_id <=> rep_id").select("hub", "salt", "role", "cls", "text")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, hub, mine = Shingler(), None, None
@@ -235,17 +271,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     out.append((h, cls))
             yield pd.DataFrame(out, columns=["hub", "cls"]).astype("int64")
 
-    rows = hub_rows.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return rows.mapInPandas(compare, "hub long, cls long")
+    stream = dealt.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+    return stream.mapInPandas(compare, "hub long, cls long")
 
 
-def tile_pairs(members: DataFrame) -> DataFrame:
-    """(hub, cls) pairs of members(k, cls, n, pos, label, bits) of one key with different labels, whose
-    sizes, places and bitmaps allow a link.
+TILE = ["k", "low", "i", "j"]
 
-    The members of a key are one tile, or, beyond BLOCK of them, tiles of two blocks in a band of
-    sizes and the next. Tiles are streamed: no task holds more than one tile at once.
-    """
+
+def tiles(members: DataFrame) -> DataFrame:
+    """``members`` of keys dealt out to tiles: those of a key are one tile, or, beyond BLOCK of them,
+    tiles of two blocks in a band of sizes and the next."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
     counts = members.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(counts, "k").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
@@ -253,38 +288,62 @@ def tile_pairs(members: DataFrame) -> DataFrame:
     placed = (dealt.withColumn("low", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array(band, band - 1))))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
-    tile = ["k", "low", "i", "j"]
-
-    def pairs_of(g: pd.DataFrame) -> pd.DataFrame:
-        t = g.groupby(tile, sort=False).ngroup().to_numpy()
-        cls, label, n, pos = (g[c].to_numpy(np.int64) for c in ("cls", "label", "n", "pos"))
-        bits = np.frombuffer(b"".join(map(bytes, g["bits"])), np.uint64).reshape(len(g), -1)
-        hubs, found = [cls[:0]], [cls[:0]]
-        for d in range(1, int(np.bincount(t).max())):       # each member with the one d places on
-            a = np.flatnonzero(t[d:] == t[:-d])
-            b = a + d
-            ok = (label[a] != label[b]) & can_link(n[a], n[b], pos[a], pos[b])
-            a, b = a[ok], b[ok]
-            # each differing bit is a shingle of one set only, so the overlap is at most half of the rest
-            most = (n[a] + n[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)) // 2
-            ok = can_reach(most, n[a] + n[b])
-            hubs.append(np.minimum(cls[a], cls[b])[ok])
-            found.append(np.maximum(cls[a], cls[b])[ok])
-        return pd.DataFrame({"hub": np.concatenate(hubs), "cls": np.concatenate(found)}).drop_duplicates()
-
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            held = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = (held[tile] == held[tile].iloc[-1]).all(axis=1).to_numpy() if len(held) else np.zeros(0, bool)
-            if not last.all():      # the last tile may go on in the next batch
-                yield pairs_of(held[~last])
+    return placed.select(*TILE, *members.drop("k").columns).repartition(*TILE).sortWithinPartitions(*TILE)
+
+
+def by_tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole tiles of a sorted stream, many at once; the last one of a batch waits for the next."""
+    held = None
+    for b in batches:
+        held = b if held is None or not len(held) else pd.concat([held, b], ignore_index=True)
+        if len(held):
+            last = (held[TILE] == held[TILE].iloc[-1]).all(axis=1).to_numpy()
+            if not last.all():
+                yield held[~last]
                 held = held[last]
-        if held is not None and len(held):
-            yield pairs_of(held)
+    if held is not None and len(held):
+        yield held
+
 
-    rows = placed.select(*tile, "cls", "n", "pos", "label", "bits").repartition(*tile).sortWithinPartitions(*tile)
-    return rows.mapInPandas(stream, "hub long, cls long").distinct()
+def candidates(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of members of one tile that have different labels and may be linked."""
+    t = g.groupby(TILE, sort=False).ngroup().to_numpy()
+    label, n, pos = (g[c].to_numpy(np.int64) for c in ("label", "n", "pos"))
+    for d in range(1, int(np.bincount(t).max())):       # each member with the one d places on
+        a = np.flatnonzero(t[d:] == t[:-d])
+        b = a + d
+        ok = (label[a] != label[b]) & can_link(n[a], n[b], pos[a], pos[b])
+        yield a[ok], b[ok]
+
+
+def partnered(members: DataFrame) -> DataFrame:
+    """The members(k, cls, n, pos, label) that may be linked with another of their key."""
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in by_tile(batches):
+            hit = np.zeros(len(g), bool)
+            for a, b in candidates(g):
+                hit[a] = hit[b] = True
+            yield g.loc[hit, ["k", "cls", "n", "pos", "label"]]
+
+    return tiles(members).mapInPandas(keep, "k int, cls long, n int, pos int, label long").distinct()
+
+
+def tile_pairs(members: DataFrame) -> DataFrame:
+    """(hub, cls) pairs of members(k, cls, n, pos, label, bits) of one key with different labels, whose
+    sizes, places and bitmaps allow a link. No task holds more than one batch of tiles."""
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in by_tile(batches):
+            cls, n = g["cls"].to_numpy(np.int64), g["n"].to_numpy(np.int64)
+            bits = np.frombuffer(b"".join(map(bytes, g["bits"])), np.uint64).reshape(len(g), -1)
+            hubs, found = [cls[:0]], [cls[:0]]
+            for a, b in candidates(g):
+                both = n[a] + n[b]
+                ok = can_reach(most_common(bits[a], bits[b], both), both)
+                hubs.append(np.minimum(cls[a], cls[b])[ok])
+                found.append(np.maximum(cls[a], cls[b])[ok])
+            yield pd.DataFrame({"hub": np.concatenate(hubs), "cls": np.concatenate(found)}).drop_duplicates()
+
+    return tiles(members).mapInPandas(pairs, "hub long, cls long").distinct()
 
 
 def can_link(n, m, i, j):
@@ -309,44 +368,62 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sketch = staged(sketches(rows, frequent_shingles(rows)), "sketch")
     shared = staged(shared_prefixes(sketch), "shared")
-    # one text and bitmap of each class that shares an entry; the row is known by id and text hash
-    wanted = shared.select("cls").distinct()
-    reps = staged(sketch.join(wanted, "cls").groupBy("cls").agg(
-        F.min(F.struct("doc_id", "row")).alias("rep"), F.first("bits").alias("bits")), "classes")
-    whose = reps.select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row").alias("row"))
-    texts = staged(rows.where("text is not null").withColumn("row", F.xxhash64("text")).join(whose, "row")
-                   .where("doc_id <=> rep_id").select("cls", "text"), "texts")
-    # first links: with one class of each shared entry, drawn alike by all keys of a family
-    drawn = F.xxhash64("cls", F.pmod("k", F.lit(HUBS)))
-    hub = shared.groupBy("k").agg(F.min(F.struct(drawn.alias("h"), "cls", "n", "pos")).alias("hub"))
-    n, m = F.col("n"), F.col("hub.n")
-    star = (shared.join(hub, "k").where("cls <> hub.cls")
-            .where(100 * F.least(n, m).cast("long") >= PERCENT * F.greatest(n, m))
-            .where(can_reach(F.least(n - F.col("pos"), m - F.col("hub.pos")).cast("long"), n + m))
-            .select(F.col("hub.cls").alias("hub"), "cls").distinct())
-    first = staged(verified(star, texts), "links")
-    labels = connected_components(first.select(F.col("hub").alias("a"), F.col("cls").alias("b"))).select(
-        F.col("node").alias("cls"), F.col("component").alias("label"))
-    # what the first links leave apart
-    labelled = shared.join(labels, "cls", "left").select("k", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"))
-    split = labelled.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k")
-    members = labelled.join(split, "k").join(reps.select("cls", "bits"), "cls")
-    second = verified(staged(tile_pairs(members).join(star, ["hub", "cls"], "left_anti"), "pairs"), texts)
-    # links between components of the first round, as edges of their labels
-    of = lambda c: labels.select(F.col("cls").alias(c), F.col("label").alias("label_" + c))
-    across = second.join(of("hub"), "hub", "left").join(of("cls"), "cls", "left").select(
-        F.coalesce("label_hub", "hub").alias("a"), F.coalesce("label_cls", "cls").alias("b"))
-    joined = connected_components(across).select(F.col("node").alias("label"), "component")
-    # components of classes, then the smallest document of each
+    # a row, by id and text hash, and the bitmap of each class that shares an entry
+    reps = staged(sketch.join(shared.select("cls").distinct(), "cls").groupBy("cls").agg(
+        F.min(F.struct("doc_id", "row")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    # links with hubs, twice: the second time only of what the first left apart
+    labels = None
+    for seed in range(ROUNDS):
+        apart = _apart(shared, labels)
+        found = staged(verified(bitmaps_allow(_hub_pairs(apart, seed), reps), reps, rows), "links")
+        labels = _merged(labels, found)
+    # all pairs of what is still apart
+    members = partnered(_apart(shared, labels)).join(reps.select("cls", "bits"), "cls")
+    labels = _merged(labels, verified(tile_pairs(members), reps, rows))
     label = (sketch.select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles")).join(labels, "cls", "left")
-             .withColumn("label", F.coalesce("label", "cls")).join(joined, "label", "left")
-             .select("doc_id", "n_shingles", F.coalesce("component", "label").alias("label")))
+             .select("doc_id", "n_shingles", F.coalesce("label", "cls").alias("label")))
     least = label.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     full = label.where("n_shingles > 0").join(least, "label").select("doc_id", "n_shingles", "component_id")
     empty = label.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 
 
+def _apart(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """shared with the label of each class, without the keys whose classes all have one label."""
+    if labels is None:
+        return shared.withColumn("label", F.col("cls"))
+    known = shared.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    split = known.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k")
+    return known.join(split, "k")
+
+
+def _hub_pairs(apart: DataFrame, seed: int) -> DataFrame:
+    """(hub, cls): each class with one class of another label of each key, drawn alike by all keys of
+    a family, where places and sizes allow a link."""
+    drawn = F.xxhash64("cls", F.pmod("k", F.lit(HUBS)), F.lit(seed))
+    hub = apart.groupBy("k").agg(F.min(F.struct(drawn.alias("h"), "cls", "n", "pos", "label")).alias("hub"))
+    n, m = F.col("n"), F.col("hub.n")
+    return (apart.join(hub, "k").where("label <> hub.label")
+            .where(100 * F.least(n, m).cast("long") >= PERCENT * F.greatest(n, m))
+            .where(can_reach(F.least(n - F.col("pos"), m - F.col("hub.pos")).cast("long"), n + m))
+            .select(F.col("hub.cls").alias("hub"), "cls").distinct())
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(cls, label) of all linked classes once ``links(hub, cls)`` join the components of ``labels``."""
+    edges = links.select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    if labels is None:
+        return connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("label"))
+    of = lambda c: labels.select(F.col("cls").alias(c), F.col("label").alias("label_" + c))
+    across = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    moved = connected_components(across).select(F.col("node").alias("label"), "component")
+    old = labels.join(moved, "label", "left").select("cls", F.coalesce("component", "label").alias("label"))
+    new = moved.join(labels.select("cls"), moved["label"] == labels["cls"], "left_anti").select(
+        F.col("label").alias("cls"), F.col("component").alias("label"))
+    return staged(old.unionByName(new), "labels")
+
+
 @query("op4_jaccard_tiles")
 def op4_jaccard_tiles(spark, sf_dir):
     """Component of every document under links of 5-word shingles at 75 percent."""

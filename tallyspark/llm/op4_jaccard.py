@@ -22,12 +22,12 @@ from .common import connected_components, query, read_table, staged
 
 WORDS = 5                   # words of a shingle
 PERCENT = 75                # least 100 * intersection / union of a link
-BITS = 2048                 # bits of a bitmap
+BITS, BITS_MOST = 2048, 1 << 16     # bits of a bitmap; sets beyond two thirds of that get a larger one
 SAMPLE = 16                 # of so many texts one is sampled for the frequent shingles
 FREQUENT, FREQUENT_MOST = 5, 200_000    # least count in the sample; bound of the broadcast list
 BUCKET_ENTRIES = 1 << 20    # prefix entries of a bucket, on average
 BLOCK = 512                 # members of a tile's block
-ROUNDS, HUBS = 2, 4         # rounds of hub links; families of keys, each of which draws its hub alike
+ROUNDS, HUBS = 2, 6         # rounds of hub links; families of keys, each of which draws its hub alike
 NEAR = 64                   # members of a key up to which each is compared with every other at once
 FILTER_BITS = 1 << 24       # size of the broadcast bit set of wanted rows
 STREAM = 4_000              # members compared with one hub in a task
@@ -92,11 +92,26 @@ def linked(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return a > 0 and b > 0 and 100 * common >= percent * (a + b - common)
 
 
-def bitmap(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Bit ``h mod bits`` set for every shingle, as 64-bit words."""
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Bit ``h mod bits`` set for every shingle; bits is a power of two of at least 1.5 a shingle."""
+    bits = BITS
+    while bits < BITS_MOST and 2 * bits < 3 * len(shingles):
+        bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(shingles >> np.uint64(7)).astype(np.int64) % bits] = 1
-    return np.packbits(out).view(np.uint64)
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """Bits in one bitmap only, the larger one folded to the size of the other."""
+    a, b, n, m = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x), len(y)
+    while n > m:
+        n //= 2
+        a = (a >> 8 * n) | (a & ((1 << 8 * n) - 1))
+    while m > n:
+        m //= 2
+        b = (b >> 8 * m) | (b & ((1 << 8 * m) - 1))
+    return (a ^ b).bit_count()
 
 
 def set_class(shingles: np.ndarray) -> int:
@@ -145,7 +160,7 @@ def sketches(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                         tail = s[is_late][np.argsort(rank_of[at[is_late]], kind="stable")]
                         first = np.concatenate([s[~is_late], tail])
                     fold = (first[:p] ^ (first[:p] >> np.uint64(32))).astype(np.uint32)
-                    out.append((doc_id, row, set_class(s), len(s), bitmap(s).tobytes(), fold.tobytes()))
+                    out.append((doc_id, row, set_class(s), len(s), bitmap(s), fold.tobytes()))
                 yield pd.DataFrame(out, columns=["doc_id", "row", "cls", "n", "bits", "prefix"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -233,17 +248,16 @@ def bitmaps_allow(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def allow(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(map(bytes, s)), np.uint64).reshape(len(s), -1) for s in (a, b))
         both = n.to_numpy(np.int64) + m.to_numpy(np.int64)
-        return pd.Series(can_reach(most_common(x, y, both), both))
+        return pd.Series(can_reach(most_common(a, b, both), both))
 
     joined = pairs.join(of("hub"), "hub").join(of("cls"), "cls")
     return joined.where(allow("bits_hub", "bits_cls", "n_hub", "n_cls")).select("hub", "cls")
 
 
-def most_common(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Upper bound of the overlap by bitmaps: each differing bit is a shingle of one set only."""
-    return (sizes - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+def most_common(x, y, sizes: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps by bitmaps: each differing bit is a shingle of one set only."""
+    return (sizes - np.fromiter(map(differing_bits, x, y), np.int64, len(sizes))) // 2
 
 
 def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -334,7 +348,7 @@ def tile_pairs(members: DataFrame) -> DataFrame:
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in by_tile(batches):
             cls, n = g["cls"].to_numpy(np.int64), g["n"].to_numpy(np.int64)
-            bits = np.frombuffer(b"".join(map(bytes, g["bits"])), np.uint64).reshape(len(g), -1)
+            bits = np.array([bytes(x) for x in g["bits"]], dtype=object)
             hubs, found = [cls[:0]], [cls[:0]]
             for a, b in candidates(g):
                 both = n[a] + n[b]

@@ -21,12 +21,12 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from .common import query, read_table
 
 K1, B = 1.2, 0.75
-THRESHOLD = 0.5             # share of a unit's own score that a passage must reach
+THRESHOLD = 0.75            # share of a unit's own score that a passage must reach
 UNIT_WORDS = 48
-STRIDE = 32                 # a passage is two strides of words; strides overlap by half
+STRIDE = 48                 # a passage is two strides of words, so that every copied unit lies within one
 QUESTION, ANSWER = 0.5, 0.5  # share of word trigrams (pairs or words in short answers) to be found
 SHARD_ITEMS, SHARD_CHARS = 4_000, 8_000_000     # bound of one broadcast index
-BLOCKS = 64                 # blocks of units in an index
+BLOCKS = 32                 # blocks of units in an index
 BATCH_WORDS = 100_000
 
 _words = re.compile(r"\w+").findall
@@ -54,6 +54,8 @@ class Index:
 
     def __init__(self, items: list[tuple], df: dict[str, int], n_units: int, mean_len: float):
         self.items = [(item_id, *question_answer(text or "")) for item_id, text in items]
+        self.parts = [[(min(3, len(w)), grams(w)) for w in (q, a)] for _, q, a in self.items]
+        self.longest = max((len(q) + len(a) for _, q, a in self.items), default=0)
         units = [(k, words[a:a + UNIT_WORDS]) for k, (_, q, ans) in enumerate(self.items)
                  for words in [q + ans] for a in range(0, len(words), UNIT_WORDS)]
         self.owner = np.array([k for k, _ in units], np.int64)
@@ -79,42 +81,49 @@ class Index:
 
     def search(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
         """(document, first word of the passage, unit, score) of all units at the threshold or above."""
-        cells = [max(1, -(-len(d) // STRIDE)) for d in docs]
+        cells = np.array([-(-len(d) // STRIDE) for d in docs])
+        lens = np.array([len(d) for d in docs])
         ids = np.concatenate(docs)
-        starts = np.concatenate([np.arange(c) * STRIDE + o for c, o in
-                                 zip(cells, np.cumsum([0] + [len(d) for d in docs[:-1]]), strict=True)])
-        doc = np.repeat(np.arange(len(docs)), cells)
-        first = np.concatenate([np.arange(c) * STRIDE for c in cells])
-        bound = np.add.reduceat(self.blockmax[ids], starts, axis=0)
-        joined = bound.copy()
-        follows = np.flatnonzero(doc[1:] == doc[:-1])
-        joined[follows] += bound[follows + 1]
-        ends = np.append(starts[1:], len(ids))
-        reach = ends.copy()
-        reach[follows] = ends[follows + 1]
+        doc_of = np.repeat(np.arange(len(docs)), lens)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(lens) - lens, lens)
+        cell0 = np.cumsum(cells) - cells
+        cell = cell0[doc_of] + place // STRIDE
+        # passage c holds the words of the strides c and c + 1; each of its words counts once
+        known = ids < len(self.vocab)
+        late = known & (place >= STRIDE)
+        pairs = np.sort(np.concatenate([cell[known], cell[late] - 1]) * len(self.blockmax)
+                        + np.concatenate([ids[known], ids[late]]))
+        if not len(pairs):
+            return []
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+        passage, term = np.divmod(pairs, len(self.blockmax))
+        edge = np.append(np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])), len(passage))
+        bound = np.add.reduceat(self.blockmax[term], edge[:-1], axis=0)
         hits = []
-        for p in np.flatnonzero((joined >= THRESHOLD).any(axis=1)):
-            terms = np.unique(ids[starts[p]:reach[p]])
-            terms = terms[terms < len(self.vocab)]
-            alive = joined[p] >= THRESHOLD
-            # the bound counts a repeated word each time; without repeats it is tighter
-            alive &= self.blockmax[terms].sum(axis=0) >= THRESHOLD
-            if not alive.any():
-                continue
-            at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
+        for x in np.flatnonzero((bound >= THRESHOLD - 1e-3).any(axis=1)).tolist():
+            terms, alive = term[edge[x]:edge[x + 1]], bound[x] >= THRESHOLD - 1e-3
+            n = self.first[terms + 1] - self.first[terms]
+            at = np.repeat(self.first[terms] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
             at = at[alive[self.unit[at] // self.span]]
             score = np.bincount(self.unit[at], self.weight[at], minlength=len(self.owner))
-            hits += [(int(doc[p]), int(first[p]), int(u), float(score[u])) for u in np.flatnonzero(score >= THRESHOLD)]
+            c = int(passage[edge[x]])
+            d = int(np.searchsorted(cell0, c, "right")) - 1
+            hits += [(d, (c - int(cell0[d])) * STRIDE, int(u), float(score[u])) for u in np.flatnonzero(score >= THRESHOLD - 1e-6)]
         return hits
 
-    def verify(self, words: list[str], at: int, item: int) -> tuple[float, float]:
-        """Shares of the item's question and answer that are near the passage at word ``at``."""
-        _, q, a = self.items[item]
-        n = len(q) + len(a)
-        near = words[max(0, at - n):at + 2 * STRIDE + n]
-        found = {k: grams(near, k) for k in {min(3, len(q)), min(3, len(a))} if k}
-        share = lambda w: len(grams(w) & found[min(3, len(w))]) / len(grams(w)) if w else 1.0
-        return share(q), share(a)
+    def near(self, words: list[str], at: int) -> dict[int, set]:
+        """Word trigrams, pairs and words around the passage at word ``at``, as far as the longest item."""
+        part = words[max(0, at - self.longest):at + 2 * STRIDE + self.longest]
+        return {3: grams(part), 2: None, 1: None, 0: part}
+
+    def verify(self, near: dict[int, set], item: int) -> tuple[float, float]:
+        """Shares of the item's question and answer that are in ``near``."""
+        out = []
+        for k, wanted in self.parts[item]:
+            if k and near[k] is None:
+                near[k] = grams(near[0], k)
+            out.append(len(wanted & near[k]) / len(wanted) if k else 1.0)
+        return out[0], out[1]
 
 
 def build_indexes(items: DataFrame, item_id: str, text: str) -> Iterator[Index]:
@@ -186,13 +195,15 @@ def _search_texts(texts: list, index: Index) -> list[list]:
 
     def flush():
         best: dict[tuple[int, int], tuple] = {}
-        tried = set()
+        tried, near, place = set(), None, None
         for d, at, unit, score in index.search([h[2] for h in held]):
             item = int(index.owner[unit])
             if (d, at, item) in tried:
                 continue
             tried.add((d, at, item))
-            q, a = index.verify(held[d][1], at, item)
+            if place != (d, at):
+                near, place = index.near(held[d][1], at), (d, at)
+            q, a = index.verify(near, item)
             if q >= QUESTION and a >= ANSWER and score > best.get((d, item), (0, -1.0))[1]:
                 best[d, item] = (at, score, q, a)
         for (d, item), (at, score, q, a) in best.items():
@@ -203,7 +214,7 @@ def _search_texts(texts: list, index: Index) -> list[list]:
     for k, t in enumerate(texts):
         words = _words(t.lower()) if t else []
         if words:
-            held.append((k, words, np.fromiter((get(w, unknown) for w in words), np.int64, len(words))))
+            held.append((k, words, np.array([get(w, unknown) for w in words], np.int64)))
             n += len(words)
         if n > BATCH_WORDS:
             flush()

@@ -270,7 +270,7 @@ def piece_marks(spark, texts: DataFrame) -> DataFrame:
         found = marked_strings([bytes(p) for p in group["piece"]], (group["n"] == 1).tolist())
         keep = [k for k, x in enumerate(found) if x]
         return pd.DataFrame({"f": group["f"].iloc[keep].to_numpy(), "h": group["h"].iloc[keep].to_numpy(),
-                             "marks": [[{"a": a, "b": b} for a, b in found[k]] for k in keep]})
+                             "marks": pd.Series([[{"a": a, "b": b} for a, b in found[k]] for k in keep], dtype=object)})
 
     kind = "f long, h long, marks array<struct<a:int,b:int>>"
     plain = (texts.join(hot, "f", "left_anti").withColumn("index", F.pmod(F.xxhash64("f"), F.lit(indexes)))

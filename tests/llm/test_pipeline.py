@@ -1,0 +1,23 @@
+"""The pipeline against plain versions of its stages on a small table."""
+
+import corpus_pipeline
+from tallyspark.llm.common import read_table
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_pipeline(spark):
+    docs = read_table(spark, SF, "documents")
+    last, columns = docs, docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        nxt = stage(spark, last, SF)
+        assert nxt.columns == columns, name
+        assert set(r.doc_id for r in nxt.collect()) <= set(r.doc_id for r in last.collect()), name
+        last = nxt
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    kept = {r.doc_id: r.text for r in last.collect()}
+    assert set(out) == set(kept) and kept
+    items = [b.text for b in read_table(spark, SF, "benchmark").collect()]
+    assert not any(b in t for t in kept.values() for b in items)
+    assert len(set(kept.values())) == len(kept)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0

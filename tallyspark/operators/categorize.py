@@ -48,11 +48,6 @@ def _search(low: Column, pattern: str) -> Column:
     return low.contains(pattern) if re.escape(pattern) == pattern else low.rlike(pattern)
 
 
-def vendor_db() -> list[tuple[str, list[str], list[str], list[tuple[float, float]]]]:
-    """The vendor database as (group, vendor substrings, regex patterns, amount ranges)."""
-    return [(g, [w.strip() for w in vendors.split(",")], pats, ranges) for g, vendors, pats, ranges in VENDOR_DB]
-
-
 def needs_category(col="category") -> Column:
     """NULL or one of '', unknown, uncategorized, none, null, nan, other (any case)."""
     c = _c(col)
@@ -87,7 +82,7 @@ def categorize_vendor_db(vendor="vendor") -> Column:
     """First group whose vendor substring or pattern occurs in the vendor (title-cased)."""
     v = F.lower(_c(vendor).cast("string"))   # lower() of an already lower-cased column is idempotent
     out = F.lit("Other")
-    for group, vendors, pats, _ in reversed(vendor_db()):
+    for group, vendors, pats, _ in reversed(VENDOR_DB):
         hit = _any_sub(v, vendors) | balanced(lambda a, b: a | b, [_search(v, p) for p in pats])
         out = F.when(hit, F.lit(group.title())).otherwise(out)
     return F.when(_c(vendor).isNull(), F.lit("Other")).otherwise(out)
@@ -100,7 +95,7 @@ def category_scores(vendor="vendor", memo="memo", amount="amount", lowered: bool
     v, m = (_c(vendor), _c(memo)) if lowered else (_low(vendor), _low(memo))
     a = F.abs(_c(amount))
     scores = []
-    for group, vendors, pats, ranges in vendor_db():
+    for group, vendors, pats, ranges in VENDOR_DB:
         terms = [F.when(_any_sub(v, vendors), F.lit(2)).otherwise(F.lit(0))]
         terms += [_search(x, p).cast("int") for p in pats for x in (v, m)]
         in_range = balanced(lambda x, y: x | y, [(a >= lo) & (a <= hi) for lo, hi in ranges])
@@ -112,7 +107,7 @@ def category_scores(vendor="vendor", memo="memo", amount="amount", lowered: bool
 def categorize_scored(vendor="vendor", memo="memo", amount="amount", lowered: bool = False) -> Column:
     """C4: group with the highest score (first group on ties); score 0 -> 'Other'."""
     sc = category_scores(vendor, memo, amount, lowered)
-    names = F.array(*[F.lit(g.title()) for g, *_ in vendor_db()])
+    names = F.array(*[F.lit(g.title()) for g, *_ in VENDOR_DB])
     best = F.array_max(sc)
     return F.when(best > 0, F.element_at(names, F.array_position(sc, best).cast("int"))).otherwise(F.lit("Other"))
 
@@ -210,7 +205,7 @@ def _text_scores(values: DataFrame, col: str, with_vendor: bool, prefix: str) ->
     +1 per pattern found)."""
     v = F.col(col)
     cols = {}
-    for gi, (group, vendors, pats, _) in enumerate(vendor_db()):
+    for gi, (group, vendors, pats, _) in enumerate(VENDOR_DB):
         terms = [_search(v, p).cast("int") for p in pats]
         if with_vendor:
             terms.insert(0, F.when(_any_sub(v, vendors), F.lit(2)).otherwise(F.lit(0)))
@@ -231,14 +226,14 @@ def with_scored_category(df: DataFrame, out: str = "category", vendor: str = "ve
     j = x.join(vs, "__vlow", "left").join(ms, "__mlow", "left")
     a = F.abs(F.col(amount))
     scores = []
-    for gi, (_, _, _, ranges) in enumerate(vendor_db()):
+    for gi, (_, _, _, ranges) in enumerate(VENDOR_DB):
         in_range = balanced(lambda p, q: p | q, [(a >= lo) & (a <= hi) for lo, hi in ranges])
         scores.append(F.col(f"__sv{gi}") + F.col(f"__sm{gi}") + F.coalesce(in_range, F.lit(False)).cast("int"))
     arr = F.array(*scores)
-    names = F.array(*[F.lit(g.title()) for g, *_ in vendor_db()])
+    names = F.array(*[F.lit(g.title()) for g, *_ in VENDOR_DB])
     best = F.array_max(arr)
     cat = F.when(best > 0, F.element_at(names, F.array_position(arr, best).cast("int"))).otherwise(F.lit("Other"))
-    helpers = ["__vlow", "__mlow"] + [f"__s{k}{gi}" for k in "vm" for gi in range(len(vendor_db()))]
+    helpers = ["__vlow", "__mlow"] + [f"__s{k}{gi}" for k in "vm" for gi in range(len(VENDOR_DB))]
     return j.withColumn(out, cat).drop(*helpers)
 
 

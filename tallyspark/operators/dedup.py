@@ -312,9 +312,9 @@ def consolidate_same_day(df: DataFrame, vendor: str = "vendor", date: str = "dat
 
 
 # ---- J8 ------------------------------------------------------------------------------------
-def advanced_dedup(df: DataFrame, row_id: str = "row_id", large: bool = False, checkpoint: bool = True,
+def advanced_dedup(df: DataFrame, row_id: str = "row_id", checkpoint: bool = True,
                    **cols) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """J1 -> J5 (J3 when ``large``) -> J6 -> J7 -> A13.
+    """J1 -> J5 -> J6 -> J7 -> A13, the same at every size.
 
     Returns the cleaned frame and report tables: ``counts`` (step, rows_after) and
     ``consolidation_details``. With ``checkpoint`` each step's output is written to
@@ -323,7 +323,7 @@ def advanced_dedup(df: DataFrame, row_id: str = "row_id", large: bool = False, c
     step = (lambda x: cut_lineage(x)) if checkpoint else (lambda x: x)
     kw = {k: v for k, v in cols.items() if k in ("vendor", "amount", "date")}
     s1 = step(drop_exact_duplicates(df, row_id))
-    s2 = step(drop_large_file_duplicates(s1, row_id) if large else fuzzy_vendor_duplicates(s1, row_id=row_id, **kw))
+    s2 = step(fuzzy_vendor_duplicates(s1, row_id=row_id, **kw))
     s3 = step(date_proximity_duplicates(s2, row_id=row_id, **kw))
     s4 = step(amount_similarity_duplicates(s3, row_id=row_id, **kw))
     out, details = consolidate_same_day(s4, row_id=row_id, **cols)

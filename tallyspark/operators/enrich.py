@@ -48,7 +48,7 @@ def _block_pairs(probes: DataFrame, members: DataFrame, threshold: float, block_
     Probes and members of a cell are split into chunks of about ``block_rows`` rows
     (chunk counts per cell come from a per-cell count, at most ``pivots`` rows); each
     (cell, probe chunk, member chunk) block is one group holding at most two chunks,
-    scored with a numpy matrix product inside the task, and only pairs at or above the
+    scored with a numpy matrix product inside the task, and only pairs above the
     threshold leave the task."""
     import numpy as np
     pc = probes.groupBy("cell").agg(F.count("*").alias("n")).collect()     # one row per pivot
@@ -73,7 +73,7 @@ def _block_pairs(probes: DataFrame, members: DataFrame, threshold: float, block_
         a = np.stack(pdf_p["v"].to_numpy()).astype(np.float64)
         b = np.stack(pdf_m["nv"].to_numpy()).astype(np.float64)
         sim = a @ b.T
-        qi, ni = np.nonzero(sim >= threshold)
+        qi, ni = np.nonzero(sim > threshold)
         q_ids, n_ids = pdf_p["qid"].to_numpy()[qi], pdf_m["nid"].to_numpy()[ni]
         keep = q_ids != n_ids
         return pd.DataFrame({"qid": q_ids[keep], "nid": n_ids[keep], "nlbl": pdf_m["nlbl"].to_numpy()[ni][keep],
@@ -87,7 +87,7 @@ def _block_pairs(probes: DataFrame, members: DataFrame, threshold: float, block_
 def similar_label_transfer(df: DataFrame, threshold: float = 0.8, k: int = 5, id_col: str = "vec_id",
                            vec: str = "embedding", label: str = "label", pivots: int = 16,
                            block_rows: int = 512) -> DataFrame:
-    """For each row, the neighbours (self excluded) with inner product >= threshold,
+    """For each row, the neighbours (self excluded) with inner product > threshold,
     top-k by similarity; the best neighbour's label is transferred.
 
     Exact candidate generation for unit vectors: ip >= t <=> distance <= r with
@@ -289,7 +289,6 @@ def parse_model_json(col, schema: str) -> Column:
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
     arr = F.regexp_extract(c, r"(?s)(\[.*\])", 1)
     brace = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    opts = {"mode": "PERMISSIVE"}
-    return F.coalesce(F.from_json(c, schema, opts), F.from_json(F.nullif(fenced, F.lit("")), schema, opts),
-                      F.from_json(F.nullif(arr, F.lit("")), schema, opts),
-                      F.from_json(F.nullif(brace, F.lit("")), schema, opts))
+    # a strategy counts where its text is valid JSON; from_json alone gives a struct of NULLs for any text
+    valid = lambda t: F.when(F.get_json_object(t, "$").isNotNull(), F.from_json(t, schema))
+    return F.coalesce(*[valid(t) for t in (c, fenced, arr, brace)])

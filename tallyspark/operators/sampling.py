@@ -105,29 +105,32 @@ def hierarchical_samples(df: DataFrame, n: int, row_id: str = "row_id") -> DataF
     return reduce(DataFrame.unionByName, parts)
 
 
-TIERS = [(6000, ["stratified", "vendor", "temporal"]), (10000, ["stratified", "cluster"]),
-         (15000, ["hierarchical"])]
-
-
-def tiered_samples(df: DataFrame, rows: int, row_id: str = "row_id") -> DataFrame:
-    """M7: sample plan by table size (rows known to the caller); only implemented sample
-    types are produced."""
-    size, kinds = TIERS[0] if rows <= 100000 else (TIERS[1] if rows <= 1000000 else TIERS[2])
-    per = size // len(kinds)
-    makers = {"stratified": lambda: stratified_sample(df, per, row_id=row_id).drop("amount_tier", "vendor_tier")
-              .withColumn("sample_name", F.lit("stratified")),
-              "vendor": lambda: vendor_sample(df, per, row_id=row_id).withColumn("sample_name", F.lit("vendor")),
-              "temporal": lambda: temporal_sample(df, per, row_id=row_id).withColumn("sample_name", F.lit("temporal")),
+#: Sample types of the three plans; a plan is named by the caller, never by the table's size.
+SAMPLE_PLANS = [["stratified", "vendor", "temporal"], ["cluster", "high_value", "representative"], ["hierarchical"]]
+
+
+def tiered_samples(df: DataFrame, total: int, kinds: list[str], row_id: str = "row_id") -> DataFrame:
+    """M7: the named samples, each of total // 3 rows, tagged by sample_name."""
+    per = total // 3
+    tiers = ["amount_tier", "vendor_tier"]
+    makers = {"stratified": lambda: stratified_sample(df, per, row_id=row_id).drop(*tiers),
+              "representative": lambda: stratified_sample(df, per, row_id=row_id).drop(*tiers),
+              "vendor": lambda: vendor_sample(df, per, row_id=row_id),
+              "temporal": lambda: temporal_sample(df, per, row_id=row_id),
+              "high_value": lambda: high_value_sample(df, per, row_id=row_id),
               "cluster": lambda: cluster_samples(df, per, row_id=row_id),
               "hierarchical": lambda: hierarchical_samples(df, per, row_id=row_id)}
-    return reduce(DataFrame.unionByName, [makers[k]() for k in kinds])
+    unknown = [k for k in kinds if k not in makers]
+    if unknown or not kinds:
+        raise ValueError(f"unknown sample types: {unknown}")
+    parts = [makers[k]() if k in ("cluster", "hierarchical") else makers[k]().withColumn("sample_name", F.lit(k)) for k in kinds]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def scale_patterns(patterns: DataFrame, key: str = "pattern_type", sample_col: str = "sample_name") -> DataFrame:
-    """M8: patterns seen in at least half of the samples, with their consistency
-    (share of samples) and mean impact."""
-    ns = patterns.agg(F.count_distinct(sample_col).alias("_ns"))
+def scale_patterns(patterns: DataFrame, samples: int, key: str = "pattern_type", sample_col: str = "sample_name") -> DataFrame:
+    """M8: patterns seen in at least max(1, samples // 2) of the ``samples`` taken (those without a
+    pattern count too), with their consistency (share of samples) and mean impact."""
     per = patterns.groupBy(key).agg(F.count_distinct(sample_col).alias("samples_seen"),
                                     F.avg("impact_score").alias("mean_impact"))
-    j = with_scalars(per, ns).withColumn("consistency", F.col("samples_seen") / F.col("_ns"))
-    return j.filter(F.col("samples_seen") >= F.col("_ns") / 2).drop("_ns")
+    return (per.where(F.col("samples_seen") >= max(1, samples // 2))
+            .withColumn("consistency", F.col("samples_seen") / F.lit(samples)))

@@ -228,18 +228,14 @@ def hybrid_pipeline(df: DataFrame, model_fn=None) -> tuple[DataFrame, dict]:
     return out, {"provenance": prov, "diff": E.quality_diff(df, out)}
 
 
-def hybrid_full(df: DataFrame, row_id: str = "row_id", sample_rows: int = 6000) -> tuple[DataFrame, dict]:
-    """Bulk clean (P26) -> samples (M7) -> insights per sample -> patterns kept when
-    seen in half of the samples (M8) -> vendor risk attached (J16)."""
+def hybrid_full(df: DataFrame, row_id: str = "row_id") -> tuple[DataFrame, dict]:
+    """Bulk clean (P26) -> patterns of the whole cleaned table -> vendor risk attached.
+
+    The table itself is the one sample of M8, so no pattern rests on a capped sample."""
     from ..operators import insights as K
     from ..operators import sampling as M
     cleaned = bulk_clean(df, row_id)
-    samples = M.tiered_samples(cleaned, rows=sample_rows, row_id=row_id)
-    names = [r.sample_name for r in samples.select("sample_name").distinct().collect()]  # a few names
-    from functools import reduce
-    pats = reduce(DataFrame.unionByName, [K.spending_patterns(samples.filter(F.col("sample_name") == n))
-                                          .withColumn("sample_name", F.lit(n)) for n in names])
-    scaled = M.scale_patterns(pats)
+    scaled = M.scale_patterns(K.spending_patterns(cleaned).withColumn("sample_name", F.lit("all")), samples=1)
     rel = K.vendor_relationships(cleaned)
     out = E.attach_vendor_risk(cleaned, rel.select(F.col("vendor_name").alias("vendor"), "risk_level"))
     return out, {"scaled_patterns": scaled, "vendor_relationships": rel}

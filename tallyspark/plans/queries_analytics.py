@@ -384,10 +384,10 @@ def q_t4(spark, t):
 
 @query("t05_sorted_vendor_relationships", money_sql("SELECT vendor AS vendor_name, MONEY_SUM(abs_amount) AS total_spend FROM " + P +
                                                     " t WHERE vendor IS NOT NULL GROUP BY vendor HAVING count(*) >= 3 "
-                                                    "ORDER BY 2 DESC, 1 LIMIT 10"))
+                                                    "ORDER BY 2 DESC, 1"))
 def q_t5(spark, t):
-    """T5: vendor relationships by spend, cut to a tier limit of 10."""
-    return K.vendor_relationships(t("ledger")).select("vendor_name", "total_spend").limit(10)
+    """T5: all vendor relationships by spend."""
+    return K.vendor_relationships(t("ledger")).select("vendor_name", "total_spend").orderBy(F.desc("total_spend"), "vendor_name")
 
 
 @query("t06_t07_head_sorted", "SELECT row_id, CAST(date AS VARCHAR) AS date, amount FROM ledger ORDER BY date, amount, row_id LIMIT 20")
@@ -407,13 +407,10 @@ def q_u1(spark, t):
     return per.unionByName(u.agg(F.count("*").alias("n")).withColumn("src", F.lit("all")))
 
 
-@query("u02_union_distinct", "SELECT vendor FROM (SELECT vendor FROM ledger ORDER BY abs(amount) DESC, row_id LIMIT 50) "
-       "UNION SELECT vendor FROM (SELECT vendor FROM ledger_dups ORDER BY row_id DESC LIMIT 50)")
+@query("u02_union_distinct", "SELECT vendor FROM ledger UNION SELECT vendor FROM ledger_dups")
 def q_u2(spark, t):
-    """Distinct union of two vendor selections."""
-    a = t("ledger").orderBy(F.desc(F.abs("amount")), "row_id").limit(50).select("vendor")
-    b = t("ledger_dups").orderBy(F.desc("row_id")).limit(50).select("vendor")
-    return a.union(b).distinct()
+    """Distinct union of the vendors of two tables."""
+    return t("ledger").select("vendor").union(t("ledger_dups").select("vendor")).distinct()
 
 
 @query("u03_difference", "SELECT row_id FROM ledger_dups EXCEPT ALL SELECT row_id FROM ledger")

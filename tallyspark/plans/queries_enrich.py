@@ -215,7 +215,7 @@ def q_j9(spark, t):
 @query("j10_similar_label_transfer", """
 WITH p AS (SELECT a.vec_id AS q, b.vec_id AS n, b.label AS nl, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
            FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
-f AS (SELECT * FROM p WHERE s >= 0.8),
+f AS (SELECT * FROM p WHERE s > 0.8),
 best AS (SELECT q, arg_min(nl, (-s, n)) AS transferred_label, max(s) AS best_similarity FROM f GROUP BY q)
 SELECT e.vec_id, e.label, best.transferred_label, round(best.best_similarity, 4) AS best_similarity
 FROM embeddings e LEFT JOIN best ON e.vec_id = best.q""")
@@ -287,19 +287,26 @@ def q_j18(spark, t):
 
 
 # ---------------------------------------------------------------- sources
+def table_path(df) -> str:
+    """The folder of a table of part files, or its one file."""
+    first = df.inputFiles()[0]
+    folder = first.rsplit("/", 1)[0]
+    return folder if folder.endswith(".parquet") else first
+
+
 @query("s01_read_ledger")
 def q_s1(spark, t):
     """The orders parquet read through the ledger reader (source file kept)."""
     from ..sources.readers import read_ledger
-    path = t("orders").inputFiles()[0]
+    path = table_path(t("orders"))
     return read_ledger(spark, path, "parquet").groupBy("source_file").agg(F.count("*").alias("rows"))
 
 
 @query("s05_multi_file_summary")
 def q_s5(spark, t):
-    """S2 + S5: two files read, mapped to canonical columns and summarised with a total."""
+    """S2 + S5: two tables read, mapped to canonical columns and summarised with a total."""
     from ..sources.readers import read_many
-    paths = [t("orders").inputFiles()[0], t("customer").inputFiles()[0]]
+    paths = [table_path(t("orders")), table_path(t("customer"))]
     combined, info = read_many(spark, paths, standardize=lambda d: H.standardize_columns(d)[0])
     return info.withColumn("source_file", F.regexp_extract("source_file", r"([^/]+)$", 1))
 
@@ -424,7 +431,7 @@ def q_x4(spark, t):
                               categorize_basic("vendor"))
 
 
-@query("x05_parse_model_json")
+@query("x05_parse_model_json", "SELECT row_id, TRY_CAST(json_extract_string(memo, '$.k') AS INTEGER) AS k FROM ledger_events")
 def q_x5(spark, t):
     """JSON properties of the event ledger parsed through the response parser."""
     ev = t("ledger_events").select("row_id", F.concat(F.lit("```json\n"), F.col("memo"), F.lit("\n```")).alias("resp"))

@@ -39,7 +39,7 @@ def basic_sql(v: str) -> str:
 
 def vendordb_sql(v: str) -> str:
     parts = []
-    for g, vendors, pats, _ in C.vendor_db():
+    for g, vendors, pats, _ in FV.VENDOR_DB:
         cond = any_contains(f"lower({v})", vendors) + " OR " + "(" + " OR ".join(
             f"regexp_matches(lower({v}), {q(p)})" for p in pats) + ")"
         parts.append(f"WHEN {cond} THEN {q(g.title())}")
@@ -48,14 +48,14 @@ def vendordb_sql(v: str) -> str:
 
 def scored_sql(v: str, m: str, a: str) -> str:
     scores = []
-    for g, vendors, pats, ranges in C.vendor_db():
+    for g, vendors, pats, ranges in FV.VENDOR_DB:
         s = f"(CASE WHEN {any_contains(low(v), vendors)} THEN 2 ELSE 0 END)"
         for p in pats:
             s += f" + CAST(regexp_matches({low(v)}, {q(p)}) AS INTEGER) + CAST(regexp_matches({low(m)}, {q(p)}) AS INTEGER)"
         rng = " OR ".join(f"(abs({a}) >= {lo} AND abs({a}) <= {hi})" for lo, hi in ranges)
         s += f" + CAST(coalesce({rng}, false) AS INTEGER)"
         scores.append(s)
-    names = "[" + ", ".join(q(g.title()) for g, *_ in C.vendor_db()) + "]"
+    names = "[" + ", ".join(q(g.title()) for g, *_ in FV.VENDOR_DB) + "]"
     arr = "[" + ", ".join(scores) + "]"
     return (f"CASE WHEN list_max({arr}) > 0 THEN {names}[list_position({arr}, list_max({arr}))] ELSE 'Other' END")
 
@@ -389,20 +389,20 @@ def q_m6(spark, t):
 
 @query("m07_tiered_samples")
 def q_m7(spark, t):
-    """M7: the sample plan for the ledger's size tier."""
-    return M.tiered_samples(t("ledger"), rows=15000).select("row_id", "sample_name")
+    """M7: stratified, vendor and temporal samples, a third of the total each."""
+    return M.tiered_samples(t("ledger"), 6000, M.SAMPLE_PLANS[0]).select("row_id", "sample_name")
 
 
 @query("m08_scale_patterns")
 def q_m8(spark, t):
-    """M8: patterns of per-sample insight runs kept when seen in half of the samples."""
+    """M8: patterns of per-sample insight runs kept when seen in n // 2 samples, at least one."""
     from ..operators import insights as K
     samples = M.cluster_samples(t("ledger"), 3000)
     pats = None
     for name in ("cluster_vendor", "cluster_amount", "cluster_temporal"):
         p = K.spending_patterns(samples.filter(F.col("sample_name") == name)).withColumn("sample_name", F.lit(name))
         pats = p if pats is None else pats.unionByName(p)
-    return M.scale_patterns(pats)
+    return M.scale_patterns(pats, samples=3)
 
 
 # ---------------------------------------------------------------- validation

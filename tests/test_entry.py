@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tallyspark.sources.testdata import BASE_TABLES
+from tools.check_oracle import _norm
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,12 +28,9 @@ def test_query_matches_oracle(spark, name):
     for t in BASE_TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     s = entry.queries()[name](spark, SF)
-    def text(v):
-        return "None" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
-
-    got = sorted(tuple(text(r[c]) for c in sorted(s.columns)) for r in s.collect())
+    got = sorted(tuple(_norm(r[c]) for c in sorted(s.columns)) for r in s.collect())
     o = con.execute(entry.oracle_sql()[name]).fetchdf()
     o = o.astype(object).where(o.notna(), None)
-    exp = sorted(tuple(text(r[c]) for c in sorted(o.columns)) for r in o.to_dict("records"))
+    exp = sorted(tuple(_norm(r[c]) for c in sorted(o.columns)) for r in o.to_dict("records"))
     assert sorted(s.columns) == sorted(o.columns)
     assert got == exp

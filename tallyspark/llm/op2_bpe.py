@@ -16,6 +16,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -25,6 +26,7 @@ from .common import query, read_table, worker_cached
 SEGMENT_CHARS = 16384       # segment of a text; longer visible runs are halved down to this
 LONG_CHARS = 1 << 16        # texts beyond this are encoded as rows of parts, not in one task
 PART_CHARS = 1 << 15        # characters of such a part
+SLICE_ROWS = 1_000          # texts whose ids a task holds at once
 
 #: Splitting pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -178,13 +180,16 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
     def row_of(codec: Codec, ids: list[int]) -> list:
         back = codec.decode(ids)
         row = [len(ids), codec.digest(ids), hashlib.sha256(back.encode()).hexdigest()]
-        return row + [ids] * keep_ids + [back] * keep_text
+        # 4 bytes an id; a list would hold ten times that for all texts of a batch
+        return row + [np.array(ids, np.int32)] * keep_ids + [back] * keep_text
 
     @F.pandas_udf(", ".join(fields))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec.of(vocab)
         for texts in batches:
-            yield pd.DataFrame([row_of(codec, codec.encode(t) if t else []) for t in texts], columns=names)
+            for lo in range(0, len(texts), SLICE_ROWS):
+                part = texts.iloc[lo:lo + SLICE_ROWS]
+                yield pd.DataFrame([row_of(codec, codec.encode(t) if t else []) for t in part], columns=names)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec.of(vocab)
@@ -197,16 +202,16 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
     def encode_part(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec.of(vocab)
         for pieces in batches:
-            yield pd.Series([codec.encode(p) for p in pieces])
+            yield pd.Series([np.array(codec.encode(p), np.int32) for p in pieces], dtype=object)
 
     def join_parts(group: pd.DataFrame) -> pd.DataFrame:
         """Ids of one text: unsplit stretches are joined as a tree, then all are appended."""
         codec, stretches = Codec.of(vocab), []
         for ids, more in group.sort_values("part")[["ids", "more"]].itertuples(index=False):
             if more:
-                stretches[-1].append(list(ids))
+                stretches[-1].append(ids.tolist())
             else:
-                stretches.append([list(ids)])
+                stretches.append([ids.tolist()])
         out: list[int] = []
         for level in stretches:
             while len(level) > 1:

@@ -27,6 +27,23 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+#: Most bytes of one Arrow batch between Spark and a Python worker (one row at least).
+BATCH_BYTES = 8 << 20
+SPARK_BATCH_BYTES = "67108864b"     # Spark's default of the limit
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's limit of an Arrow batch to BATCH_BYTES and return ``df``.
+
+    Texts pass to Python workers in batches; Spark's defaults (10,000 rows, 64 MB) let a worker and
+    the JVM's buffers hold some hundred MB a task. A limit that the user has set is kept.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == SPARK_BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD, query, read_table
+from .common import WORD, bounded_batches, query, read_table
 
 #: (bytes below, least ratio, greatest ratio): clean prose of four languages lies at
 #: 0.25-0.9 below 64 bytes and rises to 2.5 at 32 KB; limits leave a margin of a fifth.
@@ -87,7 +87,7 @@ def quality_rules(docs: DataFrame, text: str = "text", prefix: str = "q_") -> Da
     """
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     keep = [c for c in docs.columns if c not in {prefix + n for n in names}]
-    out = docs.withColumn("__llm_verdict", _judge_udf()(F.col(text)))
+    out = bounded_batches(docs).withColumn("__llm_verdict", _judge_udf()(F.col(text)))
     return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col("__llm_verdict." + n).alias(prefix + n) for n in names])
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import query, read_table, worker_cached
+from .common import bounded_batches, query, read_table, worker_cached
 
 SEGMENT_CHARS = 16384       # segment of a text; longer visible runs are halved down to this
 LONG_CHARS = 1 << 16        # texts beyond this are encoded as rows of parts, not in one task
@@ -172,7 +172,7 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
     replaced; empty tables give empty results. Texts beyond ``LONG_CHARS`` are encoded once
     for each distinct text, as rows of parts over the cluster, and joined in order.
     """
-    vocab = path or vocabulary_path()
+    docs, vocab = bounded_batches(docs), path or vocabulary_path()
     fields = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
     fields += ["ids array<int>"] * keep_ids + ["decoded string"] * keep_text
     names = [f.split()[0] for f in fields]

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, query, read_table, staged
+from .common import bounded_batches, connected_components, query, read_table, staged
 
 WORDS = 5                   # words of a shingle
 PERCENT = 75                # least 100 * intersection / union of a link
@@ -379,7 +379,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     words share a set, so repeated rows and ties in the id are in one component. A null
     doc_id keeps its row; its component is the smallest id of the others, null if there is none.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sketch = staged(sketches(rows, frequent_shingles(rows)), "sketch")
     shared = staged(shared_prefixes(sketch), "shared")
     # a row, by id and text hash, and the bitmap of each class that shares an entry

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import query, read_table
+from .common import bounded_batches, query, read_table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.75            # share of a unit's own score that a passage must reach
@@ -169,7 +169,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     """
     hit = StructType([StructField("item_id", items.schema[item_id].dataType), StructField("first_word", LongType()),
                       *[StructField(n, DoubleType()) for n in ("score", "question_overlap", "answer_overlap")]])
-    sc = docs.sparkSession.sparkContext
+    sc = bounded_batches(docs).sparkSession.sparkContext
     found = []
     for index in build_indexes(items, item_id, item_text):
         found.append(_leaks_udf(sc.broadcast(vars(index)), ArrayType(hit))(F.col(text)))

@@ -18,7 +18,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_GATE = "(?i)passw(?:or)?d|secret|token|api_?key"
 ACCESS = "AKIA[A-Z0-9]{16,}"          # same as a run after AKIA, kept from 20 characters on
 HEX = "[0-9a-f]{24,}"                 # same as a run, kept from 24 characters on
-LONG_TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+LONG_TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"    # "=" pads an end or precedes a value
 
 KINDS = ["assign", "access", "hex", "random"]      # order of spans with the same start
 #: Alphabets by inferred encoding, in the order of their digits (fixed values).
@@ -26,6 +26,10 @@ ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "decimal": "0123456789",
+    "letters": "abcdefghijklmnopqrstuvwxyz",
+    "base52": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 FDR = 0.05                            # share of random tokens among those called non-random
@@ -101,12 +105,16 @@ def _encoded(m: Column) -> Column:
     URL variants of the alphabet are normalised in ``s``."""
     def infer(s):
         mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
-        enc = (F.when(mixed & s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(mixed & s.rlike("^[A-Z2-7]+$"), "base32")
-               .when(mixed & s.rlike("^[a-z0-9]+$"), "base36").otherwise("base64"))
+        enc = (F.when(mixed & s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
+               .when(mixed & s.rlike("^([A-Z2-7]+|[a-z2-7]+)$"), "base32")
+               .when(mixed & s.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), "base36").when(s.rlike("^[0-9]+$"), "decimal")
+               .when(s.rlike("^([a-z]+|[A-Z]+)$"), "letters").when(s.rlike("^[A-Za-z]+$"), "base52")
+               .when(s.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64"))
         return F.struct(enc.alias("enc"), s.alias("s"))
 
     def placed(x):
-        plain = F.when(x["enc"] == "hex", F.lower(x["s"])).otherwise(F.translate(x["s"], "-_", "+/"))
+        plain = (F.when(x["enc"].isin("hex", "base36", "letters"), F.lower(x["s"]))
+                 .when(x["enc"] == "base32", F.upper(x["s"])).otherwise(F.translate(x["s"], "-_", "+/")))
         return F.struct(m["start"].alias("start"), (m["start"] + F.length(m["found"])).alias("end"),
                         x["enc"].alias("enc"), plain.alias("s"))
 
@@ -182,7 +190,7 @@ def fdr_cuts(docs: DataFrame, text: str = "text") -> dict[tuple[str, int], int]:
     """By (encoding, length band): the first bin that Benjamini-Hochberg at level FDR over all
     tokens of the class calls non-random, no later than the class's floor.
 
-    The table is a histogram of p-values, of at most 4 * 6 * (BINS + 1) rows whatever the corpus.
+    The table is a histogram of p-values, of at most 8 * 6 * (BINS + 1) rows whatever the corpus.
     """
     hist = (docs.select(F.explode(tested_tokens(F.coalesce(F.col(text), F.lit("")))).alias("t"))
             .groupBy("t.enc", "t.band", "t.bin").count().collect())

@@ -101,6 +101,25 @@ def test_op3(odd, empty):
     assert {r.doc_id: r.n_random for r in op3_secrets.scan(tokens).collect()} == {1: 1, 2: 0}
 
 
+@pytest.mark.parametrize("before", ["auth=", "https://h.org/p?x=1&sig=", "DB_CRED=", "private_key=", "x: "])
+def test_op3_values_after_equals(spark, before):
+    r = random.Random(8)
+    drawn = "".join(r.choice(op3_secrets.ALPHABETS["base64"][:62]) for _ in range(40))
+    df = spark.createDataFrame([(1, f"see {before}{drawn}== end")], "doc_id int, text string")
+    spans = [tuple(s) for s in op3_secrets.scan(df).first().spans]
+    assert (4 + len(before), op3_secrets.KINDS.index("random"), 4 + len(before) + 42) in spans
+
+
+def test_op3_single_case_alphabets(spark):
+    r, up, digits = random.Random(9), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = [up + digits, up.lower() + digits, up, up.lower(), digits, up + up.lower(), up.lower() + "234567"]
+    rows = [(k, n, "".join(r.choice(a) for _ in range(n))) for k, a in enumerate(kinds) for n in (32, 48, 64) for _ in range(50)]
+    got = collections.Counter()
+    for x in op3_secrets.scan(spark.createDataFrame(rows, "k int, n int, text string")).collect():
+        got[x.k, x.n] += x.n_random
+    assert all(got[k, n] >= 47 for k in range(len(kinds)) for n in (32, 48, 64)), got
+
+
 def components(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []

@@ -2,7 +2,8 @@
 
 Two variable-order Markov models over the characters of URLs, one of accepted and one of
 rejected URLs, are counted on every URL that a rule decides. A URL without a rule is judged by
-the difference of the two log-likelihoods a character, against a calibrated cut.
+the difference of the two log-likelihoods a character, against a calibrated cut. Counts are exact
+and stay a distributed table that grows with the different grams of the input.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from .common import query, read_table
+from .common import query, read_table, staged
 
 #: (verdict, host, path prefix): a rule fits its host and all subdomains.
 RULES = [
@@ -23,9 +25,10 @@ RULES = [
     ("allow", "org", "/fr/"),
 ]
 ORDER = 5                   # longest context, in characters
-SLOTS = 1 << 17             # counters of one order and class; the model's size doesn't grow with the corpus
 KAPPA = 2.0                 # weight of the next shorter context (Witten-Bell like, fixed mass)
-CALIBRATION = 20_000        # bound of the decided URLs read back for the cut
+HOT = 1 << 18               # most grams looked up in a broadcast; the others are joined, with equal results
+SCALE = 1 << 32             # scores are summed as whole multiples of 1 / SCALE, so that order doesn't matter
+BINS = 4096                 # bins of the calibration's histogram for a ratio of 1
 
 
 def parts(url: str = "url") -> tuple:
@@ -52,69 +55,121 @@ def with_rules(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     return out.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def _slots(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all characters of ``urls`` (with start and end marks): the index of the URL, and, by
-    order, the slots of (context, character) and of the context alone."""
-    marked = [("\x02" * ORDER + u + "\x03").encode("utf-8", "replace") for u in urls]
-    flat = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For all characters (bytes of UTF-8, and an end mark) of ``urls``: the index of the URL, and
+    the character in the lowest byte of a long below the ORDER characters before it (start
+    marks first). Every URL has one at least, and those of a URL are neighbours."""
+    marked = [b"\x02" * ORDER + u.encode("utf-8", "replace") + b"\x03" for u in urls]
+    flat = np.frombuffer(b"".join(marked), np.uint8).astype(np.int64)
     lens = np.fromiter(map(len, marked), np.int64, len(marked))
     owner = np.repeat(np.arange(len(marked)), lens)
     starts = np.cumsum(lens) - lens
     at = np.flatnonzero(np.arange(len(flat)) - starts[owner] >= ORDER)
-    mult = np.uint64(0x9E3779B97F4A7C15)
-    grams = np.empty((ORDER + 1, len(at)), np.int64)
-    heads = np.empty((ORDER + 1, len(at)), np.int64)
-    ctx = np.zeros(len(at), np.uint64)
-    for k in range(ORDER + 1):
-        if k:
-            ctx = (ctx + flat[at - k] + np.uint64(1)) * mult
-        h = (ctx ^ (ctx >> np.uint64(29))) * mult
-        g = (h + flat[at] + np.uint64(1)) * mult
-        heads[k] = ((h >> np.uint64(20)) % np.uint64(SLOTS)).astype(np.int64)
-        grams[k] = (((g ^ (g >> np.uint64(31))) >> np.uint64(17)) % np.uint64(SLOTS)).astype(np.int64)
-    return owner[at], grams, heads
-
-
-def count_model(decided: DataFrame) -> dict[str, np.ndarray]:
-    """Counts of both models from every row of ``decided(text, label)`` (label allow or block):
-    arrays [class, order, slot]. Partitions send sums; at most 4 * (ORDER + 1) * SLOTS rows,
-    whatever the input, come to the driver."""
+    gram = flat[at]
+    for k in range(1, ORDER + 1):
+        gram |= flat[at - k] << (8 * k)
+    return owner[at], gram
+
+
+def count_grams(rows: DataFrame) -> DataFrame:
+    """(gram, a, b, n): how often each gram occurs in the allowed, the blocked and all rows of
+    ``rows(text, label)`` (label allow, block or null). Batches send sums."""
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for label in ("allow", "block"):
-                urls = b["text"][b["label"] == label].tolist()
-                if not urls:
-                    continue
-                _, grams, heads = _slots(urls)
-                for kind, slots in (("gram", grams), ("head", heads)):
-                    for k in range(ORDER + 1):
-                        s, n = np.unique(slots[k], return_counts=True)
-                        yield pd.DataFrame({"cls": int(label == "block"), "head": kind == "head", "k": k, "slot": s, "n": n})
-
-    sums = (decided.mapInPandas(partial, "cls int, head boolean, k int, slot int, n long")
-            .groupBy("cls", "head", "k", "slot").agg(F.sum("n").cast("float").alias("n")))
-    model = {x: np.zeros((2, ORDER + 1, SLOTS), np.float32) for x in ("gram", "head")}
-    got = sums.toPandas()
-    for kind in ("gram", "head"):
-        g = got[got["head"] == (kind == "head")]
-        model[kind][g["cls"], g["k"], g["slot"]] = g["n"]
-    return model
-
-
-def log_ratio(urls: list[str], model: dict[str, np.ndarray]) -> np.ndarray:
-    """Mean log-likelihood a character under the accepted model less that under the rejected."""
-    if not urls:
-        return np.zeros(0)
-    owner, grams, heads = _slots(urls)
-    total = np.zeros(len(owner))
-    for cls, sign in ((0, 1.0), (1, -1.0)):
-        p = np.full(len(owner), 1 / 256)
-        for k in range(ORDER + 1):       # from the shortest context to the longest
-            head = model["head"][cls, k][heads[k]]
-            p = (model["gram"][cls, k][grams[k]] + KAPPA * p) / (head + KAPPA)
-        total += sign * np.log(p)
-    n = np.bincount(owner, minlength=len(urls))
-    return np.bincount(owner, total, minlength=len(urls)) / np.maximum(n, 1)
+            if not len(b):
+                continue
+            owner, gram = _grams(b["text"].tolist())
+            found, where = np.unique(gram, return_inverse=True)
+            sums = {c: np.bincount(where, (b["label"] == label).to_numpy()[owner], len(found)).astype(np.int64)
+                    for c, label in (("a", "allow"), ("b", "block"))}
+            yield pd.DataFrame({"gram": found, **sums, "n": np.bincount(where, minlength=len(found))})
+
+    return (rows.mapInPandas(partial, "gram long, a long, b long, n long")
+            .groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n")))
+
+
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """(gram, score, n): log-likelihood of the gram's last character under the accepted model less
+    that under the rejected, in units of 1 / SCALE.
+
+    From the shortest context to the longest, each order's counts are sums over the grams with
+    the same end; a context has at most 256 of them, which is the largest window.
+    """
+    shorter = None
+    for k in range(ORDER + 1):
+        end = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        own = counts.groupBy(end.alias("gram")).agg(*[F.sum(c).alias(c) for c in ("a", "b", "n")])
+        context = Window.partitionBy(F.shiftright("gram", 8))
+        own = own.select("gram", "a", "b", "n", F.sum("a").over(context).alias("head_a"), F.sum("b").over(context).alias("head_b"))
+        if shorter is None:
+            own = own.withColumns({"back_a": F.lit(1 / 256), "back_b": F.lit(1 / 256)})
+        else:
+            own = own.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(shorter, "tail")
+        p = {c: (F.col(c) + KAPPA * F.col("back_" + c)) / (F.col("head_" + c) + KAPPA) for c in ("a", "b")}
+        if k < ORDER:
+            shorter = own.select(F.col("gram").alias("tail"), p["a"].alias("back_a"), p["b"].alias("back_b"))
+    return own.select("gram", F.round((F.log(p["a"]) - F.log(p["b"])) * SCALE).cast("long").alias("score"), "n")
+
+
+def hot_from(scores: DataFrame) -> tuple[int, bool]:
+    """The least count from which grams are broadcast, so that at most HOT are; whether all are.
+    Counts are grouped by their number of bits."""
+    bits = F.length(F.bin("n"))
+    left = HOT
+    for r in scores.groupBy(bits.alias("bits")).count().orderBy(F.desc("bits")).collect():
+        left -= r["count"]
+        if left < 0:
+            return 1 << r["bits"], False
+    return 1, True
+
+
+def with_ratio(rows: DataFrame, scores: DataFrame, text: str = "__llm_seen") -> DataFrame:
+    """Append ``lm_ratio``, the mean score a character, to ``rows``. ``scores`` has every gram of them.
+
+    Of each text the frequent grams are looked up in a broadcast of at most HOT; the others,
+    summed by text, are joined to ``scores``.
+    """
+    least, whole = hot_from(scores)
+    hot = scores.where(F.col("n") >= least).select("gram", "score").toPandas().sort_values("gram")
+    handle = rows.sparkSession.sparkContext.broadcast((hot["gram"].to_numpy(np.int64), hot["score"].to_numpy(np.int64)))
+
+    def looked_up(gram):
+        keys, values = handle.value
+        if not len(keys):
+            return np.zeros(len(gram), bool), np.zeros(len(gram), np.int64)
+        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+        known = keys[at] == gram
+        return known, np.where(known, values[at], 0)
+
+    @F.pandas_udf("long")
+    def hot_sum(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            if not len(texts):
+                yield pd.Series([], dtype="int64")
+                continue
+            owner, gram = _grams(texts.tolist())
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            yield pd.Series(np.add.reduceat(looked_up(gram)[1], starts))
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            owner, gram = _grams(b["text"].tolist())
+            cold = ~looked_up(gram)[0]
+            pairs = pd.DataFrame({"id": b["id"].to_numpy()[owner[cold]], "gram": gram[cold]})
+            yield pairs.groupby(["id", "gram"], sort=False).size().rename("times").reset_index()
+
+    total = hot_sum.asNondeterministic()(text)
+    if not whole:
+        texts = staged(rows.select(F.col(text).alias("text")).distinct().withColumn("id", F.monotonically_increasing_id()), "urls")
+        rest = (texts.mapInPandas(others, "id long, gram long, times long").join(scores.select("gram", "score"), "gram")
+                .groupBy("id").agg(F.sum(F.col("score") * F.col("times")).alias("__llm_rest")))
+        rest = staged(texts.join(rest, "id").select(F.col("text").alias(text), "__llm_rest"), "url_rest")
+        rows = rows.join(rest, text, "left")
+        total = total + F.coalesce("__llm_rest", F.lit(0))
+    out = rows.withColumn("lm_ratio", total / F.lit(float(SCALE)) / (F.octet_length(text) + 1))
+    return out.drop("__llm_rest")
 
 
 def judge(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
@@ -129,35 +184,29 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "lm_ratio", "verdict", "rule_verdict")]
     ruled = with_rules(pages.select(*[F.col(f"`{c}`") for c in keep]), rules, url)
     seen = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "^[^:/?#]*://", "")
-    decided = ruled.where("rule_verdict is not null").select(seen.alias("text"), F.col("rule_verdict").alias("label"))
-    model = count_model(decided)
-    handle = pages.sparkSession.sparkContext.broadcast(model)   # fixed size: 4 * (ORDER + 1) * SLOTS floats
-
-    @F.pandas_udf("double")
-    def ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(log_ratio(texts.tolist(), handle.value))
-
-    cut = calibrated_cut(decided, ratio)
-    out = ruled.withColumn("lm_ratio", ratio.asNondeterministic()(seen))
+    ruled = ruled.withColumn("__llm_seen", seen)
+    counts = staged(count_grams(ruled.select(F.col("__llm_seen").alias("text"), F.col("rule_verdict").alias("label"))), "grams")
+    out = with_ratio(ruled, staged(gram_scores(counts), "gram_scores"))
+    cut = calibrated_cut(out)
     verdict = F.coalesce("rule_verdict", F.when(F.col("lm_ratio") >= F.lit(cut), "allow").otherwise("block"))
-    return out.withColumn("verdict", verdict).drop("rule_verdict")
-
-
-def calibrated_cut(decided: DataFrame, ratio) -> float:
-    """Cut with the fewest errors, equally weighted by class, on a bounded sample of the decided
-    rows (the ``CALIBRATION`` smallest hashes of each class); 0 if a class is missing."""
-    sample = None
-    for label in ("allow", "block"):
-        s = decided.where(F.col("label") == label).orderBy(F.xxhash64("text")).limit(CALIBRATION)
-        sample = s if sample is None else sample.unionByName(s)
-    got = sample.select("label", ratio("text").alias("r")).toPandas()
-    good, bad = np.sort(got["r"][got["label"] == "allow"]), np.sort(got["r"][got["label"] == "block"])
-    if not len(good) or not len(bad):
+    order = [*keep, "host", "path", "rule", "lm_ratio"]
+    return out.select(*[F.col(f"`{c}`") for c in order], verdict.alias("verdict"))
+
+
+def calibrated_cut(out: DataFrame) -> float:
+    """Cut with the fewest errors, equally weighted by class, on all rows that a rule decides; 0 if
+    a class is missing. Cuts lie between the bins of a histogram (BINS for a ratio of 1), whose
+    size doesn't depend on the number of rows, or at 0."""
+    hist = (out.where("rule_verdict is not null").groupBy(F.floor(F.col("lm_ratio") * BINS).alias("bin"))
+            .agg(F.count_if(F.col("rule_verdict") == "allow").alias("good"), F.count_if(F.col("rule_verdict") == "block").alias("bad"),
+                 F.min("lm_ratio").alias("lo"), F.max("lm_ratio").alias("hi")).toPandas().sort_values("bin"))
+    good, bad, lo, hi = (hist[c].to_numpy(float) for c in ("good", "bad", "lo", "hi"))
+    if not good.sum() or not bad.sum():
         return 0.0
-    cuts = np.unique(np.concatenate([good, bad]))
-    cuts = np.concatenate([(cuts[1:] + cuts[:-1]) / 2, [0.0]])
-    wrong = np.searchsorted(good, cuts) / len(good) + 1 - np.searchsorted(bad, cuts) / len(bad)
+    cuts = np.concatenate([(hi[:-1] + lo[1:]) / 2, [0.0]])
+    under = np.searchsorted(lo, cuts)       # bins below each cut
+    good, bad = (np.concatenate([[0.0], np.cumsum(x)]) / x.sum() for x in (good, bad))
+    wrong = good[under] + 1 - bad[under]
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
     return float(cuts[best[np.abs(cuts[best]).argmin()]])
 

@@ -3,6 +3,7 @@ rows, ties, empty tables and extra columns with clashing names."""
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -175,6 +176,50 @@ def test_op6(spark):
     assert op6_urls.judge(pages.limit(0)).count() == 0
 
 
+def plain_ratios(rows, order=5, kappa=2.0):
+    """lm_ratio by url from exact counts, as dictionaries."""
+    n = {label: collections.Counter() for label in ("allow", "block")}
+
+    def grams(u):
+        b = b"\2" * order + u.encode() + b"\3"
+        return [b[k - order:k + 1] for k in range(order, len(b))]
+
+    for u, label in rows:
+        for g in grams(u) if label else ():
+            n[label].update(x for k in range(order + 1) for x in (("gram", g[order - k:]), ("head", k, g[order - k:-1])))
+    out = {}
+    for u, _ in rows:
+        total = 0
+        for g in grams(u):
+            for label, sign in (("allow", 1), ("block", -1)):
+                p = 1 / 256
+                for k in range(order + 1):
+                    p = (n[label]["gram", g[order - k:]] + kappa * p) / (n[label]["head", k, g[order - k:-1]] + kappa)
+                total += sign * math.log(p)
+        out[u] = total / len(grams(u))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1 << 18, 300, 0])
+def test_op6_exact_counts(spark, monkeypatch, hot):
+    monkeypatch.setattr(op6_urls, "HOT", hot, raising=False)
+    r, path = random.Random(5), lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789-/") for _ in range(60))
+    urls = [(f"https://{h}/{path()}", v) for k in range(1200) for h, v in (("a.org/fr", "allow"), ("b.net", "block"), ("c.io", None))]
+    urls += [("https://é.io/x", None), ("https://c.io/same", None)] + [("https://c.io/same", None)] * 50
+    df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)], "page_id int, url string")
+    got = {x.url: x.lm_ratio for x in op6_urls.judge(df).collect()}
+    want = plain_ratios([(u.split("://", 1)[1], v) for u, v in urls])
+    assert len(got) == len({u for u, _ in urls})
+    assert max(abs(got[u] - want[u.split("://", 1)[1]]) for u, _ in urls) < 1e-6
+
+
+def test_op6_cut_weighs_all_decided_rows(spark):
+    rows = [("allow", -0.5)] * 30 + [("allow", 2.0)] * 10 + [("block", -1.0)] * 20 + [("block", 1.0)] * 5 + [(None, 9.0)]
+    df = spark.createDataFrame(rows, "rule_verdict string, lm_ratio double")
+    assert op6_urls.calibrated_cut(df) == -0.75
+    assert op6_urls.calibrated_cut(df.where("rule_verdict = 'allow'")) == 0.0
+
+
 def test_op7(spark, odd, empty):
     def check(df):
         rows = [(i, (t or "").encode()) for i, t in texts_of(df)]

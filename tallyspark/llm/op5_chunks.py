@@ -2,8 +2,8 @@
 
 A gear rolling hash over the last 32 bytes cuts texts where its top bits are zero, so that cuts
 depend on the content alone and an insertion moves only the chunks around it. Chunks are
-deduplicated by digest; neighbouring repeated chunks that continue the same earlier text form
-one repeated span.
+deduplicated by digest; neighbouring repeated chunks form one repeated passage, reported as a span
+for each earlier text that it continues.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from pyspark.sql.window import Window
 
 from .common import query, read_table, staged
 
-ZERO_BITS = 5               # a cut every 32 bytes, before the least length applies
+ZERO_BITS = 4               # a cut every 16 bytes, before the least length applies: chunks of 30 bytes on average
 LEAST, MOST = 16, 512       # bytes of a chunk
-SPAN_BYTES, SPAN_CHUNKS = 100, 2    # least size of a repeated span
+SPAN_BYTES = 100            # least size of a repeated passage, however many chunks and earlier texts it has
 
 
 def gear_table() -> np.ndarray:
@@ -92,9 +92,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, start, end, keep_doc_id, keep_start, n_chunks): every repeated span, with the place
     of the occurrence that stays, in bytes.
 
-    Of equal chunks the one with the smallest (doc_id, start) stays. A span is a run of
-    repeated chunks that continue one earlier text, of at least SPAN_CHUNKS chunks and
-    SPAN_BYTES bytes; with two or more 64-bit digests in a row, chance plays no part. Null or
+    Of equal chunks the one with the smallest (doc_id, start) stays. A passage is a run of
+    repeated chunks that lie side by side, of at least SPAN_BYTES bytes, wherever their kept
+    chunks are; its spans are the pieces that continue one earlier text, of any size. Null or
     empty texts and null ids have no spans; rows with the same id and text count as one
     document. Counts are summed before the shuffle and repeated digests are joined, so a
     passage in a third of all texts is split like any skewed join key.
@@ -104,16 +104,17 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
              .where("n > 1").select("digest", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start")))
     again = parts.join(first, "digest").where("doc_id <> keep_doc_id or start <> keep_start").drop("digest").distinct()
     w = Window.partitionBy("doc_id").orderBy("start")
-    follows = ((F.lag("start").over(w) + F.lag("length").over(w) == F.col("start"))
-               & (F.lag("keep_doc_id").over(w) == F.col("keep_doc_id"))
+    apart = F.coalesce(F.lag("start").over(w) + F.lag("length").over(w) != F.col("start"), F.lit(True))
+    follows = ((F.lag("keep_doc_id").over(w) == F.col("keep_doc_id"))
                & (F.lag("keep_start").over(w) + F.lag("length").over(w) == F.col("keep_start")))
-    marked = again.withColumn("new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("new").over(w))
-    spans = runs.groupBy("doc_id", "run").agg(
+    marked = again.withColumns({"apart": apart, "new": apart | ~F.coalesce(follows, F.lit(False))})
+    runs = marked.withColumns({"passage": F.sum(F.col("apart").cast("long")).over(w), "run": F.sum(F.col("new").cast("long")).over(w)})
+    spans = runs.groupBy("doc_id", "passage", "run").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"),
         F.first("keep_doc_id").alias("keep_doc_id"), F.min("keep_start").alias("keep_start"),
         F.count(F.lit(1)).alias("n_chunks"))
-    return (spans.where(f"n_chunks >= {SPAN_CHUNKS} and end - start >= {SPAN_BYTES}")
+    whole = F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("doc_id", "passage"))
+    return (spans.withColumn("passage_bytes", whole).where(f"passage_bytes >= {SPAN_BYTES}")
             .select("doc_id", "start", "end", "keep_doc_id", "keep_start", "n_chunks"))
 
 

@@ -176,6 +176,33 @@ def test_op6(spark):
     assert op6_urls.judge(pages.limit(0)).count() == 0
 
 
+def test_op5_passages_of_several_holders(spark):
+    half, rest = passage(70, 25), passage(71, 25)      # 1 holds the second half, 2 and 3 the whole
+    rows = [(1, passage(72) + rest + passage(73)), (2, passage(74) + half + rest + passage(75)), (3, passage(76) + half + rest + passage(77)),
+            (4, "y" * 600 + passage(78)), (5, passage(79) + "y" * 600)]
+    for k in range(100, 220, 2):       # two holders of a passage of 300 bytes
+        rows += [(k + d, passage(1000 + k * 2 + d) + passage(k + 5000, 60)[:300] + passage(2000 + k * 2 + d)) for d in (0, 1)]
+    df, texts = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+    spans = op5_chunks.repeated_spans(df).collect()
+    for s in spans:
+        part = texts[s.doc_id].encode()[s.start:s.end]
+        assert texts[s.keep_doc_id].encode()[s.keep_start:s.keep_start + len(part)] == part
+    assert {s.keep_doc_id for s in spans if s.doc_id == 3} == {1, 2}
+    assert sum(s.end - s.start for s in spans if s.doc_id == 5) >= 500      # equal chunks that stand alone
+    found = {s.doc_id for s in spans}
+    assert len([k for k in range(100, 220, 2) if k + 1 in found]) == 60
+
+
+def test_op5_short_pieces_of_a_long_passage(spark, monkeypatch):
+    # chunks of document 3 are kept by turns in 1 and 2: no piece has two chunks or 100 bytes
+    cut = [(1, 0, 40, 11), (1, 40, 40, 99), (2, 0, 40, 12), (2, 40, 40, 98), (1, 80, 40, 13), (2, 80, 40, 14), (3, 5, 40, 11), (3, 45, 40, 12), (3, 85, 40, 13),
+           (3, 125, 40, 14), (3, 165, 9, 97), (3, 174, 40, 11), (4, 0, 300, 50), (5, 7, 300, 50)]
+    df = spark.createDataFrame(cut, "doc_id long, start int, length int, digest long")
+    monkeypatch.setattr(op5_chunks, "chunks", lambda *_: df)
+    got = sorted((s.doc_id, s.start, s.end, s.keep_doc_id, s.keep_start) for s in op5_chunks.repeated_spans(df).collect())
+    assert got == [(3, 5, 45, 1, 0), (3, 45, 85, 2, 0), (3, 85, 125, 1, 80), (3, 125, 165, 2, 80), (5, 7, 307, 4, 0)]
+
+
 def plain_ratios(rows, order=5, kappa=2.0):
     """lm_ratio by url from exact counts, as dictionaries."""
     n = {label: collections.Counter() for label in ("allow", "block")}

@@ -26,6 +26,8 @@ BITS, BITS_MOST = 2048, 1 << 16     # bits of a bitmap; sets beyond two thirds o
 SAMPLE = 16                 # of so many texts one is sampled for the frequent shingles
 FREQUENT, FREQUENT_MOST = 5, 200_000    # least count in the sample; bound of the broadcast list
 BUCKET_ENTRIES = 1 << 20    # prefix entries of a bucket, on average
+SLOT_ENTRIES = 1 << 14      # prefix entries of a slot, on average; keys are counted by slots
+HEAVY = 1 << 17             # entries of a slot beyond which its keys pass without a bucket
 BLOCK = 512                 # members of a tile's block
 ROUNDS, HUBS = 2, 6         # rounds of hub links; families of keys, each of which draws its hub alike
 NEAR = 64                   # members of a key up to which each is compared with every other at once
@@ -168,14 +170,50 @@ def sketches(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
         sketch, f"doc_id {kind}, row long, cls long, n int, bits binary, prefix binary")
 
 
-def shared_prefixes(sketch: DataFrame) -> DataFrame:
-    """(k, cls, n, pos): the prefix entries whose key k meets other classes it may link; pos is the place of the
-    shingle in the order. Entries travel packed, one row a batch and bucket; equal classes of a
-    batch travel once."""
-    total = sketch.agg(F.coalesce(F.sum(F.length("prefix") / 4), F.lit(0))).first()[0]
-    parts = int(sketch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = int(max(parts, -(-total // BUCKET_ENTRIES)))
+def _slot(k: np.ndarray, slots: int) -> np.ndarray:
+    return ((k.astype(np.uint64) * np.uint64(_MIX[1])) >> np.uint64(20)) % np.uint64(slots)
+
+
+def heavy_slots(sketch: DataFrame, total: int) -> tuple[int, np.ndarray]:
+    """(slots, heavy): the number of slots, in proportion to the ``total`` prefix entries, and the sorted
+    slots of more than HEAVY entries, at most total / HEAVY of them. Batches send sums."""
+    slots = int(max(1, -(-total // SLOT_ENTRIES)))
+    if total <= HEAVY:
+        return slots, np.zeros(0, np.uint64)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = [np.frombuffer(p, np.uint32) for p in b.drop_duplicates("cls")["prefix"]]
+            if keys:
+                found, n = np.unique(_slot(np.concatenate(keys), slots), return_counts=True)
+                yield pd.DataFrame({"slot": found.astype(np.int64), "n": n})
+
+    counts = (sketch.where("n > 0").select("cls", "prefix").mapInPandas(partial, "slot long, n long")
+              .groupBy("slot").agg(F.sum("n").alias("n")))
+    return slots, np.sort(np.array([r.slot for r in counts.where(F.col("n") > HEAVY).collect()], np.uint64))
+
+
+def heavy_entries(sketch: DataFrame, slots: int, heavy: np.ndarray) -> DataFrame:
+    """(k, cls, n, pos) of the keys of ``heavy`` slots, all of them, each class of a key once."""
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.drop_duplicates("cls")
+            keys = [np.frombuffer(p, np.uint32) for p in b["prefix"]]
+            if not keys:
+                continue
+            k, lens = np.concatenate(keys), [len(x) for x in keys]
+            pos = np.concatenate([np.arange(x, dtype=np.int32) for x in lens])
+            who, on = np.repeat(np.arange(len(b)), lens), np.isin(_slot(k, slots), heavy)
+            yield pd.DataFrame({"k": k[on].view(np.int32), "cls": b["cls"].to_numpy(np.int64)[who[on]],
+                                "n": b["n"].to_numpy(np.int32)[who[on]], "pos": pos[on]})
+
+    found = sketch.where("n > 0").select("cls", "n", "prefix").mapInPandas(entries, "k int, cls long, n int, pos int")
+    return found.groupBy("k", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+
 
+def packed_entries(sketch: DataFrame, buckets: int, slots: int, heavy: np.ndarray) -> DataFrame:
+    """Prefix entries of the keys outside ``heavy`` slots, one packed row a batch and bucket; equal
+    classes of a batch travel once."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.drop_duplicates("cls")
@@ -186,6 +224,11 @@ def shared_prefixes(sketch: DataFrame) -> DataFrame:
             lens = [len(x) for x in keys]
             who = np.repeat(np.arange(len(b), dtype=np.int32), lens)
             pos = np.concatenate([np.arange(x, dtype=np.uint16 if max(lens) < 65536 else np.uint32) for x in lens])
+            if len(heavy):
+                light = ~np.isin(_slot(k, slots), heavy)
+                k, who, pos = k[light], who[light], pos[light]
+            if not len(k):
+                continue
             bucket = ((k.astype(np.uint64) * np.uint64(_MIX[0])) >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             k, who, pos, bucket = k[order], who[order], pos[order], bucket[order]
@@ -197,6 +240,19 @@ def shared_prefixes(sketch: DataFrame) -> DataFrame:
                             cls[mine].tobytes(), n[mine].tobytes(), pos[a:e].tobytes()))
             yield pd.DataFrame(out, columns=["bucket", "k", "who", "cls", "n", "pos"])
 
+    return sketch.where("n > 0").select("cls", "n", "prefix").mapInPandas(
+        pack, "bucket int, k binary, who binary, cls binary, n binary, pos binary")
+
+
+def shared_prefixes(sketch: DataFrame) -> DataFrame:
+    """(k, cls, n, pos): the prefix entries whose key k meets other classes it may link; pos is the place of the
+    shingle in the order. Entries travel packed to buckets of keys, each with less than HEAVY entries
+    of a key; keys of slots with more pass as rows of their own and all stay."""
+    total = sketch.agg(F.coalesce(F.sum(F.length("prefix") / 4), F.lit(0))).first()[0]
+    parts = int(sketch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(max(parts, -(-total // BUCKET_ENTRIES)))
+    slots, heavy = heavy_slots(sketch, total)
+
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         cols: list[tuple] = []
         for r in group.itertuples(index=False):
@@ -225,9 +281,8 @@ def shared_prefixes(sketch: DataFrame) -> DataFrame:
         return pd.DataFrame({"k": k[keep].view(np.int32), "cls": cls[keep], "n": n[keep].astype(np.int32),
                              "pos": pos[keep].astype(np.int32)})
 
-    packed = sketch.where("n > 0").select("cls", "n", "prefix").mapInPandas(
-        pack, "bucket int, k binary, who binary, cls binary, n binary, pos binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "k int, cls long, n int, pos int")
+    light = packed_entries(sketch, buckets, slots, heavy).groupBy("bucket").applyInPandas(meet, "k int, cls long, n int, pos int")
+    return light.unionByName(heavy_entries(sketch, slots, heavy)) if len(heavy) else light
 
 
 def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -153,6 +153,27 @@ def test_op4(spark, odd, empty):
     assert len(a) > len(b) and op4_jaccard.differing_bits(a, a) == 0 and op4_jaccard.differing_bits(a, b) > 0
 
 
+def test_op4_heavy_keys_pass_without_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(op4_jaccard, "HEAVY", 60)
+    monkeypatch.setattr(op4_jaccard, "SLOT_ENTRIES", 8)
+    base, rows = passage(55, 120).split(" "), [(900 + k, passage(3000 + k // 2)) for k in range(30)]
+    for k in range(90):         # edited copies of a template, 80 of them in two copies each
+        r, w = random.Random(k), list(base)
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(len(w))] = f"e{k}{r.random()}"
+        rows += [(k, " ".join(w))] + [(300 + k, " ".join(w))] * (k < 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    sketch = op4_jaccard.sketches(df, op4_jaccard.frequent_shingles(df)).cache()
+    prefixes = [op4_jaccard.np.frombuffer(r.prefix, "u4") for r in sketch.dropDuplicates(["cls"]).select("prefix").collect()]
+    members = collections.Counter(k for p in prefixes for k in set(p.tolist()))
+    hot = {k for k, n in members.items() if n > 60}
+    slots, heavy = op4_jaccard.heavy_slots(sketch, sum(map(len, prefixes)))
+    packed = op4_jaccard.packed_entries(sketch, 3, slots, heavy).select("k").collect()
+    grouped = collections.Counter(k for r in packed for k in op4_jaccard.np.frombuffer(r.k, "u4").tolist())
+    assert hot and not hot & set(grouped) and max(grouped.values()) <= 60
+    assert sorted(map(tuple, op4_jaccard.components(df).collect())) == components([tuple(r) for r in df.collect()])
+
+
 def test_op5(odd, empty):
     spans, texts = op5_chunks.repeated_spans(odd).collect(), dict(texts_of(odd))
     for s in spans:

@@ -137,3 +137,27 @@ def _small_star(e: DataFrame) -> DataFrame:
     low = e.groupBy("u").agg(F.min("v").alias("m"))
     moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
+#: No group of probe rows that meets one row in ``spread_join`` is larger than this or a 4096th of all.
+SPREAD_ROWS, SPREAD_SHARES = 10_000, 4096
+
+
+def spread_join(probe: DataFrame, build: DataFrame, keys: list[str], how: str, rows: str = "n") -> DataFrame:
+    """``probe`` joined (``left`` or ``left_semi``) with ``build``, which has one row a key and counts in ``rows`` how
+    often the key stands in ``probe``. Read ``build`` from a staged table: it is used three times.
+
+    A key with more than ``limit`` rows is dealt over numbered parts by the hash of its rows' other columns, so
+    that it fills no task of its own; its row of ``build`` is repeated once a part. ``limit`` is at least a 4096th of all rows, so fewer than 4,096 keys
+    are above it: their part counts are broadcast, a table of proven size.
+    """
+    total = build.agg(F.sum(rows)).first()[0] or 0
+    limit = max(SPREAD_ROWS, -(-total // SPREAD_SHARES))
+    parts = F.ceil(F.col(rows) / F.lit(limit)).cast("int")
+    hot = build.where(F.col(rows) > limit).select(*keys, parts.alias("__parts"))
+    dealt = (probe.join(F.broadcast(hot), keys, "left")
+             .withColumn("__part", F.when(F.col("__parts").isNull(), F.lit(0))
+                         .otherwise(F.pmod(F.xxhash64(*[c for c in probe.columns if c not in keys]), "__parts").cast("int")))
+             .drop("__parts"))
+    copies = build.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(rows)
+    return dealt.join(copies, [*keys, "__part"], how).drop("__part")

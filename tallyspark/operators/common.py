@@ -63,3 +63,25 @@ def prepared(df: DataFrame, date: str = "date", amount: str = "amount") -> DataF
     """Rows usable for analysis: non-null date and amount, plus calendar columns."""
     from ..functions.calendar import derive_calendar
     return derive_calendar(df.filter(F.col(date).isNotNull() & F.col(amount).isNotNull()), date, amount)
+
+
+#: No group of probe rows that meets one row in ``spread_join`` is larger than this or a 4096th of all.
+SPREAD_ROWS, SPREAD_SHARES = 10_000, 4096
+
+
+def spread_join(probe: DataFrame, build: DataFrame, keys: list[str], how: str = "left", rows: str = "n") -> DataFrame:
+    """Join ``probe`` with ``build`` (one row a key; ``rows`` counts how often the key stands in ``probe``) so that
+    no key fills a task. A key above ``limit`` rows is dealt over numbered parts by the hash of its rows'
+    other columns, and its row of ``build`` is repeated once a part. ``limit`` is at least a 4096th of all rows, so
+    fewer than 4,096 keys lie above it: their part counts are broadcast, a table of proven size.
+    ``build`` is read three times: pass a checkpointed or otherwise cheap frame."""
+    total = build.agg(F.sum(rows)).first()[0] or 0
+    limit = max(SPREAD_ROWS, -(-total // SPREAD_SHARES))
+    parts = F.ceil(F.col(rows) / F.lit(limit)).cast("int")
+    hot = build.filter(F.col(rows) > limit).select(*keys, parts.alias("_parts"))
+    others = [c for c in probe.columns if c not in keys]
+    dealt = (probe.join(F.broadcast(hot), keys, "left")
+             .withColumn("_part", F.when(F.col("_parts").isNull(), F.lit(0))
+                         .otherwise(F.pmod(F.xxhash64(*others), "_parts").cast("int"))).drop("_parts"))
+    copies = build.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(rows)
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")

@@ -10,8 +10,8 @@ Scale design for the pairwise rules (a single vendor may hold a third of all row
     tuples carrying their smallest row_id, so exact copies never multiply work;
   * candidates are blocked on (block, date bucket, log-amount bucket) and copied to the
     neighbouring buckets, so a row only meets rows inside its own date/amount window;
-  * name similarity runs once per pair of distinct vendor strings of a block, never per
-    row pair;
+  * name similarity runs once per pair of distinct vendor strings of a block that share enough
+    grams for the ratio, never per row pair;
   * AQE's skew-join handling splits oversized probe partitions.
 """
 
@@ -21,10 +21,11 @@ import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
-from ..functions.similarity import sequence_ratio, token_sort_ratio
+from ..functions.similarity import token_sort_ratio
 from ..session import cut_lineage
-
+from .similarity_join import sequence_ratio_pairs
 
 
 # ---- J1, J2, J3 -------------------------------------------------------------------------
@@ -117,109 +118,101 @@ def _semi(j: DataFrame, i: DataFrame, keys: list[str], cond: Column | None) -> D
     return j.join(i, on, "left_semi")
 
 
-def _pairwise_drop(df: DataFrame, *, block: Column, row_id: str, date: str, amount: str,
-                   days: int, tol: float, date_optional: bool, amount_optional: bool,
-                   name_pairs: DataFrame | None = None, vname: Column | None = None) -> DataFrame:
-    """Row ids of ``df`` that have an earlier matching row (EXISTS), as one column.
+def _probe_base(df: DataFrame, *, block: Column, row_id: str, date: str, amount: str, vname: Column | None = None) -> DataFrame:
+    """The narrow projection that ``_pairwise_drop`` works on; rows without a block match nothing."""
+    base = df.select(F.col(row_id).alias("rid"), block.alias("blk"), (vname if vname is not None else F.lit("")).alias("vlow"),
+                     F.col(date).cast("date").alias("d"), F.abs(F.col(amount)).alias("a"))
+    return base.filter(F.col("blk").isNotNull())
+
+
+def _pairwise_drop(base: DataFrame, *, days: int, tol: float, date_optional: bool, amount_optional: bool,
+                   name_pairs: DataFrame | None = None, match=None) -> DataFrame:
+    """Row ids of ``base(rid, blk, vlow, d, a)`` that have an earlier matching row (EXISTS), as one column.
 
     A pair matches when blocks are equal, dates are within ``days`` (skipped when
     ``date_optional`` and either date is NULL) and amounts are within ``tol`` of the
     larger (skipped when ``amount_optional`` and either absolute amount is not > 0).
-    With ``name_pairs`` (block, vlow_i, vlow_j) the vendor strings must also pass.
+    With ``name_pairs`` (blk, i, j) the names must be a listed pair; without, they must be equal, or,
+    with ``match(toks_j, toks_i)``, the arrays in ``base.toks`` must match. ``blk`` may be
+    an array: then one common element suffices.
+
+    Equal (block, name, date, amount) rows match each other wherever they can match at all, so all but the first
+    of them go without a join, and the joins run over distinct tuples with their first row id. Where a test
+    is skipped, its column leaves the candidates' key too: rows without a date or an amount, however many,
+    meet one candidate a name.
     """
-    a = F.abs(F.col(amount))
-    base = df.select(F.col(row_id).alias("rid"), block.alias("blk"),
-                     (vname if vname is not None else F.lit("")).alias("vlow"),
-                     F.col(date).cast("date").alias("d"), a.alias("a"))
-    # The narrow (row id, block, name, date, amount) projection is probed by up to nine
-    # joins: write it once to the checkpoint folder so each join scans it, instead of
-    # re-running the upstream plan (and to keep the plan tree small).
-    base = cut_lineage(base.filter(F.col("blk").isNotNull()))
+    extra = ["toks"] if match is not None else []
+    usable = (F.lit(True) if date_optional else F.col("d").isNotNull()) & (
+        F.lit(True) if amount_optional else F.coalesce(F.col("a") > 0, F.lit(False)))
+    # read by up to nine joins: written once, so that they scan it instead of running the upstream plan again
+    base = cut_lineage(base.filter(usable))
+    firsts = base.groupBy("blk", "vlow", "d", "a").agg(F.min("rid").alias("rid"), *[F.any_value(c).alias(c) for c in extra])
     has_d, has_a = F.col("d").isNotNull(), F.coalesce(F.col("a") > 0, F.lit(False))
-
-    def cands(filt: Column, bucket_d: bool, bucket_a: bool) -> DataFrame:
-        """Distinct earlier-row tuples with their first row id, keyed for the join."""
-        c = base.filter(filt).groupBy("blk", "vlow", "d", "a").agg(F.min("rid").alias("i_rid"))
+    firsts = cut_lineage(firsts)
+    size = firsts.agg(*[F.count_if(c).alias(n) for n, c in {
+        "da": has_d & has_a, "d_": has_d & ~has_a, "_a": ~has_d & has_a, "__": ~has_d & ~has_a}.items()]).first()
+    if not isinstance(base.schema["blk"].dataType, ArrayType):
+        split = lambda df: df
+    else:
+        split = lambda df: df.withColumn("blk", F.explode("blk"))
+
+    def buckets(df: DataFrame, need_d: bool, need_a: bool) -> DataFrame:
+        if need_d:
+            df = df.withColumn("db", _date_bucket(F.col("d"), days))
+        return df.withColumn("ab", _amount_bucket(F.col("a"), tol)) if need_a else df
+
+    def cands(filt: Column, need_d: bool, need_a: bool) -> DataFrame:
+        """Earlier tuples, reduced to the columns that are tested, with their first row id."""
+        cols = ["blk", "vlow"] + ["d"] * need_d + ["a"] * need_a
+        c = firsts.filter(filt).groupBy(*cols).agg(F.min("rid").alias("i_rid"), *[F.any_value(x).alias(x) for x in extra])
+        c = split(c)
         if name_pairs is not None:
-            c = (c.join(name_pairs, (F.col("blk") == F.col("np_blk")) & (F.col("vlow") == F.col("vlow_i")))
-                 .drop("np_blk", "vlow_i", "vlow").withColumnRenamed("vlow_j", "vlow"))
-        bcols = []
-        if bucket_d:
-            c = c.withColumn("db", _date_bucket(F.col("d"), days))
-            bcols.append("db")
-        if bucket_a:
-            c = c.withColumn("ab", _amount_bucket(F.col("a"), tol))
-            bcols.append("ab")
-        c = _explode_neighbours(c, bcols)
-        return c.select(*[F.col(x).alias("c_" + x) for x in ["blk", "vlow"] + bcols],
-                        F.col("i_rid"), F.col("d").alias("i_d"), F.col("a").alias("i_a"))
-
-    def probe(filt: Column, bucket_d: bool, bucket_a: bool) -> DataFrame:
-        p = base.filter(filt)
-        if bucket_d:
-            p = p.withColumn("db", _date_bucket(F.col("d"), days))
-        if bucket_a:
-            p = p.withColumn("ab", _amount_bucket(F.col("a"), tol))
-        return p
-
-    # One-row census of the four (date known?, amount positive?) classes: joins whose
-    # probe or candidate side is empty are not planned at all.
-    classes = {"da": has_d & has_a, "d_": has_d & ~has_a, "_a": ~has_d & has_a, "__": ~has_d & ~has_a}
-    census = base.agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate(classes.values())]).first()
-    size = {name: census[k] for k, name in enumerate(classes)}
-
-    def nonempty(classes):
-        return sum(size[c] for c in classes) > 0
+            c = (c.join(name_pairs.withColumnRenamed("i", "vlow"), ["blk", "vlow"])
+                 .drop("vlow").withColumnRenamed("j", "vlow"))
+        c = _explode_neighbours(buckets(c, need_d, need_a), ["db"] * need_d + ["ab"] * need_a)
+        return c.select([F.col(x) if x == "i_rid" else F.col(x).alias("c_" + x) for x in c.columns])
 
     parts = []
 
-    def add(j_filt, i_filt, bd, ba, need_d, need_a, j_cls=("da", "d_", "_a", "__"), i_cls=("da", "d_", "_a", "__")):
-        if not (nonempty(j_cls) and nonempty(i_cls)):
+    def add(j_filt: Column, i_filt: Column, need_d: bool, need_a: bool, j_cls: tuple, i_cls: tuple):
+        # joins with an empty side are not planned at all
+        if not sum(size[c] for c in j_cls) or not sum(size[c] for c in i_cls):
             return
-        j, i = probe(j_filt, bd, ba), cands(i_filt, bd, ba)
-        keys = ["blk", "vlow"] + (["db"] if bd else []) + (["ab"] if ba else [])
+        j, i = buckets(split(firsts.filter(j_filt)), need_d, need_a), cands(i_filt, need_d, need_a)
         cond = F.col("i_rid") < F.col("rid")
         if need_d:
-            cond = cond & (F.abs(F.datediff(F.col("d"), F.col("i_d"))) <= days)
+            cond = cond & (F.abs(F.datediff(F.col("d"), F.col("c_d"))) <= days)
         if need_a:
-            cond = cond & _within(F.col("i_a"), F.col("a"), tol)
+            cond = cond & _within(F.col("c_a"), F.col("a"), tol)
+        if match is not None:
+            cond = cond & match(F.col("toks"), F.col("c_toks"))
+        keys = ["blk"] + ["vlow"] * (match is None) + ["db"] * need_d + ["ab"] * need_a
         parts.append(_semi(j, i, keys, cond).select("rid"))
 
     # both dates known and both amounts positive: block on date and amount buckets
-    add(has_d & has_a, has_d & has_a, True, True, True, True, ("da",), ("da",))
+    add(has_d & has_a, has_d & has_a, True, True, ("da",), ("da",))
     if amount_optional:
         # dates known on both sides, amount test skipped
-        add(has_d & ~has_a, has_d, True, False, True, False, ("d_",), ("da", "d_"))
-        add(has_d & has_a, has_d & ~has_a, True, False, True, False, ("da",), ("d_",))
+        add(has_d & ~has_a, has_d, True, False, ("d_",), ("da", "d_"))
+        add(has_d & has_a, has_d & ~has_a, True, False, ("da",), ("d_",))
     if date_optional:
         # amounts positive on both sides, date test skipped
-        add(~has_d & has_a, has_a, False, True, False, True, ("_a",), ("da", "_a"))
-        add(has_d & has_a, ~has_d & has_a, False, True, False, True, ("da",), ("_a",))
+        add(~has_d & has_a, has_a, False, True, ("_a",), ("da", "_a"))
+        add(has_d & has_a, ~has_d & has_a, False, True, ("da",), ("_a",))
     if date_optional and amount_optional:
         # both tests skipped: block only
-        add(~has_d & ~has_a, F.lit(True), False, False, False, False, ("__",))
-        add(~has_d & has_a, ~has_a, False, False, False, False, ("_a",), ("d_", "__"))
-        add(has_d & ~has_a, ~has_d, False, False, False, False, ("d_",), ("_a", "__"))
-        add(has_d & has_a, ~has_d & ~has_a, False, False, False, False, ("da",), ("__",))
-    if not parts:
-        return base.select("rid").limit(0)
-    return reduce(DataFrame.unionByName, parts).distinct()
+        add(~has_d & ~has_a, F.lit(True), False, False, ("__",), ("da", "d_", "_a", "__"))
+        add(~has_d & has_a, ~has_a, False, False, ("_a",), ("d_", "__"))
+        add(has_d & ~has_a, ~has_d, False, False, ("d_",), ("_a", "__"))
+        add(has_d & has_a, ~has_d & ~has_a, False, False, ("da",), ("__",))
+    repeats = base.select("rid").join(firsts.select("rid"), "rid", "left_anti")
+    return reduce(DataFrame.unionByName, parts, repeats).distinct()
 
 
 def _drop_rows(df: DataFrame, dropped: DataFrame, row_id: str) -> DataFrame:
     return df.join(dropped.withColumnRenamed("rid", row_id), row_id, "left_anti")
 
 
-def _name_pairs(df: DataFrame, block: Column, vname: Column, threshold: float) -> DataFrame:
-    """Pairs of distinct vendor strings of one block whose sequence ratio > threshold
-    (identity pairs included). Works on distinct strings only."""
-    names = df.select(block.alias("np_blk"), vname.alias("vlow_i")).filter(F.col("np_blk").isNotNull()).distinct()
-    other = names.select(F.col("np_blk").alias("b2"), F.col("vlow_i").alias("vlow_j"))
-    pairs = names.join(other, names.np_blk == other.b2).drop("b2")
-    return pairs.filter((F.col("vlow_i") == F.col("vlow_j"))
-                        | (sequence_ratio(F.col("vlow_i"), F.col("vlow_j")) > threshold))
-
-
 def normalized_vendor(vendor: str = "vendor") -> Column:
     """Block key of J5: lower-case text, punctuation removed, trimmed (NULL reads 'nan')."""
     v = F.lower(F.coalesce(F.col(vendor).cast("string"), F.lit("nan")))
@@ -234,17 +227,17 @@ def fuzzy_vendor_duplicates(df: DataFrame, vendor: str = "vendor", amount: str =
     dates within 3 days (skipped if either is NULL); name ratio > 0.85."""
     blk = normalized_vendor(vendor)
     vlow = F.lower(F.coalesce(F.col(vendor).cast("string"), F.lit("nan")))
-    pairs = _name_pairs(df, blk, vlow, name_threshold)
-    dropped = _pairwise_drop(df, block=blk, row_id=row_id, date=date, amount=amount, days=days, tol=amount_tol,
-                             date_optional=True, amount_optional=True, name_pairs=pairs, vname=vlow)
+    base = _probe_base(df, block=blk, row_id=row_id, date=date, amount=amount, vname=vlow)
+    pairs = sequence_ratio_pairs(base.select("blk", "vlow").distinct(), "blk", "vlow", name_threshold)
+    dropped = _pairwise_drop(base, days=days, tol=amount_tol, date_optional=True, amount_optional=True, name_pairs=pairs)
     return _drop_rows(df, dropped, row_id)
 
 
 def date_proximity_duplicates(df: DataFrame, vendor: str = "vendor", amount: str = "amount", date: str = "date",
                               row_id: str = "row_id", days: int = 1, amount_tol: float = 0.10) -> DataFrame:
     """Same vendor, both dates known and within 1 day, both amounts > 0 within 10 %."""
-    dropped = _pairwise_drop(df, block=F.col(vendor), row_id=row_id, date=date, amount=amount, days=days,
-                             tol=amount_tol, date_optional=False, amount_optional=False)
+    base = _probe_base(df, block=F.col(vendor), row_id=row_id, date=date, amount=amount)
+    dropped = _pairwise_drop(base, days=days, tol=amount_tol, date_optional=False, amount_optional=False)
     return _drop_rows(df, dropped, row_id)
 
 
@@ -252,8 +245,8 @@ def amount_similarity_duplicates(df: DataFrame, vendor: str = "vendor", amount:
                                  date: str = "date", row_id: str = "row_id", amount_tol: float = 0.02,
                                  days: int = 7) -> DataFrame:
     """Same vendor, both amounts > 0 within 2 %, both dates known within 7 days."""
-    dropped = _pairwise_drop(df, block=F.col(vendor), row_id=row_id, date=date, amount=amount, days=days,
-                             tol=amount_tol, date_optional=False, amount_optional=False)
+    base = _probe_base(df, block=F.col(vendor), row_id=row_id, date=date, amount=amount)
+    dropped = _pairwise_drop(base, days=days, tol=amount_tol, date_optional=False, amount_optional=False)
     return _drop_rows(df, dropped, row_id)
 
 

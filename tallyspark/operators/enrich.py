@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import fixed_values as FV
 from ..functions.similarity import token_sort_ratio
 from ..functions.text import dedup_key
+from ..session import cut_lineage
+from .common import spread_join
+from .similarity_join import jaccard_holds, jaccard_prefix, ranked_sets
 
 
 # ---- J9 decision cache --------------------------------------------------------------------
@@ -126,27 +129,24 @@ def similar_label_transfer(df: DataFrame, threshold: float = 0.8, k: int = 5, id
 
 # ---- J11 semantic duplicates ------------------------------------------------------------------
 def semantic_duplicates(df: DataFrame, vendor: str = "vendor", memo: str = "memo", amount: str = "amount",
-                        date: str = "date", row_id: str = "row_id", max_jaccard_distance: float = 0.5,
-                        tables: int = 5) -> DataFrame:
-    """J11 re-aimed: texts '<vendor> <memo>' similar by MinHash LSH (Jaccard distance <=
-    0.5 on word sets, over DISTINCT texts) are treated as one block; a later row is
-    dropped when an earlier row with an identical or similar text also meets the J5
-    amount/date rule. Candidate text pairs are approximate (LSH); the row rule is exact."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-    from .dedup import _drop_rows, _pairwise_drop
+                        date: str = "date", row_id: str = "row_id", least_jaccard: float = 0.5) -> DataFrame:
+    """J11 re-aimed: a later row is dropped when an earlier row has a similar text '<vendor> <memo>' (Jaccard
+    index of the word sets of at least ``least_jaccard``; NULL reads 'nan') and meets the J5 amount/date rule.
+
+    Exact: two similar word sets share one of the first words of both, the rarest words coming first, so rows
+    meet on (such a word, date bucket, amount bucket) and the index is computed in the semi join. Pairs of
+    texts are never listed, as a memo that all vendors use makes all of their texts similar. Texts without
+    a word match nothing."""
+    from .dedup import _drop_rows, _pairwise_drop, _probe_base
     text = F.lower(F.concat_ws(" ", F.coalesce(F.col(vendor).cast("string"), F.lit("nan")),
                                F.coalesce(F.col(memo).cast("string"), F.lit("nan"))))
-    texts = df.select(text.alias("t")).distinct().withColumn(
-        "tok", F.array_distinct(F.filter(F.split("t", r"\s+"), lambda x: x != "")))
-    texts = texts.filter(F.size("tok") > 0)
-    feats = HashingTF(inputCol="tok", outputCol="f", numFeatures=1 << 18).transform(texts)
-    model = MinHashLSH(inputCol="f", outputCol="h", numHashTables=tables, seed=42).fit(feats)
-    sim = model.approxSimilarityJoin(feats, feats, max_jaccard_distance, distCol="jd") \
-        .select(F.col("datasetA.t").alias("vlow_i"), F.col("datasetB.t").alias("vlow_j"))
-    ident = texts.select(F.col("t").alias("vlow_i"), F.col("t").alias("vlow_j"))
-    pairs = sim.unionByName(ident).distinct().withColumn("np_blk", F.lit("all"))
-    dropped = _pairwise_drop(df, block=F.lit("all"), row_id=row_id, date=date, amount=amount, days=3, tol=0.05,
-                             date_optional=True, amount_optional=True, name_pairs=pairs, vname=text)
+    base = _probe_base(df, block=F.lit("all"), row_id=row_id, date=date, amount=amount, vname=text).drop("blk")
+    words = F.array_distinct(F.filter(F.split("vlow", r"\s+"), lambda x: x != ""))
+    texts = cut_lineage(base.groupBy("vlow").agg(F.count(F.lit(1)).alias("n")).withColumn("toks", words))
+    ranked = ranked_sets(texts, ["vlow"], "toks").join(texts.select("vlow", "n"), "vlow")
+    known = spread_join(base, cut_lineage(ranked), ["vlow"], "inner").withColumn("blk", jaccard_prefix(F.col("toks"), least_jaccard))
+    dropped = _pairwise_drop(known, days=3, tol=0.05, date_optional=True, amount_optional=True,
+                             match=lambda x, y: jaccard_holds(x, y, least_jaccard))
     return _drop_rows(df, dropped, row_id)
 
 

@@ -225,9 +225,16 @@ def q_j10(spark, t):
     return out.select("vec_id", "label", "transferred_label", rnd(F.col("best_similarity"), 4).alias("best_similarity"))
 
 
-@query("j11_semantic_duplicates")
+@query("j11_semantic_duplicates", """
+WITH x AS (SELECT row_id, date, abs(amount) AS a, list_distinct(list_filter(regexp_split_to_array(
+             lower(coalesce(vendor, 'nan') || ' ' || coalesce(memo, 'nan')), '\\s+'), lambda s: s <> '')) AS tk FROM ledger_dups),
+near AS (SELECT j.row_id, i.tk AS ti, j.tk AS tj FROM x j CROSS JOIN (SELECT unnest(range(-3, 4)) AS off) o
+         JOIN x i ON i.date = CAST(j.date + to_days(CAST(o.off AS INTEGER)) AS DATE) AND i.row_id < j.row_id
+          AND (NOT coalesce(i.a > 0 AND j.a > 0, false) OR abs(i.a - j.a) / greatest(i.a, j.a) <= 0.05))
+SELECT row_id FROM x WHERE row_id NOT IN (
+  SELECT row_id FROM near WHERE 2 * len(list_intersect(ti, tj)) >= len(list_distinct(list_concat(ti, tj))))""")
 def q_j11(spark, t):
-    """MinHash-blocked semantic duplicates of ledger_dups (vendor + memo texts)."""
+    """Duplicates of ledger_dups by similar vendor + memo texts (all dates are known there)."""
     return E.semantic_duplicates(t("ledger_dups")).select("row_id")
 
 

@@ -7,85 +7,104 @@ gives the fewest bytes wins, and a narrow margin is reported as a rejection.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import query, read_table
+from .common import bounded_batches, query, read_table, staged
 
-DICT_BYTES = 110 * 1024     # bound of one language's dictionary
-SAMPLE_TEXTS = 400          # bound of the training texts read to the driver, a language
-SAMPLE_CHARS = 400          # of each of them at most so many characters enter the dictionary
-MAX_LANGS = 512             # bound on learned languages (the most frequent ones)
+WINDOW_CHARS = 256          # a training text is seen as windows of so many characters, side by side
+WINDOWS_A_TEXT = 2          # of which so many, at hashed places, may enter the sample
+SAMPLE_WINDOWS = 400        # bound of the different windows read to the driver, a language
+GROUP_LANGS = 64            # dictionaries that a task holds at once; more languages take more passes
 BLOCK = 4096                # bytes compressed at once, so that the dictionary keeps its weight
 LEVEL, MIN_MATCH = 5, 3     # short matches, as words share endings rather than lines
 MARGIN = 0.01               # relative lead under which a prediction counts as rejected
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
-    """One raw-content dictionary a language, from rows with text and lang.
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+    """One raw-content dictionary a language, for all languages of rows with text and lang.
 
-    Fitted on a bounded sample of labelled rows: of each language the ``SAMPLE_TEXTS`` rows
-    with the smallest hash of ``key``, so at most MAX_LANGS * SAMPLE_TEXTS * SAMPLE_CHARS
-    characters reach the driver. The row limit is a literal, which Spark applies before
-    the shuffle (a hot language is cut on the map side).
+    Fitted on a bounded sample of labelled rows: of each language the ``SAMPLE_WINDOWS`` windows with
+    the smallest hash. Windows come from hashed places of the whole texts and enter once, whatever the copies
+    they stand in, so neither a header on every text nor a group of copies fills a dictionary. The
+    number of languages is not bounded, what comes to the driver of one is. Equal windows meet in
+    the map tasks, and the limit is a literal, which Spark applies before the shuffle too.
     """
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h")) \
-        .where("lang is not null and text is not null and text rlike '\\\\p{L}'")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    names = [r.lang for r in top.collect()]
-    w = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
-    sample = (rows.select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-              .withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_TEXTS))
-    parts: dict[str, list[bytes]] = {n: [] for n in names}
+    n = F.ceil(F.char_length("text") / WINDOW_CHARS)
+    places = F.array(*[F.pmod(F.xxhash64(F.lit(k), "text"), n) for k in range(WINDOWS_A_TEXT)])
+    rows = (docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+            .where("lang is not null and text is not null and text rlike '\\\\p{L}'")
+            .withColumn("at", F.explode(F.array_distinct(places)))
+            .select("lang", F.substring("text", (F.col("at") * WINDOW_CHARS + 1).cast("int"), F.lit(WINDOW_CHARS)).alias("part"))
+            .where("part rlike '\\\\p{L}'").distinct())
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("part"), "part")
+    sample = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_WINDOWS)
+    parts: dict[str, list[bytes]] = {}
     for r in sample.orderBy("lang", "k").collect():
-        if r.lang in parts:
-            parts[r.lang].append(r.text.lower().encode())
-    return {n: b"\n".join(p)[:DICT_BYTES] for n, p in sorted(parts.items()) if p}
+        parts.setdefault(r.lang, []).append(r.part.lower().encode())
+    return {name: b"\n".join(p) for name, p in sorted(parts.items())}
 
 
 def predict(docs: DataFrame, model: dict[str, bytes], text: str = "text") -> DataFrame:
     """Append ``lang_pred`` string, ``lang_score`` double and ``lang_rejected`` boolean.
 
-    The whole text counts, in blocks of ``BLOCK`` bytes. Null texts, texts without a letter and
-    an empty model give ``und`` with score 0, rejected; input columns of these names are replaced. Ties go to the first language by
-    name. The score is the winner's share under softmax of the byte counts.
+    The whole text counts, in blocks of ``BLOCK`` bytes. Null texts, texts without a letter and an
+    empty model give ``und`` with score 0, rejected; input columns of these names are replaced. Repeated rows
+    get equal results. Ties go to the first language by name. The score is the winner's share under softmax
+    of the byte counts. A task holds the dictionaries of ``GROUP_LANGS`` languages; the sizes under further
+    groups are added in passes over a staged table.
     """
-    handle = docs.sparkSession.sparkContext.broadcast(model)   # bound: MAX_LANGS * DICT_BYTES
+    names = sorted(model)
+    new = ("lang_pred", "lang_score", "lang_rejected")
+    keep = [c for c in docs.columns if c not in new]
+    out = bounded_batches(docs).withColumn("__llm_sizes", F.array().cast("array<int>"))
+    for k in range(0, len(names), GROUP_LANGS):
+        if k:
+            out = staged(out, "sizes")
+        sizes = _sizes_udf(docs, {n: model[n] for n in names[k:k + GROUP_LANGS]})
+        out = out.withColumn("__llm_sizes", F.concat("__llm_sizes", sizes(F.col(text))))
+    sizes = F.col("__llm_sizes")
+    known, best, two = F.size(sizes) > 0, F.array_min(sizes), F.slice(F.array_sort(sizes), 1, 2)
+    second = F.when(F.size(two) > 1, F.get(two, 1)).otherwise(2 * best)
+    # a byte saved is eight bits of likelihood; damped, as blocks aren't independent
+    share = 1 / F.aggregate(sizes, F.lit(0.0), lambda acc, s: acc + F.exp(-F.least(F.lit(700.0), (s - best) / 4)))
+    at = F.array_position(sizes, best).cast("int") - 1
+    return out.select(
+        *[F.col(f"`{c}`") for c in keep],
+        F.when(known, F.get(F.array(*map(F.lit, names)) if names else F.array(F.lit("und")), at)).otherwise(F.lit("und")).alias("lang_pred"),
+        F.when(known, share).otherwise(F.lit(0.0)).alias("lang_score"),
+        F.when(known, (second - best) < MARGIN * best).otherwise(F.lit(True)).alias("lang_rejected"))
+
+
+def _sizes_udf(docs: DataFrame, model: dict[str, bytes]):
+    """Bytes of a text under each dictionary of ``model``, by name; empty for a text without a letter."""
+    handle = docs.sparkSession.sparkContext.broadcast(model)   # at most GROUP_LANGS dictionaries
 
-    @F.pandas_udf("lang_pred string, lang_score double, lang_rejected boolean")
-    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def sizes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import zstandard
 
         settings = zstandard.ZstdCompressionParameters.from_level(
             LEVEL, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
         coders = []
-        for name, content in sorted(handle.value.items()):
+        for _, content in sorted(handle.value.items()):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=settings)
-            coders.append((name, zstandard.ZstdCompressor(dict_data=d, compression_params=settings).compress))
+            coders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=settings).compress)
         for texts in batches:
-            yield pd.DataFrame([_classify_one(t, coders) for t in texts],
-                               columns=["lang_pred", "lang_score", "lang_rejected"])
+            yield pd.Series([_sizes_one(t, coders) for t in texts], dtype=object)
+    return sizes.asNondeterministic()      # keeps the optimizer from evaluating it once per column
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
-    out = docs.withColumn("__llm_lang", classify.asNondeterministic()(F.col(text)))
-    return out.select(*[F.col(f"`{c}`") for c in keep], "__llm_lang.*")
 
-
-def _classify_one(text: str | None, coders) -> tuple[str, float, bool]:
-    if not coders or not text or not any(map(str.isalpha, text)):
-        return "und", 0.0, True
+def _sizes_one(text: str | None, coders) -> list[int]:
+    if not text or not any(map(str.isalpha, text)):
+        return []
     raw = text.lower().encode("utf-8", "replace")     # as the dictionaries: letters without case
-    sizes = [sum(len(squeeze(raw[k:k + BLOCK])) for k in range(0, len(raw), BLOCK)) for _, squeeze in coders]
-    best = min(range(len(sizes)), key=sizes.__getitem__)
-    second = min((s for k, s in enumerate(sizes) if k != best), default=sizes[best] * 2)
-    # a byte saved is eight bits of likelihood; damped, as blocks aren't independent
-    share = 1 / sum(math.exp(-min(700.0, (s - sizes[best]) / 4)) for s in sizes)
-    return coders[best][0], share, (second - sizes[best]) < MARGIN * sizes[best]
+    blocks = [raw[k:k + BLOCK] for k in range(0, len(raw), BLOCK)]
+    return [sum(len(squeeze(x)) for x in blocks) for squeeze in coders]
 
 
 @query("op8_language_id")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import money_mean, money_sum, prepared, r2, safe_div, with_scalars
+from .quantiles import exact_quantiles
 
 
 def basic_stats(df: DataFrame, amount: str = "amount") -> DataFrame:
@@ -75,7 +76,6 @@ def key_metrics(df: DataFrame, vendor: str = "vendor", category: str = "category
     base = p.agg(
         F.count("*").alias("total_transactions"), F.sum("abs_amount").alias("total_spend"),
         F.avg("abs_amount").alias("avg_transaction_amount"),
-        F.median("abs_amount").alias("median_transaction_amount"),
         F.count_distinct(vendor).alias("unique_vendors"), F.count_distinct(category).alias("unique_categories"),
         F.datediff(F.max(F.col(date).cast("date")), F.min(F.col(date).cast("date"))).alias("analysis_period_days"),
         F.sum(F.when(F.col(amount) > 0, F.col(amount)).otherwise(0.0)).alias("total_inflow"),
@@ -85,7 +85,8 @@ def key_metrics(df: DataFrame, vendor: str = "vendor", category: str = "category
                   .agg(F.avg("s").alias("avg_vendor_spend")))
     top_cat = (p.filter(F.col(category).isNotNull()).groupBy(category).count()
                .agg(F.max("count").alias("_top")))
-    m = with_scalars(with_scalars(base, per_vendor), top_cat)
+    median = exact_quantiles(p, {"median_transaction_amount": (F.col("abs_amount"), 0.5)})
+    m = with_scalars(with_scalars(with_scalars(base, per_vendor), top_cat), median)
     return m.select(
         "total_transactions", "total_spend", "avg_transaction_amount", "median_transaction_amount",
         "unique_vendors", "avg_vendor_spend", "unique_categories",
@@ -168,9 +169,9 @@ def weekday_distribution(df: DataFrame, date: str = "date", value: str = "abs_am
 def amount_moments(df: DataFrame, value: str = "abs_amount") -> DataFrame:
     """Quartiles (linear interpolation), population skewness, mean, sample std."""
     v = F.col(value)
-    return df.agg(F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("q2"),
-                  F.percentile(v, 0.75).alias("q3"), F.skewness(v).alias("skewness"),
-                  F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+    rest = df.agg(F.skewness(v).alias("skewness"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+    quartiles = exact_quantiles(df, {"q1": (v, 0.25), "q2": (v, 0.5), "q3": (v, 0.75)})
+    return with_scalars(rest, quartiles).select("q1", "q2", "q3", "skewness", "mean", "std")
 
 
 def round_number_share(df: DataFrame, value: str = "abs_amount") -> DataFrame:

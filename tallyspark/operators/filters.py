@@ -7,6 +7,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from ..functions.fixed_values import CATEGORIES, NEEDS_VENDOR
 from .common import with_scalars
+from .quantiles import exact_quantiles
 
 
 def drop_incomplete(df: DataFrame, cols=("vendor", "amount")) -> DataFrame:
@@ -75,16 +76,17 @@ def fill_nulls(df: DataFrame, strategy: str = "median") -> tuple[DataFrame, Data
     """Numeric columns -> 0 when all NULL, else the column median (strategy 'median');
     string columns -> 'Unknown'; other all-NULL columns -> ''.
 
-    One aggregation computes every median / null count; the fill values are attached
-    as a one-row broadcast. Returns (filled frame, report of filled columns)."""
+    One aggregation computes every null count and one pass every median; the fill values are attached
+    as scalars. Returns (filled frame, report of filled columns)."""
     fields = df.schema.fields
     aggs = []
     for i, f in enumerate(fields):
         aggs.append(F.count(F.col(f.name)).alias(f"_n{i}"))
         aggs.append(F.count_if(F.col(f.name).isNull()).alias(f"_z{i}"))
-        if isinstance(f.dataType, NumericType):
-            aggs.append(F.median(F.col(f.name)).cast("double").alias(f"_m{i}"))
+    medians = {f"_m{i}": (F.col(f"`{f.name}`"), 0.5) for i, f in enumerate(fields) if isinstance(f.dataType, NumericType)}
     stats = df.agg(*aggs)
+    if medians and strategy == "median":
+        stats = with_scalars(stats, exact_quantiles(df, medians))
     j = with_scalars(df, stats)
     cols, report = [], []
     for i, f in enumerate(fields):

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import with_scalars
+from .quantiles import exact_quantiles
 
 
 def sample_key(row_id: str = "row_id", seed: int = 42) -> Column:
@@ -34,13 +35,13 @@ def stratified_sample(df: DataFrame, n: int, amount: str = "amount", vendor: str
     vendor tier (frequent > 10 rows, moderate > 3, rare); at most n // 12 rows per
     stratum; then the first n by (stratum, hash)."""
     a = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
-    q = df.agg(F.percentile(a, [0.25, 0.5, 0.75]).alias("_q"))
+    q = exact_quantiles(df, {"_q1": (a, 0.25), "_q2": (a, 0.5), "_q3": (a, 0.75)})
     vc = df.filter(F.col(vendor).isNotNull()).groupBy(vendor).agg(F.count("*").alias("_vc"))
     x = with_scalars(df.join(vc, vendor, "left"), q)
-    tier = (F.when(a <= F.col("_q")[0], 1).when(a <= F.col("_q")[1], 2).when(a <= F.col("_q")[2], 3).otherwise(4))
+    tier = F.when(a <= F.col("_q1"), 1).when(a <= F.col("_q2"), 2).when(a <= F.col("_q3"), 3).otherwise(4)
     vt = F.coalesce(F.col("_vc"), F.lit(0))
     vtier = F.when(vt > 10, "frequent").when(vt > 3, "moderate").otherwise("rare")
-    s = x.withColumn("amount_tier", tier).withColumn("vendor_tier", vtier).drop("_vc", "_q")
+    s = x.withColumn("amount_tier", tier).withColumn("vendor_tier", vtier).drop("_vc", "_q1", "_q2", "_q3")
     picked = _quota(s, ["amount_tier", "vendor_tier"], max(n // 12, 0), row_id, seed)
     return picked.orderBy("amount_tier", "vendor_tier", sample_key(row_id, seed), row_id).limit(n)
 
@@ -60,13 +61,13 @@ def vendor_sample(df: DataFrame, n: int, vendor: str = "vendor", row_id: str = "
 
 
 def temporal_sample(df: DataFrame, n: int, date: str = "date", row_id: str = "row_id", seed: int = 42) -> DataFrame:
-    """M4: equal share per month present (n // months rows each), first n by month."""
+    """M4: equal share per month present (n // months rows each), first n by month.
+
+    The share is a literal of the plan, so Spark cuts every month to it before the shuffle."""
     m = df.filter(F.col(date).isNotNull()).withColumn("_m", F.trunc(F.col(date), "MM"))
-    months = m.agg(F.count_distinct("_m").alias("_nm"))
-    j = with_scalars(m, months)
-    w = Window.partitionBy("_m").orderBy(sample_key(row_id, seed), F.col(row_id))
-    picked = j.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.floor(F.lit(n) / F.col("_nm")))
-    return picked.orderBy("_m", "_rn").limit(n).drop("_m", "_rn", "_nm")
+    months = m.agg(F.count_distinct("_m")).first()[0]       # one number
+    picked = _quota(m, ["_m"], n // max(months, 1), row_id, seed)
+    return picked.orderBy("_m", sample_key(row_id, seed), row_id).limit(n).drop("_m")
 
 
 def high_value_sample(df: DataFrame, n: int, amount: str = "amount", row_id: str = "row_id",
@@ -74,7 +75,7 @@ def high_value_sample(df: DataFrame, n: int, amount: str = "amount", row_id: str
     """M5: up to n // 2 rows at or above the 90th percentile of |amount|, the rest below."""
     a = F.abs(F.col(amount))
     base = df.filter(a.isNotNull())
-    thr = base.agg(F.percentile(F.abs(F.col(amount)), 0.9).alias("_thr"))
+    thr = exact_quantiles(base, {"_thr": (a, 0.9)})
     j = with_scalars(base, thr).withColumn("_hi", (a >= F.col("_thr")).cast("int"))
     high = j.filter("_hi = 1").orderBy(sample_key(row_id, seed), row_id).limit(n // 2)
     nh = high.agg(F.count("*").alias("_nh"))

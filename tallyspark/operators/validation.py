@@ -9,56 +9,73 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from .common import with_scalars
+from .quantiles import exact_quantiles
 
 LEDGER_SCHEMA = {"date": "timestamp", "vendor": "string", "amount": "double", "category": "string",
                  "description": "string", "memo": "string"}
 
 
+def _checked(df: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
+    """One row a check of the named columns: (column, check, passed, valid, invalid), all from one aggregate.
+
+    ``fields`` pairs a column with ``numeric``, ``date`` or ``text``. The quartiles of all numeric columns come
+    from one more pass (``exact_quantiles``); a column without a value passes its range check."""
+    numbers = [c for c, kind in fields if kind == "numeric"]
+    if numbers:
+        quartiles = exact_quantiles(df, {f"_{q}_{i}": (F.col(f"`{c}`").cast("double"), p) for i, c in enumerate(numbers)
+                                         for q, p in (("lo", 0.25), ("hi", 0.75))})
+        df = with_scalars(df, quartiles)
+    aggs, rows = [], []
+
+    def check(column: str, name: str, valid, total) -> None:
+        i = len(rows)
+        aggs.extend([valid.alias(f"v{i}"), total.alias(f"n{i}")])
+        v, n = F.col(f"v{i}"), F.col(f"n{i}")
+        rows.append(F.struct(F.lit(column).alias("column"), F.lit(name).alias("check"), (v == n).alias("passed"),
+                             v.alias("valid"), (n - v).alias("invalid")))
+
+    for c, kind in fields:
+        x, everything = F.col(f"`{c}`"), F.count(F.lit(1))
+        if kind == "numeric":
+            x, i = x.cast("double"), numbers.index(c)
+            lo, hi = F.col(f"_lo_{i}"), F.col(f"_hi_{i}")
+            reach = 1.5 * (hi - lo)
+            check(c, "all_positive", F.count_if(x > 0), F.count(x))
+            check(c, "iqr_range", F.count_if((x >= lo - reach) & (x <= hi + reach)), F.count(x))
+        elif kind == "date":
+            check(c, "not_null", F.count(x), everything)
+        else:
+            check(c, "non_empty", F.count_if(F.coalesce(F.trim(x.cast("string")) != "", F.lit(False))), everything)
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+
+
 def validate_numeric(df: DataFrame, col: str) -> DataFrame:
     """V1: all-positive check and IQR range check (Q1 - 1.5 IQR .. Q3 + 1.5 IQR)."""
-    x = F.col(col).cast("double")
-    q = df.agg(F.percentile(x, 0.25).alias("_q1"), F.percentile(x, 0.75).alias("_q3"))
-    j = with_scalars(df.select(x.alias("_x")), q)
-    iqr = F.col("_q3") - F.col("_q1")
-    lo, hi = F.col("_q1") - 1.5 * iqr, F.col("_q3") + 1.5 * iqr
-    st = j.agg(F.count("_x").alias("n"), F.count_if(F.col("_x") > 0).alias("positive"),
-               F.count_if((F.col("_x") >= lo) & (F.col("_x") <= hi)).alias("in_range"))
-    return st.select(
-        F.lit(col).alias("column"),
-        F.array(F.struct(F.lit("all_positive").alias("check"), (F.col("positive") == F.col("n")).alias("passed"),
-                         F.col("positive").alias("valid"), (F.col("n") - F.col("positive")).alias("invalid")),
-                F.struct(F.lit("iqr_range").alias("check"), (F.col("in_range") == F.col("n")).alias("passed"),
-                         F.col("in_range").alias("valid"), (F.col("n") - F.col("in_range")).alias("invalid")))
-        .alias("checks")).select("column", F.explode("checks").alias("c")).select("column", "c.*")
+    return _checked(df, [(col, "numeric")])
 
 
 def validate_date(df: DataFrame, col: str) -> DataFrame:
     """V2: non-null check."""
-    st = df.agg(F.count(col).alias("valid"), F.count_if(F.col(col).isNull()).alias("invalid"))
-    return st.select(F.lit(col).alias("column"), F.lit("not_null").alias("check"),
-                     (F.col("invalid") == 0).alias("passed"), "valid", "invalid")
+    return _checked(df, [(col, "date")])
 
 
 def validate_text(df: DataFrame, col: str) -> DataFrame:
     """V3: non-empty per row (trimmed)."""
-    ok = F.coalesce(F.trim(F.col(col).cast("string")) != "", F.lit(False))
-    st = df.agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
-    return st.select(F.lit(col).alias("column"), F.lit("non_empty").alias("check"),
-                     (F.col("invalid") == 0).alias("passed"), "valid", "invalid")
+    return _checked(df, [(col, "text")])
 
 
 def validate_table(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """V4: per-column checks (numeric -> V1, date/timestamp -> V2, text -> V3) and the
-    overall score = passed / total checks. Returns (checks, score)."""
-    parts = []
+    """V4: per-column checks (numeric -> V1, date/timestamp -> V2, text -> V3; other types have none) and
+    the overall score = passed / total checks. Returns (checks, score)."""
+    fields = []
     for f in df.schema.fields:
         if isinstance(f.dataType, NumericType):
-            parts.append(validate_numeric(df, f.name))
+            fields.append((f.name, "numeric"))
         elif isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType)):
-            parts.append(validate_date(df, f.name))
+            fields.append((f.name, "date"))
         elif isinstance(f.dataType, StringType):
-            parts.append(validate_text(df, f.name))
-    checks = reduce(DataFrame.unionByName, parts)
+            fields.append((f.name, "text"))
+    checks = _checked(df, fields)
     score = checks.agg(F.count("*").alias("total_checks"), F.count_if("passed").alias("passed_checks")) \
         .withColumn("score", F.col("passed_checks") / F.col("total_checks"))
     return checks, score

@@ -18,6 +18,7 @@ from ..functions.text import dedup_key
 from ..session import cut_lineage
 from .common import spread_join
 from .similarity_join import jaccard_holds, jaccard_prefix, ranked_sets
+from .vector_join import neighbours, transfer
 
 
 # ---- J9 decision cache --------------------------------------------------------------------
@@ -41,90 +42,19 @@ def reuse_cached_decisions(df: DataFrame, cache: DataFrame, decide, vendor: str
 
 
 # ---- J10 nearest-neighbour label transfer --------------------------------------------------
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-
-
-def _block_pairs(probes: DataFrame, members: DataFrame, threshold: float, block_rows: int) -> DataFrame:
-    """Candidate pairs of each pivot cell scored in bounded blocks.
-
-    Probes and members of a cell are split into chunks of about ``block_rows`` rows
-    (chunk counts per cell come from a per-cell count, at most ``pivots`` rows); each
-    (cell, probe chunk, member chunk) block is one group holding at most two chunks,
-    scored with a numpy matrix product inside the task, and only pairs above the
-    threshold leave the task."""
-    import numpy as np
-    pc = probes.groupBy("cell").agg(F.count("*").alias("n")).collect()     # one row per pivot
-    mc = members.groupBy("cell").agg(F.count("*").alias("n")).collect()
-    pch = {r.cell: max(1, -(-r.n // block_rows)) for r in pc}
-    mch = {r.cell: max(1, -(-r.n // block_rows)) for r in mc}
-    cells = sorted(set(pch) | set(mch))
-
-    def lit_map(d):
-        return F.create_map(*[x for c in cells for x in (F.lit(c), F.lit(d.get(c, 1)))])
-    # the cogroup keys must have identical types on both sides (they are hashed)
-    P = probes.withColumn("pc", F.pmod(F.xxhash64("qid"), F.element_at(lit_map(pch), F.col("cell"))).cast("int"))
-    P = P.withColumn("mc", F.explode(F.sequence(F.lit(0), (F.element_at(lit_map(mch), F.col("cell")) - 1).cast("int"))))
-    Mm = members.withColumn("mc", F.pmod(F.xxhash64("nid"), F.element_at(lit_map(mch), F.col("cell"))).cast("int"))
-    Mm = Mm.withColumn("pc", F.explode(F.sequence(F.lit(0), (F.element_at(lit_map(pch), F.col("cell")) - 1).cast("int"))))
-    P = P.withColumn("cell", F.col("cell").cast("long"))
-    Mm = Mm.withColumn("cell", F.col("cell").cast("long"))
-
-    def score(pdf_p, pdf_m):
-        if len(pdf_p) == 0 or len(pdf_m) == 0:
-            return pd.DataFrame({"qid": [], "nid": [], "nlbl": [], "sim": []})
-        a = np.stack(pdf_p["v"].to_numpy()).astype(np.float64)
-        b = np.stack(pdf_m["nv"].to_numpy()).astype(np.float64)
-        sim = a @ b.T
-        qi, ni = np.nonzero(sim > threshold)
-        q_ids, n_ids = pdf_p["qid"].to_numpy()[qi], pdf_m["nid"].to_numpy()[ni]
-        keep = q_ids != n_ids
-        return pd.DataFrame({"qid": q_ids[keep], "nid": n_ids[keep], "nlbl": pdf_m["nlbl"].to_numpy()[ni][keep],
-                             "sim": sim[qi, ni][keep]})
-    out_schema = f"qid {probes.schema['qid'].dataType.simpleString()}, nid {members.schema['nid'].dataType.simpleString()}, " \
-                 f"nlbl {members.schema['nlbl'].dataType.simpleString()}, sim double"
-    return (P.groupBy("cell", "pc", "mc").cogroup(Mm.groupBy("cell", "pc", "mc"))
-            .applyInPandas(score, out_schema))
-
-
 def similar_label_transfer(df: DataFrame, threshold: float = 0.8, k: int = 5, id_col: str = "vec_id",
-                           vec: str = "embedding", label: str = "label", pivots: int = 16,
+                           vec: str = "embedding", label: str = "label", pivots: int | None = None,
                            block_rows: int = 512) -> DataFrame:
     """For each row, the neighbours (self excluded) with inner product > threshold,
-    top-k by similarity; the best neighbour's label is transferred.
-
-    Exact candidate generation for unit vectors: ip >= t <=> distance <= r with
-    r = sqrt(2 - 2t). Each row has a home pivot (nearest of ``pivots`` rows chosen by
-    hash); by the triangle inequality a neighbour y of x (home c_y) satisfies
-    d(x, c_y) <= d(x, c_x) + 2r, so x is copied only to those pivots and joined with
-    their home members on the pivot id. Pivots are a fixed-size set (broadcast).
-    Pruning is strong for clustered embeddings; results are exact in all cases."""
-    r = math.sqrt(max(0.0, 2 - 2 * threshold))
-    base = df.select(F.col(id_col).alias("qid"), F.col(vec).cast("array<double>").alias("v"),
-                     F.col(label).alias("lbl"))
-    piv = (base.orderBy(F.md5(F.col("qid").cast("string")), "qid").limit(pivots)
-           .select(F.col("qid").alias("pid"), F.col("v").alias("pv")))
-    pv = [(row.pid, list(row.pv)) for row in piv.collect()]      # at most ``pivots`` vectors
-    if not pv:
-        return df.withColumns({"transferred_label": F.lit(None).cast(df.schema[label].dataType),
-                               "best_similarity": F.lit(None).cast("double"), "neighbours": F.array()})
-    parr = F.array(*[F.struct(F.lit(pid).alias("pid"), F.array(*[F.lit(float(x)) for x in vals]).alias("pv"))
-                     for pid, vals in pv])
-    dist = lambda a, b: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * _dot(a, b)))
-    with_d = base.withColumn("_p", F.explode(parr)).withColumn("_d", dist(F.col("v"), F.col("_p.pv")))
-    home_d = with_d.groupBy("qid").agg(F.min_by("_p.pid", F.struct("_d", "_p.pid")).alias("home"),
-                                       F.min("_d").alias("home_d"))
-    members = base.join(home_d, "qid").select(F.col("qid").alias("nid"), F.col("v").alias("nv"),
-                                              F.col("lbl").alias("nlbl"), F.col("home").alias("cell"))
-    probes = (with_d.join(home_d, "qid").filter(F.col("_d") <= F.col("home_d") + 2 * r + 1e-9)
-              .select("qid", "v", F.col("_p.pid").alias("cell")))
-    pairs = _block_pairs(probes, members, threshold, block_rows)
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.col("nid"))
-    topk = pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-    agg = topk.groupBy("qid").agg(
-        F.min_by("nlbl", "_rn").alias("transferred_label"), F.max("sim").alias("best_similarity"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_rn", "nid"))), lambda s: s["nid"]).alias("neighbours"))
-    return df.join(agg.withColumnRenamed("qid", id_col), id_col, "left")
+    top-k by similarity, ties by id; the best neighbour's label is transferred.
+
+    Exact for vectors of any length: a metric index (``vector_join``) leaves out only what the triangle
+    inequality rules out. ``pivots`` defaults to the root of the number of distinct vectors, bounded by
+    ``PIVOTS_MOST``. Pruning is strong for clustered vectors; vectors without structure meet all others, in
+    blocks. Rows whose vector is NULL, holds a NULL or non-finite entry, or is shorter than the
+    longest have no neighbours; rows are known by their id."""
+    near = neighbours(df, id_col, vec, label, threshold, k, pivots, block_rows)
+    return transfer(df, id_col, vec, near, k)
 
 
 # ---- J11 semantic duplicates ------------------------------------------------------------------

@@ -8,6 +8,7 @@ range rules generate their candidate keys arithmetically (no nested-loop joins).
 
 from __future__ import annotations
 
+import bisect
 import math
 from functools import reduce
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.fixed_values import (FREQUENCY_SIGMAS, HIGH_RISK_PATTERNS, OUTLIER_SIGMAS, ROUND_TARGETS,
                                       ROUND_TOLERANCE, SAFE_VENDORS, SEVERITY_WEIGHTS, TEMPORAL_FACTOR,
                                       VENDOR_CONCENTRATION)
+from ..session import cut_lineage
 from .common import with_scalars
 
 FLAG_COLUMNS = ["flag_type", "severity", "confidence", "entity", "txn_id", "metric", "threshold", "expected",
@@ -211,31 +213,23 @@ def high_risk_vendors(df: DataFrame, vendor: str = "vendor") -> DataFrame:
 
 
 # ---- R11 (W6) -----------------------------------------------------------------------------------
-def next_in_time(df: DataFrame, date: str = "date", row_id: str = "row_id", cols=("amount", "vendor"),
-                 bucket: str = "hour") -> DataFrame:
+def next_in_time(df: DataFrame, date: str = "date", row_id: str = "row_id", cols=("amount", "vendor")) -> DataFrame:
     """Each row with the next row of the global (time, row_id) order.
 
-    A global window would be one task. Instead rows are windowed per time bucket and
-    the last row of every bucket is paired with the first row of the next non-empty
-    bucket through a boundary table holding one row per bucket (bounded by the number
-    of buckets, not rows). The result equals the global order exactly."""
-    ts = F.col(date).cast("timestamp")
-    base = df.filter(F.col(date).isNotNull()).select(F.col(row_id).alias("rid"), ts.alias("ts"),
-                                                      *[F.col(c).alias(c) for c in cols])
-    base = base.withColumn("_bk", F.date_trunc(bucket, "ts"))
-    w = Window.partitionBy("_bk").orderBy("ts", "rid")
-    nxt = {f"next_{c}": F.lead(c).over(w) for c in ["rid", "ts", *cols]}
-    inner = base.withColumns(nxt).withColumn("_rn", F.row_number().over(w))
-    ends = base.groupBy("_bk").agg(
-        F.max_by(F.struct("rid", "ts", *cols), F.struct("ts", "rid")).alias("_last"),
-        F.min_by(F.struct("rid", "ts", *cols), F.struct("ts", "rid")).alias("_first"))
-    wb = Window.orderBy("_bk")   # one row per bucket
-    links = ends.withColumn("_nf", F.lead("_first").over(wb)).filter(F.col("_nf").isNotNull()).select(
-        F.col("_last.rid").alias("rid"), *[F.col(f"_nf.{c}").alias(f"nb_{c}") for c in ["rid", "ts", *cols]])
-    out = inner.join(links, "rid", "left")
-    for c in ["rid", "ts", *cols]:
-        out = out.withColumn(f"next_{c}", F.coalesce(F.col(f"next_{c}"), F.col(f"nb_{c}"))).drop(f"nb_{c}")
-    return out.drop("_bk", "_rn")
+    A global window would be one task. Rows are range-partitioned by (time, row_id), so a day that holds a
+    third of them is split too; each partition finds its own next rows, and its last row is
+    handed the first row of the next partition that has any: a table of one row a partition."""
+    base = df.filter(F.col(date).isNotNull()).select(
+        F.col(row_id).alias("rid"), F.col(date).cast("timestamp").alias("ts"), *[F.col(c).alias(c) for c in cols])
+    # written once: the ranges must be the same for the rows and for the edges
+    ranged = cut_lineage(base.repartitionByRange("ts", "rid").withColumn("_part", F.spark_partition_id()))
+    names = ["rid", "ts", *cols]
+    w = Window.partitionBy("_part").orderBy("ts", "rid")
+    inner = ranged.withColumn("_next", F.lead(F.struct(*names)).over(w))
+    firsts = ranged.groupBy("_part").agg(F.min_by(F.struct(*names), F.struct("ts", "rid")).alias("_first"))
+    edges = firsts.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_edge"))
+    out = inner.join(F.broadcast(edges), "_part").withColumn("_next", F.coalesce("_next", "_edge"))
+    return out.select(*names, *[F.col("_next")[c].alias(f"next_{c}") for c in names])
 
 
 def sequential_identical_amounts(df: DataFrame, date: str = "date", amount: str = "amount", vendor: str = "vendor",
@@ -252,20 +246,60 @@ def sequential_identical_amounts(df: DataFrame, date: str = "date", amount: str
 
 
 # ---- R12, R13 -------------------------------------------------------------------------------------
-def amount_leader_clusters(df: DataFrame, amount: str = "amount", tolerance: float = 0.05,
+def leader_centres(amounts: DataFrame, tolerance: float = 0.05) -> list[tuple[int, float]]:
+    """Centres of the greedy leader clustering of ``amounts(x, first)``, distinct positive amounts with the first
+    row that has each: taken in row order, an amount that no centre has within ``tolerance`` of itself becomes one.
+
+    Two centres are more than ``tolerance`` apart, so there are at most log(max / min) / log(1 + tolerance) + 1 of them,
+    however many the rows; the same holds for the narrow buckets of amounts whose earliest rows are looked
+    at. A round settles every such row that no unknown earlier row can reach and drops the amounts it
+    covers: a few rounds for rows in any mixed order, at most one a centre for rows sorted by amount."""
+    narrow = 16 / math.log(1 + tolerance)
+    left = cut_lineage(amounts.select("x", "first", F.floor(F.log("x") * narrow).cast("long").alias("b")))
+    centres: list[tuple[int, float]] = []
+    while True:
+        seen = sorted((r["first"], r["x"], r["b"]) for r in left.groupBy("b").agg(
+            F.min("first").alias("first"), F.min_by("x", "first").alias("x")).collect())
+        if not seen:
+            return sorted(centres)
+        new: list[float] = []
+        unsure: set[int] = set()
+        for first, x, b in seen:
+            reach = range(math.floor(math.log(x / (1 + tolerance)) * narrow) - 1, math.floor(math.log(x / (1 - tolerance)) * narrow) + 2)
+            at = bisect.bisect_left(new, x)
+            if any(abs(x - c) / c <= tolerance for c in new[max(0, at - 1):at + 1]) or not unsure.isdisjoint(reach):
+                unsure.add(b)       # covered, or an earlier row that isn't known yet may cover it
+            else:
+                new.insert(at, x)
+                centres.append((first, x))
+        near = F.broadcast(left.sparkSession.createDataFrame([(c, k) for c in new for k in range(
+            math.floor(math.log(c * (1 - tolerance)) * narrow) - 1, math.floor(math.log(c * (1 + tolerance)) * narrow) + 2)], "c double, cb long"))
+        covered = (F.col("b") == F.col("cb")) & (F.abs(F.col("x") - F.col("c")) / F.col("c") <= tolerance)
+        left = cut_lineage(left.join(near, covered, "left_anti"))
+
+
+def amount_leader_clusters(df: DataFrame, amount: str = "amount", row_id: str = "row_id", tolerance: float = 0.05,
                            min_size: int = 3) -> DataFrame:
-    """Clusters of |amount| in geometric 5 % buckets (zeros form their own bucket);
-    buckets with more than 3 rows are flagged. Order-independent re-statement of the
-    greedy leader clustering."""
-    x = F.abs(F.col(amount))
-    xc = F.col("_x")
-    b = F.when(xc == 0, F.lit(None).cast("long")).otherwise(F.floor(F.log(xc) / math.log(1 + tolerance)).cast("long"))
-    per = (df.select(x.alias("_x")).filter(F.col("_x").isNotNull()).withColumn("_b", b)
-           .groupBy("_b").agg(F.count("*").alias("_c"), F.min("_x").alias("_centre")))
-    hit = per.filter(F.col("_c") > min_size)
+    """Greedy leader clusters of |amount| in the order of ``row_id``: an amount joins the first centre that
+    has it within 5 % of the centre, or becomes one; clusters of more than 3 rows are flagged, each known by
+    the row of its centre. Zeros, which no ratio reaches, are a cluster of their own; infinite amounts are left out."""
+    x = F.abs(F.col(amount)).cast("double")
+    per = cut_lineage(df.select(x.alias("x"), F.col(row_id).alias("rid")).filter("x is not null and x < double('infinity')")
+                      .groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first")))
+    centres = leader_centres(per.filter("x > 0").select("x", "first"), tolerance)
+    width = math.log(1 + tolerance)
+    # a centre lies in the bucket of each amount it covers, or in one beside it
+    table = F.broadcast(df.sparkSession.createDataFrame(
+        [(first, c, math.floor(math.log(c) / width) + k) for first, c in centres for k in (-2, -1, 0, 1, 2)], f"crow {per.schema['first'].dataType.simpleString()}, c double, cb long"))
+    joined = per.filter("x > 0").withColumn("b", F.floor(F.log("x") / width).cast("long")).join(
+        table, (F.col("b") == F.col("cb")) & (F.abs(F.col("x") - F.col("c")) / F.col("c") <= tolerance))
+    own = joined.groupBy("x").agg(F.first("n").alias("n"), F.min(F.struct("crow", "c")).alias("centre"))
+    sums = own.groupBy("centre").agg(F.sum("n").alias("_c")).select(
+        F.col("centre.crow").cast("string").alias("_e"), "_c", F.col("centre.c").alias("_centre"))
+    zero = per.filter("x = 0").select(F.lit("zero").alias("_e"), F.col("n").alias("_c"), F.col("x").alias("_centre"))
+    hit = sums.unionByName(zero).filter(F.col("_c") > min_size)
     return _flags(hit, "amount_clustering", "MEDIUM", F.least(F.lit(0.8), F.col("_c") / 10),
-                  entity=F.coalesce(F.col("_b").cast("string"), F.lit("zero")), metric=F.col("_c"),
-                  threshold=F.col("_centre"),
+                  entity=F.col("_e"), metric=F.col("_c"), threshold=F.col("_centre"),
                   description=F.concat(F.lit("Amount clustering: "), F.col("_c").cast("string"),
                                        F.lit(" transactions around "), _money(F.col("_centre"))))
 
@@ -291,7 +325,7 @@ def all_flags(df: DataFrame, date: str = "date", amount: str = "amount", vendor:
              vendor_frequency_anomalies(df, vendor, date), weekend_activity(df, date),
              after_hours_activity(df, date), vendor_concentration(df, vendor), unknown_vendors(df, vendor, amount),
              high_risk_vendors(df, vendor), sequential_identical_amounts(df, date, amount, vendor, row_id),
-             amount_leader_clusters(df, amount), vendor_amount_consistency(df, vendor, amount)]
+             amount_leader_clusters(df, amount, row_id), vendor_amount_consistency(df, vendor, amount)]
     return reduce(DataFrame.unionByName, parts)
 
 

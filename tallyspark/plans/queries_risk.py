@@ -7,7 +7,6 @@ because number formatting differs between engines.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
@@ -122,14 +121,15 @@ def sql_r11(src):
             f"WHERE nrid IS NOT NULL AND a = na AND {h} <= 24")
 
 
-LOG105 = repr(math.log(1.05))
-
-
 def sql_r12(src):
-    return (f"{_sel('amount_clustering', 'MEDIUM', 'least(0.8, c / 10)', "coalesce(CAST(b AS VARCHAR), 'zero')", 'NULL', 'c', 'centre')} "
-            f"FROM (SELECT b, count(*) AS c, min(x) AS centre FROM (SELECT abs(amount) AS x, "
-            f"CASE WHEN abs(amount) = 0 THEN NULL ELSE CAST(floor(ln(abs(amount)) / {LOG105}) AS BIGINT) END AS b "
-            f"FROM {src} WHERE amount IS NOT NULL) GROUP BY b) WHERE c > 3")
+    covers = "abs(x - c) / c <= 0.05"
+    first = "first_value(row_id) OVER (ORDER BY row_id) AS cr, first_value(x) OVER (ORDER BY row_id) AS c"
+    groups = (f"WITH RECURSIVE u AS (SELECT row_id, x, {first} FROM (SELECT row_id, abs(amount) AS x FROM {src} WHERE abs(amount) > 0) "
+              f"UNION ALL SELECT row_id, x, {first} FROM u WHERE NOT ({covers})) "
+              f"SELECT CAST(cr AS VARCHAR) AS e, c AS centre, count(*) AS n FROM u WHERE {covers} GROUP BY cr, c "
+              f"UNION ALL SELECT 'zero', 0.0, count(*) FROM {src} WHERE amount = 0")
+    return (f"{_sel('amount_clustering', 'MEDIUM', 'least(0.8, n / 10)', 'e', 'NULL', 'n', 'centre')} "
+            f"FROM ({groups}) WHERE n > 3")
 
 
 def sql_r13(src, vendor="vendor"):

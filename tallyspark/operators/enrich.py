@@ -49,7 +49,7 @@ def similar_label_transfer(df: DataFrame, threshold: float = 0.8, k: int = 5, id
     top-k by similarity, ties by id; the best neighbour's label is transferred.
 
     Exact for vectors of any length: a metric index (``vector_join``) leaves out only what the triangle
-    inequality rules out. ``pivots`` defaults to the root of the number of distinct vectors, bounded by
+    inequality rules out. ``pivots`` defaults to four times the root of the number of distinct vectors, bounded by
     ``PIVOTS_MOST``. Pruning is strong for clustered vectors; vectors without structure meet all others, in
     blocks. Rows whose vector is NULL, holds a NULL or non-finite entry, or is shorter than the
     longest have no neighbours; rows are known by their id."""

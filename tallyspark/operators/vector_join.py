@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import cut_lineage
 from .common import spread_join
 
-PIVOTS_MOST = 4096      # bound of the broadcast pivots; below it they grow with the root of the table
+PIVOTS_MOST = 4096      # bound of the broadcast pivots, and a fourth of that of the sample they are taken
+                        # from; below it they grow with the root of the table
 SLACK = 1e-7            # radians added to every bound, for rounding
 
 
@@ -63,6 +64,16 @@ class Sphere:
         angle = np.where(size > 0, np.arccos(np.clip(cos, -1.0, 1.0)), math.pi if self.threshold < 0 else -1.0)
         return unit, np.where(cos > 1 + 1e-9, -1.0, angle)
 
+    def spread(self, size: int) -> None:
+        """Keep ``size`` of the pivots, each next one being that farthest from those taken, so that every cluster
+        of the sample gets one and balls stay small."""
+        at = [0]
+        near = self.pivots @ self.pivots[0]
+        while len(at) < min(size, len(self.pivots)) and near.min() < 1 - 1e-12:
+            at.append(int(near.argmin()))
+            near = np.maximum(near, self.pivots @ self.pivots[at[-1]])
+        self.pivots = self.pivots[at]
+
     def angles(self, points: np.ndarray) -> np.ndarray:
         """Points x pivots."""
         return np.arccos(np.clip(points @ self.pivots.T, -1.0, 1.0))
@@ -74,9 +85,10 @@ def placed(classes: DataFrame, threshold: float, pivots: int | None = None) -> t
     A member y of cell c is within angle t of a probe x only if ``angle(x, c)`` is within t of the ring of y, and,
     c being nearest to y, at most 2 t above the angle of x to its own nearest pivot."""
     n, most = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))).first()
-    size = pivots or min(PIVOTS_MOST, math.ceil(math.sqrt(n)))
-    chosen = np.array([r.v for r in classes.orderBy(F.xxhash64("v"), "cid").limit(size).select("v").collect()])
-    sphere = Sphere(math.sqrt(most) or 1.0, threshold, chosen)
+    size = pivots or min(PIVOTS_MOST, 4 * math.ceil(math.sqrt(n)))
+    sample = np.array([r.v for r in classes.orderBy(F.xxhash64("v"), "cid").limit(4 * size).select("v").collect()])
+    sphere = Sphere(math.sqrt(most) or 1.0, threshold, sample)
+    sphere.spread(size)
     width = max(0.02, math.acos(min(1.0, max(-1.0, threshold / sphere.most ** 2))))
 
     @F.arrow_udf("struct<cell: int, angle: double>")
@@ -88,7 +100,7 @@ def placed(classes: DataFrame, threshold: float, pivots: int | None = None) -> t
     members = cut_lineage(classes.withColumn("home", home("v")).select(
         "cid", "v", "least", "home.cell", "home.angle", F.floor(F.col("home.angle") / width).cast("int").alias("ring")))
     balls = members.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()   # a row a pivot
-    low, high = np.full(len(chosen), np.inf), np.full(len(chosen), -np.inf)
+    low, high = np.full(len(sphere.pivots), np.inf), np.full(len(sphere.pivots), -np.inf)
     for b in balls:
         low[b.cell], high[b.cell] = b.lo, b.hi
 

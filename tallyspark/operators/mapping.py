@@ -13,9 +13,11 @@ import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import fixed_values as FV
 from ..functions.similarity import sequence_ratio
+from ..session import cut_lineage
 
 
 # ---- header table helpers -------------------------------------------------------------------
@@ -218,61 +220,87 @@ def suggest_mappings(headers: DataFrame) -> DataFrame:
 
 
 # ---- H0 profile and content predicates H10-H15 -------------------------------------------------
-def _alt(patterns: list[str]) -> str:
-    """One regex matching when any of ``patterns`` matches (one scan instead of many)."""
-    return "|".join(f"(?:{p})" for p in patterns)
+#: A value that may be a date: digits with a date's separators, or a month name. Plain numbers are not dates.
+_DATE_SHAPE = r"(?i)^\s*(\d{1,4}[-/. ]\s*\d{1,2}[-/. ]|\d{1,2}[- ]?[a-z]{3}|[a-z]{3,9}\.? \d)"
 
 
 def profile_columns(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
-    """H0: one pass over the table; one output row per column with counts, rates and
-    moments of the text and of its numeric reading.
+    """H0: one pass over the table; one output row per column with counts, rates and moments of the text, of
+    its numeric reading (``$`` and ``,`` taken out) and of its plain numbers (``plain_``).
 
-    The table is unpivoted to (position, column, value) and aggregated by column, so the
-    same ~15 aggregates serve every column (a wide table does not produce one giant
-    aggregate) and partial aggregation ships one row per column per task."""
+    The table is unpivoted to (position, column, value). With ``exact_distinct`` equal values of a column are
+    counted first, in the map tasks and then by a shuffle, and all tests run once a distinct value; without, they run
+    on every cell and distinct values are estimated, which needs no shuffle of values. Where a rule tests a list of
+    symbols or patterns each on its own, the rate is the largest of the single rates."""
     pairs = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
                                F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(df.columns)])
     long = df.select(F.explode(pairs).alias("p")).select("p.*")
-    s = F.col("v")
-    low = F.lower(s)
+    if exact_distinct:
+        long, distinct = long.groupBy("position", "column", "v").agg(F.count(F.lit(1)).alias("n")), F.count("v")
+    else:
+        long, distinct = long.withColumn("n", F.lit(1).cast("long")), F.approx_count_distinct("v")
     from ..functions.amounts import to_double
-    num = to_double(F.regexp_replace(s, r"[$,]", ""))
-    words = F.size(F.split(F.trim(s), r"\s+"))
-    n = F.count(s)
+    from ..functions.dates import standardize_date
+    s, n, low = F.col("v"), F.col("n"), F.lower("v")
+    plain, num = to_double(s), to_double(F.regexp_replace(s, r"[$,]", ""))
+    known = F.coalesce(F.sum(F.when(s.isNotNull(), n)), F.lit(0))
+    rows = F.sum("n")
 
-    def rate(cond):
-        return F.when(n > 0, F.count_if(cond) / n).otherwise(F.lit(0.0))
+    def rate(cond: Column) -> Column:
+        return F.when(known > 0, F.coalesce(F.sum(F.when(cond, n)), F.lit(0)) / known).otherwise(F.lit(0.0))
+
+    def most(conds: list[Column]) -> Column:
+        return F.greatest(*[rate(c) for c in conds])
+
+    def mean(x: Column) -> Column:
+        return F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))
+
+    def std(x: Column, centre: str) -> Column:
+        m = F.sum(F.when(x.isNotNull(), n))
+        off = x - F.col(centre)
+        return F.when(m > 1, F.sqrt(F.sum(off * off * n) / (m - 1)))
+
+    # values are centred before they are squared: one row a column is broadcast, the counted values are shuffled once
+    centres = long.groupBy(F.col("position").alias("_p")).agg(mean(num).alias("_num"), mean(plain).alias("_plain"))
+    long = long.join(F.broadcast(centres), F.col("position") == F.col("_p"))
+
+    words = lambda t: F.size(F.split(t, r"\s+")).cast("double")
+    is_date = F.when(plain.isNull() & s.rlike(_DATE_SHAPE), standardize_date(s).isNotNull()).otherwise(F.lit(False))
+    months = list(dict.fromkeys(FV.CONTENT_MONTH_NAMES))
     return long.groupBy("position", "column").agg(
-        F.count("*").alias("rows"), n.alias("non_null"), (F.count("*") - n).alias("null_count"),
-        F.when(F.count("*") > 0, (F.count("*") - n) / F.count("*")).otherwise(F.lit(0.0)).alias("null_pct"),
-        (F.count_distinct(s) if exact_distinct else F.approx_count_distinct(s)).alias("distinct"),
-        rate(to_double(s).isNotNull()).alias("numeric_rate"),
-        rate(s.rlike(_alt(FV.NUMBER_PATTERNS))).alias("number_pattern_rate"),
-        rate(s.rlike(_alt([re.escape(x) for x in FV.CURRENCY_SYMBOLS]))).alias("currency_rate"),
-        rate(s.rlike(_alt(FV.CONTENT_DATE_REGEXES))).alias("date_pattern_rate"),
-        rate(low.rlike(_alt([re.escape(m) for m in FV.CONTENT_MONTH_NAMES]))).alias("month_name_rate"),
-        F.avg(F.length(s)).alias("avg_len"), F.avg(words).alias("avg_words"),
-        F.min(F.abs(num)).alias("min_abs"), F.max(F.abs(num)).alias("max_abs"), F.avg(num).alias("mean"),
-        F.stddev_samp(num).alias("std"),
-        rate(low.rlike(_alt([re.escape(x) for x in FV.BUSINESS_INDICATORS]))).alias("business_rate"),
-        rate(low.rlike(_alt([re.escape(x) for x in FV.COMMON_VENDORS]))).alias("known_vendor_rate"))
-
-
-def is_date_column(p=None) -> Column:
-    """H11 on a profile row: any date regex on > 30 % or month names on > 10 % of values."""
-    return (F.col("date_pattern_rate") > 0.3) | (F.col("month_name_rate") > 0.1)
+        rows.alias("rows"), known.alias("non_null"), (rows - known).alias("null_count"),
+        F.when(rows > 0, (rows - known) / rows).otherwise(F.lit(0.0)).alias("null_pct"), distinct.alias("distinct"),
+        rate(plain.isNotNull()).alias("numeric_rate"),
+        most([s.rlike(p) for p in FV.NUMBER_PATTERNS]).alias("number_pattern_rate"),
+        most([s.contains(x) for x in FV.CURRENCY_SYMBOLS]).alias("currency_rate"),
+        most([low.rlike(p) for p in FV.CONTENT_DATE_REGEXES]).alias("date_pattern_rate"),
+        most([low.contains(m) for m in months]).alias("month_name_rate"), rate(is_date).alias("date_parse_rate"),
+        mean(F.length(s).cast("double")).alias("avg_len"), mean(words(F.trim(s))).alias("avg_words"),
+        mean(words(s)).alias("avg_word_gaps"),
+        F.min(F.abs(num)).alias("min_abs"), F.max(F.abs(num)).alias("max_abs"), mean(num).alias("mean"), std(num, "_num").alias("std"),
+        F.min(F.abs(plain)).alias("plain_min_abs"), F.max(F.abs(plain)).alias("plain_max_abs"),
+        mean(plain).alias("plain_mean"), std(plain, "_plain").alias("plain_std"),
+        most([low.contains(x) for x in FV.BUSINESS_INDICATORS]).alias("business_rate"),
+        most([low.contains(x) for x in FV.COMMON_VENDORS]).alias("known_vendor_rate"))
+
+
+def is_date_column() -> Column:
+    """H11 on a profile row: all values parse as dates; or one date regex on > 30 % or one month name on > 10 % of
+    the values. A column of plain numbers is no date, though a parser may read them as epochs."""
+    return ((F.col("non_null") > 0) & (F.col("date_parse_rate") == 1.0)) | (F.col("date_pattern_rate") > 0.3) \
+        | (F.col("month_name_rate") > 0.1)
 
 
 def is_amount_column() -> Column:
-    """Numeric > 80 % with 0.01 < |x| < 1e6; or currency symbols > 30 %; or number
-    patterns > 50 %."""
-    return (((F.col("numeric_rate") > 0.8) & (F.col("max_abs") < 1e6) & (F.col("min_abs") > 0.01))
+    """Numeric > 80 % with 0.01 < |x| < 1e6; or one currency symbol on > 30 %; or one number
+    pattern on > 50 %."""
+    return (((F.col("numeric_rate") > 0.8) & (F.col("plain_max_abs") < 1e6) & (F.col("plain_min_abs") > 0.01))
             | (F.col("currency_rate") > 0.3) | (F.col("number_pattern_rate") > 0.5))
 
 
 def is_vendor_column() -> Column:
-    """Business suffixes > 10 %, known vendors > 5 % or more than 1.5 words on average."""
-    return (F.col("business_rate") > 0.1) | (F.col("known_vendor_rate") > 0.05) | (F.col("avg_words") > 1.5)
+    """One business suffix on > 10 %, one known vendor on > 5 %, or more than 1.5 words (gaps and one) on average."""
+    return (F.col("business_rate") > 0.1) | (F.col("known_vendor_rate") > 0.05) | (F.col("avg_word_gaps") > 1.5)
 
 
 def is_memo_column() -> Column:
@@ -280,45 +308,99 @@ def is_memo_column() -> Column:
     return (F.col("avg_len") > 20) | (F.col("numeric_rate") < 0.3)
 
 
+def _text_only(text_columns: list[str] | None) -> Column:
+    return F.col("column").isin(*text_columns) if text_columns is not None else F.lit(True)
+
+
 def map_by_content(profile: DataFrame, text_columns: list[str] | None = None) -> DataFrame:
     """First content test that holds, in the order date, amount, vendor, memo.
-    Vendor and memo tests only apply to text columns (``text_columns``)."""
-    txt = F.col("column").isin(*text_columns) if text_columns is not None else F.lit(True)
-    field = (F.when(is_date_column(), "date").when(is_amount_column(), "amount")
-             .when(txt & is_vendor_column(), "vendor").when(txt & is_memo_column(), "memo"))
+    Vendor and memo tests only apply to text columns (``text_columns``); columns without a value have no field."""
+    txt = _text_only(text_columns)
+    field = F.when(F.col("non_null") > 0, F.when(is_date_column(), "date").when(is_amount_column(), "amount")
+                   .when(txt & is_vendor_column(), "vendor").when(txt & is_memo_column(), "memo"))
     return profile.select("column", field.alias("field")).filter(F.col("field").isNotNull())
 
 
-def map_by_statistics(profile: DataFrame) -> DataFrame:
-    """Date if unique ratio > .8, null ratio < .1 and date-like; amount if numeric
-    > 80 %, std > 0, mean > 0 and std < 10 * mean; vendor if unique ratio in (.3, .9)."""
+def map_by_statistics(profile: DataFrame, text_columns: list[str] | None = None) -> DataFrame:
+    """Date if unique ratio > .8, null ratio < .1 and all values parse; amount if more than 80 % of the
+    rows are numbers, std > 0, mean > 0 and std < 10 * mean; vendor if a text column's unique ratio is in (.3, .9)."""
     uniq = F.col("distinct") / F.greatest(F.col("non_null"), F.lit(1))
-    field = (F.when((uniq > 0.8) & (F.col("null_pct") < 0.1) & (F.col("date_pattern_rate") == 1.0), "date")
-             .when((F.col("numeric_rate") > 0.8) & (F.col("std") > 0) & (F.col("mean") > 0)
-                   & (F.col("std") < 10 * F.col("mean")), "amount")
-             .when((uniq > 0.3) & (uniq < 0.9), "vendor"))
+    field = (F.when((uniq > 0.8) & (F.col("null_pct") < 0.1) & (F.col("date_parse_rate") == 1.0), "date")
+             .when((F.col("numeric_rate") * F.col("non_null") > 0.8 * F.col("rows")) & (F.col("plain_std") > 0)
+                   & (F.col("plain_mean") > 0) & (F.col("plain_std") < 10 * F.col("plain_mean")), "amount")
+             .when(_text_only(text_columns) & (uniq > 0.3) & (uniq < 0.9), "vendor"))
     return profile.select("column", field.alias("field")).filter(F.col("field").isNotNull())
 
 
 # ---- H17, H18, H21, H22, H24, V7 -------------------------------------------------------------------
-def combine_mappings(votes: DataFrame, methods: int = 4, keep: float = 0.4) -> DataFrame:
-    """Votes (column, field, method) -> share of methods per (column, field) with
-    bonus for reference-like headers choosing 'reference' and malus for memo/description
-    headers chosen as vendor; best field per column kept when confidence >= 0.4."""
-    c = votes.groupBy("column", "field").agg(F.count_distinct("method").alias("votes"))
+#: The mapping methods in the order in which their votes are taken.
+MAPPING_METHODS = ("pattern", "content", "statistics", "semantic")
+
+
+def mapping_votes(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Votes (source_file, position, column, field, method) of H9, H10, H15 and H16 on the columns of real
+    tables, and the tables' profiles with (source_file, is_text)."""
+    spark = next(iter(tables.values())).sparkSession
+    hd = header_table(spark, tables)
+    profiles, votes = [], [map_pattern_coverage(hd).select("source_file", "column", "field").withColumn("method", F.lit("pattern")),
+                           map_semantic(hd).select("source_file", "column", "field").withColumn("method", F.lit("semantic"))]
+    for name, df in tables.items():
+        text = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+        p = cut_lineage(profile_columns(df))        # one row a column, read by both methods and by H18
+        profiles.append(p.withColumn("source_file", F.lit(name)).withColumn("is_text", _text_only(text)))
+        for method, fields in (("content", map_by_content(p, text)), ("statistics", map_by_statistics(p, text))):
+            votes.append(fields.select(F.lit(name).alias("source_file"), "column", "field").withColumn("method", F.lit(method)))
+    return reduce(DataFrame.unionByName, votes).join(hd, ["source_file", "column"]), reduce(DataFrame.unionByName, profiles)
+
+
+def combine_mappings(votes: DataFrame, keep: float = 0.4) -> DataFrame:
+    """Per column the field with most votes, ties to the one voted first in the order of
+    ``MAPPING_METHODS``. Confidence = its votes / all votes for the column, plus a bonus where the header tells:
+    reference and number: +0.5 for reference, else -0.3; memo, notes or comment: +0.3 for memo, else -0.2;
+    description: +0.2 for memo, else -0.1. Kept from 0.4."""
+    order = F.array_position(F.array(*map(F.lit, MAPPING_METHODS)), F.col("method"))
+    per = votes.groupBy("source_file", "position", "column", "field").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    best = per.groupBy("source_file", "position", "column").agg(
+        F.sum("n").alias("cast"), F.min("first").alias("method_order"),
+        F.min_by(F.struct("field", "n"), F.struct(-F.col("n"), F.col("first"))).alias("b"))
+    low, field = F.lower("column"), F.col("b.field")
+    told = lambda f, yes, no: F.when(field == f, yes).otherwise(no)
+    bonus = (F.when(low.contains("reference") & low.contains("number"), told("reference", 0.5, -0.3))
+             .when(low.contains("memo") | low.contains("notes") | low.contains("comment"), told("memo", 0.3, -0.2))
+             .when(low.contains("description"), told("memo", 0.2, -0.1)).otherwise(0.0))
+    return (best.select("source_file", "position", "column", field.alias("field"), "method_order",
+                        (F.col("b.n") / F.col("cast") + bonus).alias("confidence")).filter(F.col("confidence") >= keep - 1e-12))
+
+
+def field_score(profile: DataFrame) -> DataFrame:
+    """H18's score of each (source_file, column) of a profile for each field: content (date: all values parse, 1.0;
+    amount: more than 80 % of the rows are numbers, 1.0; vendor: text with a business word on > 10 %, 0.5) plus
+    0.3 if a header pattern of the field matches."""
+    content = {"date": F.when((F.col("non_null") > 0) & (F.col("date_parse_rate") == 1.0), 1.0),
+               "amount": F.when(F.col("numeric_rate") * F.col("non_null") > 0.8 * F.col("rows"), 1.0),
+               "vendor": F.when(F.col("is_text") & (F.col("business_rate") > 0.1), 0.5)}
     low = F.lower("column")
-    conf = (F.col("votes") / methods
-            + F.when(low.rlike("ref|number|id") & (F.col("field") == "reference"), 0.2).otherwise(0.0)
-            - F.when(low.rlike("memo|description") & (F.col("field") == "vendor"), 0.2).otherwise(0.0))
-    best = c.withColumn("confidence", conf).groupBy("column").agg(
-        F.max_by(F.struct("field", "confidence"), F.struct(F.col("confidence"), -F.length("field"))).alias("_b"))
-    return best.select("column", "_b.field", "_b.confidence").filter(F.col("confidence") >= keep)
+    scores = [F.struct(F.lit(f).alias("field"), (F.coalesce(content.get(f, F.lit(None).cast("double")), F.lit(0.0)) + F.when(
+        reduce(lambda a, b: a | b, [low.rlike(p) for p in pats]), 0.3).otherwise(0.0)).alias("score")) for f, pats in FV.MAPPER_PATTERNS.items()]
+    return profile.select("source_file", "column", F.explode(F.array(*scores)).alias("s")).select("source_file", "column", "s.*")
+
 
+def resolve_mapping(mapping: DataFrame, scores: DataFrame) -> DataFrame:
+    """One column a field of ``mapping(source_file, position, column, field, method_order)``. Where several
+    columns have a field, the one with the highest score above 0 stays, the first of equal ones in the
+    order in which they were mapped; if none scores, the field is left open. A field of one column keeps it."""
+    known = mapping.join(scores, ["source_file", "column", "field"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    by = ["source_file", "field"]
+    several = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "method_order", "position"))
+    return (known.withColumn("_n", several).withColumn("_r", rank).filter("_r = 1 and (_n = 1 or score > 0)")
+            .select("source_file", "position", "column", "field", "score"))
 
-def resolve_mapping(scored: DataFrame, key: str = "source_file") -> DataFrame:
-    """One column per field: highest score, then earliest position."""
-    w = Window.partitionBy(key, "field").orderBy(F.desc("score"), F.col("position"))
-    return scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+def map_columns_enhanced(tables: dict[str, DataFrame]) -> DataFrame:
+    """The whole mapper: votes of four methods (H9, H10, H15, H16), combined (H17) and resolved."""
+    votes, profiles = mapping_votes(tables)
+    return resolve_mapping(combine_mappings(votes), field_score(profiles))
 
 
 def classify_table(headers: DataFrame) -> DataFrame:
@@ -338,20 +420,44 @@ def classify_table(headers: DataFrame) -> DataFrame:
     return best.select("source_file", F.col("_b.kind").alias("kind"), F.col("_b.score").alias("confidence"))
 
 
-def detect_accounting(headers: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """Weighted header evidence for accounting (chart of accounts) vs transactions;
-    confidence = min(.95, .5 + .05 * score); accounting when > .7."""
-    acct_terms = {"account": 3, "balance": 3, "debit": 2, "credit": 2, "type": 1, "currency": 1, "acct": 2}
-    txn_terms = {"date": 3, "vendor": 3, "payee": 2, "merchant": 2, "amount": 1, "memo": 1, "description": 1}
-    low = F.lower("column")
-    acc = reduce(lambda a, kv: a + F.when(low.contains(kv[0]), kv[1]).otherwise(0), acct_terms.items(), F.lit(0))
-    txn = reduce(lambda a, kv: a + F.when(low.contains(kv[0]), kv[1]).otherwise(0), txn_terms.items(), F.lit(0))
-    per = headers.groupBy("source_file").agg(F.sum(acc).alias("acct_score"), F.sum(txn).alias("txn_score"),
-                                             F.max(low.contains("date").cast("int")).alias("has_date"))
-    score = F.col("acct_score") - F.col("txn_score") + F.when(F.col("has_date") == 0, 3).otherwise(0)
-    conf = F.least(F.lit(0.95), 0.5 + 0.05 * score)
-    return per.select("source_file", score.alias("score"), conf.alias("confidence"),
-                      (conf > 0.7).alias("is_accounting"))
+def detect_accounting(tables: dict[str, DataFrame], order: dict[str, list[str]] | None = None) -> DataFrame:
+    """Per table, accounting data (chart of accounts, trial balance) or transactions.
+
+    Each header term counts its weight once. A column named ``date``: at most 5 different dates on more than 10 rows
+    speak for accounting (+2), different dates on more than half of the rows for transactions (+2); without such a
+    column accounting gets +3. At least 3 account names among the first 10 values (by ``order[table]``) of
+    the first text column: accounting +2. Confidence min(0.95, 0.5 + 0.05 * score of the winner); a tie is
+    transactions. One row a table; a table is read by one aggregate and one top-10."""
+    from ..functions.dates import coerce_date
+    spark, facts = next(iter(tables.values())).sparkSession, []
+    names = reduce(lambda a, b: a | b, [F.lower(F.coalesce("v", F.lit("nan"))).contains(x) for x in FV.ACCOUNT_NAME_TERMS])
+    for name, df in tables.items():
+        dates = [f for f in df.schema.fields if "date" in f.name.lower()]
+        text = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+        named = any(c.lower().strip() == "date" for c in df.columns)
+        day = F.lit(None).cast("date")
+        if named:
+            day = coerce_date(F.col(f"`{dates[0].name}`")) if isinstance(dates[0].dataType, StringType) else F.col(f"`{dates[0].name}`")
+        fact = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(day).alias("days"))
+        like = F.lit(0).cast("long")
+        if text:
+            first = df.orderBy(*[F.col(f"`{c}`") for c in (order or {}).get(name, [])]) if (order or {}).get(name) else df
+            like = first.select(F.col(f"`{text[0]}`").alias("v")).limit(10).agg(F.count_if(names)).scalar()
+        facts.append(fact.select(F.lit(name).alias("source_file"), F.lit(named).alias("named"), "rows", "days", like.alias("alike")))
+    low = F.trim(F.lower("column"))
+    weigh = lambda terms: reduce(lambda a, b: a + b, [F.max(F.when(low.contains(t), w).otherwise(0)) for t, w in terms.items()])
+    heads = header_table(spark, tables).groupBy("source_file").agg(
+        weigh(FV.ACCOUNTING_TERMS).alias("a"), weigh(FV.TRANSACTION_TERMS).alias("t"))
+    x = reduce(DataFrame.unionByName, facts).join(heads, "source_file")
+    few = F.col("named") & (F.col("days") <= 5) & (F.col("rows") > 10)
+    many = F.col("named") & ~few & (F.col("days") > 0.5 * F.col("rows"))
+    a = F.col("a") + F.when(few, 2).when(~F.col("named"), 3).otherwise(0) + F.when(F.col("alike") >= 3, 2).otherwise(0)
+    x = x.select("source_file", a.alias("accounting_score"), (F.col("t") + F.when(many, 2).otherwise(0)).alias("transactions_score"))
+    won = F.greatest("accounting_score", "transactions_score")
+    kind = F.when(F.col("accounting_score") > F.col("transactions_score"), "accounting").otherwise("transactions")
+    conf = F.least(F.lit(0.95), 0.5 + won * 0.05)
+    return x.select("source_file", kind.alias("detected_type"), conf.alias("confidence"), "accounting_score", "transactions_score",
+                    F.when(conf > 0.7, F.concat(F.lit("Process as "), kind, F.lit(" data"))).otherwise("Manual review recommended").alias("recommendation"))
 
 
 def mapping_strategy(headers: DataFrame, data_type: str = "transactions") -> DataFrame:

@@ -105,10 +105,43 @@ def q_h21(spark, t):
     return H.classify_table(headers(spark, t)).withColumn("confidence", rnd(F.col("confidence"), 6))
 
 
-@query("h22_detect_accounting")
+#: H22 on tables with and without dates: (columns, date column or None, first text column, order).
+ACCOUNTING_TABLES = {"ledger": ("row_id date amount vendor category memo", "date", "vendor", "row_id"),
+                     "ledger_events": ("row_id date amount vendor category memo", "date", "vendor", "row_id"),
+                     "accounts": ("row_id account balance type currency", None, "account", "row_id"),
+                     "year_end": ("account balance date", "date", "account", "account, balance"),
+                     "payments": ("payment_reference payee_name value", None, "payee_name", "payment_reference")}
+YEAR_END = "SELECT account, balance, DATE '2020-12-31' AS date FROM accounts"
+PAYMENTS = "SELECT row_id AS payment_reference, vendor AS payee_name, amount AS value FROM ledger"
+
+
+def _accounting_sql() -> str:
+    rows = []
+    for name, (cols, date, text, order) in ACCOUNTING_TABLES.items():
+        src = {"year_end": f"({YEAR_END})", "payments": f"({PAYMENTS})"}.get(name, name)
+        terms = {k: sum(w for x, w in ws.items() if any(x in c for c in cols.split()))
+                 for k, ws in (("a", FV.ACCOUNTING_TERMS), ("t", FV.TRANSACTION_TERMS))}
+        like = " OR ".join(f"contains(lower({text}), '{x}')" for x in FV.ACCOUNT_NAME_TERMS)
+        rows.append(f"SELECT '{name}' AS source_file, {date is not None} AS named, {terms['a']} AS a, {terms['t']} AS t, count(*) AS n, "
+                    f"count(DISTINCT {date or 'NULL'}) AS days, (SELECT count(*) FILTER (WHERE {like}) FROM (SELECT {text} FROM {src} "
+                    f"ORDER BY {order} LIMIT 10)) AS alike FROM {src}")
+    return ("WITH f AS (" + " UNION ALL ".join(rows) + "), s AS (SELECT source_file, "
+            "a + CASE WHEN named AND days <= 5 AND n > 10 THEN 2 WHEN NOT named THEN 3 ELSE 0 END + CASE WHEN alike >= 3 THEN 2 ELSE 0 END "
+            "AS accounting_score, t + CASE WHEN named AND NOT (days <= 5 AND n > 10) AND days > 0.5 * n THEN 2 ELSE 0 END AS transactions_score "
+            "FROM f) SELECT *, CASE WHEN accounting_score > transactions_score THEN 'accounting' ELSE 'transactions' END AS detected_type, "
+            "round(least(0.95, 0.5 + 0.05 * greatest(accounting_score, transactions_score)), 6) AS confidence, "
+            "CASE WHEN least(0.95, 0.5 + 0.05 * greatest(accounting_score, transactions_score)) > 0.7 THEN 'Process as ' || detected_type || ' data' "
+            "ELSE 'Manual review recommended' END AS recommendation FROM s")
+
+
+@query("h22_detect_accounting", _accounting_sql())
 def q_h22(spark, t):
-    """H22 on the test tables' headers."""
-    return H.detect_accounting(headers(spark, t))
+    """Accounting or transactions, for ledgers, a chart of accounts, a year-end snapshot and a list of payments."""
+    t("accounts")
+    made = {"year_end": YEAR_END, "payments": PAYMENTS}
+    tables = {n: spark.sql(made[n]) if n in made else t(n) for n in ACCOUNTING_TABLES}
+    order = {n: [c.strip() for c in o.split(",")] for n, (_, _, _, o) in ACCOUNTING_TABLES.items()}
+    return H.detect_accounting(tables, order).withColumn("confidence", rnd(F.col("confidence"), 6))
 
 
 @query("h23_suggest_mappings")
@@ -131,29 +164,56 @@ def _profile_sql(table: str, cols: list[str]) -> str:
     parts = []
     for i, c in enumerate(cols):
         s = f"CAST(\"{c}\" AS VARCHAR)"
+        low, plain = f"lower({s})", f"TRY_CAST({s} AS DOUBLE)"
         num = f"TRY_CAST(regexp_replace({s}, '[$,]', '', 'g') AS DOUBLE)"
-        any_rx = lambda rxs: " OR ".join(f"regexp_matches({s}, '{r}')" for r in rxs)
-        any_sub = lambda ws, low: " OR ".join(f"contains({'lower(' + s + ')' if low else s}, '{w}')" for w in ws)
         rate = lambda cond: f"CASE WHEN count({s}) > 0 THEN count(*) FILTER (WHERE {cond}) / count({s}) ELSE 0.0 END"
+        most = lambda conds: "greatest(" + ", ".join(map(rate, conds)) + ")"
+        parsed = " OR ".join(f"try_strptime(trim({s}), '{f}') IS NOT NULL" for f in ("%Y-%m-%d", "%m/%d/%Y", "%d.%m.%Y"))
         parts.append(
             f"SELECT {i} AS position, '{c}' AS \"column\", count(*) AS rows, count({s}) AS non_null, "
             f"count(*) - count({s}) AS null_count, round(CASE WHEN count(*) > 0 THEN (count(*) - count({s})) / count(*) ELSE 0.0 END, 6) AS null_pct, "
-            f"count(DISTINCT {s}) AS distinct, round({rate(f'TRY_CAST({s} AS DOUBLE) IS NOT NULL')}, 6) AS numeric_rate, "
-            f"round({rate(any_rx(FV.NUMBER_PATTERNS))}, 6) AS number_pattern_rate, "
-            f"round({rate(any_sub(FV.CURRENCY_SYMBOLS, False))}, 6) AS currency_rate, "
-            f"round({rate(any_rx(FV.CONTENT_DATE_REGEXES))}, 6) AS date_pattern_rate, "
-            f"round({rate(any_sub(FV.CONTENT_MONTH_NAMES, True))}, 6) AS month_name_rate, "
+            f"count(DISTINCT {s}) AS distinct, round({rate(f'{plain} IS NOT NULL')}, 6) AS numeric_rate, "
+            f"round({most([f"regexp_matches({s}, '{r}')" for r in FV.NUMBER_PATTERNS])}, 6) AS number_pattern_rate, "
+            f"round({most([f"contains({s}, '{w}')" for w in FV.CURRENCY_SYMBOLS])}, 6) AS currency_rate, "
+            f"round({most([f"regexp_matches({low}, '{r}')" for r in FV.CONTENT_DATE_REGEXES])}, 6) AS date_pattern_rate, "
+            f"round({most([f"contains({low}, '{w}')" for w in FV.CONTENT_MONTH_NAMES])}, 6) AS month_name_rate, "
+            f"round({rate(f'{plain} IS NULL AND ({parsed})')}, 6) AS date_parse_rate, "
             f"round(avg(length({s})), 6) AS avg_len, round(avg(len(string_split_regex(trim({s}), '\\s+'))), 6) AS avg_words, "
+            f"round(avg(len(string_split_regex({s}, '\\s+'))), 6) AS avg_word_gaps, "
             f"round(min(abs({num})), 6) AS min_abs, round(max(abs({num})), 6) AS max_abs, round(avg({num}), 6) AS mean, "
-            f"round(stddev_samp({num}), 6) AS std, round({rate(any_sub(FV.BUSINESS_INDICATORS, True))}, 6) AS business_rate, "
-            f"round({rate(any_sub(FV.COMMON_VENDORS, True))}, 6) AS known_vendor_rate FROM {table}")
+            f"round(stddev_samp({num}), 6) AS std, round(min(abs({plain})), 6) AS plain_min_abs, "
+            f"round(max(abs({plain})), 6) AS plain_max_abs, round(avg({plain}), 6) AS plain_mean, "
+            f"round(stddev_samp({plain}), 6) AS plain_std, "
+            f"round({most([f"contains({low}, '{w}')" for w in FV.BUSINESS_INDICATORS])}, 6) AS business_rate, "
+            f"round({most([f"contains({low}, '{w}')" for w in FV.COMMON_VENDORS])}, 6) AS known_vendor_rate FROM {table}")
     return " UNION ALL ".join(parts)
 
 
 RAW_COLS = ["row_id", "date", "amount", "vendor"]
 PROFILE_DOUBLES = ["null_pct", "numeric_rate", "number_pattern_rate", "currency_rate", "date_pattern_rate",
-                   "month_name_rate", "avg_len", "avg_words", "min_abs", "max_abs", "mean", "std", "business_rate",
-                   "known_vendor_rate"]
+                   "month_name_rate", "date_parse_rate", "avg_len", "avg_words", "avg_word_gaps", "min_abs", "max_abs", "mean",
+                   "std", "plain_min_abs", "plain_max_abs", "plain_mean", "plain_std", "business_rate", "known_vendor_rate"]
+#: Tables for the content rules: columns, and those of them that hold text.
+MAPPED = {"ledger_raw": (RAW_COLS, ["date", "amount", "vendor"]),
+          "ledger_lines": (["date", "amount", "vendor", "category", "memo"], ["vendor", "category", "memo"]),
+          "accounts": (["row_id", "account", "balance", "type", "currency"], ["account", "type", "currency"])}
+
+
+def _all_profiles_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{t}' AS source_file, \"column\" IN ({', '.join(repr(c) for c in text)}) AS is_text, * FROM ("
+                              + _profile_sql(t, cols) + ")" for t, (cols, text) in MAPPED.items())
+
+
+IS_DATE = "((non_null > 0 AND date_parse_rate = 1.0) OR date_pattern_rate > 0.3 OR month_name_rate > 0.1)"
+CONTENT_SQL = (f"CASE WHEN non_null = 0 THEN NULL WHEN {IS_DATE} THEN 'date' "
+               "WHEN (numeric_rate > 0.8 AND plain_max_abs < 1e6 AND plain_min_abs > 0.01) OR currency_rate > 0.3 "
+               "OR number_pattern_rate > 0.5 THEN 'amount' "
+               "WHEN is_text AND (business_rate > 0.1 OR known_vendor_rate > 0.05 OR avg_word_gaps > 1.5) THEN 'vendor' "
+               "WHEN is_text AND (avg_len > 20 OR numeric_rate < 0.3) THEN 'memo' END")
+STATISTICS_SQL = ("CASE WHEN \"distinct\" / greatest(non_null, 1) > 0.8 AND null_pct < 0.1 AND date_parse_rate = 1.0 THEN 'date' "
+                  "WHEN numeric_rate * non_null > 0.8 * rows AND plain_std > 0 AND plain_mean > 0 AND plain_std < 10 * plain_mean "
+                  "THEN 'amount' WHEN is_text AND \"distinct\" / greatest(non_null, 1) > 0.3 AND "
+                  "\"distinct\" / greatest(non_null, 1) < 0.9 THEN 'vendor' END")
 
 
 @query("h00_profile_columns", _profile_sql("ledger_raw", RAW_COLS))
@@ -163,22 +223,24 @@ def q_h0(spark, t):
     return p.withColumns({c: rnd(F.col(c), 6) for c in PROFILE_DOUBLES})
 
 
-@query("h10_h15_content_mapping", "WITH p AS (" + _profile_sql("ledger_raw", RAW_COLS) + ") SELECT \"column\", "
-       "CASE WHEN date_pattern_rate > 0.3 OR month_name_rate > 0.1 THEN 'date' "
-       "WHEN (numeric_rate > 0.8 AND max_abs < 1e6 AND min_abs > 0.01) OR currency_rate > 0.3 OR number_pattern_rate > 0.5 THEN 'amount' "
-       "WHEN \"column\" IN ('date', 'amount', 'vendor') AND (business_rate > 0.1 OR known_vendor_rate > 0.05 OR avg_words > 1.5) THEN 'vendor' "
-       "WHEN \"column\" IN ('date', 'amount', 'vendor') AND (avg_len > 20 OR numeric_rate < 0.3) THEN 'memo' END AS content_field "
-       "FROM p WHERE content_field IS NOT NULL")
+def _per_table(t, rule):
+    from functools import reduce
+    parts = [rule(H.profile_columns(t(name).select(*cols)), text).withColumn("source_file", F.lit(name)) for name, (cols, text) in MAPPED.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("h10_h15_content_mapping", "SELECT source_file, \"column\", " + CONTENT_SQL + " AS content_field FROM ("
+       + _all_profiles_sql() + ") WHERE content_field IS NOT NULL")
 def q_h10(spark, t):
-    """Content-based field of each raw ledger column (text columns may be vendor/memo)."""
-    p = H.profile_columns(t("ledger_raw"))
-    return H.map_by_content(p, text_columns=["date", "amount", "vendor"]).withColumnRenamed("field", "content_field")
+    """Content-based field of each column of three tables (text columns may be vendor/memo)."""
+    return _per_table(t, H.map_by_content).withColumnRenamed("field", "content_field")
 
 
-@query("h15_map_by_statistics")
+@query("h15_map_by_statistics", "SELECT source_file, \"column\", " + STATISTICS_SQL + " AS field FROM ("
+       + _all_profiles_sql() + ") WHERE field IS NOT NULL")
 def q_h15(spark, t):
-    """Statistics-based field of each raw ledger column."""
-    return H.map_by_statistics(H.profile_columns(t("ledger_raw")))
+    """Statistics-based field of each column of three tables."""
+    return _per_table(t, H.map_by_statistics)
 
 
 @query("h03_standardize_columns")

@@ -7,13 +7,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.fixed_values import PRESERVE_PATTERN
+from ..functions.fixed_values import MAPPER_PATTERNS, PRESERVE_PATTERN
 from ..functions.similarity import sequence_ratio, token_sort_ratio
 from ..operators import accounts as B
 from ..operators import mapping as H
 from ..operators.common import rnd
 from .catalog import ORACLES, RAW_SQL, query, with_views
-from .queries_enrich import HDR_SQL, headers, raw_with_text
+from .queries_enrich import CONTENT_SQL, HDR_SQL, MAPPED, STATISTICS_SQL, _all_profiles_sql, headers, raw_with_text
 
 
 @query("a18_quality_report")
@@ -26,25 +26,41 @@ def q_a18(spark, t):
     return quality_report(raw, cleaned)
 
 
-@query("h17_combine_mappings")
+H17_SQL = f"""WITH p AS ({_all_profiles_sql()}),
+pats AS (SELECT * FROM (VALUES {", ".join(f"({fi}, '{f}', {pi}, '{x}')" for fi, (f, xs) in enumerate(MAPPER_PATTERNS.items())
+                                          for pi, x in enumerate(xs))}) AS v(fo, field, po, pattern)),
+h9 AS (SELECT source_file, "column", arg_min(field, (-score, fo, po)) AS field FROM (
+         SELECT source_file, "column", field, fo, po, length(pattern) / length("column") AS score FROM p JOIN pats
+           ON regexp_matches(lower("column"), pattern)) GROUP BY 1, 2 HAVING max(score) > 0.3),
+v AS (SELECT source_file, "column", field, 1 AS o FROM h9 UNION ALL
+      SELECT source_file, "column", {CONTENT_SQL} AS f, 2 FROM p WHERE f IS NOT NULL UNION ALL
+      SELECT source_file, "column", {STATISTICS_SQL} AS f, 3 FROM p WHERE f IS NOT NULL),
+n AS (SELECT source_file, "column", field, count(*) AS n, min(o) AS o FROM v GROUP BY 1, 2, 3),
+b AS (SELECT source_file, "column", arg_min(field, (-n, o)) AS field, max(n) / sum(n) AS share FROM n GROUP BY 1, 2),
+c AS (SELECT source_file, "column", field, share + CASE
+        WHEN contains("column", 'reference') AND contains("column", 'number') THEN CASE WHEN field = 'reference' THEN 0.5 ELSE -0.3 END
+        WHEN contains("column", 'memo') OR contains("column", 'notes') OR contains("column", 'comment')
+          THEN CASE WHEN field = 'memo' THEN 0.3 ELSE -0.2 END
+        WHEN contains("column", 'description') THEN CASE WHEN field = 'memo' THEN 0.2 ELSE -0.1 END ELSE 0.0 END AS confidence FROM b)
+SELECT source_file, "column", field, round(confidence, 6) AS confidence FROM c WHERE confidence >= 0.4"""
+
+
+def _mapped(t):
+    return {name: t(name).select(*cols) for name, (cols, _) in MAPPED.items()}
+
+
+@query("h17_combine_mappings", H17_SQL)
 def q_h17(spark, t):
-    """Votes of four header mappers combined per column (confidence >= 0.4)."""
-    hd = headers(spark, t)
-    votes = reduce(DataFrame.unionByName, [
-        H.map_pattern_coverage(hd).select("source_file", "column", "field").withColumn("method", F.lit("pattern")),
-        H.map_semantic(hd).select("source_file", "column", "field").withColumn("method", F.lit("semantic")),
-        H.map_fallback(hd).withColumn("method", F.lit("fallback")),
-        H.map_keyword_count(hd).withColumn("method", F.lit("keywords"))])
-    votes = votes.withColumn("column", F.concat_ws(".", "source_file", "column")).drop("source_file")
-    return H.combine_mappings(votes).withColumn("confidence", rnd(F.col("confidence"), 6))
+    """Votes of the header patterns, the contents and the statistics of three tables, combined per column."""
+    votes, _ = H.mapping_votes(_mapped(t))
+    out = H.combine_mappings(votes.filter("method <> 'semantic'"))
+    return out.select("source_file", "column", "field", rnd(F.col("confidence"), 6).alias("confidence"))
 
 
 @query("h18_resolve_mapping")
 def q_h18(spark, t):
-    """One column per (table, field) from the pattern-coverage scores."""
-    hd = headers(spark, t)
-    scored = H.map_pattern_coverage(hd).join(hd, ["source_file", "column"])
-    return H.resolve_mapping(scored).select("source_file", "field", "column", rnd(F.col("score"), 6).alias("score"))
+    """The whole mapper on three tables, one column a field (no SQL for the string ratio of H16)."""
+    return H.map_columns_enhanced(_mapped(t)).withColumn("score", rnd(F.col("score"), 6))
 
 
 @query("h19_preserve_columns", "SELECT source_file, position, \"column\" FROM " + HDR_SQL + " h "

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, connected_components, query, read_table, staged
+from .common import bounded_batches, connected_components, query, read_table, spread_join, staged
 
 WORDS = 5                   # words of a shingle
 PERCENT = 75                # least 100 * intersection / union of a link
@@ -27,9 +27,11 @@ SAMPLE = 16                 # of so many texts one is sampled for the frequent s
 FREQUENT, FREQUENT_MOST = 5, 200_000    # least count in the sample; bound of the broadcast list
 BUCKET_ENTRIES = 1 << 20    # prefix entries of a bucket, on average
 SLOT_ENTRIES = 1 << 14      # prefix entries of a slot, on average; keys are counted by slots
+SLOTS_MOST = 1 << 24        # slots at most
 HEAVY = 1 << 17             # entries of a slot beyond which its keys pass without a bucket
 BLOCK = 512                 # members of a tile's block
 ROUNDS, HUBS = 2, 6         # rounds of hub links; families of keys, each of which draws its hub alike
+HEAD = 16                   # folds of a prefix that decide which key owns a pair
 NEAR = 64                   # members of a key up to which each is compared with every other at once
 FILTER_BITS = 1 << 24       # size of the broadcast bit set of wanted rows
 STREAM = 4_000              # members compared with one hub in a task
@@ -116,11 +118,21 @@ def differing_bits(x: bytes, y: bytes) -> int:
     return (a ^ b).bit_count()
 
 
-def set_class(shingles: np.ndarray) -> int:
+def set_class(shingles: np.ndarray, seed: int = 0) -> int:
     """64-bit digest of a set; equal for equal sets."""
     import xxhash
 
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))  if len(shingles) else 0
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed)))) if len(shingles) else 0
+
+
+def told_apart(sketch: DataFrame) -> DataFrame:
+    """``sketch`` with classes split where ``check``, a second digest, shows that one digest stands for two sets."""
+    clash = (sketch.groupBy("cls").agg(F.min("check").alias("lo"), F.max("check").alias("hi"))
+             .where("lo <> hi").select("cls", "lo"))
+    if clash.isEmpty():
+        return sketch
+    own = F.when(F.col("check") > F.col("lo"), F.xxhash64("cls", "check")).otherwise(F.col("cls"))
+    return staged(sketch.join(clash, "cls", "left").withColumn("cls", own).drop("lo"), "sketch")
 
 
 def frequent_shingles(rows: DataFrame) -> np.ndarray:
@@ -141,45 +153,65 @@ def frequent_shingles(rows: DataFrame) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, row, cls, n, bits, prefix): digest and size of each text's set, its bitmap, and the 32-bit
-    folds of its prefix shingles; row is a hash of the text."""
+    """(doc_id, row, cls, check, n, bits, prefix): two digests and the size of each text's set, its bitmap, and the
+    32-bit folds of its prefix shingles; row is a hash of the text."""
     handle = rows.sparkSession.sparkContext.broadcast(frequent)     # at most FREQUENT_MOST longs
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, late = Shingler(), handle.value
-        rank_of = np.argsort(late)                      # of the sorted values, the place in the order
-        late_sorted = late[rank_of]
+        shingles, folds = Shingler(), prefix_folds(handle.value)
         for b in batches:
             for lo in range(0, len(b), 500):
                 part, out = b.iloc[lo:lo + 500], []
                 for doc_id, row, text in zip(part["doc_id"], part["row"], part["text"], strict=True):
                     s = shingles(text)
-                    p = prefix_length(len(s))
-                    first = s
-                    if len(late) and len(s):
-                        at = np.minimum(np.searchsorted(late_sorted, s), len(late) - 1)
-                        is_late = late_sorted[at] == s
-                        tail = s[is_late][np.argsort(rank_of[at[is_late]], kind="stable")]
-                        first = np.concatenate([s[~is_late], tail])
-                    fold = (first[:p] ^ (first[:p] >> np.uint64(32))).astype(np.uint32)
-                    out.append((doc_id, row, set_class(s), len(s), bitmap(s), fold.tobytes()))
-                yield pd.DataFrame(out, columns=["doc_id", "row", "cls", "n", "bits", "prefix"])
+                    out.append((doc_id, row, set_class(s), set_class(s, 1), len(s), bitmap(s), folds(s).tobytes()))
+                yield pd.DataFrame(out, columns=["doc_id", "row", "cls", "check", "n", "bits", "prefix"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInPandas(
-        sketch, f"doc_id {kind}, row long, cls long, n int, bits binary, prefix binary")
+        sketch, f"doc_id {kind}, row long, cls long, check long, n int, bits binary, prefix binary")
+
+
+def prefix_folds(late: np.ndarray):
+    """A function from a set to the 32-bit folds of its prefix; the shingles of ``late`` are last in the order."""
+    rank_of = np.argsort(late)                      # of the sorted values, the place in the order
+    late_sorted = late[rank_of]
+
+    def folds(s: np.ndarray) -> np.ndarray:
+        first, p = s, prefix_length(len(s))
+        if len(late) and len(s):
+            at = np.minimum(np.searchsorted(late_sorted, s), len(late) - 1)
+            is_late = late_sorted[at] == s
+            tail = s[is_late][np.argsort(rank_of[at[is_late]], kind="stable")]
+            first = np.concatenate([s[~is_late], tail])
+        return (first[:p] ^ (first[:p] >> np.uint64(32))).astype(np.uint32)
+    return folds
 
 
 def _slot(k: np.ndarray, slots: int) -> np.ndarray:
     return ((k.astype(np.uint64) * np.uint64(_MIX[1])) >> np.uint64(20)) % np.uint64(slots)
 
 
-def heavy_slots(sketch: DataFrame, total: int) -> tuple[int, np.ndarray]:
-    """(slots, heavy): the number of slots, in proportion to the ``total`` prefix entries, and the sorted
-    slots of more than HEAVY entries, at most total / HEAVY of them. Batches send sums."""
-    slots = int(max(1, -(-total // SLOT_ENTRIES)))
+class HeavySlots:
+    """The slots of keys with more than HEAVY entries as a bit set of at most SLOTS_MOST bits (2 MB), whatever
+    the input; with that many entries that most slots are heavy, most keys pass as rows."""
+
+    def __init__(self, slots: int, bits: np.ndarray | None):
+        self.slots, self.bits = slots, bits
+
+    def __bool__(self) -> bool:
+        return self.bits is not None
+
+    def holds(self, k: np.ndarray) -> np.ndarray:
+        at = _slot(k, self.slots).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def heavy_slots(sketch: DataFrame, total: int) -> HeavySlots:
+    """The heavy ones of slots in proportion to the ``total`` prefix entries. Batches send sums."""
+    slots = int(min(SLOTS_MOST, max(1, -(-total // SLOT_ENTRIES))))
     if total <= HEAVY:
-        return slots, np.zeros(0, np.uint64)
+        return HeavySlots(slots, None)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -189,11 +221,21 @@ def heavy_slots(sketch: DataFrame, total: int) -> tuple[int, np.ndarray]:
                 yield pd.DataFrame({"slot": found.astype(np.int64), "n": n})
 
     counts = (sketch.where("n > 0").select("cls", "prefix").mapInPandas(partial, "slot long, n long")
-              .groupBy("slot").agg(F.sum("n").alias("n")))
-    return slots, np.sort(np.array([r.slot for r in counts.where(F.col("n") > HEAVY).collect()], np.uint64))
-
-
-def heavy_entries(sketch: DataFrame, slots: int, heavy: np.ndarray) -> DataFrame:
+              .groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY))
+    place = F.col("slot") + 1       # Spark numbers buckets of 32768 bits from 1, so bit 0 of bucket 1 is slot 0
+    sets = (counts.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("set")).collect())
+    if not sets:
+        return HeavySlots(slots, None)
+    size = len(sets[0]["set"])
+    bits = np.zeros((-(-slots // (8 * size)), size), np.uint8)
+    for r in sets:
+        bits[r["bucket"] - 1] = np.frombuffer(r["set"], np.uint8)
+    bits = bits.reshape(-1)
+    return HeavySlots(slots, bits)
+
+
+def heavy_entries(sketch: DataFrame, heavy: HeavySlots) -> DataFrame:
     """(k, cls, n, pos) of the keys of ``heavy`` slots, all of them, each class of a key once."""
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -203,7 +245,7 @@ def heavy_entries(sketch: DataFrame, slots: int, heavy: np.ndarray) -> DataFrame
                 continue
             k, lens = np.concatenate(keys), [len(x) for x in keys]
             pos = np.concatenate([np.arange(x, dtype=np.int32) for x in lens])
-            who, on = np.repeat(np.arange(len(b)), lens), np.isin(_slot(k, slots), heavy)
+            who, on = np.repeat(np.arange(len(b)), lens), heavy.holds(k)
             yield pd.DataFrame({"k": k[on].view(np.int32), "cls": b["cls"].to_numpy(np.int64)[who[on]],
                                 "n": b["n"].to_numpy(np.int32)[who[on]], "pos": pos[on]})
 
@@ -211,7 +253,7 @@ def heavy_entries(sketch: DataFrame, slots: int, heavy: np.ndarray) -> DataFrame
     return found.groupBy("k", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
 
 
-def packed_entries(sketch: DataFrame, buckets: int, slots: int, heavy: np.ndarray) -> DataFrame:
+def packed_entries(sketch: DataFrame, buckets: int, heavy: HeavySlots) -> DataFrame:
     """Prefix entries of the keys outside ``heavy`` slots, one packed row a batch and bucket; equal
     classes of a batch travel once."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,8 +266,8 @@ def packed_entries(sketch: DataFrame, buckets: int, slots: int, heavy: np.ndarra
             lens = [len(x) for x in keys]
             who = np.repeat(np.arange(len(b), dtype=np.int32), lens)
             pos = np.concatenate([np.arange(x, dtype=np.uint16 if max(lens) < 65536 else np.uint32) for x in lens])
-            if len(heavy):
-                light = ~np.isin(_slot(k, slots), heavy)
+            if heavy:
+                light = ~heavy.holds(k)
                 k, who, pos = k[light], who[light], pos[light]
             if not len(k):
                 continue
@@ -251,7 +293,7 @@ def shared_prefixes(sketch: DataFrame) -> DataFrame:
     total = sketch.agg(F.coalesce(F.sum(F.length("prefix") / 4), F.lit(0))).first()[0]
     parts = int(sketch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = int(max(parts, -(-total // BUCKET_ENTRIES)))
-    slots, heavy = heavy_slots(sketch, total)
+    heavy = heavy_slots(sketch, total)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         cols: list[tuple] = []
@@ -281,8 +323,8 @@ def shared_prefixes(sketch: DataFrame) -> DataFrame:
         return pd.DataFrame({"k": k[keep].view(np.int32), "cls": cls[keep], "n": n[keep].astype(np.int32),
                              "pos": pos[keep].astype(np.int32)})
 
-    light = packed_entries(sketch, buckets, slots, heavy).groupBy("bucket").applyInPandas(meet, "k int, cls long, n int, pos int")
-    return light.unionByName(heavy_entries(sketch, slots, heavy)) if len(heavy) else light
+    light = packed_entries(sketch, buckets, heavy).groupBy("bucket").applyInPandas(meet, "k int, cls long, n int, pos int")
+    return light.unionByName(heavy_entries(sketch, heavy)) if heavy else light
 
 
 def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -315,6 +357,17 @@ def most_common(x, y, sizes: np.ndarray) -> np.ndarray:
     return (sizes - np.fromiter(map(differing_bits, x, y), np.int64, len(sizes))) // 2
 
 
+def texts_of(roles: DataFrame, rows: DataFrame) -> DataFrame:
+    """``roles(cls, rep_id, row, ...)`` with the ``text`` of the row that stands for the class."""
+    roles = staged(roles, "roles")
+    texts = only_wanted(rows.where("text is not null").withColumn("row", F.xxhash64("text")), roles.select("row"))
+    return roles.join(texts, "row").where("doc_id <=> rep_id").drop("doc_id", "rep_id", "row")
+
+
+def whose(reps: DataFrame) -> DataFrame:
+    return reps.select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row").alias("row"))
+
+
 def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (hub, cls) whose sets reach the threshold. The text of a class goes once to each of
     its hubs; the members of one hub are dealt out over tasks by STREAM and pass as a stream."""
@@ -323,10 +376,7 @@ def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     members = pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("cls"), F.col("salts")).alias("salt"), F.lit(1).alias("role"), "cls")
     hubs = counts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
                          F.lit(0).alias("role"), F.col("hub").alias("cls"))
-    whose = reps.select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row").alias("row"))
-    roles = staged(hubs.unionByName(members).join(whose, "cls"), "roles")
-    texts = only_wanted(rows.where("text is not null").withColumn("row", F.xxhash64("text")), roles.select("row"))
-    dealt = roles.join(texts, "row").where("doc_id <=> rep_id").select("hub", "salt", "role", "cls", "text")
+    dealt = texts_of(hubs.unionByName(members).join(whose(reps), "cls"), rows).select("hub", "salt", "role", "cls", "text")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, hub, mine = Shingler(), None, None
@@ -344,6 +394,16 @@ def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     return stream.mapInPandas(compare, "hub long, cls long")
 
 
+def sets_of(classes: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """(cls, shingles) of ``classes(cls)``, from the text that stands for each."""
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingler()
+        for b in batches:
+            yield pd.DataFrame({"cls": b["cls"], "shingles": [shingles(t).tobytes() for t in b["text"]]})
+
+    return texts_of(classes.join(whose(reps), "cls"), rows).select("cls", "text").mapInPandas(read, "cls long, shingles binary")
+
+
 TILE = ["k", "low", "i", "j"]
 
 
@@ -397,22 +457,86 @@ def partnered(members: DataFrame) -> DataFrame:
     return tiles(members).mapInPandas(keep, "k int, cls long, n int, pos int, label long").distinct()
 
 
-def tile_pairs(members: DataFrame) -> DataFrame:
-    """(hub, cls) pairs of members(k, cls, n, pos, label, bits) of one key with different labels, whose
-    sizes, places and bitmaps allow a link. No task holds more than one batch of tiles."""
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def promising(members: DataFrame) -> DataFrame:
+    """The members(k, cls, n, pos, label, head, and bits or not) with a partner of another label that sizes, places
+    and bitmaps allow, in the key that owns the pair: rows of members, never of pairs."""
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in by_tile(batches):
-            cls, n = g["cls"].to_numpy(np.int64), g["n"].to_numpy(np.int64)
-            bits = np.array([bytes(x) for x in g["bits"]], dtype=object)
-            hubs, found = [cls[:0]], [cls[:0]]
+            tile = Tile(g)
+            hit = np.zeros(len(g), bool)
             for a, b in candidates(g):
-                both = n[a] + n[b]
-                ok = can_reach(most_common(bits[a], bits[b], both), both)
-                hubs.append(np.minimum(cls[a], cls[b])[ok])
-                found.append(np.maximum(cls[a], cls[b])[ok])
-            yield pd.DataFrame({"hub": np.concatenate(hubs), "cls": np.concatenate(found)}).drop_duplicates()
+                new = ~(hit[a] & hit[b])
+                a, b = tile.allowed(a[new], b[new])
+                hit[a] = hit[b] = True
+            yield g.loc[hit, ["k", "cls", "n", "pos", "label"]]
+
+    return tiles(members).mapInPandas(keep, "k int, cls long, n int, pos int, label long").distinct()
+
+
+def tile_links(members: DataFrame) -> DataFrame:
+    """Links (hub, cls) that join the labels of members(k, cls, n, pos, label, bits, head, shingles) of a key.
+
+    A tile compares the sorted shingles of its pairs itself and keeps a union-find of labels: pairs
+    whose labels are joined already are skipped, so a tile has less links than members.
+    """
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in by_tile(batches):
+            tile = Tile(g)
+            where, label = g.groupby(TILE, sort=False).ngroup().to_numpy(), g["label"].to_numpy(np.int64)
+            sets = [np.frombuffer(x, np.uint64) for x in g["shingles"]]
+            root: dict[tuple, tuple] = {}
+
+            def top(x: tuple) -> tuple:
+                while (y := root.get(x, x)) != x:
+                    root[x] = root.get(y, y)
+                    x = y
+                return x
+
+            out = []
+            for a, b in candidates(g):
+                a, b = tile.allowed(a, b)
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    p, q = top((where[x], label[x])), top((where[y], label[y]))
+                    if p != q and linked(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]), len(sets[y])):
+                        root[p] = q
+                        out.append((tile.cls[x], tile.cls[y]))
+            yield pd.DataFrame(out, columns=["hub", "cls"]).astype("int64")
 
-    return tiles(members).mapInPandas(pairs, "hub long, cls long").distinct()
+    return tiles(members).mapInPandas(links, "hub long, cls long")
+
+
+class Tile:
+    """Pairs of one batch of tiles: what bitmaps allow, and which key of those that a pair shares owns it."""
+
+    def __init__(self, g: pd.DataFrame):
+        self.cls, self.n = g["cls"].to_numpy(np.int64), g["n"].to_numpy(np.int64)
+        self.k = g["k"].to_numpy(np.int32).view(np.uint32)
+        self.bits = np.array([bytes(x) for x in g["bits"]], dtype=object) if "bits" in g else None
+        self.head, self.held = np.zeros((len(g), HEAD), np.uint32), np.zeros(len(g), np.int64)
+        for r, x in enumerate(g["head"]):
+            fold = np.frombuffer(x, np.uint32)
+            self.head[r, :len(fold)], self.held[r] = fold, len(fold)
+
+    def allowed(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(a):
+            return a, b
+        own = np.concatenate([self.owned(a[k:k + 4096], b[k:k + 4096]) for k in range(0, len(a), 4096)])
+        a, b = a[own], b[own]
+        if self.bits is None:
+            return a, b
+        both = self.n[a] + self.n[b]
+        ok = can_reach(most_common(self.bits[a], self.bits[b], both), both)
+        return a[ok], b[ok]
+
+    def owned(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the key is the first fold of the head of the member with the smaller ``cls`` that the other's head
+        has too and that lets the two link. Pairs without one belong to every key that they share."""
+        x, y = np.where(self.cls[a] < self.cls[b], a, b), np.where(self.cls[a] < self.cls[b], b, a)
+        i, j = np.arange(HEAD)[None, :, None], np.arange(HEAD)[None, None, :]
+        shape = lambda v: v[:, None, None]
+        same = ((self.head[x][:, :, None] == self.head[y][:, None, :]) & (i < shape(self.held[x])) & (j < shape(self.held[y]))
+                & can_link(shape(self.n[x]), shape(self.n[y]), i, j)).any(axis=2)
+        return ~same.any(axis=1) | (self.head[x, same.argmax(axis=1)] == self.k[x])
 
 
 def can_link(n, m, i, j):
@@ -435,26 +559,43 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     doc_id keeps its row; its component is the smallest id of the others, null if there is none.
     """
     rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sketch = staged(sketches(rows, frequent_shingles(rows)), "sketch")
+    sketch = told_apart(staged(sketches(rows, frequent_shingles(rows)), "sketch"))
     shared = staged(shared_prefixes(sketch), "shared")
-    # a row, by id and text hash, and the bitmap of each class that shares an entry
-    reps = staged(sketch.join(shared.select("cls").distinct(), "cls").groupBy("cls").agg(
-        F.min(F.struct("doc_id", "row")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    # a row, by id and text hash, the bitmap and the first folds of each class that shares an entry; copies
+    # meet in the map tasks, so a class of very many is no large group
+    classes = sketch.where("n > 0").groupBy("cls").agg(
+        F.min(F.struct("doc_id", "row")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"),
+        F.first(F.substring("prefix", 1, 4 * HEAD)).alias("head"))
+    reps = staged(classes.join(shared.select("cls").distinct(), "cls", "left_semi"), "classes")
     # links with hubs, twice: the second time only of what the first left apart
     labels = None
     for seed in range(ROUNDS):
         apart = _apart(shared, labels)
         found = staged(verified(bitmaps_allow(_hub_pairs(apart, seed), reps), reps, rows), "links")
         labels = _merged(labels, found)
-    # all pairs of what is still apart
-    members = partnered(_apart(shared, labels)).join(reps.select("cls", "bits"), "cls")
-    labels = _merged(labels, verified(tile_pairs(members), reps, rows))
-    label = (sketch.select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles")).join(labels, "cls", "left")
-             .select("doc_id", "n_shingles", F.coalesce("label", "cls").alias("label")))
-    least = label.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    full = label.where("n_shingles > 0").join(least, "label").select("doc_id", "n_shingles", "component_id")
-    empty = label.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
+    # what is still apart is compared in tiles
+    # each step leaves fewer members to carry the next, larger sign
+    signs = reps.select("cls", "bits", "head")
+    owners = promising(partnered(_apart(shared, labels)).join(signs.select("cls", "head"), "cls"))
+    left = staged(promising(owners.join(signs, "cls")), "promising")
+    sets = sets_of(left.select("cls").distinct(), reps, rows).join(signs, "cls")
+    labels = _merged(labels, tile_links(left.join(sets, "cls")))
+    return _with_components(sketch, labels)
+
+
+def _with_components(sketch: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of the documents of ``sketch`` under ``labels(cls, label)``. A class or a
+    label may hold a third of all rows: both are aggregated first and met by ``spread_join``."""
+    by_class = sketch.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs"))
+    known = staged(by_class.join(labels, "cls", "left").where("docs > 1 or label is not null")
+                   .withColumn("label", F.coalesce("label", "cls")), "known")
+    by_label = staged(known.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    of_class = staged(spread_join(known.select("cls", "docs", "label"), by_label, ["label"], "left")
+                      .select("cls", "docs", "component_id"), "components")
+    full = spread_join(sketch.where("n > 0").select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles")),
+                       of_class, ["cls"], "left", rows="docs")
+    return full.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(
+        sketch.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def _apart(shared: DataFrame, labels: DataFrame | None) -> DataFrame:

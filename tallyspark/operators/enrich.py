@@ -6,11 +6,11 @@ on DISTINCT values only and is joined back, never per row.
 
 from __future__ import annotations
 
-import math
+import uuid
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions import fixed_values as FV
 from ..functions.similarity import token_sort_ratio
@@ -187,29 +187,50 @@ def row_diff(original: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 
 # ---- X4, X5 ---------------------------------------------------------------------------------------
-def score_in_batches(df: DataFrame, fn, out_col: str, fallback: Column, batch: int = 20,
-                     out_type: str = "string") -> DataFrame:
-    """Call ``fn(pandas.DataFrame) -> sequence`` on batches of ``batch`` rows inside
-    each partition (Arrow batches, no driver round trip); a failing batch keeps the
-    deterministic ``fallback`` values. ``fn`` is the pluggable model hook."""
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+def score_in_batches(df: DataFrame, fn, out_col: str, fallback: Column, batch: int = 20, out_type: str = "string",
+                     allowed: list[str] | None = None, other: str = "Other", name: str | None = None
+                     ) -> tuple[DataFrame, Observation]:
+    """Call ``fn(pandas.DataFrame) -> sequence``, the pluggable model hook, on batches of ``batch`` rows
+    inside each partition (Arrow batches, no driver round trip).
+
+    A batch whose call raises, or returns another number of values than rows, keeps the deterministic
+    ``fallback``; values outside ``allowed`` become ``other``. ``<out_col>_from`` tells ``model`` or ``fallback``
+    by row. Returns the scored frame and an observation that the next action on it fills: ``batches``, ``failed_batches``, ``wrong_lengths``, ``fallback_rows``, ``other_values``, ``rows``."""
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType, _parse_datatype_string
     x = df.withColumn("_fallback", fallback.cast(out_type))
-    schema = StructType(list(x.schema.fields) + [StructField(out_col, _parse_datatype_string(out_type), True)])
+    marks = ("_batch", "_failed", "_wrong", "_other")
+    schema = StructType([*x.schema.fields, StructField(out_col, _parse_datatype_string(out_type), True),
+                         StructField(out_col + "_from", StringType(), False), *[StructField(m, IntegerType(), False) for m in marks]])
 
     def run(it):
         for pdf in it:
-            outs = []
+            values, source, marked = [], [], {m: [0] * len(pdf) for m in marks}
             for start in range(0, len(pdf), batch):
                 chunk = pdf.iloc[start:start + batch]
+                marked["_batch"][start] = 1
                 try:
-                    vals = list(fn(chunk.drop(columns=["_fallback"])))
-                    if len(vals) != len(chunk):
-                        raise ValueError("model returned a different number of rows")
-                except Exception:  # noqa: BLE001 - any model failure falls back for this batch
-                    vals = list(chunk["_fallback"])
-                outs.extend(vals)
-            yield pdf.assign(**{out_col: pd.Series(outs, index=pdf.index, dtype=object)})
-    return x.mapInPandas(run, schema).drop("_fallback")
+                    got = list(fn(chunk.drop(columns=["_fallback"])))
+                    problem = "_wrong" if len(got) != len(chunk) else None
+                except Exception:  # noqa: BLE001 - whatever the hook raises, the batch falls back and is counted
+                    problem = "_failed"
+                if problem:
+                    marked[problem][start] = 1
+                    got = list(chunk["_fallback"])
+                elif allowed is not None:
+                    for k, v in enumerate(got):
+                        if v not in allowed:
+                            got[k], marked["_other"][start + k] = other, 1
+                values += got
+                source += ["fallback" if problem else "model"] * len(chunk)
+            yield pdf.assign(**{out_col: pd.Series(values, index=pdf.index, dtype=object), out_col + "_from": source, **marked})
+
+    counts = Observation(name or f"scored-{out_col}-{uuid.uuid4().hex}")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = x.mapInPandas(run, schema).observe(
+        counts, total("_batch").alias("batches"), total("_failed").alias("failed_batches"), total("_wrong").alias("wrong_lengths"),
+        F.count_if(F.col(out_col + "_from") == "fallback").alias("fallback_rows"), total("_other").alias("other_values"),
+        F.count(F.lit(1)).alias("rows"))
+    return out.drop("_fallback", *marks), counts
 
 
 def parse_model_json(col, schema: str) -> Column:

@@ -170,10 +170,21 @@ def dream_clean(df: DataFrame, row_id: str = "row_id", cache: DataFrame | None =
 
 def clean_ledger(df: DataFrame, row_id: str = "row_id", checkpoint: bool = True
                  ) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """X11: dates, amounts, de-dup chain (J8), categories (C10), memos (P19), then risk
-    (R16) and insights (K13) over the cleaned, checkpointed table."""
+    """X11: kind of data (H22) and column mapping (H9-H18) where canonical columns are missing, then dates,
+    amounts, de-dup chain (J8), categories (C10), memos (P19), then risk (R16) and insights (K13)
+    over the cleaned, checkpointed table. Reports ``detection`` and ``mapping`` tell what was found."""
     from ..operators import insights as K
     from ..operators import risk as R
+    found = {"detection": H.detect_accounting({"input": df})}
+    if not {"date", "amount", "vendor", "category", "memo"} <= set(df.columns):
+        mapping = H.map_columns_enhanced({"input": df.drop(row_id)})
+        taken = set(df.columns)
+        for r in mapping.orderBy("position").collect():         # a handful of fields
+            if r.field not in taken:
+                df = df.withColumnRenamed(r.column, r.field)
+                taken = taken - {r.column} | {r.field}
+        df = H.ensure_columns(df)
+        found["mapping"] = mapping
     x = standardize_dates(df, {"date": "date"}).withColumn("amount", clean_amount(F.col("amount"), "robust"))
     x, rep = D.advanced_dedup(x, row_id, checkpoint=checkpoint)
     x = C.categorize_enhanced(x)
@@ -181,7 +192,7 @@ def clean_ledger(df: DataFrame, row_id: str = "row_id", checkpoint: bool = True
     if checkpoint:
         from ..session import cut_lineage
         x = cut_lineage(x)
-    reports = dict(rep)
+    reports = {**rep, **found}
     reports.update({f"risk_{k}": v for k, v in R.assess_risk(x).items()})
     reports.update({f"insights_{k}": v for k, v in K.business_insights(x).items()})
     return x, reports
@@ -218,14 +229,33 @@ def standard_registry() -> RuleRegistry:
     return reg
 
 
-def hybrid_pipeline(df: DataFrame, model_fn=None) -> tuple[DataFrame, dict]:
-    """Standard rules, optional model scoring of categories (X4, with the rule
-    category as fallback), and the before/after diff (J18)."""
+HISTORY = "run string, step string, rows_before long, rows_after long, batches long, failed_batches long, wrong_lengths long, " \
+          "fallback_rows long"
+
+
+def hybrid_pipeline(df: DataFrame, model_fn=None, run: str = "run", history: DataFrame | None = None
+                    ) -> tuple[DataFrame, dict]:
+    """Standard rules, optional model scoring of categories (X4, with the rule category as fallback), the
+    before/after diff (J18) and the history: a row a step with its row counts and, for the model step, the
+    counts of its batches, appended to ``history`` of earlier runs.
+
+    The cleaned table is checkpointed, so rules and hook run once, whatever reads the result."""
+    from ..session import cut_lineage
     reg = standard_registry()
     out, prov = reg.apply_chain(df, reg.names())
+    out = cut_lineage(out)
+    before, after = df.count(), out.count()
+    rows = [(run, "standard_cleaning", before, after, None, None, None, None)]
     if model_fn is not None:
-        out = E.score_in_batches(out, model_fn, "model_category", C.categorize_basic("vendor"))
-    return out, {"provenance": prov, "diff": E.quality_diff(df, out)}
+        out, counts = E.score_in_batches(out, model_fn, "model_category", C.categorize_basic("vendor"), allowed=FV.CATEGORIES)
+        scored = cut_lineage(out)
+        seen = counts.get if after else {}
+        rows.append((run, "model_scoring", after, scored.count(), *[seen.get(k, 0) for k in (
+            "batches", "failed_batches", "wrong_lengths", "fallback_rows")]))
+        out = scored
+    new = df.sparkSession.createDataFrame(rows, HISTORY)
+    return out, {"provenance": prov, "diff": E.quality_diff(df, out),
+                 "history": new if history is None else history.unionByName(new)}
 
 
 def hybrid_full(df: DataFrame, row_id: str = "row_id") -> tuple[DataFrame, dict]:

@@ -358,9 +358,8 @@ def q_j18(spark, t):
 # ---------------------------------------------------------------- sources
 def table_path(df) -> str:
     """The folder of a table of part files, or its one file."""
-    first = df.inputFiles()[0]
-    folder = first.rsplit("/", 1)[0]
-    return folder if folder.endswith(".parquet") else first
+    files = df.inputFiles()
+    return files[0] if len(files) == 1 else files[0].rsplit("/", 1)[0]
 
 
 @query("s01_read_ledger")
@@ -376,7 +375,7 @@ def q_s5(spark, t):
     """S2 + S5: two tables read, mapped to canonical columns and summarised with a total."""
     from ..sources.readers import read_many
     paths = [table_path(t("orders")), table_path(t("customer"))]
-    combined, info = read_many(spark, paths, standardize=lambda d: H.standardize_columns(d)[0])
+    combined, info = read_many(spark, paths, standardize=lambda d: H.standardize_columns(d, keep=("_file", "_broken"))[0])
     return info.withColumn("source_file", F.regexp_extract("source_file", r"([^/]+)$", 1))
 
 
@@ -449,10 +448,13 @@ def q_x6(spark, t):
 
 @query("x09_hybrid_rules")
 def q_x9(spark, t):
-    """Standard rules plus the before/after diff (no model hook configured)."""
+    """Standard rules, model step and history, twice, the second run appended to the first."""
     from .composites import hybrid_pipeline
-    _, rep = hybrid_pipeline(raw_with_text(t).drop("row_id"))
-    return rep["diff"]
+    src = raw_with_text(t).drop("row_id")
+    hook = lambda pdf: ["Other"] * len(pdf)
+    _, first = hybrid_pipeline(src, hook, run="first")
+    _, rep = hybrid_pipeline(src, run="second", history=first["history"])
+    return rep["history"]
 
 
 @query("x10_hybrid_full")
@@ -488,16 +490,21 @@ def q_x13(spark, t):
     return out
 
 
-@query("x04_score_in_batches")
-def q_x4(spark, t):
-    """Batched model hook with deterministic fallback (here a hook that fails on every
-    batch, so every row keeps the fallback category)."""
-    from ..operators.categorize import categorize_basic
+def model_stub(pdf):
+    """A hook for queries and tests: segments by the first letter of the category; vendors whose last digit is 7
+    get no answer, and a batch in which one ends with 99 fails."""
+    if pdf["vendor"].str.endswith("99").any():
+        raise RuntimeError("service not available")
+    return ["Travel" if c < "F" else "Groceries" for c in pdf["category"]]
+
 
-    def hook(pdf):
-        raise RuntimeError("no model configured")
-    return E.score_in_batches(t("ledger").select("row_id", "vendor"), hook, "model_category",
-                              categorize_basic("vendor"))
+@query("x04_score_in_batches", "SELECT row_id, CASE WHEN vendor LIKE '%99' THEN 'fallback' ELSE 'model' END AS model_category_from, "
+       "CASE WHEN vendor LIKE '%99' THEN 'Office' WHEN category < 'F' THEN 'Travel' ELSE 'Other' END AS model_category FROM ledger")
+def q_x4(spark, t):
+    """A hook that answers most batches (of one row each here), fails on some and gives values that are not allowed."""
+    out, _ = E.score_in_batches(t("ledger").select("row_id", "vendor", "category"), model_stub, "model_category",
+                                F.lit("Office"), batch=1, allowed=["Travel", "Office"])
+    return out.select("row_id", "model_category", "model_category_from")
 
 
 @query("x05_parse_model_json", "SELECT row_id, TRY_CAST(json_extract_string(memo, '$.k') AS INTEGER) AS k FROM ledger_events")
@@ -508,11 +515,14 @@ def q_x5(spark, t):
 
 
 # ---------------------------------------------------------------- streaming operators, batch form
-@query("q03_daily_flow", "SELECT CAST(date_trunc('day', date) AS VARCHAR) AS day_start, "
+FLOW_SQL = ("SELECT CAST(date_trunc('day', date) AS VARCHAR) AS day_start, "
        "CAST(date_trunc('day', date) + INTERVAL 1 DAY AS VARCHAR) AS day_end, count(*) AS n, "
        "round(sum(CASE WHEN amount > 0 THEN amount ELSE 0.0 END), 4) AS inflow, "
        "round(sum(CASE WHEN amount < 0 THEN -amount ELSE 0.0 END), 4) AS outflow, round(sum(amount), 4) AS net "
        "FROM ledger_events GROUP BY 1, 2")
+
+
+@query("q03_daily_flow", FLOW_SQL)
 def q_q3(spark, t):
     """Q3 over the event ledger as a bounded stream (same operator, batch input)."""
     from ..streaming.streams import stream_daily_flow
@@ -524,6 +534,57 @@ def q_q3(spark, t):
 @query("q02_dedup_within_watermark", "SELECT count(*) AS n FROM (SELECT DISTINCT vendor, amount FROM ledger_events)")
 def q_q2(spark, t):
     """Q2 on a bounded input: repeated (vendor, amount) keys dropped."""
+    from ..streaming.streams import batch_dedup
+    return batch_dedup(t("ledger_events"), ["vendor", "amount"]).agg(F.count("*").alias("n"))
+
+
+def _event_stream(spark, t):
+    """The event table as a stream of its files, in the columns of the ledger."""
+    table = t("events")
+    path = table_path(table)
+    folder, name = path.rsplit("/", 1)
+    src = spark.readStream.schema(table.schema).parquet(f"{folder}/[{name[0]}]{name[1:]}")      # a pattern may name one file
+    return src.select(F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("date"),
+                      F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(-F.col("value")).alias("amount"),
+                      F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("vendor"))
+
+
+def _drained(spark, stream, name, output_mode="append"):
+    """Run ``stream`` over all that is there, one epoch after the other, and read what it wrote in the shared folder."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.streams import epoch_sink, stream_insights
+    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or ensure_checkpoint_dir(spark)).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = stream_insights(stream, epoch_sink(f"{base}/out"), f"{base}/checkpoint", {name: lambda d: d}, available_now=True, output_mode=output_mode)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out/{name}")
+
+
+@query("q02b_stream_dedup", "SELECT DISTINCT vendor, amount FROM ledger_events")
+def q_q2b(spark, t):
+    """Q2 as a stream: the event files run through watermarked state; all repeats lie within the watermark."""
     from ..streaming.streams import stream_dedup
-    d = stream_dedup(t("ledger_events").withColumn("date", F.col("date").cast("timestamp")), ["vendor", "amount"], "date")
-    return d.agg(F.count("*").alias("n"))
+    keys = ["vendor", "amount"]
+    return _drained(spark, stream_dedup(_event_stream(spark, t), keys, "date", "36500 days"), "dedup").select(*keys)
+
+
+@query("q03b_stream_daily_flow", FLOW_SQL)
+def q_q3b(spark, t):
+    """Q3 as a stream: daily windows kept as state; the last epoch holds the complete result."""
+    from ..streaming.streams import stream_daily_flow
+    d = _drained(spark, stream_daily_flow(_event_stream(spark, t)), "flow", "complete")
+    last = d.agg(F.max("epoch").alias("epoch"))
+    d = with_scalars(d, last.withColumnRenamed("epoch", "last")).filter("epoch = last").drop("epoch", "last")
+    return d.withColumns({c: rnd(F.col(c), 4) for c in ("inflow", "outflow", "net")}).withColumns(
+        {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("day_start", "day_end")})
+
+
+@query("q04_stream_insights", "SELECT vendor, count(*) AS n, round(sum(abs(amount)), 4) AS spend FROM ledger_events GROUP BY vendor")
+def q_q4(spark, t):
+    """Q4: a detector (spend by vendor) on every micro-batch, its epochs added up."""
+    from ..streaming.streams import stream_insights  # noqa: F401  (run by _drained)
+    d = _drained(spark, _event_stream(spark, t), "rows")
+    return d.groupBy("vendor").agg(F.count("*").alias("n"), rnd(F.sum(F.abs("amount")), 4).alias("spend"))
+
+

@@ -30,13 +30,16 @@ def stream_clean(spark: SparkSession, in_dir: str, schema: str, fmt: str = "csv"
 
 
 def stream_dedup(stream: DataFrame, keys: list[str], event_time: str, watermark: str = "7 days") -> DataFrame:
-    """Q2: drop repeated keys arriving within the watermark (state is bounded by it).
-    A bounded (batch) input is de-duplicated on the keys directly."""
-    if not stream.isStreaming:
-        return stream.dropDuplicates(keys)
+    """Q2: drop repeated keys arriving within the watermark (state is bounded by it); rows later than the
+    watermark are dropped too. For a bounded table see ``batch_dedup``."""
     return stream.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(keys)
 
 
+def batch_dedup(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Q2 on a bounded table: one row a key."""
+    return df.dropDuplicates(keys)
+
+
 def stream_daily_flow(stream: DataFrame, event_time: str = "date", amount: str = "amount",
                       watermark: str = "1 day") -> DataFrame:
     """Q3: event-time tumbling daily count / inflow / outflow / net."""
@@ -49,16 +52,32 @@ def stream_daily_flow(stream: DataFrame, event_time: str = "date", amount: str =
                     "net"))
 
 
-def stream_insights(stream: DataFrame, sink, checkpoint: str, detectors=None, trigger: str | None = None):
-    """Q4: run the batch detectors on each micro-batch (``foreachBatch``); ``sink(name,
-    frame, epoch)`` receives every detector output."""
+def epoch_sink(out_dir: str):
+    """A sink ``(name, frame, epoch)`` for ``foreachBatch`` with exactly-once results: the output of an epoch is a folder of
+    its own, written over when the epoch is run again after a failure. Read ``out_dir/name`` back as one table with
+    the column ``epoch``."""
+    def write(name: str, frame: DataFrame, epoch: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}/epoch={epoch}")
+    return write
+
+
+def stream_insights(stream: DataFrame, sink, checkpoint: str, detectors=None, trigger: str | None = None,
+                    available_now: bool = False, output_mode: str = "append"):
+    """Q4: run the batch detectors on each micro-batch (``foreachBatch``); ``sink(name, frame, epoch)``, such as
+    ``epoch_sink``, receives every detector's output. The micro-batch is cached while its detectors read it."""
     from ..operators import risk as R
     detectors = detectors or {"flags": R.all_flags}
 
     def each(batch: DataFrame, epoch: int):
-        for name, fn in detectors.items():
-            sink(name, fn(batch), epoch)
-    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    if trigger:
+        held = batch.persist()
+        try:
+            for name, fn in detectors.items():
+                sink(name, fn(held), epoch)
+        finally:
+            held.unpersist()
+    w = stream.writeStream.foreachBatch(each).outputMode(output_mode).option("checkpointLocation", checkpoint)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    elif trigger:
         w = w.trigger(processingTime=trigger)
     return w.start()

@@ -140,3 +140,11 @@ def q_j8b(spark, t):
 def q_j4(spark, t):
     """J4 on the event ledger: same timestamp and amount, token-sort similar memo."""
     return D.fuzzy_adjacent_dedup(t("ledger_events"), text="memo").select("row_id", "vendor", "amount")
+
+
+@query("j01b_drop_exact_copies", "SELECT DISTINCT CAST(date AS VARCHAR) AS date, round(amount, 4) AS amount, vendor, category, memo "
+       "FROM ledger_copies")
+def q_j1b(spark, t):
+    """J1 on a ledger in which every third row stands twice."""
+    out = D.drop_exact_duplicates(t("ledger_copies"))
+    return out.select(F.col("date").cast("string").alias("date"), rnd(F.col("amount"), 4).alias("amount"), "vendor", "category", "memo")

@@ -319,6 +319,36 @@ def q_j14(spark, t):
     return E.canonicalize_category(t("ledger_lines").select("category").distinct().withColumn("raw", F.col("category")))
 
 
+def _ledger_known_row(spark, t, make, *cols):
+    return make(t("ledger_known")).select("row_id", *cols)
+
+
+@query("j12b_normalize_vendor_known")
+def q_j12b(spark, t):
+    """J12 on vendors some of which the registry knows by name or alias (no SQL for the token-sort ratio)."""
+    return _ledger_known_row(spark, t, E.normalize_vendor, "vendor", "canonical_vendor")
+
+
+@query("j13b_p18_template_memos_known")
+def q_j13b(spark, t):
+    """J13 + P18 on registry vendors with registry categories."""
+    return _ledger_known_row(spark, t, E.template_memos, "vendor", "category", "template_memo")
+
+
+@query("j14b_canonicalize_category_known")
+def q_j14b(spark, t):
+    """J14 on canonical, misspelt and unknown categories."""
+    return _ledger_known_row(spark, t, lambda d: E.canonicalize_category(d.withColumn("raw", F.col("category"))), "raw", "category")
+
+
+@query("j18b_row_diff", "SELECT CAST(date AS VARCHAR) AS date, round(amount, 4) AS amount, vendor, category, memo FROM ledger_copies "
+       "EXCEPT ALL SELECT CAST(date AS VARCHAR), round(amount, 4), vendor, category, memo FROM ledger")
+def q_j18b(spark, t):
+    """J18 row level: the copies that the plain ledger does not hold, as a multiset."""
+    r = lambda d: d.withColumns({"date": F.col("date").cast("string"), "amount": rnd(F.col("amount"), 4)})
+    return E.row_diff(r(t("ledger_copies")), r(t("ledger").drop("row_id")))
+
+
 @query("j15_semi_filter", "SELECT row_id FROM ledger WHERE vendor IN (SELECT vendor FROM ledger GROUP BY vendor "
        "ORDER BY sum(abs(amount)) DESC, vendor LIMIT 10)")
 def q_j15(spark, t):

@@ -150,31 +150,33 @@ def _reg(name, sql, fn, doc):
     query(name, sql)(q)
 
 
-_reg("r01_amount_outliers", sql_r1("ledger"), lambda t: R.amount_outliers(t("ledger")), "R1 on the ledger.")
-_reg("r02_amount_histogram_clusters", sql_r2("ledger"), lambda t: R.amount_histogram_clusters(t("ledger")),
-     "R2 on the ledger.")
+_reg("r01_amount_outliers", sql_r1("ledger_risky"), lambda t: R.amount_outliers(t("ledger_risky")), "R1 on the ledger with a crowded night, outliers and a dominant vendor.")
+_reg("r02_amount_histogram_clusters", sql_r2("ledger_risky"), lambda t: R.amount_histogram_clusters(t("ledger_risky")),
+     "R2 on the ledger with a crowded night, outliers and a dominant vendor.")
 _reg("r03_round_number_flags", sql_r3("ledger"), lambda t: R.round_number_flags(t("ledger")), "R3 on the ledger.")
-_reg("r04_frequency_anomalies", sql_r4("ledger_events"), lambda t: R.frequency_anomalies(t("ledger_events")),
-     "R4 on the event ledger.")
+_reg("r04_frequency_anomalies", sql_r4("ledger_risky"), lambda t: R.frequency_anomalies(t("ledger_risky")),
+     "R4 on the ledger with a crowded night, outliers and a dominant vendor.")
 _reg("r05_vendor_frequency_anomalies", sql_r5("ledger"), lambda t: R.vendor_frequency_anomalies(t("ledger")),
      "R5 on the ledger.")
-_reg("r06_weekend_activity", sql_r6("ledger"), lambda t: R.weekend_activity(t("ledger")), "R6 on the ledger.")
-_reg("r07_after_hours_activity", sql_r7("ledger_events"), lambda t: R.after_hours_activity(t("ledger_events")),
-     "R7 on the event ledger.")
-_reg("r08_vendor_concentration", sql_r8("ledger_events", "category"),
-     lambda t: R.vendor_concentration(t("ledger_events"), vendor="category"),
-     "R8 on the event ledger with the event type as counterparty.")
+_reg("r06_weekend_activity", sql_r6("ledger_risky"), lambda t: R.weekend_activity(t("ledger_risky")), "R6 on the ledger with a crowded night, outliers and a dominant vendor.")
+_reg("r07_after_hours_activity", sql_r7("ledger_risky"), lambda t: R.after_hours_activity(t("ledger_risky")),
+     "R7 on the ledger with a crowded night, outliers and a dominant vendor.")
+_reg("r08_vendor_concentration", sql_r8("ledger_risky"),
+     lambda t: R.vendor_concentration(t("ledger_risky")),
+     "R8 on the ledger with a crowded night, outliers and a dominant vendor.")
 _reg("r09_unknown_vendors", sql_r9("ledger"), lambda t: R.unknown_vendors(t("ledger")), "R9 on the ledger.")
-_reg("r10_high_risk_vendors", sql_r10("ledger_lines", "memo"),
-     lambda t: R.high_risk_vendors(t("ledger_lines"), vendor="memo"),
-     "R10 on part names of the line ledger (free text with many words).")
+_reg("r10_high_risk_vendors", sql_r10("ledger_risky"),
+     lambda t: R.high_risk_vendors(t("ledger_risky")),
+     "R10 on the ledger with a crowded night, outliers and a dominant vendor.")
 _reg("r11_sequential_identical_amounts", sql_r11("ledger_events"),
      lambda t: R.sequential_identical_amounts(t("ledger_events")), "R11 on the event ledger (timestamps).")
 _reg("r12_amount_leader_clusters", sql_r12("ledger"), lambda t: R.amount_leader_clusters(t("ledger")),
      "R12 on the ledger.")
-_reg("r13_vendor_amount_consistency", sql_r13("ledger_lines", "category"),
-     lambda t: R.vendor_amount_consistency(t("ledger_lines"), vendor="category"),
-     "R13 on the line ledger grouped by part type.")
+_reg("r13_vendor_amount_consistency", sql_r13("ledger_risky"),
+     lambda t: R.vendor_amount_consistency(t("ledger_risky")),
+     "R13 on the ledger with a crowded night, outliers and a dominant vendor.")
+_reg("u04_all_flags_risky", sql_all("ledger_risky"), lambda t: R.all_flags(t("ledger_risky")),
+     "U4: every detector on a ledger on which all of them find something.")
 _reg("r16_all_flags", sql_all("ledger_events"), lambda t: R.all_flags(t("ledger_events")),
      "U4/R16: every detector on the event ledger.")
 

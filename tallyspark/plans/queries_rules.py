@@ -108,6 +108,25 @@ def q_c4(spark, t):
                     C.categorize_text("memo", "category").alias("by_text"))
 
 
+@query("c01b_keyword_categories_known", "SELECT vendor, " + simple_sql("vendor") + " AS simple, " + basic_sql("vendor") + " AS basic, "
+       + vendordb_sql("vendor") + " AS vendor_db FROM (SELECT DISTINCT vendor FROM ledger_known)")
+def q_c1b(spark, t):
+    """C1, C2, C3 on vendors that the rule tables know."""
+    d = t("ledger_known").select("vendor").distinct()
+    return d.select("vendor", C.categorize_simple("vendor").alias("simple"), C.categorize_basic("vendor").alias("basic"),
+                    C.categorize_vendor_db("vendor").alias("vendor_db"))
+
+
+@query("c04b_rule_steps_known", "SELECT row_id, " + scored_sql("vendor", "memo", "amount") + " AS scored, "
+       + amount_sql("amount") + " AS by_amount, " + time_sql("memo") + " AS by_time, " + text_sql("vendor", "memo")
+       + " AS by_text FROM ledger_known")
+def q_c4b(spark, t):
+    """C4, C5, C6 and C8 on vendors and memos that the rule tables know."""
+    l = C.with_scored_category(t("ledger_known"), "scored", "vendor", "memo", "amount")
+    return l.select("row_id", "scored", C.categorize_amount("amount").alias("by_amount"), C.categorize_time("memo").alias("by_time"),
+                    C.categorize_text("vendor", "memo").alias("by_text"))
+
+
 C10_SQL = ("WITH vc AS (SELECT vendor, count(*) AS n FROM ledger_lines WHERE vendor IS NOT NULL GROUP BY vendor), "
            "s AS (SELECT l.vendor, l.memo, l.amount, vc.n, " + scored_sql("l.vendor", "l.memo", "l.amount") + " AS c4 "
            "FROM ledger_lines l LEFT JOIN vc ON l.vendor = vc.vendor), "
@@ -156,6 +175,13 @@ def q_c11(spark, t):
     return C.apply_taxonomy(l).groupBy("raw", "category").agg(F.count("*").alias("n"))
 
 
+@query("c11b_apply_taxonomy_known", "SELECT row_id, category AS raw, CASE WHEN category IN (" + ", ".join(q(c) for c in FV.CATEGORIES)
+       + ") THEN category ELSE 'Other' END AS category FROM ledger_known")
+def q_c11b(spark, t):
+    """C11 on categories some of which are canonical."""
+    return C.apply_taxonomy(t("ledger_known").withColumn("raw", F.col("category"))).select("row_id", "raw", "category")
+
+
 # ---------------------------------------------------------------- accounts
 @query("b01_account_summary", "SELECT count(*) AS total_accounts, round(sum(balance), 2) AS total_balance, "
        "round(avg(balance), 6) AS average_balance, min(balance) AS min_balance, max(balance) AS max_balance FROM accounts")

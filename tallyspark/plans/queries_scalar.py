@@ -325,3 +325,12 @@ def q_n5(spark, t):
     """Vendor alias replacement count on the ledger."""
     _, n = FL.replace_values(t("ledger"), "vendor", FV.VENDOR_ALIASES)
     return n
+
+
+@query("n05b_replace_values_known", "SELECT row_id, CASE vendor " + " ".join(
+    "WHEN '" + k.replace("'", "''") + "' THEN '" + v.replace("'", "''") + "'" for k, v in FV.VENDOR_ALIASES.items())
+    + " ELSE vendor END AS vendor FROM ledger_known")
+def q_n5b(spark, t):
+    """Vendor aliases replaced, rows returned."""
+    out, _ = FL.replace_values(t("ledger_known"), "vendor", FV.VENDOR_ALIASES)
+    return out.select("row_id", "vendor")

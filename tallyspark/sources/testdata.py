@@ -25,6 +25,31 @@ SELECT row_id + 1000000000, CAST(date + INTERVAL '1' DAY AS DATE), amount * 1.01
        concat(upper(vendor), ','), category, memo FROM ledger WHERE row_id % 20 = 0
 UNION ALL
 SELECT row_id + 2000000000, date, amount * 0.99, vendor, category, memo FROM ledger WHERE row_id % 20 = 1""",
+    # a third of the rows on one Saturday night, one vendor with 40 % of the rows, outliers, equal rents
+    "ledger_risky": """
+SELECT row_id,
+  CASE WHEN row_id % 3 = 0 THEN TIMESTAMP '1997-06-14 23:30:00' ELSE CAST(date AS TIMESTAMP) + INTERVAL '10' HOUR END AS date,
+  CASE WHEN row_id % 50 = 4 THEN 1200.0 + row_id % 7 WHEN row_id % 997 = 5 THEN amount * 40 WHEN row_id % 4 = 1 THEN 250.0
+       ELSE amount END AS amount,
+  CASE WHEN row_id % 50 = 4 THEN 'Steady Rent' WHEN row_id % 50 = 3 THEN 'ATM Withdrawal 24h' WHEN row_id % 5 < 2 THEN 'Acme Holdings'
+       ELSE vendor END AS vendor, category, memo
+FROM ledger""",
+    # vendors, categories and memos that the rule tables know
+    "ledger_known": """
+SELECT row_id, date, amount,
+  CASE row_id % 16 WHEN 0 THEN 'Uber Trip' WHEN 1 THEN 'AMAZON MKTPLACE' WHEN 2 THEN 'Spotify Inc.' WHEN 3 THEN 'DHL Express'
+    WHEN 4 THEN 'Office Depot #12' WHEN 5 THEN 'Shell Gas' WHEN 6 THEN 'Adobe Systems' WHEN 7 THEN 'City Water and Electric'
+    WHEN 8 THEN 'Corner Cafe' WHEN 9 THEN 'Blue Cross Insurance' WHEN 10 THEN 'Smith Attorney' WHEN 11 THEN 'WAL-MART'
+    ELSE vendor END AS vendor,
+  CASE WHEN row_id % 16 = 2 THEN 'Annual Plan' WHEN row_id % 5 = 0 THEN 'Transportation' WHEN row_id % 5 = 1 THEN 'office_suplies'
+    WHEN row_id % 5 = 2 THEN 'Utilities' WHEN row_id % 5 = 3 THEN 'unknown' ELSE category END AS category,
+  CASE row_id % 6 WHEN 0 THEN 'monthly subscription' WHEN 1 THEN 'quarterly billing' WHEN 2 THEN 'annual renewal'
+    WHEN 3 THEN 'setup of equipment' WHEN 4 THEN 'lunch at restaurant' ELSE memo END AS memo
+FROM ledger""",
+    "ledger_copies": """
+SELECT date, amount, vendor, category, memo FROM ledger
+UNION ALL
+SELECT date, amount, vendor, category, memo FROM ledger WHERE row_id % 3 = 0""",
     "ledger_raw": """
 SELECT row_id,
   CASE row_id % 6

@@ -142,11 +142,18 @@ def scaled_cash_flow(df: DataFrame, amount: str = "amount") -> DataFrame:
         .withColumn("trend", F.when(F.col("net_flow") > 0, "Positive").otherwise("Negative"))
 
 
-def category_distribution(df: DataFrame, vendor: str = "vendor", category: str = "category") -> DataFrame:
-    """Per vendor, share of rows per (non-null) category as a MAP."""
+def category_shares(df: DataFrame, vendor: str = "vendor", category: str = "category") -> DataFrame:
+    """A11 in long form: (vendor, category, count, share of the vendor's rows with a category). A vendor's total comes
+    from an aggregate of the counts, joined back; nothing is gathered a vendor."""
     counts = df.filter(F.col(vendor).isNotNull() & F.col(category).isNotNull()).groupBy(vendor, category).count()
-    w = Window.partitionBy(vendor)
-    shares = counts.withColumn("share", F.col("count") / F.sum("count").over(w))
+    totals = counts.groupBy(vendor).agg(F.sum("count").alias("_n"))
+    return counts.join(totals, vendor).withColumn("share", F.col("count") / F.col("_n")).drop("_n")
+
+
+def category_distribution(df: DataFrame, vendor: str = "vendor", category: str = "category") -> DataFrame:
+    """Per vendor, share of rows per (non-null) category as a MAP, from ``category_shares``. A map has an entry a
+    category; where a vendor may have very many, use the long form."""
+    shares = category_shares(df, vendor, category)
     return shares.groupBy(vendor).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(category), F.col("share")))))
         .alias("category_distribution"))

@@ -139,6 +139,21 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+FILTER_BITS = 1 << 24       # size of the broadcast bit set of ``only_wanted``: 2 MB
+
+
+def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``row`` hash may be in ``wanted(row)``: a bit set of FILTER_BITS bits, whatever the
+    size of the tables, is broadcast, so that rows that nothing needs aren't shuffled."""
+    place = F.pmod("row", F.lit(FILTER_BITS))
+    sets = (wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("set")))
+    near = rows.withColumn("p", place).join(F.broadcast(sets), F.bitmap_bucket_number("p") == F.col("bucket"))
+    at = F.bitmap_bit_position("p")
+    byte = F.conv(F.hex(F.substring("set", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("p", "bucket", "set")
+
+
 #: No group of probe rows that meets one row in ``spread_join`` is larger than this or a 4096th of all.
 SPREAD_ROWS, SPREAD_SHARES = 10_000, 4096
 

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, connected_components, query, read_table, spread_join, staged
+from .common import bounded_batches, connected_components, only_wanted, query, read_table, spread_join, staged
 
 WORDS = 5                   # words of a shingle
 PERCENT = 75                # least 100 * intersection / union of a link
@@ -33,7 +33,6 @@ BLOCK = 512                 # members of a tile's block
 ROUNDS, HUBS = 2, 6         # rounds of hub links; families of keys, each of which draws its hub alike
 HEAD = 16                   # folds of a prefix that decide which key owns a pair
 NEAR = 64                   # members of a key up to which each is compared with every other at once
-FILTER_BITS = 1 << 24       # size of the broadcast bit set of wanted rows
 STREAM = 4_000              # members compared with one hub in a task
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -327,18 +326,6 @@ def shared_prefixes(sketch: DataFrame) -> DataFrame:
     return light.unionByName(heavy_entries(sketch, heavy)) if heavy else light
 
 
-def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rows`` whose ``row`` hash may be in ``wanted(row)``: a bit set of FILTER_BITS bits, whatever the
-    size of the tables, is broadcast, so that texts that no pair needs aren't shuffled."""
-    place = F.pmod("row", F.lit(FILTER_BITS))
-    sets = (wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("set")))
-    near = rows.withColumn("p", place).join(F.broadcast(sets), F.bitmap_bucket_number("p") == F.col("bucket"))
-    at = F.bitmap_bit_position("p")
-    byte = F.conv(F.hex(F.substring("set", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("p", "bucket", "set")
-
-
 def bitmaps_allow(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (hub, cls) whose bitmaps and sizes leave the threshold in reach."""
     of = lambda c: reps.select(F.col("cls").alias(c), F.col("n").alias("n_" + c), F.col("bits").alias("bits_" + c))

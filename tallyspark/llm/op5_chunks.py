@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import query, read_table, staged
+from .common import bounded_batches, only_wanted, query, read_table, spread_join, staged
 
 ZERO_BITS = 4               # a cut every 16 bytes, before the least length applies: chunks of 30 bytes on average
 LEAST, MOST = 16, 512       # bytes of a chunk
@@ -55,11 +55,11 @@ def cut_points(raw: bytes, table: np.ndarray) -> list[int]:
 
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start, length, digest) of every chunk of every text, in bytes of UTF-8."""
+    """(doc_id, start, length, d1, d2) of every chunk of every text, in bytes of UTF-8; d1 and d2 are its digest of 128 bits."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        table, digest = gear_table(), xxhash.xxh3_64_intdigest
+        table, digest = gear_table(), xxhash.xxh3_128_digest
         for b in batches:
             ids, starts, lens, found, held = [], [], [], [], 0
             for i, t in zip(b["doc_id"], b["text"], strict=True):
@@ -80,12 +80,13 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null")
-    return rows.mapInPandas(cut, f"doc_id {kind}, start int, length int, digest long")
+    return rows.mapInPandas(cut, f"doc_id {kind}, start int, length int, d1 long, d2 long")
 
 
 def _frame(ids, starts, lens, found) -> pd.DataFrame:
+    both = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
     return pd.DataFrame({"doc_id": ids, "start": np.array(starts, np.int32), "length": np.array(lens, np.int32),
-                         "digest": np.array(found, np.uint64).view(np.int64)})
+                         "d1": both[:, 0], "d2": both[:, 1]})
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,13 +97,16 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     repeated chunks that lie side by side, of at least SPAN_BYTES bytes, wherever their kept
     chunks are; its spans are the pieces that continue one earlier text, of any size. Null or
     empty texts and null ids have no spans; rows with the same id and text count as one
-    document. Counts are summed before the shuffle and repeated digests are joined, so a
-    passage in a third of all texts is split like any skewed join key.
+    document. Counts are summed before the shuffle, chunks that stand once are mostly kept from the join by a
+    bit set, and a digest of very many chunks is dealt out over tasks.
     """
-    parts = staged(chunks(docs, doc_id, text), "chunks")
-    first = (parts.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("keep"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select("digest", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start")))
-    again = parts.join(first, "digest").where("doc_id <> keep_doc_id or start <> keep_start").drop("digest").distinct()
+    parts = staged(chunks(bounded_batches(docs), doc_id, text), "chunks")
+    first = staged(parts.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("keep"), F.count(F.lit(1)).alias("n"))
+                   .where("n > 1").select("d1", "d2", "n", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start")),
+                   "repeated")
+    likely = only_wanted(parts.withColumn("row", F.col("d1")), first.select(F.col("d1").alias("row"))).drop("row")
+    again = (spread_join(likely, first, ["d1", "d2"], "inner").where("doc_id <> keep_doc_id or start <> keep_start")
+             .drop("d1", "d2").repartition("doc_id").distinct())
     w = Window.partitionBy("doc_id").orderBy("start")
     apart = F.coalesce(F.lag("start").over(w) + F.lag("length").over(w) != F.col("start"), F.lit(True))
     follows = ((F.lag("keep_doc_id").over(w) == F.col("keep_doc_id"))

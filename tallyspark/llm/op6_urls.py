@@ -28,6 +28,7 @@ ORDER = 5                   # longest context, in characters
 KAPPA = 2.0                 # weight of the next shorter context (Witten-Bell like, fixed mass)
 HOT = 1 << 18               # most grams looked up in a broadcast; the others are joined, with equal results
 SCALE = 1 << 32             # scores are summed as whole multiples of 1 / SCALE, so that order doesn't matter
+FOLDS = 5                   # one of so many folds of different URLs is held out for the calibration
 BINS = 4096                 # bins of the calibration's histogram for a ratio of 1
 
 
@@ -176,7 +177,8 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     """Append ``host``, ``path``, ``rule``, ``lm_ratio`` double and ``verdict`` to ``pages``.
 
     The models learn from the rule-decided rows; the part of a URL that both see is the whole
-    text after ``://`` with its scheme left out. A null URL counts as an empty one. If one class
+    text after ``://`` with its scheme left out. The cut is chosen on a fold of the decided URLs, by the hash of
+    their text, with models that have not seen them. A null URL counts as an empty one. If one class
     has no rows, its model is uniform; if both are empty, URLs without a rule are allowed
     (ratio 0 against cut 0). Equal URLs get equal verdicts; input columns of the appended
     names are replaced.
@@ -185,16 +187,23 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     ruled = with_rules(pages.select(*[F.col(f"`{c}`") for c in keep]), rules, url)
     seen = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "^[^:/?#]*://", "")
     ruled = ruled.withColumn("__llm_seen", seen)
-    counts = staged(count_grams(ruled.select(F.col("__llm_seen").alias("text"), F.col("rule_verdict").alias("label"))), "grams")
-    out = with_ratio(ruled, staged(gram_scores(counts), "gram_scores"))
-    cut = calibrated_cut(out)
+    held = F.pmod(F.xxhash64("__llm_seen"), F.lit(FOLDS)) == 0
+    unseen = learned(ruled.withColumn("rule_verdict", F.when(~held, F.col("rule_verdict"))))
+    cut = calibrated_cut(with_ratio(ruled.where(held & F.col("rule_verdict").isNotNull()), unseen))
+    out = with_ratio(ruled, learned(ruled))
     verdict = F.coalesce("rule_verdict", F.when(F.col("lm_ratio") >= F.lit(cut), "allow").otherwise("block"))
     order = [*keep, "host", "path", "rule", "lm_ratio"]
     return out.select(*[F.col(f"`{c}`") for c in order], verdict.alias("verdict"))
 
 
+def learned(ruled: DataFrame) -> DataFrame:
+    """Scores of all grams of ``ruled(__llm_seen, rule_verdict)`` under the models of its decided rows."""
+    counts = count_grams(ruled.select(F.col("__llm_seen").alias("text"), F.col("rule_verdict").alias("label")))
+    return staged(gram_scores(staged(counts, "grams")), "gram_scores")
+
+
 def calibrated_cut(out: DataFrame) -> float:
-    """Cut with the fewest errors, equally weighted by class, on all rows that a rule decides; 0 if
+    """Cut with the fewest errors, equally weighted by class, on the rows of ``out`` that a rule decides; 0 if
     a class is missing. Cuts lie between the bins of a histogram (BINS for a ratio of 1), whose
     size doesn't depend on the number of rows, or at 0."""
     hist = (out.where("rule_verdict is not null").groupBy(F.floor(F.col("lm_ratio") * BINS).alias("bin"))

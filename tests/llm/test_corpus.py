@@ -259,12 +259,35 @@ def test_op5_short_pieces_of_a_long_passage(spark, monkeypatch):
     # chunks of document 3 are kept by turns in 1 and 2: no piece has two chunks or 100 bytes
     cut = [(1, 0, 40, 11), (1, 40, 40, 99), (2, 0, 40, 12), (2, 40, 40, 98), (1, 80, 40, 13), (2, 80, 40, 14), (3, 5, 40, 11), (3, 45, 40, 12), (3, 85, 40, 13),
            (3, 125, 40, 14), (3, 165, 9, 97), (3, 174, 40, 11), (4, 0, 300, 50), (5, 7, 300, 50)]
-    df = spark.createDataFrame(cut, "doc_id long, start int, length int, digest long")
+    df = spark.createDataFrame([(*c, 7) for c in cut], "doc_id long, start int, length int, d1 long, d2 long")
     monkeypatch.setattr(op5_chunks, "chunks", lambda *_: df)
     got = sorted((s.doc_id, s.start, s.end, s.keep_doc_id, s.keep_start) for s in op5_chunks.repeated_spans(df).collect())
     assert got == [(3, 5, 45, 1, 0), (3, 45, 85, 2, 0), (3, 85, 125, 1, 80), (3, 125, 165, 2, 80), (5, 7, 307, 4, 0)]
 
 
+def test_op5_is_complete(spark, odd):
+    """All repeated chunks that lie in passages of enough bytes, against a plain pass over the same chunks."""
+    rows = odd.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 500).where("doc_id > 5")).where("doc_id is not null")
+    seen, first, docs = {}, {}, {}
+    for i, t in sorted(set(texts_of(rows)), key=str):
+        raw, at = (t or "").encode(), 0
+        for e in op5_chunks.cut_points(raw, op5_chunks.gear_table()) if raw else []:
+            docs.setdefault(i, []).append((at, e, raw[at:e]))
+            first[raw[at:e]] = min(first.get(raw[at:e], (i, at)), (i, at))
+            at = e
+    want = set()
+    for i, parts in docs.items():
+        again, run = [(a, e) for a, e, x in sorted(parts) if first[x] != (i, a)], []
+        for a, e in [*again, (None, None)]:
+            if run and (a is None or run[-1][1] != a):
+                if run[-1][1] - run[0][0] >= op5_chunks.SPAN_BYTES:
+                    want |= {(i, b) for s, f in run for b in range(s, f)}
+                run = []
+            run.append((a, e))
+    got = {(s.doc_id, b) for s in op5_chunks.repeated_spans(rows).collect() for b in range(s.start, s.end)}
+    assert got == want and len({i for i, _ in want}) > 5
+
+
 def plain_ratios(rows, order=5, kappa=2.0):
     """lm_ratio by url from exact counts, as dictionaries."""
     n = {label: collections.Counter() for label in ("allow", "block")}
@@ -302,6 +325,23 @@ def test_op6_exact_counts(spark, monkeypatch, hot):
     assert max(abs(got[u] - want[u.split("://", 1)[1]]) for u, _ in urls) < 1e-6
 
 
+def test_op6_cut_comes_from_unseen_urls(spark, monkeypatch):
+    r, path = random.Random(6), lambda: "".join(r.choice("abcdefgh/") for _ in range(12))
+    urls = [(f"https://{h}/{path()}", v) for k in range(300) for h, v in (("a.org/fr", "allow"), ("b.net", "block"), ("c.io", None))]
+    urls += [("https://b.net/copy", "block")] * 40
+    df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)], "page_id int, url string")
+    kept, plain = [], op6_urls.calibrated_cut
+    monkeypatch.setattr(op6_urls, "calibrated_cut", lambda out: kept.append(out.select("__llm_seen", "rule_verdict", "lm_ratio").collect()) or plain(out))
+    op6_urls.judge(df)
+    held = {x["__llm_seen"] for x in kept[0]}
+    seen = [(u.split("://", 1)[1], v) for u, v in urls]
+    want = plain_ratios([(u, None if u in held else v) for u, v in seen])
+    assert 60 < len(held) < 200 and all(x.rule_verdict for x in kept[0])
+    assert max(abs(x.lm_ratio - want[x["__llm_seen"]]) for x in kept[0]) < 1e-6
+    decided = {u for u, v in seen if v}
+    assert held < decided and (sum(x["__llm_seen"] == "b.net/copy" for x in kept[0]) in (0, 40))
+
+
 def test_op6_cut_weighs_all_decided_rows(spark):
     rows = [("allow", -0.5)] * 30 + [("allow", 2.0)] * 10 + [("block", -1.0)] * 20 + [("block", 1.0)] * 5 + [(None, 9.0)]
     df = spark.createDataFrame(rows, "rule_verdict string, lm_ratio double")
@@ -396,6 +436,64 @@ def test_op9(spark, odd, empty):
     assert op9_decontam.find_leaks(odd, items.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def plain_leaks(docs, items):
+    """(doc_id, item_id, first_word): score, question and answer overlap, by scoring every unit in every passage."""
+    n, size = op9_decontam.UNIT_WORDS, op9_decontam.STRIDE
+    parts = {i: op9_decontam.question_answer(t) for i, t in items if t}
+    units = [(i, (q + a)[k:k + n]) for i, (q, a) in parts.items() for k in range(0, len(q + a), n)]
+    df = collections.Counter(w for _, u in units for w in set(u))
+    distinct = {i: sum(len(set(u)) for j, u in units if j == i) for i in parts}
+    total = sum(max(1, -(-d // n)) for d in distinct.values())
+    mean = max(1.0, sum(distinct.values()) / total)
+    weights = []
+    for i, u in units:
+        w = {t: math.log(1 + (total - df[t] + 0.5) / (df[t] + 0.5)) * u.count(t) * 2.2 / (u.count(t) + 1.2 * (0.25 + 0.75 * len(u) / mean)) for t in set(u)}
+        weights.append((i, {t: x / sum(w.values()) for t, x in w.items()}))
+    longest, out = max(len(q) + len(a) for q, a in parts.values()), {}
+    for d, text in docs:
+        words = op9_decontam._words((text or "").lower())
+        for at in range(0, len(words), size):
+            held, done = set(words[at:at + 2 * size]), set()
+            for i, w in weights:
+                score = sum(x for t, x in w.items() if t in held)
+                if score < op9_decontam.THRESHOLD or i in done:
+                    continue
+                done.add(i)
+                near, shares = words[max(0, at - longest):at + 2 * size + longest], []
+                for part in parts[i]:
+                    k = min(3, len(part))
+                    want = op9_decontam.grams(part)
+                    shares.append(len(want & op9_decontam.grams(near, k)) / len(want) if k else 1.0)
+                if shares[0] >= 0.5 and shares[1] >= 0.5 and score > out.get((d, i), (0, -1))[1] + 1e-6:
+                    out[d, i] = (at, score, *shares)
+    return out
+
+
+@pytest.mark.parametrize("shard", [4000, 5])
+def test_op9_equals_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(op9_decontam, "SHARD_ITEMS", shard)
+    r = random.Random(9)
+    items = [(k, passage(700 + k, 12 + 9 * k % 60) + (". " + passage(800 + k, 1 + k % 7) if k % 3 else "") + ".") for k in range(22)]
+    items += [(90, "of the and to in. of it"), (91, None)]
+    docs = []
+    for k in range(60):
+        words = passage(2000 + k, r.randint(0, 260)).split()
+        for _ in range(r.randint(0, 3)):        # items whole, cut, mixed up, and without their answer
+            w = items[r.randrange(22)][1].split()
+            w = [x for x in w if r.random() < r.choice([1.0, 1.0, 0.9, 0.75, 0.5])]
+            w = w[:r.choice([len(w), len(w) * 3 // 4])]
+            at = r.randint(0, len(words))
+            words[at:at] = w
+        docs.append((k, " ".join(words)))
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs + [(60, None), (61, docs[0][1])]], "doc_id long, text string, leaks string").repartition(3)
+    out = op9_decontam.find_leaks(df, spark.createDataFrame(items, "item_id int, text string"))
+    got = {(x.doc_id, y.item_id): (y.first_word, y.score, y.question_overlap, y.answer_overlap) for x in out.collect() for y in x.leaks}
+    want = plain_leaks(docs + [(61, docs[0][1])], items)
+    assert got.keys() == want.keys() and len(want) > 10
+    for key, (at, score, q, a) in want.items():
+        assert got[key][0] == at and got[key][1] == pytest.approx(score, abs=1e-5) and got[key][2:] == pytest.approx((q, a))
+
+
 def test_op9_finds_all_benchmark_passages(spark):
     docs, items = (read_table(spark, SF, t).collect() for t in ("documents", "benchmark"))
     want = {(d.doc_id, b.item_id) for d in docs for b in items if d.text and b.text in d.text}

@@ -144,10 +144,10 @@ def _pairwise_drop(base: DataFrame, *, days: int, tol: float, date_optional: boo
     extra = ["toks"] if match is not None else []
     usable = (F.lit(True) if date_optional else F.col("d").isNotNull()) & (
         F.lit(True) if amount_optional else F.coalesce(F.col("a") > 0, F.lit(False)))
-    # read by up to nine joins: written once, so that they scan it instead of running the upstream plan again
-    base = cut_lineage(base.filter(usable))
+    base = base.filter(usable)
     firsts = base.groupBy("blk", "vlow", "d", "a").agg(F.min("rid").alias("rid"), *[F.any_value(c).alias(c) for c in extra])
     has_d, has_a = F.col("d").isNotNull(), F.coalesce(F.col("a") > 0, F.lit(False))
+    # read by up to nine joins: written once, so that they scan it instead of running the upstream plan again
     firsts = cut_lineage(firsts)
     size = firsts.agg(*[F.count_if(c).alias(n) for n, c in {
         "da": has_d & has_a, "d_": has_d & ~has_a, "_a": ~has_d & has_a, "__": ~has_d & ~has_a}.items()]).first()

@@ -7,7 +7,7 @@ element and verifies the pair in the join condition, so only pairs that hold lea
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -61,16 +61,19 @@ def jaccard_pairs(sets: DataFrame, id_col: str, items: str, least: float) -> Dat
 
 
 # ---- strings by the sequence ratio -------------------------------------------------------------
-def _numbered(grams: Column) -> Column:
-    """A multiset as a set: each gram with its occurrence number, as text."""
-    return F.transform(F.array_sort(grams), lambda g, i: F.concat(
-        g, F.lit("\x00"), (i - F.array_position(F.array_sort(grams), g) + 1).cast("string")))
+FEW = 20        # names of a block up to which each meets every other
 
 
 def _grams(text: Column, q: int) -> Column:
+    """All runs of q characters, sorted."""
     n = F.char_length(text) - (q - 1)
     places = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return _numbered(F.transform(places, lambda i: F.substring(text, i, F.lit(q))))
+    return F.array_sort(F.transform(places, lambda i: F.substring(text, i, F.lit(q))))
+
+
+def _numbered(grams: str) -> Column:
+    """A sorted multiset as a set: each gram with its occurrence number, as text."""
+    return F.transform(F.col(grams), lambda g, i: F.concat(g, F.lit("\x00"), (i - F.array_position(F.col(grams), g) + 1).cast("string")))
 
 
 def _most_edits(lengths: Column, ratio: float) -> Column:
@@ -97,17 +100,24 @@ def sequence_ratio_pairs(names: DataFrame, block: str, name: str, ratio: float)
 
     The ratio is twice the matched characters by both lengths, so it bounds the edits, and they bound how many
     grams the strings share: strings meet by the rarest of their grams, then by the count of shared grams, and only
-    what is left is scored. Short strings meet by characters."""
-    several = names.groupBy(F.col(block).alias("blk")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("blk")
-    texts = cut_lineage(names.select(F.col(block).alias("blk"), F.col(name).alias("s"), F.char_length(name).alias("n"))
-                        .filter("n > 0").join(several, "blk", "left_semi"))
-    both = []
-    for q in (1, 2):
+    what is left is scored. Short strings meet by characters. In a block of at most ``FEW`` names each meets every other."""
+    sizes = names.groupBy(F.col(block).alias("blk")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    every = cut_lineage(names.select(F.col(block).alias("blk"), F.col(name).alias("s"), F.char_length(name).alias("n"))
+                        .filter("n > 0").join(sizes, "blk"))
+    same = names.select(F.col(block).alias("blk"), F.col(name).alias("i"), F.col(name).alias("j"))
+    # a block of few names: at most FEW - 1 partners a name, so its pairs grow with the names
+    x, y = every.filter(F.col("c") <= FEW).alias("x"), every.filter(F.col("c") <= FEW).alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    both = [x.join(y, (F.col("x.blk") == F.col("y.blk")) & (F.col("x.s") < F.col("y.s")) & (2 * F.least(n, m) > ratio * (n + m)))
+            .select(F.col("x.blk").alias("blk"), F.col("x.s").alias("i"), F.col("y.s").alias("j"))]
+    texts = every.filter(F.col("c") > FEW).drop("c")
+    for q in () if texts.isEmpty() else (1, 2):
         # what a partner of any length in reach shares at least; the prefix must hold one of the other grams
         lo, hi = F.floor(F.col("n") * ratio / (2 - ratio)), F.ceil(F.col("n") * (2 - ratio) / ratio)
         partners = F.filter(F.sequence(F.greatest(lo, F.lit(1)), hi), lambda m: _by_pairs_of_characters(F.col("n"), m, ratio) == F.lit(q == 2))
         text = texts.withColumn("need", F.array_min(F.transform(partners, lambda m: _least_common(F.col("n"), m, ratio, q)))).filter("need is not null")
-        own = ranked_sets(text.withColumn("g", _grams(F.col("s"), q)), ["blk", "s", "n", "need"], "g", within=["blk"])
+        text = text.withColumn("bag", _grams(F.col("s"), q)).withColumn("g", _numbered("bag"))
+        own = ranked_sets(text, ["blk", "s", "n", "need"], "g", within=["blk"])
         part = cut_lineage(own.withColumn("x", F.explode(F.slice("g", F.lit(1), (F.size("g") - F.col("need") + 1).cast("int")))).drop("need"))
         a, b = part.alias("a"), part.alias("b")
         n, m = F.col("a.n"), F.col("b.n")
@@ -115,8 +125,7 @@ def sequence_ratio_pairs(names: DataFrame, block: str, name: str, ratio: float)
               & (2 * F.least(n, m) > ratio * (n + m)) & (_by_pairs_of_characters(n, m, ratio) == F.lit(q == 2))
               & (F.size(F.array_intersect("a.g", "b.g")) >= _least_common(n, m, ratio, q)))
         both.append(a.join(b, on).select(F.col("a.blk").alias("blk"), F.col("a.s").alias("i"), F.col("b.s").alias("j")).distinct())
-    close = cut_lineage(both[0].unionByName(both[1]))
+    close = cut_lineage(reduce(DataFrame.unionByName, both))
     # the ratio depends on the order of its arguments
     ways = close.unionByName(close.select("blk", F.col("j").alias("i"), F.col("i").alias("j")))
-    same = names.select(F.col(block).alias("blk"), F.col(name).alias("i"), F.col(name).alias("j"))
     return ways.filter(sequence_ratio(F.col("i"), F.col("j")) > ratio).unionByName(same)

@@ -39,8 +39,9 @@ def test_jaccard_pairs_equal_brute_force_on_2000_texts(spark, least):
     assert S.jaccard_pairs(df.limit(0), "id", "toks", least).count() == 0
 
 
-@pytest.mark.parametrize("ratio", [0.85, 0.6])
-def test_sequence_ratio_pairs_equal_brute_force(spark, ratio):
+@pytest.mark.parametrize("ratio,few", [(0.85, 20), (0.6, 20), (0.85, 10_000)])
+def test_sequence_ratio_pairs_equal_brute_force(spark, monkeypatch, ratio, few):
+    monkeypatch.setattr(S, "FEW", few)
     r, names = random.Random(3), set()
     for base in ("acme industrial supplies", "acme", "a", "ab", "beta-gamma llc", "zz top", "co", "été café", "x" * 30):
         for _ in range(18):

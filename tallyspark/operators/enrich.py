@@ -191,7 +191,8 @@ def score_in_batches(df: DataFrame, fn, out_col: str, fallback: Column, batch: i
                      allowed: list[str] | None = None, other: str = "Other", name: str | None = None
                      ) -> tuple[DataFrame, Observation]:
     """Call ``fn(pandas.DataFrame) -> sequence``, the pluggable model hook, on batches of ``batch`` rows
-    inside each partition (Arrow batches, no driver round trip).
+    inside each partition (Arrow batches, no driver round trip). The hook is what costs: deal rows that come from few
+    files or blocks over more partitions first.
 
     A batch whose call raises, or returns another number of values than rows, keeps the deterministic
     ``fallback``; values outside ``allowed`` become ``other``. ``<out_col>_from`` tells ``model`` or ``fallback``
@@ -204,18 +205,19 @@ def score_in_batches(df: DataFrame, fn, out_col: str, fallback: Column, batch: i
 
     def run(it):
         for pdf in it:
+            body, defaults = pdf.drop(columns=["_fallback"]), pdf["_fallback"].tolist()
             values, source, marked = [], [], {m: [0] * len(pdf) for m in marks}
             for start in range(0, len(pdf), batch):
-                chunk = pdf.iloc[start:start + batch]
+                chunk = body.iloc[start:start + batch]
                 marked["_batch"][start] = 1
                 try:
-                    got = list(fn(chunk.drop(columns=["_fallback"])))
+                    got = list(fn(chunk))
                     problem = "_wrong" if len(got) != len(chunk) else None
                 except Exception:  # noqa: BLE001 - whatever the hook raises, the batch falls back and is counted
                     problem = "_failed"
                 if problem:
                     marked[problem][start] = 1
-                    got = list(chunk["_fallback"])
+                    got = defaults[start:start + batch]
                 elif allowed is not None:
                     for k, v in enumerate(got):
                         if v not in allowed:

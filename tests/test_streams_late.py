@@ -100,6 +100,26 @@ def test_hook_that_fails_partly_is_counted(spark):
     assert out.columns == ["k", "cat", "cat_from"]
 
 
+def test_many_small_batches_cost_little_beside_the_hook(spark):
+    """The frame without the fallback is cut once, not copied a batch; a hook may change its batch."""
+    def hook(pdf):
+        assert "_fallback" not in pdf.columns
+        pdf["k"] = -1
+        return ["x"] * len(pdf)
+
+    df = spark.range(40).select(F.col("id").alias("k"), F.col("id").cast("string").alias("s")).coalesce(1)
+    out, seen = E.score_in_batches(df, hook, "cat", F.lit("rule"), batch=1)
+    assert sorted((r.k, r.s, r.cat) for r in out.collect()) == [(k, str(k), "x") for k in range(40)]
+    assert seen.get["batches"] == 40
+
+
+def test_rows_of_one_file_are_dealt_to_the_hook(spark):
+    """X4 as a query: the hook runs in many tasks, though the orders lie in one block."""
+    import __spark_entry__ as entry
+    out = entry.queries()["x04_score_in_batches"](spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() >= 8
+
+
 def test_history_is_appended(spark):
     df = spark.createDataFrame([("2024-01-05", "5.0", "Uber", "x")] * 3 + [("2024-01-06", "6.0", "Shell", "y")],
                                "date string, amount string, vendor string, memo string")

@@ -95,3 +95,15 @@ def test_similarity_helpers():
         assert abs(indel_ratio(a, b) - exp) < 1e-9
     assert token_sort_ratio_py("b a", "a b") == 100.0
     assert abs(sequence_ratio_py("customer#1,", "customer#1") - 2 * 10 / 21) < 1e-12
+
+
+def test_amounts_are_parsed_once_a_row_in_filters(spark):
+    from tallyspark.functions.amounts import clean_amount
+    vals = [("(1,234.5)", -1234.5), ("-5", -5.0), ("USD 5", 5.0), ("u$sd 5", None), ("nan", None), ("(5", 5.0), ("5-", 5.0),
+            (" 5\t0 ", 50.0), ("-inf", float("-inf")), ("", None), (None, None)]
+    df = spark.createDataFrame([(v,) for v, _ in vals], "s string").select("s", clean_amount("s", "robust").alias("a"))
+    assert {r.s: r.a for r in df.collect()} == dict(vals)
+    kept = df.filter("a is not null")
+    assert kept.count() == 7
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)(usd|eur|gbp") <= 2       # once in the filter, once in the output

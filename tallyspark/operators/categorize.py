@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.amounts import let
 from ..functions.fixed_values import (AMOUNT_BANDS, BASIC_RULES, CATEGORIES, CONSOLIDATE, FREQUENCY_FALLBACK,
                                       FREQUENCY_TIERS, NEEDS_CATEGORY, SIMPLE_RULES, TAXONOMY_GROUPS, TEXT_RULES,
                                       TIME_KEYWORDS, VENDOR_DB)
@@ -124,20 +125,24 @@ def categorize_amount(amount="amount") -> Column:
 
 def categorize_time(memo="memo") -> Column:
     """Recurrence label from memo keywords, NULL when none matches."""
-    m = _low(memo)
-    out = F.lit(None).cast("string")
-    for name, words in reversed(TIME_KEYWORDS):
-        out = F.when(_any_sub(m, words), F.lit(name)).otherwise(out)
-    return out
+    def label(m: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, words in reversed(TIME_KEYWORDS):
+            out = F.when(_any_sub(m, words), F.lit(name)).otherwise(out)
+        return out
+
+    return let(_low(memo), label)      # lower-cased once, and out of the generated method, which the JIT skips when long
 
 
 def categorize_text(vendor="vendor", memo="memo") -> Column:
     """Business-type / industry label from '<vendor> <memo>', NULL when none matches."""
-    text = F.concat_ws(" ", _low(vendor), _low(memo))   # evaluated only for rows still 'Other' 
-    out = F.lit(None).cast("string")
-    for name, words in reversed(TEXT_RULES):
-        out = F.when(_any_sub(text, words), F.lit(name)).otherwise(out)
-    return out
+    def label(text: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, words in reversed(TEXT_RULES):
+            out = F.when(_any_sub(text, words), F.lit(name)).otherwise(out)
+        return out
+
+    return let(F.concat_ws(" ", _low(vendor), _low(memo)), label)      # only for rows still 'Other'
 
 
 def consolidate_category(category="category") -> Column:
@@ -231,8 +236,8 @@ def with_scored_category(df: DataFrame, out: str = "category", vendor: str = "ve
         scores.append(F.col(f"__sv{gi}") + F.col(f"__sm{gi}") + F.coalesce(in_range, F.lit(False)).cast("int"))
     arr = F.array(*scores)
     names = F.array(*[F.lit(g.title()) for g, *_ in VENDOR_DB])
-    best = F.array_max(arr)
-    cat = F.when(best > 0, F.element_at(names, F.array_position(arr, best).cast("int"))).otherwise(F.lit("Other"))
+    cat = let(arr, lambda sc: let(F.array_max(sc), lambda best: F.when(
+        best > 0, F.element_at(names, F.array_position(sc, best).cast("int"))).otherwise(F.lit("Other"))))
     helpers = ["__vlow", "__mlow"] + [f"__s{k}{gi}" for k in "vm" for gi in range(len(VENDOR_DB))]
     return j.withColumn(out, cat).drop(*helpers)
 

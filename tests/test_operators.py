@@ -88,3 +88,14 @@ def test_profile_and_content(spark):
     prof = H.profile_columns(df)
     fields = {r.column: r.field for r in H.map_by_content(prof).collect()}
     assert fields == {"a": "date", "b": "amount", "c": "vendor"}
+
+
+def test_categories_of_awkward_texts(spark):
+    """Labels of a lower-cased text that is computed once, NULL reading 'nan', the first group winning."""
+    from tallyspark.operators.categorize import categorize_text, categorize_time
+    df = spark.createDataFrame([("A", "MONTHLY rent", 1), (None, None, 2), ("x", "", 3)], "vendor string, memo string, k int")
+    out = df.select("k", categorize_time("memo").alias("t"), categorize_text("vendor", "memo").alias("x"))
+    plan = out.filter("t is not null or x is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(coalesce(memo") <= 4        # twice in the filter, twice in the output
+    got = {r.k: r for r in out.collect()}
+    assert got[1].t is not None and got[2].t is None and got[3].t is None

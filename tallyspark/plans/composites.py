@@ -123,6 +123,7 @@ def core_clean(df: DataFrame, row_id: str = "row_id", fuzzy_threshold: float = 9
     key de-dup (J2) -> adjacent fuzzy de-dup (J4) -> category (J14) -> vendor (P14) ->
     memo (P15)."""
     from ..functions.text import normalize_string
+    from ..session import cut_lineage
     x = H.snake_case_columns(df)
     if "date" in x.columns:
         x = normalize_dates(x, "date")
@@ -132,7 +133,8 @@ def core_clean(df: DataFrame, row_id: str = "row_id", fuzzy_threshold: float = 9
                    for f in x.schema.fields])
     if "amount" in x.columns:
         x = clean_amount_column(x, "amount")
-    x = D.drop_key_duplicates(x, dedup_columns, row_id)
+    # J4 reads its input four times: written once, so that parsing and J2 run once
+    x = cut_lineage(D.drop_key_duplicates(x, dedup_columns, row_id))
     text = "description" if "description" in x.columns else ("memo" if "memo" in x.columns else None)
     if text and "date" in x.columns and "amount" in x.columns:
         x = D.fuzzy_adjacent_dedup(x, text=text, threshold=fuzzy_threshold, row_id=row_id)

@@ -76,3 +76,15 @@ def test_standardize_and_fill(spark):
     filled, rep = FL.fill_nulls(spark.createDataFrame([(1.0, None), (None, "v"), (3.0, None)], "a double, s string"))
     assert sorted((r.a, r.s) for r in filled.collect()) == [(1.0, "Unknown"), (2.0, "v"), (3.0, "Unknown")]
     assert sorted(r.filled_column for r in rep.collect()) == ["a", "s"]
+
+
+def test_core_clean_parses_the_table_once(spark):
+    """What J4 reads four times is a written table, not the parsing of the whole input."""
+    from tallyspark.plans.composites import core_clean
+    rows = [(1, "2024-01-05", "5.0", "Uber", "lunch"), (2, "2024-01-05", "5.0", "Uber", "lunch"), (3, "2024-01-06", "(6.0)", "Shell", "y"),
+            (4, None, "n/a", "Shell", "y")]
+    df = spark.createDataFrame(rows, "row_id long, date string, amount string, vendor string, memo string")
+    out, _ = core_clean(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "usd|eur|gbp" not in plan
+    assert {r.row_id: r.amount for r in out.collect()} == {1: 5.0, 3: -6.0, 4: None}

@@ -8,8 +8,9 @@ not an iteration.
 Scale design for the pairwise rules (a single vendor may hold a third of all rows):
   * earlier-row candidates are reduced to distinct (block, vendor text, date, amount)
     tuples carrying their smallest row_id, so exact copies never multiply work;
-  * candidates are blocked on (block, date bucket, log-amount bucket) and copied to the
-    neighbouring buckets, so a row only meets rows inside its own date/amount window;
+  * in a block of at most ``FEW`` tuples each meets every other, so such rows are never copied;
+  * in larger blocks candidates are blocked on (block, date bucket, log-amount bucket) and copied to the
+    buckets that their window reaches, so a row only meets rows near its own date/amount window;
   * name similarity runs once per pair of distinct vendor strings of a block that share enough
     grams for the ratio, never per row pair;
   * AQE's skew-join handling splits oversized probe partitions.
@@ -24,7 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.similarity import token_sort_ratio
-from ..session import cut_lineage
+from ..session import written
+from .common import spread_join
 from .similarity_join import sequence_ratio_pairs
 
 
@@ -90,23 +92,33 @@ def fuzzy_adjacent_dedup(df: DataFrame, text: str = "memo", date: str = "date",
 
 
 # ---- shared pairwise machinery ---------------------------------------------------------
-def _date_bucket(d: Column, days: int) -> Column:
-    return F.floor(F.datediff(d.cast("date"), F.lit("1970-01-01").cast("date")) / (days + 1)).cast("long")
+FEW = 32        # tuples of a block up to which each meets every other
+WIDE = 2        # windows in a bucket: wider ones copy candidates less often and let more of them meet
 
 
-def _amount_bucket(a: Column, tol: float) -> Column:
-    width = -math.log(1.0 - tol) * (1 + 1e-9)
-    return F.floor(F.log(a) / width).cast("long")
+def _reach(x: Column, window, bucket) -> Column:
+    """The buckets, from that of ``x - window`` to that of ``x + window``."""
+    return F.sequence(bucket(x - window), bucket(x + window))
 
 
-def _within(a_i: Column, a_j: Column, tol: float) -> Column:
-    return F.abs(a_i - a_j) / F.greatest(a_i, a_j) <= tol
+def _day(d: Column) -> Column:
+    return F.datediff(d.cast("date"), F.lit("1970-01-01").cast("date"))
+
+
+def _date_bucket(days: int):
+    return lambda n: F.floor(n / (WIDE * (days + 1))).cast("long")
+
+
+def _amount_window(tol: float) -> float:
+    return -math.log(1.0 - tol) * (1 + 1e-9)
+
+
+def _amount_bucket(tol: float):
+    return lambda x: F.floor(x / (WIDE * _amount_window(tol))).cast("long")
 
 
-def _explode_neighbours(df: DataFrame, cols: list[str]) -> DataFrame:
-    for c in cols:
-        df = df.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    return df
+def _within(a_i: Column, a_j: Column, tol: float) -> Column:
+    return F.abs(a_i - a_j) / F.greatest(a_i, a_j) <= tol
 
 
 def _semi(j: DataFrame, i: DataFrame, keys: list[str], cond: Column | None) -> DataFrame:
@@ -145,31 +157,69 @@ def _pairwise_drop(base: DataFrame, *, days: int, tol: float, date_optional: boo
     usable = (F.lit(True) if date_optional else F.col("d").isNotNull()) & (
         F.lit(True) if amount_optional else F.coalesce(F.col("a") > 0, F.lit(False)))
     base = base.filter(usable)
-    firsts = base.groupBy("blk", "vlow", "d", "a").agg(F.min("rid").alias("rid"), *[F.any_value(c).alias(c) for c in extra])
+    # read by the joins below: written once, so that they scan it instead of running the upstream plan again
+    firsts = written(base.groupBy("blk", "vlow", "d", "a").agg(
+        F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), *[F.any_value(c).alias(c) for c in extra]))
+    parts, tuples = [], firsts.drop("copies")
+    if not firsts.filter("copies > 1").isEmpty():
+        parts.append(base.select("rid").join(firsts.select("rid"), "rid", "left_anti"))
+    if isinstance(base.schema["blk"].dataType, ArrayType):
+        tuples = tuples.withColumn("blk", F.explode("blk"))
+    sizes = written(tuples.groupBy("blk").agg(F.count(F.lit(1)).alias("n")).withColumn("c", F.col("n")))
+    known = written(spread_join(tuples, sizes, ["blk"], "inner").filter("c > 1"))     # a tuple alone in its block has no partner
+    rules = {"days": days, "tol": tol, "date_optional": date_optional, "amount_optional": amount_optional,
+             "name_pairs": name_pairs, "match": match}
+    parts.append(_in_small_blocks(known.filter(F.col("c") <= FEW).drop("c"), extra, **rules))
+    parts += _in_large_blocks(known.filter(F.col("c") > FEW).drop("c"), extra, **rules)
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def _in_small_blocks(few: DataFrame, extra: list[str], *, days: int, tol: float, date_optional: bool, amount_optional: bool,
+                     name_pairs: DataFrame | None, match) -> DataFrame:
+    """``rid`` of the tuples with an earlier match, all tests of a block's pairs being one join condition."""
+    both_d = F.col("d").isNotNull() & F.col("c_d").isNotNull()
+    both_a = F.coalesce(F.col("a") > 0, F.lit(False)) & F.coalesce(F.col("c_a") > 0, F.lit(False))
+    cond = ((F.col("c_rid") < F.col("rid"))
+            & F.when(both_d, F.abs(F.datediff(F.col("d"), F.col("c_d"))) <= days).otherwise(F.lit(date_optional))
+            & F.when(both_a, _within(F.col("c_a"), F.col("a"), tol)).otherwise(F.lit(amount_optional)))
+    j = few
+    if match is not None:
+        cond = cond & match(F.col("toks"), F.col("c_toks"))
+    elif name_pairs is None:
+        cond = cond & (F.col("vlow") == F.col("c_vlow"))
+    else:       # the listed pairs of a block of few names
+        listed = (name_pairs.filter("i <> j").join(few.select("blk").distinct(), "blk", "left_semi")
+                  .groupBy("blk").agg(F.collect_list(F.struct("i", "j")).alias("listed")))
+        j = few.join(listed, "blk", "left")
+        pair = F.struct(F.col("c_vlow").alias("i"), F.col("vlow").alias("j"))
+        cond = cond & ((F.col("vlow") == F.col("c_vlow")) | F.coalesce(F.array_contains("listed", pair), F.lit(False)))
+    i = few.select([F.col(x).alias("c_" + x) for x in few.columns])
+    return _semi(j, i, ["blk"], cond).select("rid")
+
+
+def _in_large_blocks(many: DataFrame, extra: list[str], *, days: int, tol: float, date_optional: bool, amount_optional: bool,
+                     name_pairs: DataFrame | None, match) -> list[DataFrame]:
+    """Frames of ``rid`` of the tuples with an earlier match, by date and amount buckets; none for no tuples."""
     has_d, has_a = F.col("d").isNotNull(), F.coalesce(F.col("a") > 0, F.lit(False))
-    # read by up to nine joins: written once, so that they scan it instead of running the upstream plan again
-    firsts = cut_lineage(firsts)
-    size = firsts.agg(*[F.count_if(c).alias(n) for n, c in {
+    size = many.agg(*[F.count_if(c).alias(n) for n, c in {
         "da": has_d & has_a, "d_": has_d & ~has_a, "_a": ~has_d & has_a, "__": ~has_d & ~has_a}.items()]).first()
-    if not isinstance(base.schema["blk"].dataType, ArrayType):
-        split = lambda df: df
-    else:
-        split = lambda df: df.withColumn("blk", F.explode("blk"))
-
-    def buckets(df: DataFrame, need_d: bool, need_a: bool) -> DataFrame:
-        if need_d:
-            df = df.withColumn("db", _date_bucket(F.col("d"), days))
-        return df.withColumn("ab", _amount_bucket(F.col("a"), tol)) if need_a else df
+    day, log, window = _day(F.col("d")), F.log("a"), _amount_window(tol)
+    date_bucket, amount_bucket = _date_bucket(days), _amount_bucket(tol)
 
     def cands(filt: Column, need_d: bool, need_a: bool) -> DataFrame:
         """Earlier tuples, reduced to the columns that are tested, with their first row id."""
         cols = ["blk", "vlow"] + ["d"] * need_d + ["a"] * need_a
-        c = firsts.filter(filt).groupBy(*cols).agg(F.min("rid").alias("i_rid"), *[F.any_value(x).alias(x) for x in extra])
-        c = split(c)
+        c = many.filter(filt)
+        if not (need_d and need_a):
+            c = c.groupBy(*cols).agg(F.min("rid").alias("rid"), *[F.any_value(x).alias(x) for x in extra])
+        c = c.select(*cols, F.col("rid").alias("i_rid"), *extra)
         if name_pairs is not None:
             c = (c.join(name_pairs.withColumnRenamed("i", "vlow"), ["blk", "vlow"])
                  .drop("vlow").withColumnRenamed("j", "vlow"))
-        c = _explode_neighbours(buckets(c, need_d, need_a), ["db"] * need_d + ["ab"] * need_a)
+        if need_d:
+            c = c.withColumn("db", F.explode(_reach(day, days, date_bucket)))
+        if need_a:
+            c = c.withColumn("ab", F.explode(_reach(log, window, amount_bucket)))
         return c.select([F.col(x) if x == "i_rid" else F.col(x).alias("c_" + x) for x in c.columns])
 
     parts = []
@@ -178,7 +228,11 @@ def _pairwise_drop(base: DataFrame, *, days: int, tol: float, date_optional: boo
         # joins with an empty side are not planned at all
         if not sum(size[c] for c in j_cls) or not sum(size[c] for c in i_cls):
             return
-        j, i = buckets(split(firsts.filter(j_filt)), need_d, need_a), cands(i_filt, need_d, need_a)
+        j = many.filter(j_filt)
+        if need_d:
+            j = j.withColumn("db", date_bucket(day))
+        if need_a:
+            j = j.withColumn("ab", amount_bucket(log))
         cond = F.col("i_rid") < F.col("rid")
         if need_d:
             cond = cond & (F.abs(F.datediff(F.col("d"), F.col("c_d"))) <= days)
@@ -187,7 +241,7 @@ def _pairwise_drop(base: DataFrame, *, days: int, tol: float, date_optional: boo
         if match is not None:
             cond = cond & match(F.col("toks"), F.col("c_toks"))
         keys = ["blk"] + ["vlow"] * (match is None) + ["db"] * need_d + ["ab"] * need_a
-        parts.append(_semi(j, i, keys, cond).select("rid"))
+        parts.append(_semi(j, cands(i_filt, need_d, need_a), keys, cond).select("rid"))
 
     # both dates known and both amounts positive: block on date and amount buckets
     add(has_d & has_a, has_d & has_a, True, True, ("da",), ("da",))
@@ -205,8 +259,7 @@ def _pairwise_drop(base: DataFrame, *, days: int, tol: float, date_optional: boo
         add(~has_d & has_a, ~has_a, False, False, ("_a",), ("d_", "__"))
         add(has_d & ~has_a, ~has_d, False, False, ("d_",), ("_a", "__"))
         add(has_d & has_a, ~has_d & ~has_a, False, False, ("da",), ("__",))
-    repeats = base.select("rid").join(firsts.select("rid"), "rid", "left_anti")
-    return reduce(DataFrame.unionByName, parts, repeats).distinct()
+    return parts
 
 
 def _drop_rows(df: DataFrame, dropped: DataFrame, row_id: str) -> DataFrame:
@@ -228,7 +281,7 @@ def fuzzy_vendor_duplicates(df: DataFrame, vendor: str = "vendor", amount: str =
     blk = normalized_vendor(vendor)
     vlow = F.lower(F.coalesce(F.col(vendor).cast("string"), F.lit("nan")))
     base = _probe_base(df, block=blk, row_id=row_id, date=date, amount=amount, vname=vlow)
-    pairs = sequence_ratio_pairs(base.select("blk", "vlow").distinct(), "blk", "vlow", name_threshold)
+    pairs = written(sequence_ratio_pairs(base.select("blk", "vlow").distinct(), "blk", "vlow", name_threshold))
     dropped = _pairwise_drop(base, days=days, tol=amount_tol, date_optional=True, amount_optional=True, name_pairs=pairs)
     return _drop_rows(df, dropped, row_id)
 
@@ -252,8 +305,8 @@ def amount_similarity_duplicates(df: DataFrame, vendor: str = "vendor", amount:
 
 # ---- A13 ---------------------------------------------------------------------------------
 def consolidate_same_day(df: DataFrame, vendor: str = "vendor", date: str = "date", category: str = "category",
-                         amount: str = "amount", memo: str = "memo", row_id: str = "row_id"
-                         ) -> tuple[DataFrame, DataFrame]:
+                         amount: str = "amount", memo: str = "memo", row_id: str = "row_id",
+                         checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
     """(vendor, day) groups of more than one row whose category values (NULL counts
     as a value) are all equal collapse into their first row: amount = group sum, memo =
     'Consolidated n transactions: m1, m2, m3 (+k more)' over distinct non-null memos in
@@ -268,14 +321,16 @@ def consolidate_same_day(df: DataFrame, vendor: str = "vendor", date: str = "dat
     grp = (keyed.filter(F.col(vendor).isNotNull() & F.col("_day").isNotNull())
            .groupBy(F.col(vendor).alias("_gv"), F.col("_day").alias("_gd"))
            .agg(F.count("*").alias("n"),
-                (F.count_distinct(category) + F.max(F.col(category).isNull().cast("int"))).alias("ncat"),
-                F.coalesce(F.sum(amount), F.lit(0.0)).alias("total"), F.min(row_id).alias("first_id"),
-                F.first(category, ignorenulls=True).alias("cat"))
-           .filter((F.col("n") > 1) & (F.col("ncat") == 1)))
-    memos = (keyed.filter(F.col(memo).isNotNull()).groupBy(F.col(vendor).alias("_gv"), F.col("_day").alias("_gd"),
-                                                             F.col(memo).alias("_m"))
-             .agg(F.min(row_id).alias("_mid"))
-             .join(grp.select(*g), g, "left_semi"))
+                F.count(category).alias("known"), F.min(category).alias("cat"), F.max(category).alias("last"),
+                F.coalesce(F.sum(amount), F.lit(0.0)).alias("total"), F.min(row_id).alias("first_id"))
+           .filter((F.col("n") > 1) & ((F.col("known") == 0) | ((F.col("known") == F.col("n")) & (F.col("cat") == F.col("last")))))
+           .drop("known", "last"))
+    # the groups and their rows are read by many joins, which leave the other rows alone
+    keep = written if checkpoint else (lambda x: x)
+    grp = keep(grp)
+    members = keep(keyed.join(grp.select(*g), (F.col(vendor) == F.col("_gv")) & (F.col("_day") == F.col("_gd")), "left_semi")
+                   .select(F.col(vendor).alias("_gv"), F.col("_day").alias("_gd"), F.col(memo).alias("_m"), row_id))
+    memos = keep(members.filter("_m is not null").groupBy(*g, "_m").agg(F.min(row_id).alias("_mid")))
     picked = []
     remaining = memos
     for k in range(3):
@@ -290,8 +345,6 @@ def consolidate_same_day(df: DataFrame, vendor: str = "vendor", date: str = "dat
                                                         F.lit(" more)"))).otherwise(F.lit("")))
     upd = info.select(F.col("first_id").alias(row_id), F.col("total").alias("_total"),
                       F.when(F.coalesce(F.col("nmemo"), F.lit(0)) > 0, text).alias("_memo"), *g)
-    members = keyed.join(grp.select(*g), (F.col(vendor) == F.col("_gv")) & (F.col("_day") == F.col("_gd")),
-                         "left_semi")
     dropped = members.join(upd.select(row_id), row_id, "left_anti").select(row_id)
     out = (df.join(dropped, row_id, "left_anti")
            .join(upd.drop(*g), row_id, "left")
@@ -313,13 +366,13 @@ def advanced_dedup(df: DataFrame, row_id: str = "row_id", checkpoint: bool = Tru
     ``consolidation_details``. With ``checkpoint`` each step's output is written to
     the session's checkpoint folder before the next step reads it.
     """
-    step = (lambda x: cut_lineage(x)) if checkpoint else (lambda x: x)
+    step = written if checkpoint else (lambda x: x)
     kw = {k: v for k, v in cols.items() if k in ("vendor", "amount", "date")}
     s1 = step(drop_exact_duplicates(df, row_id))
     s2 = step(fuzzy_vendor_duplicates(s1, row_id=row_id, **kw))
     s3 = step(date_proximity_duplicates(s2, row_id=row_id, **kw))
     s4 = step(amount_similarity_duplicates(s3, row_id=row_id, **kw))
-    out, details = consolidate_same_day(s4, row_id=row_id, **cols)
+    out, details = consolidate_same_day(s4, row_id=row_id, checkpoint=checkpoint, **cols)
     names = ["input", "exact", "fuzzy_vendor", "date_proximity", "amount_similarity", "consolidated"]
     frames = [df, s1, s2, s3, s4, out]
     counts = reduce(DataFrame.unionByName,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from ..functions import fixed_values as FV
 from ..functions.similarity import token_sort_ratio
 from ..functions.text import dedup_key
-from ..session import cut_lineage
+from ..session import written
 from .common import spread_join
 from .similarity_join import jaccard_holds, jaccard_prefix, ranked_sets
 from .vector_join import neighbours, transfer
@@ -72,9 +72,9 @@ def semantic_duplicates(df: DataFrame, vendor: str = "vendor", memo: str = "memo
                                F.coalesce(F.col(memo).cast("string"), F.lit("nan"))))
     base = _probe_base(df, block=F.lit("all"), row_id=row_id, date=date, amount=amount, vname=text).drop("blk")
     words = F.array_distinct(F.filter(F.split("vlow", r"\s+"), lambda x: x != ""))
-    texts = cut_lineage(base.groupBy("vlow").agg(F.count(F.lit(1)).alias("n")).withColumn("toks", words))
+    texts = written(base.groupBy("vlow").agg(F.count(F.lit(1)).alias("n")).withColumn("toks", words))
     ranked = ranked_sets(texts, ["vlow"], "toks").join(texts.select("vlow", "n"), "vlow")
-    known = spread_join(base, cut_lineage(ranked), ["vlow"], "inner").withColumn("blk", jaccard_prefix(F.col("toks"), least_jaccard))
+    known = spread_join(base, written(ranked), ["vlow"], "inner").withColumn("blk", jaccard_prefix(F.col("toks"), least_jaccard))
     dropped = _pairwise_drop(known, days=3, tol=0.05, date_optional=True, amount_optional=True,
                              match=lambda x, y: jaccard_holds(x, y, least_jaccard))
     return _drop_rows(df, dropped, row_id)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.similarity import sequence_ratio
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .common import spread_join
 
 
@@ -23,7 +23,7 @@ def ranked_sets(sets: DataFrame, keys: list[str], items: str, within: list[str]
     Frequent elements are summed in the map tasks and dealt out where their counts are looked up."""
     group = [*(within or []), "_x"]
     flat = sets.select(*keys, F.explode(items).alias("_x"))
-    counts = cut_lineage(flat.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
+    counts = written(flat.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
     known = spread_join(flat, counts.withColumn("_n", F.col("n")), group)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_x"))), lambda s: s["_x"])
     return known.groupBy(*keys).agg(ordered.alias(items))
@@ -102,7 +102,7 @@ def sequence_ratio_pairs(names: DataFrame, block: str, name: str, ratio: float)
     grams the strings share: strings meet by the rarest of their grams, then by the count of shared grams, and only
     what is left is scored. Short strings meet by characters. In a block of at most ``FEW`` names each meets every other."""
     sizes = names.groupBy(F.col(block).alias("blk")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    every = cut_lineage(names.select(F.col(block).alias("blk"), F.col(name).alias("s"), F.char_length(name).alias("n"))
+    every = written(names.select(F.col(block).alias("blk"), F.col(name).alias("s"), F.char_length(name).alias("n"))
                         .filter("n > 0").join(sizes, "blk"))
     same = names.select(F.col(block).alias("blk"), F.col(name).alias("i"), F.col(name).alias("j"))
     # a block of few names: at most FEW - 1 partners a name, so its pairs grow with the names
@@ -118,7 +118,7 @@ def sequence_ratio_pairs(names: DataFrame, block: str, name: str, ratio: float)
         text = texts.withColumn("need", F.array_min(F.transform(partners, lambda m: _least_common(F.col("n"), m, ratio, q)))).filter("need is not null")
         text = text.withColumn("bag", _grams(F.col("s"), q)).withColumn("g", _numbered("bag"))
         own = ranked_sets(text, ["blk", "s", "n", "need"], "g", within=["blk"])
-        part = cut_lineage(own.withColumn("x", F.explode(F.slice("g", F.lit(1), (F.size("g") - F.col("need") + 1).cast("int")))).drop("need"))
+        part = written(own.withColumn("x", F.explode(F.slice("g", F.lit(1), (F.size("g") - F.col("need") + 1).cast("int")))).drop("need"))
         a, b = part.alias("a"), part.alias("b")
         n, m = F.col("a.n"), F.col("b.n")
         on = ((F.col("a.blk") == F.col("b.blk")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.s") < F.col("b.s"))

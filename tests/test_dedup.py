@@ -104,3 +104,45 @@ def test_a13_consolidate(spark):
     got = {r.row_id: (r.amount, r.memo) for r in out.collect()}
     assert got == {1: (16.0, "Consolidated 3 transactions: m1, m2"), 4: (7.0, "x"), 5: (7.0, "x")}
     assert [(r.vendor, r.original_count) for r in det.collect()] == [("v", 3)]
+
+
+def _steps(df):
+    return {"j5": D.fuzzy_vendor_duplicates(df), "j6": D.date_proximity_duplicates(df), "j7": D.amount_similarity_duplicates(df)}
+
+
+@pytest.mark.parametrize("few", [0, 4, 1000])
+def test_pairwise_steps_in_small_and_large_blocks(spark, monkeypatch, few):
+    """Blocks on either side of the bound give the rows of the plain rules."""
+    monkeypatch.setattr(D, "FEW", few)
+    rows = _rows(7, 120)
+    got = {k: {r.row_id for r in f.collect()} for k, f in _steps(spark.createDataFrame(rows, SCHEMA)).items()}
+    assert got == {"j5": brute_j5(rows), "j6": brute_pair(rows, 1, 0.10), "j7": brute_pair(rows, 7, 0.02)}
+
+
+def test_small_blocks_are_not_copied(spark):
+    """Many vendors of few rows: no candidate is copied to neighbouring buckets."""
+    rows = [(i, dt.date(2024, 1, 1) + dt.timedelta(days=i % 50), 100.0 + i % 7, f"Vendor {i % 40}", "A", "m") for i in range(400)]
+    for f in _steps(spark.createDataFrame(rows, SCHEMA)).values():
+        assert "Generate" not in f._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_reach_every_bucket_of_their_window(spark):
+    """One vendor, all days and amounts around the borders of buckets."""
+    rows = [(i * 40 + k, dt.date(2024, 1, 1) + dt.timedelta(days=3 * k), 100.0 * 1.019 ** i, "V", "A", "m")
+            for i in range(12) for k in range(12)]
+    random.Random(5).shuffle(rows)
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    got = {k: {r.row_id for r in f.collect()} for k, f in _steps(spark.createDataFrame(rows, SCHEMA)).items()}
+    assert got == {"j5": brute_j5(rows), "j6": brute_pair(rows, 1, 0.10), "j7": brute_pair(rows, 7, 0.02)}
+
+
+def test_ratio_of_a_string_within_another(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.functions.similarity import sequence_ratio
+
+    names = ["", "a", "ab", "ab,", "abab", "acme inc", "acme, inc.", "the acme inc", "x" * 150 + "ab", "x" * 230 + "ab", "ab" * 99, None]
+    pairs = spark.createDataFrame([(x, y) for x in names for y in names], "a string, b string")
+    for r in pairs.withColumn("r", sequence_ratio(F.col("a"), F.col("b"))).collect():
+        want = None if r.a is None or r.b is None else difflib.SequenceMatcher(None, r.a, r.b).ratio()
+        assert r.r == want, r

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.fixed_values import (FREQUENCY_SIGMAS, HIGH_RISK_PATTERNS, OUTLIER_SIGMAS, ROUND_TARGETS,
                                       ROUND_TOLERANCE, SAFE_VENDORS, SEVERITY_WEIGHTS, TEMPORAL_FACTOR,
                                       VENDOR_CONCENTRATION)
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .common import with_scalars
 
 FLAG_COLUMNS = ["flag_type", "severity", "confidence", "entity", "txn_id", "metric", "threshold", "expected",
@@ -321,7 +321,7 @@ def all_flags(df: DataFrame, date: str = "date", amount: str = "amount", vendor:
               row_id: str = "row_id") -> DataFrame:
     """U4: every detector's flags as one table. The four columns they read are written once, so that the detectors
     scan that narrow table and the plan above ``df`` runs once."""
-    df = cut_lineage(df.select(date, amount, vendor, row_id))
+    df = written(df.select(date, amount, vendor, row_id))
     parts = [amount_outliers(df, amount, vendor, row_id), amount_histogram_clusters(df, amount),
              round_number_flags(df, amount, vendor, row_id), frequency_anomalies(df, date),
              vendor_frequency_anomalies(df, vendor, date), weekend_activity(df, date),

@@ -192,8 +192,8 @@ def clean_ledger(df: DataFrame, row_id: str = "row_id", checkpoint: bool = True
     x = C.categorize_enhanced(x)
     x = x.withColumn("memo", fill_memo())
     if checkpoint:
-        from ..session import cut_lineage
-        x = cut_lineage(x)
+        from ..session import written
+        x = written(x)
     reports = {**rep, **found}
     reports.update({f"risk_{k}": v for k, v in R.assess_risk(x).items()})
     reports.update({f"insights_{k}": v for k, v in K.business_insights(x).items()})

@@ -131,3 +131,16 @@ def test_spread_join_deals_out_a_hot_key(spark, monkeypatch):
         got = common.spread_join(probe, build, ["k"], how).collect()
         assert sorted((r.id, r.s) for r in got if r.k is not None) == sorted((r.id, want[r.k]) for r in probe.collect() if r.k is not None)
         assert sum(r.k is None for r in got) == (60 if how == "left" else 0)
+
+
+def test_insights_write_their_input_once(spark, monkeypatch):
+    """The four columns go to the checkpoint folder once, for the metrics row and for all tables."""
+    from tallyspark.operators import insights as K
+
+    kept = []
+    for name in ("cut_lineage", "written"):
+        plain = getattr(K, name, None)
+        monkeypatch.setattr(K, name, lambda df, plain=plain: kept.append(len(df.columns)) or plain(df), raising=False)
+    rows = [(dt.date(2024, 1 + i % 12, 1 + i % 28), 10.0 * i - 200, f"V{i % 5}", "AB"[i % 2]) for i in range(60)]
+    tables = K.business_insights(spark.createDataFrame(rows, "date date, amount double, vendor string, category string"))
+    assert kept.count(4) == 1 and tables["key_metrics"].count() == 1

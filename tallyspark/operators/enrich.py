@@ -44,14 +44,14 @@ def reuse_cached_decisions(df: DataFrame, cache: DataFrame, decide, vendor: str
 # ---- J10 nearest-neighbour label transfer --------------------------------------------------
 def similar_label_transfer(df: DataFrame, threshold: float = 0.8, k: int = 5, id_col: str = "vec_id",
                            vec: str = "embedding", label: str = "label", pivots: int | None = None,
-                           block_rows: int = 512) -> DataFrame:
+                           block_rows: int | None = None) -> DataFrame:
     """For each row, the neighbours (self excluded) with inner product > threshold,
     top-k by similarity, ties by id; the best neighbour's label is transferred.
 
     Exact for vectors of any length: a metric index (``vector_join``) leaves out only what the triangle
     inequality rules out. ``pivots`` defaults to four times the root of the number of distinct vectors, bounded by
     ``PIVOTS_MOST``. Pruning is strong for clustered vectors; vectors without structure meet all others, in
-    blocks. Rows whose vector is NULL, holds a NULL or non-finite entry, or is shorter than the
+    blocks of ``block_rows`` (by default, what 8 MB hold), and are copied once a block and not once a pivot. Rows whose vector is NULL, holds a NULL or non-finite entry, or is shorter than the
     longest have no neighbours; rows are known by their id."""
     near = neighbours(df, id_col, vec, label, threshold, k, pivots, block_rows)
     return transfer(df, id_col, vec, near, k)

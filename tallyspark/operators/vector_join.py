@@ -2,8 +2,9 @@
 
 Vectors are put on one sphere, where an inner product above the threshold is an angle below a bound. Each
 vector lives in the ball of its nearest pivot, in a ring of angles to it. A probe meets only the rings that
-the triangle inequality leaves open, and what meets is scored in blocks. Copies of a vector are one
-class, so a vector that a third of the rows hold is scored once.
+the triangle inequality leaves open, and what meets is scored in blocks. Where vectors have so little structure
+that a probe meets most balls, balls are merged into few large cells, so that a probe is copied once a cell and
+not once a ball. Copies of a vector are one class, so a vector that a third of the rows hold is scored once.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from .common import spread_join
 PIVOTS_MOST = 4096      # bound of the broadcast pivots, and a fourth of that of the sample they are taken
                         # from; below it they grow with the root of the table
 SLACK = 1e-7            # radians added to every bound, for rounding
+VISITS = 32             # balls a probe meets, on average, up to which balls are cells of their own
+BLOCK_BYTES, BLOCK_MOST = 8 << 20, 1 << 14      # of a block of vectors: bytes and rows at most
+SLICE = 1 << 22         # products of a block that are held at once
 
 
 def vector_classes(df: DataFrame, id_col: str, vec: str, label: str, keep: int) -> DataFrame:
@@ -78,13 +82,32 @@ class Sphere:
         """Points x pivots."""
         return np.arccos(np.clip(points @ self.pivots.T, -1.0, 1.0))
 
+    def open_balls(self, v: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probes x pivots: which balls the probes must visit, and between which angles to their pivots."""
+        points, reach = self.probes(v)
+        t = reach[:, None] + SLACK
+        angle = self.angles(points)
+        near, far = np.maximum(angle - t, low), np.minimum(angle + t, high)
+        return (near <= far) & (angle <= angle.min(1, keepdims=True) + 2 * t) & (t >= SLACK), near, far
+
+    def merged(self, cells: int) -> np.ndarray:
+        """The cell of each ball if balls are merged into ``cells``, each with the nearest of the first pivots."""
+        return self.angles(self.pivots)[:, :cells].argmin(1)
+
+
+def block_size(dims: int) -> int:
+    """Rows of a block of vectors of ``dims`` entries."""
+    return max(1, min(BLOCK_MOST, BLOCK_BYTES // (8 * max(1, dims))))
+
 
 def placed(classes: DataFrame, threshold: float, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, probes): the classes with the ``(cell, ring)`` they live in, and with each they must visit.
 
-    A member y of cell c is within angle t of a probe x only if ``angle(x, c)`` is within t of the ring of y, and,
-    c being nearest to y, at most 2 t above the angle of x to its own nearest pivot."""
-    n, most = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))).first()
+    A member y of ball c is within angle t of a probe x only if ``angle(x, c)`` is within t of the ring of y, and,
+    c being nearest to y, at most 2 t above the angle of x to its own nearest pivot. A ball is a cell, unless probes
+    of the sample meet more than ``VISITS`` balls; then balls are merged into cells without rings, about one a
+    block of vectors, and a probe visits a cell once if it must visit any of its balls."""
+    n, most, dims = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)), F.max(F.size("v"))).first()
     size = pivots or min(PIVOTS_MOST, 4 * math.ceil(math.sqrt(n)))
     sample = np.array([r.v for r in classes.orderBy(F.xxhash64("v"), "cid").limit(4 * size).select("v").collect()])
     sphere = Sphere(math.sqrt(most) or 1.0, threshold, sample)
@@ -97,32 +120,69 @@ def placed(classes: DataFrame, threshold: float, pivots: int | None = None) -> t
         at = angle.argmin(1)
         return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(angle[np.arange(len(at)), at])], names=["cell", "angle"])
 
-    members = cut_lineage(classes.withColumn("home", home("v")).select(
-        "cid", "v", "least", "home.cell", "home.angle", F.floor(F.col("home.angle") / width).cast("int").alias("ring")))
-    balls = members.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()   # a row a pivot
+    balls_of = cut_lineage(classes.withColumn("home", home("v")).select("cid", "v", "least", "home.cell", "home.angle"))
+    balls = balls_of.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()   # a row a pivot
     low, high = np.full(len(sphere.pivots), np.inf), np.full(len(sphere.pivots), -np.inf)
     for b in balls:
         low[b.cell], high[b.cell] = b.lo, b.hi
 
+    met = sphere.open_balls(sample[:256], low, high)[0].sum(1).mean()
+    large = sphere.merged(max(VISITS, -(-n // block_size(dims)))) if met > VISITS else None
+    if large is None:
+        members = balls_of.select("cid", "v", "least", "cell", F.floor(F.col("angle") / width).cast("int").alias("ring"))
+    else:
+        cell_of = F.array(*[F.lit(int(c)) for c in large])      # a number a pivot
+        members = balls_of.select("cid", "v", "least", F.get(cell_of, "cell").alias("cell"), F.lit(0).alias("ring"))
+
     @F.arrow_udf("array<struct<cell: int, first: int, last: int>>")
     def visits(column: pa.Array) -> pa.Array:
-        points, reach = sphere.probes(_matrix(column)) if len(column) else (np.zeros((0, 1)), np.zeros(0))
-        out = []
-        for k in range(0, len(points), 256):        # 256 x pivots at a time
-            t = reach[k:k + 256, None] + SLACK
-            angle = sphere.angles(points[k:k + 256])
-            near, far = np.maximum(angle - t, low), np.minimum(angle + t, high)
-            open_ = (near <= far) & (angle <= angle.min(1, keepdims=True) + 2 * t) & (t >= SLACK)
+        v, out = _matrix(column), []
+        for k in range(0, len(v), 256):        # 256 x pivots at a time
+            open_, near, far = sphere.open_balls(v[k:k + 256], low, high)
+            if large is not None:
+                rows, at = np.nonzero(open_)
+                met = np.zeros((len(open_), large.max() + 1), bool)
+                met[rows, large[at]] = True
+                out += [[{"cell": int(c), "first": 0, "last": 0} for c in np.flatnonzero(r)] for r in met]
+                continue
             first, last = np.floor(np.where(open_, near, 0) / width), np.floor(np.where(open_, far, 0) / width)
-            for r in range(len(angle)):
+            for r in range(len(open_)):
                 at = np.flatnonzero(open_[r])
                 out.append([{"cell": int(c), "first": int(first[r, c]), "last": int(last[r, c])} for c in at])
         kind = pa.list_(pa.struct([("cell", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
         return pa.array(out, kind)
 
-    probes = (classes.select("cid", "v", F.explode(visits("v")).alias("to"))
+    # a row a class is written; its copies are made when read
+    probes = (cut_lineage(classes.select("cid", "v", visits("v").alias("to"))).select("cid", "v", F.explode("to").alias("to"))
               .select("cid", "v", "to.cell", F.explode(F.sequence("to.first", "to.last")).alias("ring")))
-    return members.select("cid", "v", "least", "cell", "ring"), cut_lineage(probes)
+    return members, probes
+
+
+def best_pairs(p: np.ndarray, m: np.ndarray, threshold: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of p, row of m, product) of the ``keep`` largest products above the threshold of each row of ``p``, of
+    equal ones those of the first rows of ``m``. Single precision, with a bound of its error, shows which rows of
+    ``p`` can have such products; those are multiplied in double precision."""
+    span = lambda x: float(np.sqrt((x * x).sum(1).max())) or 1.0
+    ps, ms = span(p), span(m)
+    least = threshold / ps / ms - (p.shape[1] + 8) * 2.0 ** -22
+    p32, m32 = (p / ps).astype(np.float32), (m / ms).astype(np.float32).T
+    found = []
+    for lo in range(0, len(p), step := max(1, SLICE // len(m))):
+        rows = lo + np.flatnonzero((p32[lo:lo + step] @ m32).max(1) > least)
+        if not len(rows):
+            continue
+        sim = p[rows] @ m.T
+        if sim.shape[1] > keep:         # the products below the last wanted one are left out
+            sim[sim < np.partition(sim, -keep, axis=1)[:, -keep, None]] = -np.inf
+        q, at = np.nonzero(sim > threshold)
+        best = sim[q, at]
+        order = np.lexsort((at, -best, q))
+        q, at, best = q[order], at[order], best[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        found.append((rows[q[place < keep]], at[place < keep], best[place < keep]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def best_classes(members: DataFrame, probes: DataFrame, threshold: float, keep: int, block_rows: int) -> DataFrame:
@@ -142,12 +202,8 @@ def best_classes(members: DataFrame, probes: DataFrame, threshold: float, keep:
         if not len(a) or not len(b):
             return pd.DataFrame({"qid": [], "cid": [], "sim": [], "least": []})
         b = b.sort_values("least", kind="stable")       # of equal products the smallest ids come first
-        sim = np.stack(a["pv"].to_numpy()) @ np.stack(b["mv"].to_numpy()).T
-        top = np.argsort(-sim, axis=1, kind="stable")[:, :keep]
-        best = np.take_along_axis(sim, top, axis=1)
-        q, at = np.nonzero(best > threshold)
-        return pd.DataFrame({"qid": a["qid"].to_numpy()[q], "cid": b["cid"].to_numpy()[top[q, at]], "sim": best[q, at],
-                             "least": b["least"].to_numpy()[top[q, at]]})
+        q, at, sim = best_pairs(np.stack(a["pv"].to_numpy()), np.stack(b["mv"].to_numpy()), threshold, keep)
+        return pd.DataFrame({"qid": a["qid"].to_numpy()[q], "cid": b["cid"].to_numpy()[at], "sim": sim, "least": b["least"].to_numpy()[at]})
 
     kind = members.schema["least"].dataType.simpleString()
     by = [*key, "pc", "mc"]
@@ -157,7 +213,7 @@ def best_classes(members: DataFrame, probes: DataFrame, threshold: float, keep:
 
 
 def neighbours(df: DataFrame, id_col: str, vec: str, label: str, threshold: float, k: int, pivots: int | None = None,
-               block_rows: int = 512) -> DataFrame:
+               block_rows: int | None = None) -> DataFrame:
     """``(v, best)`` of each distinct vector with neighbours: its k + 1 nearest rows as an array of ``(sim, nid, nlbl)``,
     nearest first, ties by id; the rows of the vector itself are among them."""
     classes = vector_classes(df, id_col, vec, label, k + 1)
@@ -165,7 +221,7 @@ def neighbours(df: DataFrame, id_col: str, vec: str, label: str, threshold: floa
         return classes.select("cid", "v", "n", F.transform("rows", lambda r: F.struct(
             F.lit(0.0).alias("sim"), r["nid"].alias("nid"), r["nlbl"].alias("nlbl"))).alias("best"))
     members, probes = placed(classes, threshold, pivots)
-    pairs = best_classes(members, probes, threshold, k + 1, block_rows)
+    pairs = best_classes(members, probes, threshold, k + 1, block_rows or block_size(classes.agg(F.max(F.size("v"))).first()[0]))
     rows = pairs.join(classes.select("cid", F.explode("rows").alias("r")), "cid").select("qid", "sim", "r.nid", "r.nlbl")
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "nid")
     top = rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k + 1)

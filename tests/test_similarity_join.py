@@ -73,3 +73,27 @@ def test_scored_pairs_grow_far_below_the_square(spark):
         m = members.groupBy("cell", "ring").agg(F.count("*").alias("m"))
         scored[n] = probes.groupBy("cell", "ring").agg(F.count("*").alias("p")).join(m, ["cell", "ring"]).agg(F.sum(F.col("p") * F.col("m"))).first()[0]
     assert scored[4000] < 0.02 * 4000 ** 2 and scored[4000] < 6 * scored[1000]
+
+
+def test_vectors_without_structure_are_copied_once_a_cell(spark):
+    x = np.random.default_rng(3).normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1400:] = x[5] + np.random.default_rng(4).normal(0, 1e-3, (100, 64))      # a dense group among them
+    rows, df = frame(spark, x)
+    members, probes = VJ.placed(VJ.vector_classes(df, "vec_id", "embedding", "label", 6), 0.3)
+    assert members.count() == 1500 and probes.count() <= VJ.VISITS * 1500
+    exp, got = brute(rows, 0.3), result(similar_label_transfer(df, threshold=0.3, block_rows=200))
+    assert got.keys() == exp.keys() and len(exp) > 1000
+    assert all(got[k][0] == exp[k][0] and abs(got[k][1] - exp[k][1]) < 1e-5 for k in exp)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.0, -0.2])
+def test_best_pairs_are_those_of_a_full_sort(threshold):
+    r = np.random.default_rng(8)
+    p, m = r.normal(size=(70, 5)) * 3, np.repeat(r.normal(size=(40, 5)), 2, axis=0)     # every product twice
+    p[3], m[:6] = 0, 0
+    sim = p @ m.T
+    top = np.argsort(-sim, axis=1, kind="stable")[:, :4]
+    exp = [(q, int(k)) for q in range(70) for k in top[q] if sim[q, k] > threshold]
+    q, at, best = VJ.best_pairs(p, m, threshold, 4)
+    assert list(zip(q.tolist(), at.tolist(), strict=True)) == exp and np.array_equal(best, sim[q, at])

@@ -252,9 +252,20 @@ def heavy_entries(sketch: DataFrame, heavy: HeavySlots) -> DataFrame:
     return found.groupBy("k", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers of 0 or more in the least bytes a number that hold the largest."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def wide(raw: bytes, count: int) -> np.ndarray:
+    """The ``count`` numbers of ``narrow``."""
+    return np.frombuffer(raw, f"u{len(raw) // count}").astype(np.int64)
+
+
 def packed_entries(sketch: DataFrame, buckets: int, heavy: HeavySlots) -> DataFrame:
-    """Prefix entries of the keys outside ``heavy`` slots, one packed row a batch and bucket; equal
-    classes of a batch travel once."""
+    """Prefix entries of the keys outside ``heavy`` slots, one packed row a batch and bucket: the classes with
+    their sizes and counts of entries, and the entries in that order; equal classes of a batch travel once."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.drop_duplicates("cls")
@@ -264,7 +275,7 @@ def packed_entries(sketch: DataFrame, buckets: int, heavy: HeavySlots) -> DataFr
             k = np.concatenate(keys)
             lens = [len(x) for x in keys]
             who = np.repeat(np.arange(len(b), dtype=np.int32), lens)
-            pos = np.concatenate([np.arange(x, dtype=np.uint16 if max(lens) < 65536 else np.uint32) for x in lens])
+            pos = np.concatenate([np.arange(x, dtype=np.uint32) for x in lens])
             if heavy:
                 light = ~heavy.holds(k)
                 k, who, pos = k[light], who[light], pos[light]
@@ -276,13 +287,12 @@ def packed_entries(sketch: DataFrame, buckets: int, heavy: HeavySlots) -> DataFr
             edges = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(k)]])
             cls, n, out = b["cls"].to_numpy(np.int64), b["n"].to_numpy(np.int32), []
             for a, e in zip(edges[:-1], edges[1:], strict=True):
-                mine, local = np.unique(who[a:e], return_inverse=True)
-                out.append((int(bucket[a]), k[a:e].tobytes(), local.astype(np.uint32 if len(mine) > 65535 else np.uint16).tobytes(),
-                            cls[mine].tobytes(), n[mine].tobytes(), pos[a:e].tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "k", "who", "cls", "n", "pos"])
+                mine, held = np.unique(who[a:e], return_counts=True)      # who rises within a bucket
+                out.append((int(bucket[a]), k[a:e].tobytes(), narrow(held), cls[mine].tobytes(), narrow(n[mine]), narrow(pos[a:e])))
+            yield pd.DataFrame(out, columns=["bucket", "k", "held", "cls", "n", "pos"])
 
     return sketch.where("n > 0").select("cls", "n", "prefix").mapInPandas(
-        pack, "bucket int, k binary, who binary, cls binary, n binary, pos binary")
+        pack, "bucket int, k binary, held binary, cls binary, n binary, pos binary")
 
 
 def shared_prefixes(sketch: DataFrame) -> DataFrame:
@@ -298,14 +308,13 @@ def shared_prefixes(sketch: DataFrame) -> DataFrame:
         cols: list[tuple] = []
         for r in group.itertuples(index=False):
             key, ids = np.frombuffer(r.k, np.uint32), np.frombuffer(r.cls, np.int64)
-            who = np.frombuffer(r.who, np.uint32 if len(ids) > 65535 else np.uint16)
-            pos = np.frombuffer(r.pos, np.uint16 if len(r.pos) == 2 * len(key) else np.uint32).astype(np.int32)
-            cols.append((key, ids[who], np.frombuffer(r.n, np.int32)[who], pos))
+            held = wide(r.held, len(ids))
+            cols.append((key, np.repeat(ids, held), np.repeat(wide(r.n, len(ids)), held), wide(r.pos, len(key))))
         k, cls, n, pos = (np.concatenate(c) for c in zip(*cols, strict=True))
         order = np.lexsort((pos, cls, n, k))
         k, cls, n, pos = k[order], cls[order], n[order], pos[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (cls[1:] != cls[:-1])])
-        k, cls, n, pos = k[new], cls[new], n[new].astype(np.int64), pos[new].astype(np.int64)
+        k, cls, n, pos = k[new], cls[new], n[new], pos[new]
         edge = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
         members = np.repeat(np.diff(edge), np.diff(edge))
         # an entry stays if its class can reach the threshold with another of the key; in
@@ -328,7 +337,9 @@ def shared_prefixes(sketch: DataFrame) -> DataFrame:
 
 def bitmaps_allow(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (hub, cls) whose bitmaps and sizes leave the threshold in reach."""
-    of = lambda c: reps.select(F.col("cls").alias(c), F.col("n").alias("n_" + c), F.col("bits").alias("bits_" + c))
+    pairs = staged(pairs, "candidates")
+    needed = only_wanted(reps.select("cls", "n", "bits"), pairs.select("cls").unionByName(pairs.select(F.col("hub").alias("cls"))), "cls")
+    of = lambda c: needed.select(F.col("cls").alias(c), F.col("n").alias("n_" + c), F.col("bits").alias("bits_" + c))
 
     @F.pandas_udf("boolean")
     def allow(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
@@ -392,19 +403,31 @@ def sets_of(classes: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 TILE = ["k", "low", "i", "j"]
+MEMBER = [*TILE, "cls", "n", "pos", "label"]
+MEMBER_TYPE = "k int, low int, i int, j int, cls long, n int, pos int, label long"
 
 
-def tiles(members: DataFrame) -> DataFrame:
-    """``members`` of keys dealt out to tiles: those of a key are one tile, or, beyond BLOCK of them,
-    tiles of two blocks in a band of sizes and the next."""
+def dealt_out(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(k, low, i, j, cls, n, pos, label): the members of keys with several labels, dealt out to tiles. Those of a
+    key are one tile, or, beyond BLOCK of them, tiles of two blocks in a band of sizes and the next."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
-    counts = members.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = _labelled(shared, labels)
+    # of all columns, so that members are shuffled once for this and the join
+    row = F.struct("label", "cls", "n", "pos")
+    counts = (members.groupBy("k").agg(F.min(row)["label"].alias("lo"), F.max(row)["label"].alias("hi"),
+                                       F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo <> hi"))
     dealt = members.join(counts, "k").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # a member goes to the tiles of its band and of the band below, with every other block
     placed = (dealt.withColumn("low", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array(band, band - 1))))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
-    return placed.select(*TILE, *members.drop("k").columns).repartition(*TILE).sortWithinPartitions(*TILE)
+    return placed.select(*MEMBER)
+
+
+def tiles(members: DataFrame) -> DataFrame:
+    """``members`` of tiles, each tile whole in a task and in a run. Members without a partner leave a tile from
+    step to step; the others stay in it, so that no step deals them out anew."""
+    return members.repartition(*TILE).sortWithinPartitions(*TILE)
 
 
 def by_tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -433,19 +456,19 @@ def candidates(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def partnered(members: DataFrame) -> DataFrame:
-    """The members(k, cls, n, pos, label) that may be linked with another of their key."""
+    """The members of tiles that may be linked with another of their tile."""
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in by_tile(batches):
             hit = np.zeros(len(g), bool)
             for a, b in candidates(g):
                 hit[a] = hit[b] = True
-            yield g.loc[hit, ["k", "cls", "n", "pos", "label"]]
+            yield g.loc[hit, MEMBER]
 
-    return tiles(members).mapInPandas(keep, "k int, cls long, n int, pos int, label long").distinct()
+    return tiles(members).mapInPandas(keep, MEMBER_TYPE)
 
 
 def promising(members: DataFrame) -> DataFrame:
-    """The members(k, cls, n, pos, label, head, and bits or not) with a partner of another label that sizes, places
+    """The members of tiles, with head and with bits or not, that have a partner of another label that sizes, places
     and bitmaps allow, in the key that owns the pair: rows of members, never of pairs."""
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in by_tile(batches):
@@ -455,13 +478,13 @@ def promising(members: DataFrame) -> DataFrame:
                 new = ~(hit[a] & hit[b])
                 a, b = tile.allowed(a[new], b[new])
                 hit[a] = hit[b] = True
-            yield g.loc[hit, ["k", "cls", "n", "pos", "label"]]
+            yield g.loc[hit, MEMBER]
 
-    return tiles(members).mapInPandas(keep, "k int, cls long, n int, pos int, label long").distinct()
+    return tiles(members).mapInPandas(keep, MEMBER_TYPE)
 
 
 def tile_links(members: DataFrame) -> DataFrame:
-    """Links (hub, cls) that join the labels of members(k, cls, n, pos, label, bits, head, shingles) of a key.
+    """Links (hub, cls) that join the labels of members of tiles with bits, head and shingles.
 
     A tile compares the sorted shingles of its pairs itself and keeps a union-find of labels: pairs
     whose labels are joined already are skipped, so a tile has less links than members.
@@ -550,22 +573,21 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     shared = staged(shared_prefixes(sketch), "shared")
     # a row, by id and text hash, the bitmap and the first folds of each class that shares an entry; copies
     # meet in the map tasks, so a class of very many is no large group
-    classes = sketch.where("n > 0").groupBy("cls").agg(
+    classes = only_wanted(sketch.where("n > 0"), shared.select("cls"), "cls").groupBy("cls").agg(
         F.min(F.struct("doc_id", "row")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"),
         F.first(F.substring("prefix", 1, 4 * HEAD)).alias("head"))
     reps = staged(classes.join(shared.select("cls").distinct(), "cls", "left_semi"), "classes")
     # links with hubs, twice: the second time only of what the first left apart
     labels = None
     for seed in range(ROUNDS):
-        apart = _apart(shared, labels)
-        found = staged(verified(bitmaps_allow(_hub_pairs(apart, seed), reps), reps, rows), "links")
+        found = staged(verified(bitmaps_allow(_hub_pairs(_labelled(shared, labels), seed), reps), reps, rows), "links")
         labels = _merged(labels, found)
     # what is still apart is compared in tiles
     # each step leaves fewer members to carry the next, larger sign
     signs = reps.select("cls", "bits", "head")
-    owners = promising(partnered(_apart(shared, labels)).join(signs.select("cls", "head"), "cls"))
+    owners = promising(partnered(dealt_out(shared, labels)).join(signs.select("cls", "head"), "cls"))
     left = staged(promising(owners.join(signs, "cls")), "promising")
-    sets = sets_of(left.select("cls").distinct(), reps, rows).join(signs, "cls")
+    sets = sets_of(left.select("cls").distinct(), reps, rows).join(only_wanted(signs, left.select("cls"), "cls"), "cls")
     labels = _merged(labels, tile_links(left.join(sets, "cls")))
     return _with_components(sketch, labels)
 
@@ -585,22 +607,22 @@ def _with_components(sketch: DataFrame, labels: DataFrame) -> DataFrame:
         sketch.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _apart(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """shared with the label of each class, without the keys whose classes all have one label."""
-    if labels is None:
-        return shared.withColumn("label", F.col("cls"))
-    known = shared.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    split = known.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k")
-    return known.join(split, "k")
+def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """shared with the label of each class, dealt out by keys. No value is null; the filter says so here, as
+    otherwise Spark adds it to one of two uses and shuffles the rows for each."""
+    known = shared.withColumn("label", F.col("cls"))
+    if labels is not None:
+        known = shared.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return known.where("k is not null and n is not null and label is not null").repartition("k")
 
 
-def _hub_pairs(apart: DataFrame, seed: int) -> DataFrame:
+def _hub_pairs(members: DataFrame, seed: int) -> DataFrame:
     """(hub, cls): each class with one class of another label of each key, drawn alike by all keys of
     a family, where places and sizes allow a link."""
     drawn = F.xxhash64("cls", F.pmod("k", F.lit(HUBS)), F.lit(seed))
-    hub = apart.groupBy("k").agg(F.min(F.struct(drawn.alias("h"), "cls", "n", "pos", "label")).alias("hub"))
+    hub = members.groupBy("k").agg(F.min(F.struct(drawn.alias("h"), "cls", "n", "pos", "label")).alias("hub"))
     n, m = F.col("n"), F.col("hub.n")
-    return (apart.join(hub, "k").where("label <> hub.label")
+    return (members.join(hub, "k").where("label <> hub.label")
             .where(100 * F.least(n, m).cast("long") >= PERCENT * F.greatest(n, m))
             .where(can_reach(F.least(n - F.col("pos"), m - F.col("hub.pos")).cast("long"), n + m))
             .select(F.col("hub.cls").alias("hub"), "cls").distinct())

@@ -206,6 +206,28 @@ def test_op4_tiles_alone_find_all_links(spark, monkeypatch, block):
     assert 0 < seen["links"] < seen["dealt"]
 
 
+@pytest.mark.parametrize("most", [0, 255, 256, 65536])
+def test_op4_numbers_travel_in_the_least_bytes(most):
+    x = op4_jaccard.np.array([0, 7, most])
+    raw = op4_jaccard.narrow(x)
+    assert op4_jaccard.wide(raw, 3).tolist() == x.tolist()
+    assert len(raw) == 3 * (1 if most < 256 else 2 if most < 65536 else 4)
+
+
+def test_op4_members_are_shuffled_once_a_use(spark):
+    shared = spark.createDataFrame([(k, 10 * k + c, 8, 0) for k in range(9) for c in range(3)], "k int, cls long, n int, pos int")
+    labels = spark.createDataFrame([(c, 0) for c in range(3)], "cls long, label long")
+    for known in (None, labels):
+        pairs = op4_jaccard._hub_pairs(op4_jaccard._labelled(shared, known), 0)
+        assert pairs.where("hub = cls").count() == 0
+        assert len(pairs.collect()) == (18 if known is None else 16)        # of the labelled key all is joined
+        final = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ReusedExchange" in final
+        dealt = op4_jaccard.dealt_out(shared, known)
+        assert len(dealt.collect()) == (27 if known is None else 24)
+        assert "ReusedExchange" in dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_op4_digests_that_clash(spark, monkeypatch):
     rows = [(k, passage(400 + k // 2)) for k in range(12)] + [(None, passage(400))]
     plain = op4_jaccard.set_class

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import (catalog, op1_quality, op2_bpe, op3_secrets, op4_jaccard, op5_chunks, op6_urls, op7_runindex,
                             op8_langid, op9_decontam, op10_tokencount)
+from tallyspark.llm import common
 from tallyspark.llm.common import connected_components, read_table
 
 SF = "/root/testdata/sf0.001"
@@ -52,6 +53,17 @@ def test_connected_components(spark):
     assert got == {**{k: 1 for k in range(1, 31)}, 40: 40, 50: 40, 60: 40}
 
 
+def test_components_of_few_and_of_dealt_out_edges(spark, monkeypatch):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(130, 129), (7, 7), (None, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = sorted(map(tuple, connected_components(df).collect()))
+    monkeypatch.setattr(common, "FEW_EDGES", -1)
+    assert few == sorted(map(tuple, connected_components(df).collect())) == (
+        [(k, 0) for k in range(41)] + [(k, 100) for k in range(100, 131)])
+    e = spark.createDataFrame([(k + 1, k) for k in range(9)], "u long, v long")
+    assert common._small_star(common._large_star(e, True), True).rdd.getNumPartitions() == 1
+
+
 def test_op1(odd, empty):
     got = {r.doc_id: r for r in op1_quality.quality_rules(odd).collect()}
     for i, t in texts_of(odd):

@@ -15,9 +15,6 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from ..functions import fixed_values as FV
 from ..functions.similarity import token_sort_ratio
 from ..functions.text import dedup_key
-from ..session import written
-from .common import spread_join
-from .similarity_join import jaccard_holds, jaccard_prefix, ranked_sets
 from .vector_join import neighbours, transfer
 
 
@@ -63,20 +60,17 @@ def semantic_duplicates(df: DataFrame, vendor: str = "vendor", memo: str = "memo
     """J11 re-aimed: a later row is dropped when an earlier row has a similar text '<vendor> <memo>' (Jaccard
     index of the word sets of at least ``least_jaccard``; NULL reads 'nan') and meets the J5 amount/date rule.
 
-    Exact: two similar word sets share one of the first words of both, the rarest words coming first, so rows
-    meet on (such a word, date bucket, amount bucket) and the index is computed in the semi join. Pairs of
-    texts are never listed, as a memo that all vendors use makes all of their texts similar. Texts without
-    a word match nothing."""
-    from .dedup import _drop_rows, _pairwise_drop, _probe_base
+    Exact (``similar_rows``): rows meet at the first word that they share, the rarest words coming first, and rows whose
+    texts are similar by a common memo alone are settled by cells of date and amount, so pairs of texts are
+    never listed, as a memo that all vendors use makes all of their texts similar. Texts without a word match nothing."""
+    from .dedup import _drop_rows, _probe_base
+    from .similar_rows import earlier_similar
     text = F.lower(F.concat_ws(" ", F.coalesce(F.col(vendor).cast("string"), F.lit("nan")),
                                F.coalesce(F.col(memo).cast("string"), F.lit("nan"))))
-    base = _probe_base(df, block=F.lit("all"), row_id=row_id, date=date, amount=amount, vname=text).drop("blk")
-    words = F.array_distinct(F.filter(F.split("vlow", r"\s+"), lambda x: x != ""))
-    texts = written(base.groupBy("vlow").agg(F.count(F.lit(1)).alias("n")).withColumn("toks", words))
-    ranked = ranked_sets(texts, ["vlow"], "toks").join(texts.select("vlow", "n"), "vlow")
-    known = spread_join(base, written(ranked), ["vlow"], "inner").withColumn("blk", jaccard_prefix(F.col("toks"), least_jaccard))
-    dropped = _pairwise_drop(known, days=3, tol=0.05, date_optional=True, amount_optional=True,
-                             match=lambda x, y: jaccard_holds(x, y, least_jaccard))
+    base = _probe_base(df, block=F.lit("all"), row_id=row_id, date=date, amount=amount, vname=text)
+    # split at \s+, without a regular expression compiled once a row
+    words = F.array_distinct(F.array_remove(F.split(F.translate("vlow", "\t\n\x0b\f\r", " " * 5), " "), ""))
+    dropped = earlier_similar(base.withColumn("toks", words), least=least_jaccard, days=3, tol=0.05)
     return _drop_rows(df, dropped, row_id)
 
 

@@ -22,7 +22,6 @@ import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType
 
 from ..functions.similarity import token_sort_ratio
 from ..session import written
@@ -138,44 +137,37 @@ def _probe_base(df: DataFrame, *, block: Column, row_id: str, date: str, amount:
 
 
 def _pairwise_drop(base: DataFrame, *, days: int, tol: float, date_optional: bool, amount_optional: bool,
-                   name_pairs: DataFrame | None = None, match=None) -> DataFrame:
+                   name_pairs: DataFrame | None = None) -> DataFrame:
     """Row ids of ``base(rid, blk, vlow, d, a)`` that have an earlier matching row (EXISTS), as one column.
 
     A pair matches when blocks are equal, dates are within ``days`` (skipped when
     ``date_optional`` and either date is NULL) and amounts are within ``tol`` of the
     larger (skipped when ``amount_optional`` and either absolute amount is not > 0).
-    With ``name_pairs`` (blk, i, j) the names must be a listed pair; without, they must be equal, or,
-    with ``match(toks_j, toks_i)``, the arrays in ``base.toks`` must match. ``blk`` may be
-    an array: then one common element suffices.
+    With ``name_pairs`` (blk, i, j) the names must be a listed pair; without, they must be equal.
 
     Equal (block, name, date, amount) rows match each other wherever they can match at all, so all but the first
     of them go without a join, and the joins run over distinct tuples with their first row id. Where a test
     is skipped, its column leaves the candidates' key too: rows without a date or an amount, however many,
     meet one candidate a name.
     """
-    extra = ["toks"] if match is not None else []
     usable = (F.lit(True) if date_optional else F.col("d").isNotNull()) & (
         F.lit(True) if amount_optional else F.coalesce(F.col("a") > 0, F.lit(False)))
     base = base.filter(usable)
     # read by the joins below: written once, so that they scan it instead of running the upstream plan again
-    firsts = written(base.groupBy("blk", "vlow", "d", "a").agg(
-        F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), *[F.any_value(c).alias(c) for c in extra]))
+    firsts = written(base.groupBy("blk", "vlow", "d", "a").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies")))
     parts, tuples = [], firsts.drop("copies")
     if not firsts.filter("copies > 1").isEmpty():
         parts.append(base.select("rid").join(firsts.select("rid"), "rid", "left_anti"))
-    if isinstance(base.schema["blk"].dataType, ArrayType):
-        tuples = tuples.withColumn("blk", F.explode("blk"))
     sizes = written(tuples.groupBy("blk").agg(F.count(F.lit(1)).alias("n")).withColumn("c", F.col("n")))
     known = written(spread_join(tuples, sizes, ["blk"], "inner").filter("c > 1"))     # a tuple alone in its block has no partner
-    rules = {"days": days, "tol": tol, "date_optional": date_optional, "amount_optional": amount_optional,
-             "name_pairs": name_pairs, "match": match}
-    parts.append(_in_small_blocks(known.filter(F.col("c") <= FEW).drop("c"), extra, **rules))
-    parts += _in_large_blocks(known.filter(F.col("c") > FEW).drop("c"), extra, **rules)
+    rules = {"days": days, "tol": tol, "date_optional": date_optional, "amount_optional": amount_optional, "name_pairs": name_pairs}
+    parts.append(_in_small_blocks(known.filter(F.col("c") <= FEW).drop("c"), **rules))
+    parts += _in_large_blocks(known.filter(F.col("c") > FEW).drop("c"), **rules)
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def _in_small_blocks(few: DataFrame, extra: list[str], *, days: int, tol: float, date_optional: bool, amount_optional: bool,
-                     name_pairs: DataFrame | None, match) -> DataFrame:
+def _in_small_blocks(few: DataFrame, *, days: int, tol: float, date_optional: bool, amount_optional: bool,
+                     name_pairs: DataFrame | None) -> DataFrame:
     """``rid`` of the tuples with an earlier match, all tests of a block's pairs being one join condition."""
     both_d = F.col("d").isNotNull() & F.col("c_d").isNotNull()
     both_a = F.coalesce(F.col("a") > 0, F.lit(False)) & F.coalesce(F.col("c_a") > 0, F.lit(False))
@@ -183,9 +175,7 @@ def _in_small_blocks(few: DataFrame, extra: list[str], *, days: int, tol: float,
             & F.when(both_d, F.abs(F.datediff(F.col("d"), F.col("c_d"))) <= days).otherwise(F.lit(date_optional))
             & F.when(both_a, _within(F.col("c_a"), F.col("a"), tol)).otherwise(F.lit(amount_optional)))
     j = few
-    if match is not None:
-        cond = cond & match(F.col("toks"), F.col("c_toks"))
-    elif name_pairs is None:
+    if name_pairs is None:
         cond = cond & (F.col("vlow") == F.col("c_vlow"))
     else:       # the listed pairs of a block of few names
         listed = (name_pairs.filter("i <> j").join(few.select("blk").distinct(), "blk", "left_semi")
@@ -197,8 +187,8 @@ def _in_small_blocks(few: DataFrame, extra: list[str], *, days: int, tol: float,
     return _semi(j, i, ["blk"], cond).select("rid")
 
 
-def _in_large_blocks(many: DataFrame, extra: list[str], *, days: int, tol: float, date_optional: bool, amount_optional: bool,
-                     name_pairs: DataFrame | None, match) -> list[DataFrame]:
+def _in_large_blocks(many: DataFrame, *, days: int, tol: float, date_optional: bool, amount_optional: bool,
+                     name_pairs: DataFrame | None) -> list[DataFrame]:
     """Frames of ``rid`` of the tuples with an earlier match, by date and amount buckets; none for no tuples."""
     has_d, has_a = F.col("d").isNotNull(), F.coalesce(F.col("a") > 0, F.lit(False))
     size = many.agg(*[F.count_if(c).alias(n) for n, c in {
@@ -211,8 +201,8 @@ def _in_large_blocks(many: DataFrame, extra: list[str], *, days: int, tol: float
         cols = ["blk", "vlow"] + ["d"] * need_d + ["a"] * need_a
         c = many.filter(filt)
         if not (need_d and need_a):
-            c = c.groupBy(*cols).agg(F.min("rid").alias("rid"), *[F.any_value(x).alias(x) for x in extra])
-        c = c.select(*cols, F.col("rid").alias("i_rid"), *extra)
+            c = c.groupBy(*cols).agg(F.min("rid").alias("rid"))
+        c = c.select(*cols, F.col("rid").alias("i_rid"))
         if name_pairs is not None:
             c = (c.join(name_pairs.withColumnRenamed("i", "vlow"), ["blk", "vlow"])
                  .drop("vlow").withColumnRenamed("j", "vlow"))
@@ -238,9 +228,7 @@ def _in_large_blocks(many: DataFrame, extra: list[str], *, days: int, tol: float
             cond = cond & (F.abs(F.datediff(F.col("d"), F.col("c_d"))) <= days)
         if need_a:
             cond = cond & _within(F.col("c_a"), F.col("a"), tol)
-        if match is not None:
-            cond = cond & match(F.col("toks"), F.col("c_toks"))
-        keys = ["blk"] + ["vlow"] * (match is None) + ["db"] * need_d + ["ab"] * need_a
+        keys = ["blk", "vlow"] + ["db"] * need_d + ["ab"] * need_a
         parts.append(_semi(j, cands(i_filt, need_d, need_a), keys, cond).select("rid"))
 
     # both dates known and both amounts positive: block on date and amount buckets

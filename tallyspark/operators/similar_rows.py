@@ -12,13 +12,14 @@ cells around it, and each of those is met by few. So a word that most rows have
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
 from .common import SPREAD_ROWS, SPREAD_SHARES, spread_join
-from .dedup import FEW, _amount_window, _day, _semi, _within
+from .dedup import FEW, _amount_bucket, _amount_window, _date_bucket, _day, _reach, _semi, _within
 
 BUCKETS = 1 << 14       # of words; their counts order the words
 KINDS = 8               # kinds (size, length of the tail) of a block up to which rows meet those of fitting kinds only
@@ -40,7 +41,7 @@ def _level(count: int) -> int:
     return 33 + min(93, int(3 * math.log2(count))) if count else 33
 
 
-def _prefixes(sizes: list[int], least: float) -> dict[int, int]:
+def _prefixes(sizes: Iterable[int], least: float) -> dict[int, int]:
     """By size, how many first words of a set reach all that a partner of one of ``sizes`` shares at least."""
     out = {}
     for n in sizes:
@@ -52,18 +53,18 @@ def _prefixes(sizes: list[int], least: float) -> dict[int, int]:
 def _entries(rows: DataFrame, least: float) -> tuple[DataFrame, str] | None:
     """``(x, n, tail, rid, d, a)``: a row of ``rows(rid, toks, d, a)`` once a prefix word, with its size and its words from there on;
     and the level above which words are common. None without rows."""
-    keys = F.concat(F.transform("toks", _bucket), F.array(-F.size("toks").cast("long")))
-    counts = {r.k: r.c for r in rows.select(F.explode(keys).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c")).collect()}
-    sizes = sorted(-k for k in counts if k < 0)
+    number = lambda df: dict(df.groupBy("k").agg(F.count(F.lit(1)).alias("c")).collect())
+    sizes = number(rows.select(F.size("toks").alias("k")))
     if not sizes:
         return None
+    counts = number(rows.select(F.explode("toks").alias("w")).select(_bucket(F.col("w")).alias("k")))
     levels = F.lit(bytearray(_level(counts.get(k, 0)) for k in range(BUCKETS)))
     level = lambda w: F.substring(levels, _bucket(w).cast("int") + 1, F.lit(1)).cast("string")
     prefix = F.create_map(*[F.lit(v) for kv in _prefixes(sizes, least).items() for v in kv])
     # x and n can't be NULL: the optimizer would test that on one side of a self join only, which then couldn't share its shuffle
     ranked = rows.filter("rid is not null").select("rid", "d", "a", F.coalesce(F.size("toks"), F.lit(0)).alias("n"), F.sort_array(F.transform("toks", lambda w: F.concat(level(w), w))).alias("s"))
     each = ranked.withColumn("p", F.explode(F.sequence(F.lit(1), prefix[F.col("n")])))
-    limit = max(SPREAD_ROWS, -(-sum(counts[-n] for n in sizes) // SPREAD_SHARES))
+    limit = max(SPREAD_ROWS, -(-sum(sizes.values()) // SPREAD_SHARES))
     return each.select(F.coalesce(F.element_at("s", F.col("p")), F.lit("")).alias("x"), "n", F.concat_ws(" ", F.slice("s", F.col("p"), F.col("n"))).alias("tail"),
                        "rid", "d", "a"), chr(_level(limit))
 
@@ -137,13 +138,13 @@ def _in_large_blocks(many: DataFrame, least: float, days: int, tol: float) -> li
     has_d, has_a = F.col("d").isNotNull(), F.coalesce(F.col("a") > 0, F.lit(False))
     finite = F.col("a").cast("double") < F.lit(math.inf)
     day, log, window = _day(F.col("d")).cast("long"), F.log("a"), _amount_window(tol)
-    # cells as wide as the windows, so both tests hold within one
-    of_day = lambda n: F.floor(n / (days + 1)).cast("long")
     odd = F.when(F.isnan(F.col("a").cast("double")), F.lit(NAN)).otherwise(F.lit(INF))
-    of_log = lambda n: F.when(finite, F.floor(n / (window * (1 - 2e-9)))).otherwise(odd).cast("long")
+    # buckets, wider than the windows, in which rows meet; and cells as wide as the windows, so that both tests hold within one
+    date_bucket, amount_bucket = _date_bucket(days), lambda n: F.when(finite, _amount_bucket(tol)(n)).otherwise(odd)
+    date_cell = F.when(~has_d, F.lit(NONE)).when(has_a & ~finite, day).otherwise(F.floor(day / (days + 1)))
+    amount_cell = F.when(~has_a, F.lit(NONE)).when(finite, F.floor(log / (window * (1 - 2e-9)))).otherwise(odd)
     known = (spread_join(many, _kinds(many, least), ["x", "n", "s"], "inner", rows="rows").drop("s")
-             .withColumn("dc", F.when(~has_d, F.lit(NONE)).when(has_a & ~finite, day).otherwise(of_day(day)))
-             .withColumn("ac", F.when(has_a, of_log(log)).otherwise(F.lit(NONE))))
+             .withColumn("dc", date_cell.cast("long")).withColumn("ac", amount_cell.cast("long")))
     cell = ["x", "n", "tail", "dc", "ac"]
     same = known.filter("self")
     firsts = written(same.groupBy(*cell).agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("rows")))
@@ -165,11 +166,11 @@ def _in_large_blocks(many: DataFrame, least: float, days: int, tol: float) -> li
         keys, cond = ["x", "kind"], F.col("c_rid") < F.col("rid")
         j, c = j.withColumn("kind", F.explode("others")).drop("others"), c.withColumnRenamed("own", "kind")
         if need_d:
-            j, c = j.withColumn("dc", F.explode(F.sequence(of_day(day - days), of_day(day + days)))), c.withColumn("dc", of_day(day))
-            keys, cond = [*keys, "dc"], cond & (F.abs(F.datediff(F.col("d"), F.col("c_d"))) <= days)
+            j, c = j.withColumn("db", F.explode(_reach(day, days, date_bucket))), c.withColumn("db", date_bucket(day))
+            keys, cond = [*keys, "db"], cond & (F.abs(F.datediff(F.col("d"), F.col("c_d"))) <= days)
         if need_a:
-            j, c = j.withColumn("ac", F.explode(F.sequence(of_log(log - window), of_log(log + window)))), c.withColumn("ac", of_log(log))
-            keys, cond = [*keys, "ac"], cond & (_close(tol) if need_d else _within(F.col("c_a"), F.col("a"), tol))
+            j, c = j.withColumn("ab", F.explode(_reach(log, window, amount_bucket))), c.withColumn("ab", amount_bucket(log))
+            keys, cond = [*keys, "ab"], cond & (_close(tol) if need_d else _within(F.col("c_a"), F.col("a"), tol))
         parts.append(_semi(j, _renamed(c), keys, cond & _alike(least)).select("rid"))
 
     add("da", ("da",), True, True)
